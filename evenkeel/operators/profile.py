@@ -227,3 +227,11 @@ def score_summary(scores: DataFrame, by: Sequence[str], metrics: Sequence[str],
     for m in metrics:
         aggs += [F.avg(m).alias(m), spread[sd](m).alias(f"{m}_sd")]
     return scores.groupBy(*by).agg(*aggs)
+
+
+def weighted_embedding(df: DataFrame, weight: str, vector: str, by: Sequence[str]) -> DataFrame:
+    """Average of level vectors weighted by a probability: ``(by, pos, value)``."""
+    cells = df.select(*by, F.col(weight).cast("double").alias("__w"),
+                      F.posexplode(F.col(vector).cast("array<double>")).alias("pos", "__v"))
+    return cells.groupBy(*by, "pos").agg(
+        (F.sum(F.col("__w") * F.col("__v")) / F.sum("__w")).alias("value"))

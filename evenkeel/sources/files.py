@@ -22,23 +22,24 @@ def read_delimited(spark: SparkSession, path: str, schema: T.StructType | str, s
     )
 
 
-def read_column_json(spark: SparkSession, path: str, label: str = "Y",
-                     features: str = "Xcat") -> DataFrame:
-    """JSON object with one array per column: ``(pos, label, f0, f1, ...)``.
-
-    The file is one value, so its columns start in one task; each array is then
-    opened into rows and put together by position. ``label`` may be nested once.
+def read_column_json(spark: SparkSession, path: str, label: str = "Y", features: str = "Xcat",
+                     multi_line: bool = True) -> DataFrame:
+    """JSON objects with one array per column: ``(block, pos, label, f0, f1, ...)``.
+
+    A file may be one object or, with ``multi_line=False``, one object per line;
+    ``block`` tells the objects apart. The arrays of an object are put together
+    by position and opened into rows where they are read, without a shuffle.
+    ``label`` may be nested once.
     """
-    raw = spark.read.option("multiLine", True).json(path)
+    raw = spark.read.option("multiLine", multi_line).json(path)
     kind = raw.schema[label].dataType
     y = F.flatten(label) if isinstance(kind.elementType, T.ArrayType) else F.col(label)
-    width = raw.select(F.size(features)).first()[0]
-    cells = raw.select(F.posexplode(features).alias("f", "values")).select(
-        "f", F.posexplode("values").alias("pos", "value"))
-    wide = cells.groupBy("pos").agg(*[
-        F.max(F.when(F.col("f") == i, F.col("value"))).alias(f"f{i}") for i in range(width)])
-    labels = raw.select(F.posexplode(y).alias("pos", "label"))
-    return labels.join(wide, "pos")
+    width = raw.agg(F.max(F.size(features))).first()[0] or 0
+    rows = raw.select(
+        F.monotonically_increasing_id().alias("block"), F.col(features).alias("x"),
+        F.posexplode(y).alias("pos", "label"))
+    return rows.select("block", "pos", "label", *[
+        F.get(F.get("x", F.lit(i)), F.col("pos")).alias(f"f{i}") for i in range(width)])
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:
