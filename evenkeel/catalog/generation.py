@@ -118,8 +118,8 @@ BINS = 16
 def _state_sql() -> str:
     cols = list(LINE_SPEC.continuous)
     parts_ = ["select l_returnflag as g, 'n' as kind, '' as a, '' as b, count(*)::double as value from lineitem group by 1"]
-    parts_ += [f"select l_returnflag, 'sum', '{c}', '', round(sum({c}), 3) from lineitem group by 1" for c in cols]
-    parts_ += [f"select l_returnflag, 'cross', '{a}', '{b}', round(sum({a} * {b}), 3) from lineitem group by 1"
+    parts_ += [f"select l_returnflag, 'sum', '{c}', '', round(sum({c}), 6) from lineitem group by 1" for c in cols]
+    parts_ += [f"select l_returnflag, 'cross', '{a}', '{b}', round(sum({a} * {b}), 6) from lineitem group by 1"
                for i, a in enumerate(cols) for b in cols[i:]]
     parts_ += [f"""select l_returnflag, 'bin', '{c}', greatest(least(floor(({c} - lo_{c}) / ((hi_{c} - lo_{c}) / {BINS})), {BINS - 1}), 0)::int::varchar,
   count(*)::double from lineitem, s group by 1, 4""" for c in cols]
@@ -136,7 +136,7 @@ def updated_generator_state(spark, sf):
     ranges = value_range(df, LINE_SPEC.continuous)
     early = uniform("l_orderkey", "arrival") < 0.6
     state, _ = op.fit_state(df.filter(early), LINE_SPEC, ranges, BINS)
-    return tidy(op.update_state(state, df.filter(~early), LINE_SPEC, ranges, BINS), 3)
+    return tidy(op.update_state(state, df.filter(~early), LINE_SPEC, ranges, BINS))
 
 
 @query("streamed_class_profile", "O-1", "select event_type as label, count(*) as n from events group by 1")

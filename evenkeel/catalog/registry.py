@@ -67,7 +67,7 @@ def vector_spec(width: int = 64, label: str = "label") -> FeatureSpec:
 
 def vectors_sql(width: int = 64) -> str:
     return f"""vec as (
-  select vec_id, label, list_transform(embedding[1:{width}], v -> v::double) as e
+  select vec_id, label, embedding[1:{width}]::double[] as e
   from embeddings)"""
 
 

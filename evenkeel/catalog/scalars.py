@@ -28,11 +28,11 @@ from evenkeel.spec import FeatureSpec
 @query("parsed_dates", "H-1", """
 with t as (select o_orderkey, case when o_orderkey % 7 = 0 then '0000-99-99'
                                    else strftime(o_orderdate, '%Y-%m-%d') end as txt from orders)
-select o_orderkey, try_strptime(txt, '%Y-%m-%d') as parsed from t""")
+select o_orderkey, try_strptime(txt, '%Y-%m-%d')::date as parsed from t""")
 def parsed_dates(spark, sf):
     text = F.when(F.col("o_orderkey") % 7 == 0, F.lit("0000-99-99")).otherwise(
         F.date_format("o_orderdate", "yyyy-MM-dd"))
-    return load_table(spark, sf, "orders").select("o_orderkey", parse_date(text, "yyyy-MM-dd").alias("parsed"))
+    return load_table(spark, sf, "orders").select("o_orderkey", parse_date(text, "yyyy-MM-dd").cast("date").alias("parsed"))
 
 
 def _order_dates(spark, sf):
@@ -50,10 +50,10 @@ od as (select o.o_orderkey, o.o_custkey, o.o_orderdate, o.o_orderpriority, o.o_t
 
 
 @query("date_fallback", "H-2", f"""
-with {ORDER_DATES} select o_orderkey, coalesce(promised, delivered, o_orderdate) as promised from od""")
+with {ORDER_DATES} select o_orderkey, coalesce(promised, delivered, o_orderdate)::date as promised from od""")
 def date_fallback(spark, sf):
     return _order_dates(spark, sf).select(
-        "o_orderkey", fallback("promised", "delivered", "o_orderdate").alias("promised"))
+        "o_orderkey", fallback("promised", "delivered", "o_orderdate").cast("date").alias("promised"))
 
 
 @query("date_parts", "H-3", """
@@ -91,7 +91,7 @@ def label_to_onehot(spark, sf):
 
 
 @query("category_draw", "H-7", f"""
-with e as (select vec_id, list_transform(embedding[1:8], v -> abs(v::double)) as w,
+with e as (select vec_id, [abs(v::double) for v in embedding[1:8]] as w,
                   {u_sql('cat', 'vec_id')} as u from embeddings),
 x as (select vec_id, u, w, unnest(w) as v, generate_subscripts(w, 1) as i from e),
 c as (select vec_id, i, u * sum(v) over (partition by vec_id) as target,
@@ -199,7 +199,7 @@ def first_seen_codes(spark, sf):
 
 @query("quantile_bins", "I-6", """
 with q as (select quantile_cont(value, [0.2, 0.4, 0.6, 0.8]) as e from events where event_type <> 'error')
-select event_id, len(list_filter(e, c -> value >= c))::int as value from events, q""")
+select event_id, len([c for c in e if value >= c])::int as value from events, q""")
 def quantile_bins(spark, sf):
     df = events(spark, sf)
     return op.QuantileBins.fit(df.filter("event_type <> 'error'"), ["value"]).transform(df).select(

@@ -124,15 +124,15 @@ def running_sums(cut: DataFrame, by: Sequence[str], value: str, names: Sequence[
     """Running sums over bucketed rows (``__b``) that are unique by value within ``by``."""
     place = [*by, "__b"]
     sizes = cut.groupBy(*place).agg(
-        *[F.sum(n).alias(f"__{n}") for n in names], F.min(value).alias("__low")
+        *[F.sum(n).alias(f"__sum_{n}") for n in names], F.min(value).alias("__low")
     )
     whole = Window.partitionBy(*by)
     order = whole.orderBy("__b")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     keep = []
     for n in names:
-        keep.append(F.sum(f"__{n}").over(before).alias(f"__{n}_before"))
-        keep.append(F.sum(f"__{n}").over(whole).alias(f"{n}_total"))
+        keep.append(F.sum(f"__sum_{n}").over(before).alias(f"__before_{n}"))
+        keep.append(F.sum(f"__sum_{n}").over(whole).alias(f"{n}_total"))
     if next_value:
         keep.append(F.lead("__low").over(order).alias("__next_low"))
     offsets = sizes.select(*place, *keep)
@@ -140,12 +140,12 @@ def running_sums(cut: DataFrame, by: Sequence[str], value: str, names: Sequence[
     prior = inside.rowsBetween(Window.unboundedPreceding, -1)
     local = cut.select(
         *place, value, *names,
-        *[F.sum(n).over(prior).alias(f"__{n}_in") for n in names],
+        *[F.sum(n).over(prior).alias(f"__in_{n}") for n in names],
         *([F.lead(value).over(inside).alias("__next_in")] if next_value else []),
     )
     out = [*by, value, *names]
     below = [
-        (F.coalesce(F.col(f"__{n}_before"), F.lit(0)) + F.coalesce(F.col(f"__{n}_in"), F.lit(0)))
+        (F.coalesce(F.col(f"__before_{n}"), F.lit(0)) + F.coalesce(F.col(f"__in_{n}"), F.lit(0)))
         .alias(f"{n}_below")
         for n in names
     ]
