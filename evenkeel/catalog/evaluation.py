@@ -30,12 +30,6 @@ def _cut(spark, sf):
     return (both.filter(~F.col("is_test")).drop("is_test"), both.filter("is_test").drop("is_test"))
 
 
-def _table(spark, rows: list[dict]):
-    names = list(rows[0])
-    kinds = ", ".join(f"`{n}` {'string' if isinstance(rows[0][n], str) else 'double'}" for n in names)
-    return spark.createDataFrame([tuple(row[n] for n in names) for row in rows], kinds)
-
-
 @query("classifier_scores", "N-1")
 def classifier_scores(spark, sf):
     train, test = _cut(spark, sf)
@@ -55,9 +49,8 @@ def input_importance(spark, sf):
 @query("upsampling_test", "N-2, P-1, P-2, P-3")
 def upsampling_test(spark, sf):
     train, test = _cut(spark, sf)
-    return tidy(_table(spark, [
-        {"sampler": s, **op.upsampling_eval(train, test, DOCS, s, "LR", ("auc", "tail_lift"))}
-        for s in ("unbalanced", "random", "under", "SMOTE", "generator")]), 4)
+    samplers = ("unbalanced", "random", "under", "SMOTE", "generator")
+    return tidy(op.upsampling_eval(train, test, DOCS, samplers, "LR", ("auc", "tail_lift")), 4)
 
 
 @query("discriminator_test", "N-3")
@@ -67,7 +60,8 @@ def discriminator_test(spark, sf):
     plan = sampling_plan(df, "good", counts, mode="new")
     fake = ConditionalGenerator.fit(df, DOCS).sample(plan).withColumn(
         "doc_id", F.concat_ws(":", "good", "draw_id"))
-    return tidy(_table(spark, [op.discriminator_eval(df, fake, DOCS, "RF", FOREST)]), 4)
+    got = op.discriminator_eval(df, fake, DOCS, "RF", FOREST)
+    return tidy(spark.createDataFrame([(got["auc"], got["accuracy"])], "auc double, accuracy double"), 4)
 
 
 @query("predictive_test", "N-4")
@@ -76,8 +70,7 @@ def predictive_test(spark, sf):
     counts = {row["good"]: row["count"] for row in train.groupBy("good").count().collect()}
     plan = sampling_plan(train, "good", counts, mode="new")
     fake = ConditionalGenerator.fit(train, DOCS).sample(plan).withColumn("doc_id", F.col("draw_id"))
-    got = op.predictive_eval(train, fake, test, DOCS, "DT", {"max_depth": 5})
-    return tidy(_table(spark, [{"trained_on": k, **v} for k, v in got.items()]), 4)
+    return tidy(op.predictive_eval(train, fake, test, DOCS, "DT", {"max_depth": 5}), 4)
 
 
 @query("repeated_upsampling_test", "N-5")

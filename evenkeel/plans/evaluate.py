@@ -29,10 +29,11 @@ from evenkeel.operators.splits import (
 )
 from evenkeel.plans.grid import expand_grid
 from evenkeel.plans.sampling import sampling_plan, undersampling_plan
-from evenkeel.session import reuse
+from evenkeel.session import reuse, write_scratch
 from evenkeel.spec import FeatureSpec
 
 DRIVER_THREADS = 4
+ROWS_PER_PARTITION = 50_000
 SCORE = "score"
 
 # ---- samplers and scorers by name ----------------------------------------------
@@ -86,15 +87,39 @@ register_scorer("top_lift", lambda df, y, score, key, by: metrics.top_lift(df, y
 register_scorer("accuracy", lambda df, y, score, key, by: metrics.accuracy(df, y, score, 0.5, by))
 
 
-def score_with(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str],
-               by: Sequence[str] = ()) -> dict:
-    """The named scores of one scored table as plain numbers."""
-    out = {}
+def score_tables(parts: Sequence[tuple[tuple, DataFrame]], tags: Sequence[str], spec: FeatureSpec,
+                 scorers: Sequence[str]) -> list[dict]:
+    """Scores of many scored tables in one job per scorer.
+
+    ``parts`` pairs the tag values of a table with the table; the result has one
+    dict per part, in order, with its tags and scores.
+    """
+    unknown = [n for n in scorers if n not in SCORERS]
+    if unknown:
+        raise ValueError(f"no scorers {unknown}; known: {sorted(SCORERS)}")
+    stacked = None
+    for i, (_, scored) in enumerate(parts):
+        one = scored.select(spec.key, spec.label, SCORE, F.lit(i).alias("part"))
+        stacked = one if stacked is None else stacked.unionByName(one)
+    stacked = reuse(stacked)
+    out = [dict(zip(tags, values)) for values, _ in parts]
     for name in scorers:
-        if name not in SCORERS:
-            raise ValueError(f"no scorer {name!r}; known: {sorted(SCORERS)}")
-        out[name] = SCORERS[name](scored, spec.label, SCORE, spec.key, list(by)).first()[name]
-    return out
+        table = SCORERS[name](stacked, spec.label, SCORE, spec.key, ["part"])
+        for row in table.collect():
+            out[row["part"]][name] = row[name]
+    stacked.unpersist()
+    return [{**{n: None for n in scorers}, **o} for o in out]
+
+
+def score_with(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str]) -> dict:
+    """The named scores of one scored table as plain numbers."""
+    return score_tables([((), scored)], (), spec, scorers)[0]
+
+
+def in_threads(fn: Callable, jobs: Sequence) -> list:
+    """Start independent Spark jobs from a few driver threads; results in order."""
+    with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+        return list(pool.map(fn, jobs))
 
 
 # ---- classifiers -----------------------------------------------------------------
@@ -141,8 +166,10 @@ def fit_classifier(train: DataFrame, spec: FeatureSpec, model: str = "LR",
         stages.append(OneHotEncoder(inputCols=codes, outputCols=hot, handleInvalid="keep"))
         inputs += hot
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features"))
-    stages.append(classifier(model, train.count(), params or {}))
-    fitted = Pipeline(stages=stages).fit(train)
+    n = train.count()
+    stages.append(classifier(model, n, params or {}))
+    # a solver runs a job per step; few rows in many partitions only add overhead
+    fitted = Pipeline(stages=stages).fit(train.coalesce(max(1, -(-n // ROWS_PER_PARTITION))))
     train.unpersist()
     return fitted
 
@@ -224,12 +251,31 @@ class ResampleChain:
 
 # ---- tests --------------------------------------------------------------------------
 
-def upsampling_eval(train: DataFrame, test: DataFrame, spec: FeatureSpec, sampler: str,
+def upsampled_scores(train: DataFrame, test: DataFrame, spec: FeatureSpec, sampler: str,
+                     model: str = "LR", seed: int = 0, sampler_params: dict | None = None,
+                     model_params: dict | None = None) -> DataFrame:
+    """Resample the training rows, fit, give the scored test rows."""
+    chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed)
+    return chain.fit(train).transform(test)
+
+
+def upsampling_eval(train: DataFrame, test: DataFrame, spec: FeatureSpec, samplers: Sequence[str],
                     model: str = "LR", scorers: Sequence[str] = ("auc",), seed: int = 0,
-                    sampler_params: dict | None = None, model_params: dict | None = None) -> dict:
-    """Resample the training rows, fit, score the untouched test rows."""
-    chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed).fit(train)
-    return score_with(reuse(chain.transform(test)), spec, scorers)
+                    sampler_params: dict | None = None, model_params: dict | None = None) -> DataFrame:
+    """Scores of each sampler on the untouched test rows: ``(sampler, scores)``."""
+    def run(sampler: str):
+        return (sampler,), upsampled_scores(train, test, spec, sampler, model, seed,
+                                            sampler_params, model_params)
+
+    rows = score_tables(in_threads(run, list(samplers)), ["sampler"], spec, scorers)
+    return _table(train.sparkSession, rows, "sampler string", scorers)
+
+
+def _table(spark: SparkSession, rows: list[dict], tags: str, scorers: Sequence[str]) -> DataFrame:
+    """Result rows as a table; there are as many as fitted models."""
+    schema = ", ".join([tags, *[f"{n} double" for n in scorers]])
+    names = [*[t.strip().split(" ")[0] for t in tags.split(", ")], *scorers]
+    return spark.createDataFrame([tuple(row[n] for n in names) for row in rows], schema)
 
 
 def discriminator_eval(real: DataFrame, fake: DataFrame, spec: FeatureSpec, model: str = "RF",
@@ -246,32 +292,38 @@ def discriminator_eval(real: DataFrame, fake: DataFrame, spec: FeatureSpec, mode
     cut = reuse(random_split(stacked, test, "row_id", seed))
     train = cut if in_sample else cut.filter(~F.col("is_test"))
     scored = fit_score(train, cut if in_sample else cut.filter("is_test"), origin, model, params)
-    return score_with(reuse(scored), origin, ["auc", "accuracy"])
+    return score_with(scored, origin, ["auc", "accuracy"])
 
 
 def predictive_eval(real: DataFrame, fake: DataFrame, test: DataFrame, spec: FeatureSpec,
                     model: str = "DT", params: dict | None = None,
-                    scorers: Sequence[str] = ("auc",)) -> dict:
+                    scorers: Sequence[str] = ("auc",)) -> DataFrame:
     """The same classifier trained on real and on synthetic rows, both scored on real test rows."""
-    return {
-        name: score_with(reuse(fit_score(train, test, spec, model, params)), spec, scorers)
-        for name, train in (("real", real), ("synthetic", fake))
-    }
+    parts = in_threads(lambda p: ((p[0],), fit_score(p[1], test, spec, model, params)),
+                       [("real", real), ("synthetic", fake)])
+    rows = score_tables(parts, ["trained_on"], spec, scorers)
+    return _table(real.sparkSession, rows, "trained_on string", scorers)
+
+
+def _sides(cut: DataFrame, held_out) -> tuple[DataFrame, DataFrame]:
+    return cut.filter(~held_out), cut.filter(held_out)
 
 
 def repeat_eval(df: DataFrame, spec: FeatureSpec, samplers: Sequence[str], repeats: int,
                 model: str = "LR", test: float = 0.33, scorers: Sequence[str] = ("auc",),
                 sd: str = "samp", model_params: dict | None = None) -> DataFrame:
     """Mean and spread of each sampler's scores over repeated splits."""
-    rows = []
-    for r in range(repeats):
-        cut = reuse(stratified_split(df, spec.label, test, spec.key, seed=r))
-        for s in samplers:
-            got = upsampling_eval(cut.filter(~F.col("is_test")), cut.filter("is_test"), spec, s, model,
-                                  scorers, seed=r, model_params=model_params)
-            rows.append((s, r, *[got[m] for m in scorers]))
-    table = df.sparkSession.createDataFrame(
-        rows, "sampler string, repeat int, " + ", ".join(f"{m} double" for m in scorers))
+    cuts = [reuse(stratified_split(spec.require(df), spec.label, test, spec.key, seed=i))
+            for i in range(repeats)]
+
+    def run(job):
+        sampler, i = job
+        return (sampler, i), upsampled_scores(*_sides(cuts[i], F.col("is_test")), spec, sampler, model,
+                                              i, model_params=model_params)
+
+    parts = in_threads(run, [(s, i) for i in range(repeats) for s in samplers])
+    rows = score_tables(parts, ["sampler", "repeat"], spec, scorers)
+    table = _table(df.sparkSession, rows, "sampler string, repeat int", scorers)
     return score_summary(table, ["sampler"], list(scorers), sd)
 
 
@@ -281,47 +333,42 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
     """Nested cross-validation over sampler x model x grid.
 
     Returns the outer scores ``(sampler, model, fold, scores)`` and the inner
-    tuning results ``(sampler, model, fold, candidate, params, scores)``. The
-    candidates of a fold are separate Spark jobs started from a few threads.
+    tuning results ``(sampler, model, fold, candidate, params, scores)``. Fits
+    are independent Spark jobs; all scored folds of a round are scored together.
     """
     rows = reuse(nested_folds(spec.require(df), spec.label, outer, inner, spec.key, seed))
-    scores, tuning = [], []
-    for sampler, s_values in config["samplers"].items():
-        for model, m_values in config["models"].items():
-            grid = [(s, m) for s in expand_grid(s_values) for m in expand_grid(m_values)]
-            for fold in range(outer):
-                train = rows.filter(F.col("outer_fold") != fold)
-                test = rows.filter(F.col("outer_fold") == fold)
-                best = 0
-                if len(grid) > 1:
-                    jobs = [(c, i) for c in range(len(grid)) for i in range(inner)]
-
-                    def run(job, train=train, grid=grid, sampler=sampler, model=model):
-                        c, i = job
-                        return upsampling_eval(
-                            train.filter(F.col("inner_fold") != i), train.filter(F.col("inner_fold") == i),
-                            spec, sampler, model, scorers, seed, *grid[c])
-
-                    with ThreadPoolExecutor(DRIVER_THREADS) as pool:
-                        got = list(pool.map(run, jobs))
-                    means = []
-                    for c, (s, m) in enumerate(grid):
-                        mine = [g for (k, _), g in zip(jobs, got) if k == c]
-                        mean = {n: sum(g[n] for g in mine) / inner for n in scorers}
-                        means.append(mean[refit])
-                        params = {f"sampler__{k}": str(v) for k, v in s.items()}
-                        params |= {f"classifier__{k}": str(v) for k, v in m.items()}
-                        tuning.append((sampler, model, fold, c, params, *[mean[n] for n in scorers]))
-                    best = means.index(max(means))
-                final = upsampling_eval(train, test, spec, sampler, model, scorers, seed, *grid[best])
-                scores.append((sampler, model, fold, *[final[n] for n in scorers]))
-    spark = df.sparkSession
-    kinds = ", ".join(f"{n} double" for n in scorers)
-    return (
-        spark.createDataFrame(scores, f"sampler string, model string, fold int, {kinds}"),
-        spark.createDataFrame(tuning, "sampler string, model string, fold int, candidate int, "
-                                      f"params map<string,string>, {kinds}"),
-    )
+    pairs = [(s, m) for s in config["samplers"] for m in config["models"]]
+    grids = {(s, m): [(a, b) for a in expand_grid(config["samplers"][s])
+                      for b in expand_grid(config["models"][m])] for s, m in pairs}
+
+    def run(job):
+        sampler, model, fold, c, i = job
+        part = rows if i is None else rows.filter(F.col("outer_fold") != fold)
+        held = F.col("outer_fold") == fold if i is None else F.col("inner_fold") == i
+        return job, upsampled_scores(*_sides(part, held), spec, sampler, model, seed,
+                                     *grids[sampler, model][c])
+
+    tags = ["sampler", "model", "fold", "candidate", "inner"]
+    jobs = [(s, m, f, c, i) for s, m in pairs if len(grids[s, m]) > 1
+            for f in range(outer) for c in range(len(grids[s, m])) for i in range(inner)]
+    means: dict[tuple, dict] = {}
+    for row in score_tables(in_threads(run, jobs), tags, spec, scorers) if jobs else []:
+        mean = means.setdefault(tuple(row[t] for t in tags[:4]), dict.fromkeys(scorers, 0.0))
+        for n in scorers:
+            mean[n] += row[n] / inner
+    best, tuning = {}, []
+    for (s, m, f, c), mean in means.items():
+        if (s, m, f) not in best or mean[refit] > means[s, m, f, best[s, m, f]][refit]:
+            best[s, m, f] = c
+        a, b = grids[s, m][c]
+        params = {f"sampler__{k}": str(v) for k, v in a.items()}
+        params |= {f"classifier__{k}": str(v) for k, v in b.items()}
+        tuning.append({"sampler": s, "model": m, "fold": f, "candidate": c, "params": params, **mean})
+    final = [(s, m, f, best.get((s, m, f), 0), None) for s, m in pairs for f in range(outer)]
+    scores = score_tables(in_threads(run, final), tags, spec, scorers)
+    spark, head = df.sparkSession, "sampler string, model string, fold int"
+    return (_table(spark, scores, head, scorers),
+            _table(spark, tuning, head + ", candidate int, params map<string,string>", scorers))
 
 
 def dimension_sweep(df: DataFrame, spec: FeatureSpec, sizes: Sequence[int], samplers: Sequence[str],
@@ -329,31 +376,35 @@ def dimension_sweep(df: DataFrame, spec: FeatureSpec, sizes: Sequence[int], samp
                     seed: int = 0) -> DataFrame:
     """Scores with the first k features for each k."""
     cut = reuse(stratified_split(spec.require(df), spec.label, test, spec.key, seed))
-    rows = []
-    for k in sizes:
+
+    def run(job):
+        k, sampler = job
         _, fewer = take_features(cut, spec, k)
-        for s in samplers:
-            got = upsampling_eval(cut.filter(~F.col("is_test")), cut.filter("is_test"), fewer, s, model,
-                                  scorers, seed)
-            rows.append((k, s, *[got[m] for m in scorers]))
-    return df.sparkSession.createDataFrame(
-        rows, "n_features int, sampler string, " + ", ".join(f"{m} double" for m in scorers))
+        return job, upsampled_scores(*_sides(cut, F.col("is_test")), fewer, sampler, model, seed)
+
+    parts = in_threads(run, [(k, s) for k in sizes for s in samplers])
+    rows = score_tables(parts, ["n_features", "sampler"], spec, scorers)
+    return _table(df.sparkSession, rows, "n_features int, sampler string", scorers)
 
 
 def imbalance_sweep(df: DataFrame, spec: FeatureSpec, shares: Sequence[float], model: str = "LR",
                     folds: int = 2, repeats: int = 2, positive=1, seed: int = 0,
                     thin: Callable = thin_majority) -> DataFrame:
     """AUC by repeated cross-validation for each minority share."""
-    rows = []
+    cuts = {}
     for share in shares:
         thinned = thin(df, spec.label, share, spec.key, positive=positive, seed=seed)
-        cut = reuse(repeated_folds(spec.require(thinned), spec.label, folds, spec.key, repeats, seed))
-        for r in range(repeats):
-            one = cut.filter(F.col("repeat") == r)
-            for f in range(folds):
-                scored = fit_score(one.filter(F.col("fold") != f), one.filter(F.col("fold") == f), spec, model)
-                rows.append((float(share), r, f, score_with(reuse(scored), spec, ["auc"])["auc"]))
-    table = df.sparkSession.createDataFrame(rows, "share double, repeat int, fold int, auc double")
+        cuts[share] = reuse(repeated_folds(
+            spec.require(thinned), spec.label, folds, spec.key, repeats, seed))
+
+    def run(job):
+        share, i, fold = job
+        train, test = _sides(cuts[share].filter(F.col("repeat") == i), F.col("fold") == fold)
+        return (float(share), i, fold), fit_score(train, test, spec, model)
+
+    jobs = [(s, i, f) for s in shares for i in range(repeats) for f in range(folds)]
+    rows = score_tables(in_threads(run, jobs), ["share", "repeat", "fold"], spec, ["auc"])
+    table = _table(df.sparkSession, rows, "share double, repeat int, fold int", ["auc"])
     return score_summary(table, ["share"], ["auc"])
 
 
@@ -361,36 +412,39 @@ def ratio_sweep(train: DataFrame, test: DataFrame, spec: FeatureSpec, ratios: Se
                 sampler: str = "random", model: str = "LR", scorers: Sequence[str] = ("auc",),
                 seed: int = 0) -> DataFrame:
     """Scores for each wanted minority / majority ratio."""
-    rows = []
-    for ratio in ratios:
-        got = upsampling_eval(train, test, spec, sampler, model, scorers, seed,
-                              {"sampling_strategy": ratio})
-        rows.append((float(ratio), *[got[m] for m in scorers]))
-    return train.sparkSession.createDataFrame(
-        rows, "ratio double, " + ", ".join(f"{m} double" for m in scorers))
+    def run(ratio):
+        return (float(ratio),), upsampled_scores(
+            train, test, spec, sampler, model, seed, {"sampling_strategy": ratio})
+
+    rows = score_tables(in_threads(run, list(ratios)), ["ratio"], spec, scorers)
+    return _table(train.sparkSession, rows, "ratio double", scorers)
 
 
 def update_curve(batches: Sequence[DataFrame], test: DataFrame, spec: FeatureSpec, positive=1,
                  model: str = "LR", seed: int = 0) -> DataFrame:
-    """AUC after each state update, with the minority replaced by generated rows."""
-    state, ranges, seen, rows = None, None, None, []
+    """AUC after each state update, with the minority replaced by generated rows.
+
+    The running state is written out at each step, so a step never recomputes
+    the ones before it.
+    """
+    state, ranges, seen, parts = None, None, None, []
     for step, batch in enumerate(batches):
         batch = spec.require(batch)
         if state is None:
             state, ranges = generator.fit_state(batch, spec)
         else:
             state = generator.update_state(state, batch, spec, ranges)
-        state = reuse(state)
+        state = write_scratch(state, "generator-state")
         seen = batch if seen is None else seen.unionByName(batch)
         made = generator.generator_from_state(state, spec, batch.schema, ranges)
-        n = seen.filter(F.col(spec.label) == F.lit(positive)).count()
+        n = made.states[str(positive)].n
         plan = sampling_plan(seen, spec.label, {positive: n}, mode="new")
         new = made.sample(plan, seed).withColumn(
             spec.key, F.lit(None).cast(seen.schema[spec.key].dataType))
         mixed = resample.swap_class(seen, new.select(*seen.columns), spec.label, positive)
-        scored = fit_score(mixed, test, spec, model)
-        rows.append((step, n, score_with(reuse(scored), spec, ["auc"])["auc"]))
-    return test.sparkSession.createDataFrame(rows, "step int, n_minority bigint, auc double")
+        parts.append(((step, n), fit_score(mixed, test, spec, model)))
+    rows = score_tables(parts, ["step", "n_minority"], spec, ["auc"])
+    return _table(test.sparkSession, rows, "step int, n_minority bigint", ["auc"])
 
 
 def fidelity_report(real: DataFrame, fake: DataFrame, spec: FeatureSpec,
