@@ -7,7 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.operators.ordered import cumulative_by_value, rank_rows
+from evenkeel.operators.ordered import (
+    bucket_count,
+    cumulative_by_value,
+    rank_rows,
+    running_sums,
+    split_points,
+    with_bucket,
+)
 
 KS_TERMS = 100
 
@@ -116,6 +123,29 @@ def wasserstein_1d(df: DataFrame, col: str, group: str, a, b, by: Sequence[str]
     return c.groupBy(*by).agg(F.sum(step).alias("wasserstein"))
 
 
+def two_sample_table(df: DataFrame, columns: Sequence[str], group: str, a, b) -> DataFrame:
+    """Both distances for many columns in one pass: ``(col, ks, wasserstein)``."""
+    columns = list(columns)
+    two = df.filter(F.col(group).isin([a, b]))
+    points = split_points(two, columns, bucket_count(df))
+    for i, c in enumerate(columns):
+        two = with_bucket(two, c, points[c], f"__b{i}")
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("double").alias("value"),
+                 F.col(f"__b{i}").alias("__b"))
+        for i, c in enumerate(columns)])
+    long = two.select(_is(group, a).alias("a"), _is(group, b).alias("b"), F.explode(cells).alias("__c"))
+    counts = (
+        long.select("a", "b", "__c.*").filter(F.col("value").isNotNull())
+        .groupBy("col", "__b", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    )
+    c = running_sums(counts, ["col"], "value", ["a", "b"], next_value=True)
+    gap = F.abs(_share("a") - _share("b"))
+    return c.groupBy("col").agg(
+        F.max(gap).alias("ks"),
+        F.sum(gap * (F.col("next_value") - F.col("value"))).alias("wasserstein"))
+
+
 def score_gap(df: DataFrame, score: str, origin: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean score of real rows (origin 0) minus that of synthetic rows (origin 1)."""
     real, fake = (F.avg(F.when(F.col(origin) == o, F.col(score))) for o in (0, 1))

@@ -93,18 +93,29 @@ def _point_columns(spec: FeatureSpec, within_class: bool) -> tuple[Column, Colum
     return F.col(spec.label).cast("string") if within_class else F.lit(""), x, c
 
 
-def points_of(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool) -> DataFrame:
-    """Distinct feature vectors: group, x, c, vid and the k + 1 smallest (key, label)."""
+def points_of(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool,
+              askers: list | None = None) -> DataFrame:
+    """Distinct feature vectors: group, x, c, vid, ``ask`` and the k + 1 smallest (key, label).
+
+    ``ask`` tells whether any row of the vector, remembered or not, is of an
+    asking class. Both parts are cut down before the shuffle, so a vector that
+    a third of all rows share stays cheap.
+    """
     group, x, c = _point_columns(spec, within_class)
     slim = df.select(
         group.alias("g"), x.alias("x"), c.alias("c"),
         F.col(spec.key).alias("key"), F.col(spec.label).alias("lab"),
     )
     order = Window.partitionBy("g", "x", "c").orderBy("key")
-    firsts = slim.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
+    firsts = slim.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1).select(
+        "g", "x", "c", F.struct("key", "lab").alias("member"), F.lit(askers is None).alias("ask"))
+    if askers is not None:
+        marks = slim.filter(F.col("lab").isin(askers)).select("g", "x", "c").distinct()
+        none = F.lit(None).cast(firsts.schema["member"].dataType)
+        firsts = firsts.unionByName(marks.select("*", none.alias("member"), F.lit(True).alias("ask")))
     return firsts.groupBy("g", "x", "c").agg(
-        F.min("key").alias("vid"),
-        F.sort_array(F.collect_list(F.struct("key", "lab"))).alias("members"),
+        F.min("member.key").alias("vid"), F.max("ask").alias("ask"),
+        F.sort_array(F.collect_list("member")).alias("members"),
     )
 
 
@@ -241,10 +252,9 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     if within_class and query_classes is not None:
         rows = rows.filter(F.col(spec.label).isin(query_classes))
     penalty2 = float(penalty) ** 2
-    points = reuse(points_of(rows, spec, k, within_class))
-    asks = F.lit(True)
-    if not within_class and query_classes is not None:
-        asks = F.exists("members", lambda m: m["lab"].isin(query_classes))
+    askers = query_classes if not within_class else None
+    points = reuse(points_of(rows, spec, k, within_class, askers))
+    asks = F.col("ask")
     sizes = [F.count(F.lit(1)).alias("n_members"), F.count_if(asks).alias("n_queries")]
     broken = (
         F.exists("x", lambda v: v.isNull()) | F.exists("c", lambda v: v.isNull())

@@ -475,13 +475,10 @@ def fidelity_report(real: DataFrame, fake: DataFrame, spec: FeatureSpec,
     q = quantiles(both, names, probs, ["origin"])
     parts.append(pair(q, F.concat_ws(" q", "col", F.col("q").cast("string")), "value", "quantile"))
     parts.append(pair(covariance(both, names, ["origin"]), F.concat_ws(" x ", "a", "b"), "cov", "covariance"))
-    for c in names:
-        ks = metrics.ks_two_sample(both, c, "origin", 0, 1).select("ks")
-        w = metrics.wasserstein_1d(both, c, "origin", 0, 1)
-        for check, table, value in (("ks", ks, "ks"), ("wasserstein", w, "wasserstein")):
-            none = F.lit(None).cast("double")
-            parts.append(table.select(F.lit(check).alias("check"), F.lit(c).alias("col"),
-                                      none.alias("real"), none.alias("synthetic"), F.col(value).alias("gap")))
+    none = F.lit(None).cast("double")
+    apart = metrics.two_sample_table(both, names, "origin", 0, 1).unpivot(
+        ["col"], ["ks", "wasserstein"], "check", "gap")
+    parts.append(apart.select("check", "col", none.alias("real"), none.alias("synthetic"), "gap"))
     for c in spec.categorical:
         n = both.groupBy("origin", F.col(c).cast("string").alias("level")).agg(F.count(F.lit(1)).alias("n"))
         t = both.groupBy("origin").agg(F.count(F.lit(1)).alias("t"))
