@@ -19,6 +19,7 @@ from evenkeel.functions import (
 from evenkeel.functions.scalars import interpolate_arrays
 from evenkeel.operators import encode as op
 from evenkeel.plans.recipe import order_features_recipe
+from evenkeel.session import reuse
 from evenkeel.sources.files import load_table
 from evenkeel.spec import FeatureSpec
 
@@ -251,10 +252,10 @@ def order_feature_recipe(spark, sf):
     who = load_table(spark, sf, "customer").select(
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").cast("string").alias("nation"),
         segment.alias("segment"))
-    base = orders.join(first, "o_custkey").join(who, "o_custkey").select(
+    base = reuse(orders.join(first, "o_custkey").join(who, "o_custkey").select(
         "o_orderkey", "o_orderdate", "created", "promised", "delivered", "o_totalprice", "nation", "segment",
         F.when(F.col("o_orderpriority") == "1-URGENT", 1).otherwise(0).alias("target"),
-        (uniform("o_orderkey", "recipe") < 0.3).alias("is_test"))
+        (uniform("o_orderkey", "recipe") < 0.3).alias("is_test")))
     train, test = order_features_recipe(
         base.filter(~F.col("is_test")), base.filter("is_test"),
         dates={"ordered": "o_orderdate", "created": "created", "promised": "promised", "delivered": "delivered"},

@@ -33,9 +33,11 @@ from evenkeel.spec import FeatureSpec
 # send the helpers below with the task, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_POINTS = 4096
+CELL_POINTS = 32_768
 MAX_PIVOTS = 4096
 BLOCK_POINTS = 16_384
+SPLIT_QUERIES = 1024
+FEW_BLOCKS = 8
 QUERY_STEP = 256
 MAX_CELL_STATS = 2_000_000
 SLACK = 1e-9
@@ -191,10 +193,16 @@ def _search(queries: DataFrame, members: DataFrame, k: int, penalty2: float,
     """Search each queried cell block by block: ``(g, vid, near, d2)``."""
     spark = queries.sparkSession
     key_type = members.schema["members"].dataType.elementType["key"].dataType
+
+    def query_blocks(n: int) -> int:
+        """Enough blocks for the block size, and a few for parallel work on a small cell."""
+        return max(-(-n // block), min(FEW_BLOCKS, -(-n // SPLIT_QUERIES)))
+
     cells = spark.createDataFrame(
-        [(r["g"], r["cell"], -(-r["n_members"] // block), -(-r["n_queries"] // block)) for r in sizes],
+        [(r["g"], r["cell"], -(-r["n_members"] // block), query_blocks(r["n_queries"])) for r in sizes],
         "g string, cell int, m_blocks int, q_blocks int",
     )
+
     def place(n: str) -> Column:
         return F.floor(uniform("vid", "block") * F.col(n)).cast("int")
 

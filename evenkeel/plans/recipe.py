@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalars import date_parts, day_diff, fallback
-from evenkeel.operators.encode import appearance_codes
-from evenkeel.operators.levels import apply_codes, pool_levels
+from evenkeel.operators.levels import RARE_BELOW, RARE_MARKER
+from evenkeel.session import pin_small
 
 
 def delivery_features(df: DataFrame, ordered: str, created: str, promised: str,
@@ -36,17 +36,55 @@ def delivery_features(df: DataFrame, ordered: str, created: str, promised: str,
 
 def order_features_recipe(train: DataFrame, test: DataFrame, dates: dict[str, str],
                           missing: dict[str, str], pooled: Sequence[str], coded: Sequence[str],
-                          order: str, spent: Sequence[str] = (), min_count: int = 60,
+                          order: str, spent: Sequence[str] = (), min_count: int = RARE_BELOW,
                           ) -> tuple[DataFrame, DataFrame]:
     """Fill, derive, pool and encode two tables with what the first one teaches.
 
-    ``dates`` names the columns of ``delivery_features``; ``order`` gives the
-    row order in which codes are handed out. Levels unknown to train get null codes.
+    ``dates`` names the columns of ``delivery_features``; ``order`` is the row
+    order in which codes are handed out. All level columns are learned in one
+    pass over train. A level unknown to train counts as rare in a pooled column
+    and gets a null code in any other.
     """
     train, test = (delivery_features(df.fillna(missing), **dates) for df in (train, test))
-    train, test = pool_levels(train, test, pooled, min_count)
-    for c in coded:
-        codes = appearance_codes(train, c, order)
-        train, test = apply_codes(train, c, codes), apply_codes(test, c, codes)
+    columns = list(dict.fromkeys([*pooled, *coded]))
+    table = level_table(train, columns, pooled, order, min_count)
     drop = [*dates.values(), *spent]
-    return train.drop(*drop), test.drop(*drop)
+    return tuple(
+        _apply_levels(df, table, columns, pooled, coded).drop(*drop) for df in (train, test))
+
+
+def level_table(train: DataFrame, columns: Sequence[str], pooled: Sequence[str], order: str,
+                min_count: int) -> DataFrame:
+    """``(col, level, code)`` of every level kept; rare ones share the marker's row."""
+    cells = F.array(*[
+        F.struct(F.lit(c).alias("col"), F.col(c).cast("string").alias("level")) for c in columns])
+    found = (
+        train.select(order, F.explode(cells).alias("__c")).select(order, "__c.*")
+        .filter(F.col("level").isNotNull()).groupBy("col", "level")
+        .agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first"))
+    )
+    rare = F.col("col").isin(list(pooled)) & (F.col("n") < min_count)
+    kept = found.withColumn("level", F.when(rare, F.lit(RARE_MARKER)).otherwise(F.col("level")))
+    kept = kept.groupBy("col", "level").agg(F.min("first").alias("first"))
+    rank = F.row_number().over(Window.partitionBy("col").orderBy("first", "level")) - 1
+    return pin_small(kept.select("col", "level", rank.cast("int").alias("code")))
+
+
+def _apply_levels(df: DataFrame, table: DataFrame, columns: Sequence[str], pooled: Sequence[str],
+                  coded: Sequence[str]) -> DataFrame:
+    for c in columns:
+        one = table.filter(F.col("col") == c).select(
+            F.col("level").alias("__level"), F.col("code").alias("__code"))
+        joined = df.withColumn("__key", F.col(c).cast("string")).join(
+            one, F.col("__key") == F.col("__level"), "left")
+        unknown = F.col("__level").isNull() & F.col("__key").isNotNull()
+        if c in coded:
+            value = F.col("__code")
+            if c in pooled:
+                marker = one.filter(F.col("__level") == RARE_MARKER).first()
+                other = F.lit(marker["__code"] if marker else None).cast("int")
+                value = F.when(unknown, other).otherwise(value)
+        else:
+            value = F.when(unknown, F.lit(RARE_MARKER)).otherwise(F.col("__key"))
+        df = joined.select(*[value.alias(x) if x == c else F.col(x) for x in df.columns])
+    return df
