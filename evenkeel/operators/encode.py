@@ -9,13 +9,14 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalars import level_code, onehot, onehot_to_label
 from evenkeel.operators.levels import apply_codes, levels
-from evenkeel.operators.ordered import quantile_table
+from evenkeel.operators.ordered import quantile_table, rank_rows, rank_text
 from evenkeel.operators.profile import value_range
+from evenkeel.session import collect_small
 from evenkeel.spec import FeatureSpec, check_feature_order
 
 MAX_ONEHOT = 10_000
@@ -83,9 +84,7 @@ class OneHot:
     def fit(cls, df: DataFrame, columns: Sequence[str]) -> "OneHot":
         table = {}
         for c in columns:
-            found = [r["level"] for r in levels(df, c).limit(MAX_ONEHOT + 1).collect()]
-            if len(found) > MAX_ONEHOT:
-                raise ValueError(f"{c} has more than {MAX_ONEHOT} levels; pool rare ones first")
+            found = [r["level"] for r in collect_small(levels(df, c), f"levels of {c}", MAX_ONEHOT)]
             table[c] = sorted(found)
         return cls(table)
 
@@ -143,24 +142,17 @@ class QuantileBins:
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
-    """``(level, code)``: codes 0.. by the levels sorted as text.
+    """``(level, code)``: codes 0.. by the levels sorted as text."""
+    lv = levels(df.select(F.col(column).cast("string").alias(column)), column)
+    return rank_text(lv, "level").select("level", (F.col("rank") - 1).cast("int").alias("code"))
 
-    The ranking runs over distinct levels. They sit in one task only because
-    codes of a category must fit its one-hot width anyway.
-    """
-    lv = levels(df, column).withColumn("level", F.col("level").cast("string"))
-    order = Window.orderBy("level")
-    return lv.select("level", (F.row_number().over(order) - 1).cast("int").alias("code"))
 
-
-def appearance_codes(df: DataFrame, column: str, order: str | Sequence[str]) -> DataFrame:
-    """``(level, code)``: codes 0.. by the first row each level appears in."""
-    order = [order] if isinstance(order, str) else list(order)
+def appearance_codes(df: DataFrame, column: str, order: str) -> DataFrame:
+    """``(level, code)``: codes 0.. by the first row each level appears in (unique numeric order)."""
     first = df.filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("level")).agg(
-        F.min(F.struct(*order)).alias("first")
-    )
-    rank = F.row_number().over(Window.orderBy("first", "level")) - 1
-    return first.select("level", rank.cast("int").alias("code"))
+        F.min(order).alias("first"))
+    return rank_rows(first, "first", "level").select(
+        "level", (F.col("rank") - 1).cast("int").alias("code"))
 
 
 @dataclass

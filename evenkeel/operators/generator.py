@@ -28,7 +28,7 @@ from evenkeel.operators.ordered import rank_rows
 from evenkeel.operators.profile import bin_of, quantiles, value_range
 from evenkeel.operators.resample import append_synthetic, draw_table
 from evenkeel.plans.sampling import plan_rows, sampling_plan
-from evenkeel.session import SMALL_ROWS
+from evenkeel.session import SMALL_ROWS, collect_small
 from evenkeel.spec import FeatureSpec
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -85,8 +85,8 @@ class ConditionalGenerator:
             rows = filter_classes(rows, spec.label, classes)
         group = F.col(spec.label) if conditional else F.lit(EVERY)
         rows = rows.withColumn("g", group.cast("string"))
-        counts = {r["g"]: r["n"] for r in rows.groupBy("g").agg(
-            F.count(F.lit(1)).alias("n")).limit(SMALL_ROWS).collect()}
+        sizes = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+        counts = {r["g"]: r["n"] for r in collect_small(sizes, "classes")}
         if not counts or None in counts:
             raise ValueError("the fit needs rows, all with a label")
         probs = [i / (grid - 1) for i in range(grid)]
@@ -96,7 +96,7 @@ class ConditionalGenerator:
                 grids[r["g"]].setdefault(r["col"], []).append(r["value"])
         shares = {g: {c: {} for c in spec.categorical} for g in counts}
         if spec.categorical:
-            for r in _level_table(rows, spec).limit(SMALL_ROWS).collect():
+            for r in collect_small(_level_table(rows, spec), "levels per class"):
                 shares[r["g"]][r["col"]][r["level"]] = r["n"] / counts[r["g"]]
         states = {}
         for g, n in counts.items():
@@ -340,7 +340,7 @@ def generator_from_state(state: DataFrame, spec: FeatureSpec, schema: T.StructTy
                          bins: int = 64) -> ConditionalGenerator:
     """Generator of a merged state: grids from the bins, correlation from the products."""
     cells: dict = {}
-    for r in state.limit(SMALL_ROWS * 10).collect():
+    for r in collect_small(state, "cells of the state", 10 * SMALL_ROWS):
         cells.setdefault(r["g"], {})[r["kind"], r["a"], r["b"]] = r["value"]
     states = {}
     p, names = len(spec.features), list(spec.continuous)

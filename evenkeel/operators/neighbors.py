@@ -38,6 +38,7 @@ MAX_PIVOTS = 4096
 BLOCK_POINTS = 16_384
 SPLIT_QUERIES = 1024
 FEW_BLOCKS = 8
+COPY_SLICES = 16
 QUERY_STEP = 256
 MAX_CELL_STATS = 2_000_000
 SLACK = 1e-9
@@ -316,25 +317,28 @@ def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSp
     lists = best.groupBy("g", "vid").agg(
         F.sort_array(F.collect_list(F.struct("d2", F.col("m.key").alias("key"),
                                              F.col("m.lab").alias("lab")))).alias("list"))
-    # rows among the remembered keys of their point, then the further copies
+    others = F.slice(F.filter("list", lambda e: e["key"] != F.col("__key")), 1, k)
     known = points.select("g", "vid", F.explode("members").alias("m")).select(
         "g", "vid", F.col("m.key").alias("__key"), F.col("m.lab").alias("__lab"))
     group, x, c = _point_columns(spec, within_class)
-    full = points.filter(F.size("members") > k)
-    further = (
-        rows.select(group.alias("g"), x.alias("x"), c.alias("c"), F.col(spec.key).alias("__key"),
-                    F.col(spec.label).alias("__lab"))
-        .join(full.select("g", "x", "c", "vid", F.element_at("members", -1)["key"].alias("__last")),
-              ["g", "x", "c"])
-        .filter(F.col("__key") > F.col("__last")).select("g", "vid", "__key", "__lab")
-    )
-    every = known.unionByName(further)
+    # further copies: their first k fellow copies are their neighbours, at distance 0. One vector
+    # may have very many of them, so its rows are spread over slices.
+    full = points.filter(F.size("members") > k).select(
+        "g", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(COPY_SLICES - 1))).alias("s"),
+        F.element_at("members", -1)["key"].alias("__last"),
+        F.transform(F.slice("members", 1, k), lambda m: F.struct(
+            F.lit(0.0).alias("d2"), m["key"].alias("key"), m["lab"].alias("lab"))).alias("list"))
+    sliced = rows.select(
+        group.alias("g"), x.alias("x"), c.alias("c"), F.col(spec.key).alias("__key"),
+        F.col(spec.label).alias("__lab")).withColumn(
+        "s", F.floor(uniform("__key", "slice") * COPY_SLICES).cast("int"))
+    further = sliced.join(full, ["g", "x", "c", "s"]).filter(F.col("__key") > F.col("__last"))
+    every = known.join(lists, ["g", "vid"]).select("__key", "__lab", others.alias("list")).unionByName(
+        further.select("__key", "__lab", "list"))
     if not within_class and query_classes is not None:
         every = every.filter(F.col("__lab").isin(query_classes))
-    others = F.slice(F.filter("list", lambda e: e["key"] != F.col("__key")), 1, k)
     return (
-        every.join(lists, ["g", "vid"])
-        .select("__key", F.posexplode(others).alias("__p", "e"))
+        every.select("__key", F.posexplode("list").alias("__p", "e"))
         .select(
             F.col("__key").alias(spec.key), (F.col("__p") + 1).alias("rank"),
             F.col("e.key").alias("neighbor"), F.col("e.lab").alias("neighbor_label"),

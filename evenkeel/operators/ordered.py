@@ -9,6 +9,7 @@ A value that alone fills more than a bucket is cut again by a hash of the key.
 from __future__ import annotations
 
 import math
+import os
 from collections.abc import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -100,6 +101,21 @@ def rank_rows(df: DataFrame, value: str | Column, key: str, by: Sequence[str] =
     return _number(cut, by, ["__b", "__s"], ["__v", "__t", key], out, total)
 
 
+def rank_text(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
+    """Position 1..n of distinct texts in byte order.
+
+    Buckets follow the six bytes after the prefix that all texts share.
+    """
+    low, high = df.agg(F.min(column), F.max(column)).first()
+    if low is None:
+        return df.withColumn(out, F.lit(0).cast("bigint")).limit(0)
+    shared = len(os.path.commonprefix([low.encode(), high.encode()]))
+    digits = F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), shared + 1, 6)), 12, "0")
+    valued = df.withColumn("__v", F.conv(digits, 16, 10).cast("bigint"))
+    points = split_points(valued, ["__v"], bucket_count(df))["__v"]
+    return _number(with_bucket(valued, "__v", points, "__b"), (), ["__b"], [column], out, None)
+
+
 def cumulative_by_value(df: DataFrame, value: str, measures: dict[str, Column],
                         by: Sequence[str] = (), points: list[float] | None = None,
                         next_value: bool = False) -> DataFrame:

@@ -63,6 +63,14 @@ def reuse(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def collect_small(df: DataFrame, what: str, max_rows: int = SMALL_ROWS) -> list:
+    """Rows on the driver, or an error when there are more than ``max_rows``."""
+    rows = df.limit(max_rows + 1).collect()
+    if len(rows) > max_rows:
+        raise ValueError(f"{what}: more than {max_rows} rows, too many for a fitted state")
+    return rows
+
+
 def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
     """Turn an aggregate into a local table when it has at most ``max_rows`` rows.
 

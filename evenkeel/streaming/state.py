@@ -12,16 +12,19 @@ from evenkeel.spec import FeatureSpec
 STATE_SCHEMA = "g string, kind string, a string, b string, value double, batch bigint"
 
 
-def read_state(spark: SparkSession, state_path: str, before: int | None = None) -> DataFrame:
-    """The newest state, or the newest one older than a batch id; empty when there is none."""
+def _state_of(spark: SparkSession, state_path: str, batch_id: int) -> DataFrame:
+    columns = STATE_SCHEMA.removesuffix(", batch bigint")
+    return spark.read.schema(columns).parquet(f"{state_path.rstrip('/')}/batch={batch_id}")
+
+
+def read_state(spark: SparkSession, state_path: str) -> DataFrame:
+    """The newest state; empty when there is none."""
     try:
         every = spark.read.schema(STATE_SCHEMA).parquet(state_path)
     except Exception as error:  # the folder appears with the first batch
         if "PATH_NOT_FOUND" not in str(error):
             raise
         return spark.createDataFrame([], STATE_SCHEMA).drop("batch")
-    if before is not None:
-        every = every.filter(F.col("batch") < before)
     newest = every.agg(F.max("batch")).first()[0]
     return every.filter(F.col("batch") == F.lit(newest).cast("bigint")).drop("batch")
 
@@ -31,15 +34,17 @@ def stream_update(stream: DataFrame, spec: FeatureSpec, state_path: str,
                   checkpoint: str | None = None):
     """Merge every arriving batch into the state; returns the running query.
 
-    Each batch writes its own folder from the state before it, so a replayed
-    batch overwrites its own result and nothing is counted twice. Work of a
-    batch depends on its rows and the size of the state, not on the past rows.
+    Each batch writes its own folder from the folder of the batch before it, so
+    a replayed batch overwrites its own result and nothing is counted twice.
+    Work of a batch depends on its rows and the size of the state, not on the
+    past; folders older than the last two can be deleted. A stream with a new
+    checkpoint starts a new state.
     """
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new, _ = fit_state(batch, spec, ranges, bins)
-        old = read_state(spark, state_path, before=batch_id)
-        merge_state(old, new).coalesce(1).write.mode("overwrite").parquet(
+        merged = merge_state(_state_of(spark, state_path, batch_id - 1), new) if batch_id else new
+        merged.coalesce(1).write.mode("overwrite").parquet(
             f"{state_path.rstrip('/')}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(merge).trigger(availableNow=True)
