@@ -159,13 +159,12 @@ class ConditionalGenerator:
         if plan.columns[0] != label:
             raise ValueError(f"the plan is for {plan.columns[0]}, the generator for {label}")
         spark = plan.sparkSession
-        wanted = [str(c) if self.conditional else EVERY for c, *_, new in plan_rows(plan) if new > 0]
-        missing = [g for g in wanted if g not in self.states]
+        wanted = [str(c) for c, *_, new in plan_rows(plan) if new > 0]
+        missing = [g for g in wanted if self.conditional and g not in self.states]
         if missing:
             raise ValueError(f"classes {missing} were not fitted but rows of them are asked for")
-        group = F.col(label).cast("string") if self.conditional else F.lit(EVERY)
-        draws = draw_table(spark, plan).withColumn("g", group).drop("class_n")
-        table = self._state_table(spark, sorted(set(wanted)))
+        draws = draw_table(spark, plan).withColumn("g", F.col(label).cast("string")).drop("class_n")
+        table = self._state_table(spark, wanted)
         keys = [label, "draw_id"]
         p = len(spec.features)
         if correlation:
@@ -189,8 +188,8 @@ class ConditionalGenerator:
     def _state_table(self, spark: SparkSession, groups: list[str]) -> DataFrame:
         schema = ("g string, grids array<array<double>>, levels array<array<string>>, "
                   "shares array<array<double>>, factor array<array<double>>")
-        rows = [(g, s.grids, s.levels, s.shares, s.factor)
-                for g, s in self.states.items() if g in groups]
+        held = {g: self.states[g if self.conditional else EVERY] for g in groups}
+        rows = [(g, s.grids, s.levels, s.shares, s.factor) for g, s in held.items()]
         return spark.createDataFrame(rows, schema)
 
     def fit_resample(self, df: DataFrame, strategy="auto", seed: int = 0) -> DataFrame:

@@ -33,7 +33,8 @@ from evenkeel.spec import FeatureSpec
 # send the helpers below with the task, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_POINTS = 32_768
+CELL_POINTS = 4096
+ONE_CELL_POINTS = 32_768
 MAX_PIVOTS = 4096
 BLOCK_POINTS = 16_384
 SPLIT_QUERIES = 1024
@@ -249,7 +250,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         penalty: float = 0.0, query_classes: list | None = None,
-        cell_points: int = CELL_POINTS, block_points: int = BLOCK_POINTS) -> DataFrame:
+        cell_points: int | None = None, block_points: int = BLOCK_POINTS) -> DataFrame:
     """Exact k nearest other rows of every row: ``(key, rank, neighbor, neighbor_label, distance)``.
 
     ``query_classes`` limits for which rows neighbours are searched, not among
@@ -273,6 +274,8 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     if any(r["broken"] or r["g"] is None for r in groups):
         raise ValueError("null value in a feature, label or key; fill it before resampling")
     n_points = sum(r["n_members"] for r in groups)
+    if cell_points is None:  # below this size one plain search beats the two passes
+        cell_points = CELL_POINTS if n_points > ONE_CELL_POINTS else ONE_CELL_POINTS
     n_pivots = max(1, min(-(-n_points // cell_points), MAX_PIVOTS,
                           MAX_CELL_STATS // max(len(groups), 1)))
     if n_pivots == 1:
