@@ -2,7 +2,21 @@
 
 from __future__ import annotations
 
-from evenkeel.llm import quality
+from pyspark.sql import functions as F
+
+from evenkeel.catalog.registry import u_sql
+from evenkeel.llm import (
+    cuckoo,
+    jaccard,
+    licenses,
+    lines,
+    mixing,
+    packing,
+    pages,
+    quality,
+    suffixes,
+    superkmers,
+)
 from evenkeel.sources.files import load_table
 
 QUERIES = {}
@@ -22,3 +36,91 @@ def query(name, sql=None):
 def op3_quality_rules(spark, sf):
     return quality.rate(load_table(spark, sf, "documents")).select(
         "doc_id", *quality.BASE, "base_failed", "kept", "quality")
+
+
+@query("op6_mix_sources", f"""
+with d as (
+  select doc_id, source,
+         coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size
+  from documents),
+s as (select source, sum(size)::bigint as s, row_number() over (order by source nulls last) - 1 as rank
+      from d group by source),
+w as (select source, s, 1 + rank % 3 as w, 3 * s as cap, sum(s) over () as total, rank from s),
+o as (select *, sum(w) over () - sum(w) over (order by cap / w, rank rows unbounded preceding) as free,
+             total - sum(cap) over (order by cap / w, rank rows unbounded preceding) as rest
+      from w),
+level as (select greatest(max(total / all_w), coalesce(max(case when free > 0 then rest / free end), 0)) as level
+          from o, (select sum(w) as all_w from w)),
+t as (select source, s, least(cap::double, w * level) as target from w, level),
+c as (select d.doc_id, d.size, t.s as source_size, t.target,
+             floor(t.target / nullif(t.s, 0)) as whole,
+             coalesce(sum(d.size) over (partition by d.source order by {u_sql('mix', 'd.doc_id')}, d.doc_id
+                      rows between unbounded preceding and 1 preceding), 0) as before
+      from d join t on d.source is not distinct from t.source)
+select doc_id, size, source_size, target,
+       (size * (coalesce(whole, 0) + case when before + size / 2 <= target - coalesce(whole, 0) * source_size
+               and target - coalesce(whole, 0) * source_size > 0 then 1 else 0 end))::bigint as taken
+from c""")
+def op6_mix_sources(spark, sf):
+    return mixing.mix(load_table(spark, sf, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken")
+
+
+@query("op8_exact_dedup", """
+with d as (select doc_id, sha256(coalesce(text, '')) as text_sha256 from documents)
+select doc_id, max(doc_id) over w as keep_id, count(*) over w as group_size,
+       doc_id = max(doc_id) over w as kept, text_sha256
+from d window w as (partition by text_sha256)""")
+def op8_exact_dedup(spark, sf):
+    return cuckoo.exact_groups(load_table(spark, sf, "documents"))
+
+
+@query("op9_line_dedup")
+def op9_line_dedup(spark, sf):
+    """Lines dropped from each document and the digest of what is left."""
+    text = F.coalesce("text", F.lit(""))
+    return lines.drop_recurring(load_table(spark, sf, "documents")).select(
+        "doc_id", F.col("__n_dropped").alias("n_dropped"),
+        F.sha2(text.cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op1_jaccard_join")
+def op1_jaccard_join(spark, sf):
+    return jaccard.similar_groups(load_table(spark, sf, "documents"), width=4, percent=85).select(
+        "doc_id", "n_shingles", "component_id")
+
+
+@query("op2_suffix_dedup")
+def op2_suffix_dedup(spark, sf):
+    return suffixes.drop_earlier_seen(load_table(spark, sf, "documents")).select(
+        "doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op4_html_extraction")
+def op4_html_extraction(spark, sf):
+    return pages.extract_text(load_table(spark, sf, "pages")).select(
+        "page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query("op5_substring_dedup")
+def op5_substring_dedup(spark, sf):
+    return superkmers.drop_repeated_passages(load_table(spark, sf, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op7_license_scan")
+def op7_license_scan(spark, sf):
+    return licenses.scan_licenses(load_table(spark, sf, "documents"))
+
+
+@query("op10_packing")
+def op10_packing(spark, sf):
+    return packing.pack(load_table(spark, sf, "documents")).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+@query("pipeline")
+def pipeline(spark, sf):
+    from corpus_pipeline import run
+
+    return run(spark, sf)

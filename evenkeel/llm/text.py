@@ -84,11 +84,13 @@ class Rolling:
 
     def runs(self, sums: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Hash of ``values[starts:ends]`` for each pair, from ``sums(values)``."""
+        self._grow(len(sums))  # a task may hold a copy of its own
         return mix((sums[ends] - sums[starts]) * self.inverses[starts])
 
     def windows(self, sums: np.ndarray, width: int) -> np.ndarray:
         """Hash of every run of ``width`` values."""
-        n = len(sums) - width
+        self._grow(len(sums))
+        n = max(0, len(sums) - width)
         return mix((sums[width:] - sums[:n]) * self.inverses[:n])
 
 
