@@ -40,7 +40,6 @@ from pyspark.sql import functions as F
 from evenkeel.llm.graph import components
 from evenkeel.llm.text import (
     BYTES,
-    LAST_ID,
     TOKENS,
     arrow_batch,
     as_signed,
@@ -48,6 +47,9 @@ from evenkeel.llm.text import (
     find_words,
     keyed,
     mix,
+    own_id,
+    row_hash,
+    row_id,
 )
 from evenkeel.session import write_scratch
 
@@ -346,7 +348,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
         "low", F.when(F.col("n") > 0, F.col("low")).otherwise(F.struct("id", "h")))
     return placed.select(
         "doc_id", F.col("n").alias("n_shingles"),
-        F.when(F.col("low.id") != LAST_ID, F.col("low.id")).alias("component_id"),
+        own_id("low.id").alias("component_id"),
         ((F.col("low.id") == F.col("id")) & (F.col("low.h") == F.col("h"))).alias("stays"), "id", "h")
 
 
@@ -354,6 +356,6 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns."""
     kept = similar_groups(docs, width, percent).filter("stays").select(
         F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    df = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(
-        "__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    df = docs.withColumn("__id", row_id()).withColumn(
+        "__h", row_hash())
     return df.join(kept, ["__id", "__h"]).dropDuplicates(["__id", "__h"]).select(*docs.columns)

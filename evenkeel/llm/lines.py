@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.text import LAST_ID, WORD
+from evenkeel.llm.text import WORD, row_hash, row_id
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -47,8 +47,8 @@ def _leaf(tokens: Column) -> Column:
 
 def _rows(docs: DataFrame) -> DataFrame:
     return docs.withColumn(
-        "__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(
-        "__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+        "__id", row_id()).withColumn(
+        "__h", row_hash())
 
 
 def _tokens() -> Column:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.draws import uniform
-from evenkeel.llm.text import LAST_ID, WORD
+from evenkeel.llm.text import WORD, row_hash, row_id
 from evenkeel.session import write_scratch
 
 MAX_EPOCHS = 3
@@ -75,8 +75,8 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``id``, ``h``, ``size``, ``source_size``, ``target``, ``times`` and ``taken``."""
     rows = write_scratch(docs.select(
-        F.col("doc_id"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("h"),
+        F.col("doc_id"), row_id().alias("id"),
+        row_hash().alias("h"),
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     plan = targets(rows)
     a = rows.withColumn("u", uniform("id", SALT)).alias("a")
@@ -105,7 +105,7 @@ def repeated(docs: DataFrame) -> DataFrame:
     often = mix(docs).select(F.col("id").alias("__id"), F.col("h").alias("__h"),
                              F.col("times").alias("__times")).distinct().groupBy("__id", "__h").agg(
         F.max("__times").alias("__times")).filter("__times > 0")
-    df = docs.withColumn("__id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID))).withColumn(
-        "__h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    df = docs.withColumn("__id", row_id()).withColumn(
+        "__h", row_hash())
     return df.join(often, ["__id", "__h"]).withColumn(
         "__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)

@@ -3,9 +3,10 @@
 A word is a run of characters other than space and U+0009..U+000D. Those six
 are single bytes in UTF-8, so words can be found on the bytes.
 
-Rows are told apart by ``doc_id`` and a hash of the text: rows that repeat both
-are the same document and get the same answer. A null ``doc_id`` counts as the
-largest id, a null text as the empty text.
+Rows are told apart by ``id`` and a hash of the text: rows that repeat both are
+the same document and get the same answer. ``id`` is the ``doc_id``; a row
+without one gets an id above all others (``NO_ID`` and more) from its text. A
+null text counts as the empty text.
 """
 
 from __future__ import annotations
@@ -18,9 +19,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x20\x09-\x0D]+"
-LAST_ID = 2**63 - 1
+#: Ids from here on stand for rows without a ``doc_id``; real ids are smaller.
+NO_ID = 2**62
 #: Bytes handled at once in a Python task; a longer text is handled alone.
-CHUNK_BYTES = 1 << 19
+CHUNK_BYTES = 1 << 18
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
@@ -31,12 +33,24 @@ def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 
 
+def row_hash() -> Column:
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def row_id() -> Column:
+    """The ``doc_id``, or an id from the text where there is none."""
+    return F.coalesce(F.col("doc_id").cast("long"), row_hash().bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
+
+
+def own_id(name: str = "id") -> Column:
+    """Back from an id to the ``doc_id``."""
+    return F.when(F.col(name) < NO_ID, F.col(name))
+
+
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``id`` and ``h`` (row identity) and the text as UTF-8 bytes."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select(
-        "doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"),
-        F.xxhash64(text).alias("h"), text.cast("binary").alias("body"))
+    return docs.select("doc_id", row_id().alias("id"), row_hash().alias("h"), text.cast("binary").alias("body"))
 
 
 # ---- hashing on arrays ----------------------------------------------------------
