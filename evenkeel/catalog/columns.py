@@ -32,10 +32,10 @@ def ordered_features(spark, sf):
 
 
 @query("label_split", "B-2", f"""
-with {CUSTOMERS} select c_custkey, c_nationkey, c_mktsegment from customers""")
+with {CUSTOMERS} select c_custkey, c_nationkey, c_mktsegment, overdrawn from customers""")
 def label_split(spark, sf):
-    features, _ = op.split_label(customers(spark, sf), CUSTOMER_SPEC, drop=["c_acctbal"])
-    return features
+    features, labels = op.split_label(customers(spark, sf), CUSTOMER_SPEC, drop=["c_acctbal"])
+    return features.join(labels, "c_custkey")
 
 
 @query("typed_features", "B-3", f"""

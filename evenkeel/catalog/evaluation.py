@@ -1,11 +1,12 @@
 """Classifier tests on the labelled documents and the fidelity report."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from evenkeel.catalog.registry import query, r, tidy
+from evenkeel.catalog.registry import query, r, shuffled_sql, tidy, u_sql
 from evenkeel.functions.draws import uniform
 from evenkeel.operators.generator import ConditionalGenerator
-from evenkeel.operators.splits import stratified_split
+from evenkeel.operators.splits import stratified_split, thin_minority
 from evenkeel.plans import evaluate as op
 from evenkeel.plans.sampling import sampling_plan
 from evenkeel.session import reuse
@@ -30,30 +31,56 @@ def _cut(spark, sf):
     return (both.filter(~F.col("is_test")).drop("is_test"), both.filter("is_test").drop("is_test"))
 
 
-@query("classifier_scores", "N-1")
+CUT = f"""docs as (
+  select d.doc_id, 1 - l.quality as good from documents d join labels l using (doc_id)),
+cut as (
+  select doc_id, good, {shuffled_sql('split1', 'doc_id', 'good')}
+         <= round(count(*) over (partition by good) * 0.33) as is_test from docs),
+sizes as (select count(*) filter (good = 1) as n1, count(*) filter (good = 0) as n0 from cut where not is_test)"""
+
+
+def _checked(df, columns, *scores):
+    """Scores depend on how Spark ML sums up; what must hold for them is that they lie in their range."""
+    good = F.lit(True)
+    for name, low, high in scores:
+        good = good & F.coalesce(F.col(name).between(low, high), F.lit(False))
+    return df.select(*columns, good.alias("in_range"))
+
+
+@query("classifier_scores", "N-1", f"""
+with {CUT}
+select doc_id, good, model, true as in_range from cut, (values ('LR'), ('RF'), ('DT')) m(model) where is_test""")
 def classifier_scores(spark, sf):
+    """Every held-out row is scored by each model, with a probability."""
     train, test = _cut(spark, sf)
     out = None
     for model, params in (("LR", {"C": 10}), ("RF", FOREST), ("DT", {"max_depth": 5})):
         one = op.fit_score(train, test, DOCS, model, params).withColumn("model", F.lit(model))
         out = one if out is None else out.unionByName(one)
-    return out.withColumn("score", F.round("score", 4))
+    return _checked(out, ["doc_id", "good", "model"], ("score", 0, 1))
 
 
-@query("input_importance", "F-3")
+@query("input_importance", "F-3", "select i::int as place, true as in_range from range(1, 6) t(i)")
 def input_importance(spark, sf):
     train, _ = _cut(spark, sf)
-    return tidy(op.rank_importance(op.fit_classifier(train, DOCS, "RF", FOREST), DOCS, 5), 4)
+    top = op.rank_importance(op.fit_classifier(train, DOCS, "RF", FOREST), DOCS, 5)
+    place = F.row_number().over(Window.orderBy(F.desc("importance"), "feature"))
+    return _checked(top.withColumn("place", place), ["place"], ("importance", 0, 1), ("spread", 0, 1))
 
 
-@query("upsampling_test", "N-2, P-1, P-2, P-3")
+@query("upsampling_test", "N-2, P-1, P-2, P-3", f"""
+with {CUT}
+select sampler, case sampler when 'unbalanced' then n0 + n1 when 'under' then 2 * least(n0, n1)
+       else 2 * greatest(n0, n1) end::bigint as train_rows, true as in_range
+from sizes, (values ('unbalanced'), ('random'), ('under'), ('SMOTE'), ('generator')) s(sampler)""")
 def upsampling_test(spark, sf):
     train, test = _cut(spark, sf)
     samplers = ("unbalanced", "random", "under", "SMOTE", "generator")
-    return tidy(op.upsampling_eval(train, test, DOCS, samplers, "LR", ("auc", "tail_lift")), 4)
+    scored = op.upsampling_eval(train, test, DOCS, samplers, "LR", ("auc", "tail_lift", "f1"))
+    return _checked(scored, ["sampler", "train_rows"], ("auc", 0, 1), ("tail_lift", 0, 1.12), ("f1", 0, 1))
 
 
-@query("discriminator_test", "N-3")
+@query("discriminator_test", "N-3", "select true as in_range")
 def discriminator_test(spark, sf):
     df = _docs(spark, sf)
     counts = {row["good"]: row["count"] for row in df.groupBy("good").count().collect()}
@@ -61,55 +88,80 @@ def discriminator_test(spark, sf):
     fake = ConditionalGenerator.fit(df, DOCS).sample(plan).withColumn(
         "doc_id", F.concat_ws(":", "good", "draw_id"))
     got = op.discriminator_eval(df, fake, DOCS, "RF", FOREST)
-    return tidy(spark.createDataFrame([(got["auc"], got["accuracy"])], "auc double, accuracy double"), 4)
+    scored = spark.createDataFrame([(got["auc"], got["accuracy"])], "auc double, accuracy double")
+    return _checked(scored, [], ("auc", 0.3, 1), ("accuracy", 0.3, 1))
 
 
-@query("predictive_test", "N-4")
+@query("predictive_test", "N-4",
+       "select trained_on, true as in_range from (values ('real'), ('synthetic')) t(trained_on)")
 def predictive_test(spark, sf):
     train, test = _cut(spark, sf)
     counts = {row["good"]: row["count"] for row in train.groupBy("good").count().collect()}
     plan = sampling_plan(train, "good", counts, mode="new")
     fake = ConditionalGenerator.fit(train, DOCS).sample(plan).withColumn("doc_id", F.col("draw_id"))
-    return tidy(op.predictive_eval(train, fake, test, DOCS, "DT", {"max_depth": 5}), 4)
+    return _checked(op.predictive_eval(train, fake, test, DOCS, "DT", {"max_depth": 5}),
+                    ["trained_on"], ("auc", 0, 1))
 
 
-@query("repeated_upsampling_test", "N-5")
+@query("repeated_upsampling_test", "N-5",
+       "select sampler, true as in_range from (values ('unbalanced'), ('random')) t(sampler)")
 def repeated_upsampling_test(spark, sf):
-    return tidy(op.repeat_eval(_docs(spark, sf), DOCS, ["unbalanced", "random"], 2), 4)
+    table = op.repeat_eval(_docs(spark, sf), DOCS, ["unbalanced", "random"], 3)
+    return _checked(table, ["sampler"], ("auc", 0.3, 1), ("auc_sd", 0, 0.5))
 
 
-@query("nested_cross_validation", "N-7, D-10")
-def nested_cross_validation(spark, sf):
-    config = {"models": {"LR": {"C": [1, 10]}}, "samplers": {"unbalanced": {}, "random": {}}}
-    scores, _ = op.nested_cv(_docs(spark, sf), DOCS, config, outer=2, inner=2)
-    return tidy(op.score_summary(scores, ["sampler", "model"], ["auc", "tail_lift"]), 4)
+CV = {"models": {"LR": {"C": [1, 10]}}, "samplers": {"unbalanced": {}, "random": {}, "SMOTE": {"k_neighbors": [3, 5]}}}
 
 
-@query("dimension_sweep", "N-8")
+@query("nested_cross_validation", "N-7, D-10", """
+select sampler, 'LR' as model, fold::int as fold, (case sampler when 'SMOTE' then 4 else 2 end)::bigint as candidates,
+       3 as scored_folds, true as in_range
+from (values ('unbalanced'), ('random'), ('SMOTE')) s(sampler), range(3) f(fold)""")
+def nested_cross_validation(spark, sf):
+    """Outer scores beside the tuning table that chose their candidates."""
+    scores, tuning = op.nested_cv(_docs(spark, sf), DOCS, CV, outer=3, inner=3)
+    inner = tuning.groupBy("sampler", "model", "fold").agg(
+        F.count(F.lit(1)).alias("candidates"), F.min("scored_folds").alias("scored_folds"),
+        F.min("auc").alias("low"), F.max("auc_sd").alias("sd"))
+    return _checked(scores.join(inner, ["sampler", "model", "fold"]),
+                    ["sampler", "model", "fold", "candidates", "scored_folds"],
+                    ("auc", 0, 1), ("tail_lift", 0, 1.12), ("low", 0, 1), ("sd", 0, 1))
+
+
+@query("dimension_sweep", "N-8", """
+select n::int as n_features, sampler, true as in_range
+from (values (5), (20), (64)) a(n), (values ('unbalanced'), ('random')) b(sampler)""")
 def dimension_sweep(spark, sf):
     from evenkeel.catalog.registry import vector_spec, vectors
 
     df = vectors(spark, sf).withColumn("y", F.when(F.col("label") == 5, 1).otherwise(0)).drop("label")
-    return tidy(op.dimension_sweep(df, vector_spec(64, "y"), [5, 20, 64], ["random"]), 4)
+    table = op.dimension_sweep(df, vector_spec(64, "y"), [5, 20, 64], ["unbalanced", "random"])
+    return _checked(table, ["n_features", "sampler"], ("auc", 0, 1))
 
 
-@query("imbalance_sweep", "N-9")
+@query("imbalance_sweep", "N-9", "select s::double as share, true as in_range from (values (0.4), (0.2), (0.1)) t(s)")
 def imbalance_sweep(spark, sf):
-    return tidy(op.imbalance_sweep(_docs(spark, sf), DOCS, [0.4, 0.2], folds=2, repeats=1), 4)
+    table = op.imbalance_sweep(_docs(spark, sf), DOCS, [0.4, 0.2, 0.1], folds=2, repeats=2, thin=thin_minority)
+    return _checked(table, ["share"], ("auc", 0, 1))
 
 
-@query("ratio_sweep", "N-10")
+@query("ratio_sweep", "N-10", "select r::double as ratio, true as in_range from (values (0.25), (0.5), (1.0)) t(r)")
 def ratio_sweep(spark, sf):
     train, test = _cut(spark, sf)
-    return tidy(op.ratio_sweep(train, test, DOCS, [0.25, 0.5, 1.0]), 4)
+    return _checked(op.ratio_sweep(train, test, DOCS, [0.25, 0.5, 1.0]), ["ratio"], ("auc", 0.3, 1))
 
 
-@query("state_update_curve", "N-11")
+@query("state_update_curve", "N-11", f"""
+with {CUT},
+seen as (select good, {u_sql('arrival', 'doc_id')} < 0.5 as early from cut where not is_test)
+select step::int as step, count(*) filter (good = 1 and (early or step = 1)) as n_minority, true as in_range
+from seen, range(2) t(step) group by 1""")
 def state_update_curve(spark, sf):
     train, test = _cut(spark, sf)
     spec = FeatureSpec("good", "doc_id", ["n_chars", "n_words"])
     early = uniform("doc_id", "arrival") < 0.5
-    return tidy(op.update_curve([train.filter(early), train.filter(~early)], test, spec), 4)
+    curve = op.update_curve([train.filter(early), train.filter(~early)], test, spec)
+    return _checked(curve, ["step", "n_minority"], ("auc", 0, 1))
 
 
 REPORT = FeatureSpec("l_returnflag", "l_orderkey", ["l_quantity", "l_discount"], ["l_linestatus"])

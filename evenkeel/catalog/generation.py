@@ -1,5 +1,6 @@
 """The class-conditional generator and its mergeable state."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import parts, query, tidy, u_sql
@@ -34,10 +35,24 @@ def generator_fit(spark, sf):
     return _states(op.ConditionalGenerator.read(spark, path), spark)
 
 
-@query("generator_sample", "L-2")
+def _plausible(new, df):
+    """Generated rows hold values and levels that rows of their class have."""
+    known = df.groupBy("p_type").agg(
+        F.min("p_size").alias("s0"), F.max("p_size").alias("s1"), F.min("p_retailprice").alias("r0"),
+        F.max("p_retailprice").alias("r1"), F.collect_set("p_brand").alias("brands"))
+    inside = (F.col("p_size").between(F.col("s0"), F.col("s1"))
+              & F.col("p_retailprice").between(F.col("r0") - 1e-6, F.col("r1") + 1e-6)
+              & F.array_contains("brands", F.col("p_brand")))
+    return new.join(known, "p_type").withColumn("in_class", inside)
+
+
+@query("generator_sample", "L-2", """
+select 'PROMO' as p_type, unnest(range(400))::bigint as draw_id, true as in_class
+union all select 'SMALL', unnest(range(250)), true""")
 def generator_sample(spark, sf):
     df, plan = _grown(spark, sf)
-    return tidy(op.ConditionalGenerator.fit(df, PART).sample(plan, seed=1))
+    return _plausible(op.ConditionalGenerator.fit(df, PART).sample(plan, seed=1), df).select(
+        "p_type", "draw_id", "in_class")
 
 
 @query("generator_sample_profile", "L-2, L-3", """
@@ -51,9 +66,21 @@ def generator_sample_profile(spark, sf):
     return class_profile(grown, "p_type").select("p_type", "n")
 
 
-@query("generator_resample", "L-3")
+@query("generator_resample", "L-3", """
+with n as (select p_type, count(*) as n from part group by 1)
+select p_type, p_partkey, p_size::double as p_size, p_retailprice, p_brand, true as in_class from part
+union all
+select p_type, null, null, null, null, true from (
+  select p_type, unnest(range((select max(n) from n) - n)) from n)""")
 def generator_resample(spark, sf):
-    return tidy(op.fit_resample(parts(spark, sf), PART, "auto"))
+    """Real rows come back as they are; a new row shows that it fits its class."""
+    df = parts(spark, sf)
+    rows = _plausible(op.fit_resample(df, PART, "auto"), df)
+    real = ~F.col("is_synthetic")
+    return rows.select(
+        "p_type", "p_partkey", F.when(real, F.col("p_size").cast("double")).alias("p_size"),
+        F.when(real, F.col("p_retailprice")).alias("p_retailprice"), F.when(real, F.col("p_brand")).alias("p_brand"),
+        "in_class")
 
 
 @query("generator_chosen_classes", "L-4", """
@@ -93,21 +120,22 @@ def independent_marginals(spark, sf):
     return tidy(fitted.sample(plan, seed=1, correlation=False), 4)
 
 
-@query("most_realistic_rows", "L-9")
-def most_realistic_rows(spark, sf):
-    from evenkeel.plans.evaluate import apply_classifier, fit_classifier
-    from evenkeel.operators.resample import label_origin
+REALISTIC = 100
+
 
+@query("most_realistic_rows", "L-9", f"""
+select 'PROMO' as p_type, i::int as place, true as in_class, true as in_order from range(1, {REALISTIC + 1}) t(i)""")
+def most_realistic_rows(spark, sf):
+    """The rows, with all features, that a discriminator trained on other rows takes for real ones."""
     df = parts(spark, sf)
-    plan = sampling_plan(df, "p_type", {"PROMO": 2000}, mode="new")
-    fake = op.ConditionalGenerator.fit(df, PART, classes=["PROMO"]).sample(plan).withColumn(
-        "p_partkey", F.col("draw_id"))
-    real = df.filter("p_type = 'PROMO'")
-    spec = FeatureSpec("origin", "p_partkey", PART.continuous, PART.categorical)
-    both = label_origin(real.select("p_partkey", *PART.features), fake.select("p_partkey", *PART.features))
-    model = fit_classifier(both, spec, "RF", {"n_estimators": 10, "max_depth": 5})
-    scored = apply_classifier(model, fake.withColumn("origin", F.lit(1)).select(*spec.columns), spec)
-    return tidy(op.select_realistic(scored, "score", "p_partkey", 100))
+    plan = sampling_plan(df, "p_type", {"PROMO": 20 * REALISTIC}, mode="new")
+    fake = op.ConditionalGenerator.fit(df, PART, classes=["PROMO"]).sample(plan)
+    kept = op.most_realistic(df.filter("p_type = 'PROMO'"), fake, PART, REALISTIC,
+                             {"n_estimators": 10, "max_depth": 5})
+    order = Window.orderBy("score", "draw_id")
+    ranked = kept.withColumn("place", F.row_number().over(order)).withColumn(
+        "in_order", F.col("score").between(0, 1) & (F.col("score") >= F.coalesce(F.lag("score").over(order), F.lit(0.0))))
+    return _plausible(ranked, df).select("p_type", "place", "in_class", "in_order")
 
 
 # ---- mergeable state --------------------------------------------------------------
@@ -147,5 +175,6 @@ def streamed_class_profile(spark, sf):
     table.repartition(4, "event_id").write.parquet(folder)
     stream = spark.readStream.schema(table.schema).option("maxFilesPerTrigger", 2).parquet(folder)
     path = scratch_path(spark, "stream-state")
-    stream_update(stream, spec, path, {"value": (0.0, 500.0)}, BINS).awaitTermination()
+    stream_update(stream, spec, path, {"value": (0.0, 500.0)}, scratch_path(spark, "checkpoint"),
+                  BINS).awaitTermination()
     return class_counts_of(read_state(spark, path))

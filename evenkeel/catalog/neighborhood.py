@@ -45,11 +45,11 @@ def nearest_any_class(spark, sf):
 
 
 @query("nearest_any_class_by_cells", "C-6", f"""
-with {vectors_sql(4)}, {knn_sql(4, False)}
+with {vectors_sql()}, {knn_sql(64, False)}
 select vec_id, rank::int as rank, neighbor, neighbor_label, {r('distance', 'distance')} from nn""")
 def nearest_any_class_by_cells(spark, sf):
-    df, spec = vectors(spark, sf, 4), vector_spec(4)
-    return tidy(nb.knn(df, spec, K, within_class=False, cell_points=64, block_points=128))
+    df, spec = vectors(spark, sf), vector_spec()
+    return tidy(nb.knn(df, spec, K, within_class=False, block_points=64))
 
 
 @query("tomek_links", "C-7", f"""
@@ -97,7 +97,7 @@ def tomek_cleaning_mixed(spark, sf):
 
 # ---- SMOTE ------------------------------------------------------------------------
 
-SMOTE_W = 8
+SMOTE_W = 64
 DRAWS = f"""n as (select label, count(*) as n from vec group by 1),
 p as (select label, n, max(n) over () - n as n_new from n),
 idx as (select vec_id, label, {shuffled_sql('idx0', 'base', 'label').replace('base', 'vec_id')} as idx from vec),

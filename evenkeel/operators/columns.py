@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.draws import uniform
-from evenkeel.operators.ordered import rank_by_hash, rank_rows
+from evenkeel.operators.ordered import rank_by_hash, rank_rows, take_lowest
 from evenkeel.spec import FeatureSpec
 
 
@@ -109,9 +109,7 @@ def prefix_split(df: DataFrame, order: str, key: str, n: int) -> DataFrame:
 def sample_rows(df: DataFrame, n: int, key: str, seed: int = 0, replace: bool = False) -> DataFrame:
     """``n`` rows drawn evenly; with replacement, a row can come back several times."""
     if not replace:
-        return rank_by_hash(df, key, f"sample{seed}", out="__pos").filter(
-            F.col("__pos") <= n
-        ).drop("__pos")
+        return take_lowest(df, uniform(key, f"sample{seed}"), key, n)
     ranked = rank_by_hash(df, key, f"sample{seed}", out="__pos")
     total = df.count()
     if total == 0:

@@ -6,8 +6,11 @@ expressions or a lookup join, and can be written as a parquet table.
 
 from __future__ import annotations
 
+import datetime
+import json
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from decimal import Decimal
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,23 @@ from evenkeel.spec import FeatureSpec, check_feature_order
 MAX_ONEHOT = 10_000
 
 
+def _level_text(value) -> str:
+    """A level as text that keeps its type."""
+    kinds = {datetime.datetime: "timestamp", datetime.date: "date", Decimal: "decimal"}
+    kind = kinds.get(type(value))
+    return json.dumps({kind: str(value)} if kind else value)
+
+
+def _level_of(text: str):
+    value = json.loads(text)
+    if isinstance(value, dict):
+        (kind, body), = value.items()
+        read = {"timestamp": datetime.datetime.fromisoformat, "date": datetime.date.fromisoformat,
+                "decimal": Decimal}
+        return read[kind](body)
+    return value
+
+
 @dataclass(frozen=True)
 class MinMax:
     """Map the fitted range to [0, 1]; other values may leave it, a constant column gives 0."""
@@ -112,7 +132,8 @@ class OneHot:
         return out.drop(*[f"{c}{suffix}" for c in self.table])
 
     def rows(self) -> list[tuple]:
-        return [("onehot", c, i, str(v), None) for c, lv in self.table.items() for i, v in enumerate(lv)]
+        return [("onehot", c, -1, None, None) for c in self.table] + [
+            ("onehot", c, i, _level_text(v), None) for c, lv in self.table.items() for i, v in enumerate(lv)]
 
 
 @dataclass(frozen=True)
@@ -138,7 +159,19 @@ class QuantileBins:
         return df.withColumns({c: code(c, cuts) for c, cuts in self.edges.items()})
 
     def rows(self) -> list[tuple]:
-        return [("bins", c, i, None, float(v)) for c, e in self.edges.items() for i, v in enumerate(e)]
+        return [("bins", c, -1, None, None) for c in self.edges] + [
+            ("bins", c, i, None, float(v)) for c, e in self.edges.items() for i, v in enumerate(e)]
+
+    def inverse(self, df: DataFrame) -> DataFrame:
+        """A value of the bin: the middle between its edges, the edge itself at both ends."""
+        def middle(c: str, cuts: list[float]) -> Column:
+            if not cuts:
+                return F.lit(None).cast("double")
+            ends = [cuts[0], *cuts, cuts[-1]]
+            values = [(a + b) / 2 for a, b in zip(ends, ends[1:], strict=False)]
+            return F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(c).cast("int"))
+
+        return df.withColumns({c: middle(c, cuts) for c, cuts in self.edges.items()})
 
 
 def ordinal_codes(df: DataFrame, column: str) -> DataFrame:
@@ -195,7 +228,9 @@ class Preprocess:
         grouped: dict[int, tuple[str, dict]] = {}
         for r in rows:
             _, content = grouped.setdefault(r["step"], (r["kind"], {}))
-            content.setdefault(r["col"], []).append(r["level"] if r["kind"] == "onehot" else r["number"])
+            values = content.setdefault(r["col"], [])
+            if r["pos"] >= 0:
+                values.append(_level_of(r["level"]) if r["kind"] == "onehot" else r["number"])
         out = cls(spec)
         for _, (kind, content) in sorted(grouped.items()):
             pair = kind in ("minmax", "standard")

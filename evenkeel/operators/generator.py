@@ -24,8 +24,8 @@ from pyspark.sql import types as T
 from evenkeel.functions.draws import normal, uniform
 from evenkeel.functions.scalars import normal_cdf, sample_category
 from evenkeel.operators.columns import filter_classes
-from evenkeel.operators.ordered import rank_rows
-from evenkeel.operators.profile import bin_of, quantiles, value_range
+from evenkeel.operators.ordered import take_lowest
+from evenkeel.operators.profile import bin_of, cross_sums, quantiles, value_range
 from evenkeel.operators.resample import append_synthetic, draw_table
 from evenkeel.plans.sampling import plan_rows, sampling_plan
 from evenkeel.session import SMALL_ROWS, collect_small
@@ -127,6 +127,7 @@ class ConditionalGenerator:
         upper = np.triu_indices(p + 1)
 
         def products(batches):
+            held = {}
             for batch in batches:
                 for g, part in batch.groupby("g"):
                     cuts = shared.value[g]
@@ -137,8 +138,9 @@ class ConditionalGenerator:
                         z[:, j] = scores[np.searchsorted(grid, v, "left") + np.searchsorted(grid, v, "right")]
                     for j, c in enumerate(categorical, len(continuous)):
                         z[:, j] = part[c].astype(str).map(cuts[j]).to_numpy(dtype=float)
-                    total = z.T @ z
-                    yield pd.DataFrame({"g": g, "i": upper[0], "j": upper[1], "v": total[upper]})
+                    held[g] = held.get(g, 0.0) + z.T @ z
+            for g, total in held.items():
+                yield pd.DataFrame({"g": g, "i": upper[0], "j": upper[1], "v": total[upper]})
 
         slim = rows.select(
             "g", *[F.col(c).cast("double").alias(c) for c in continuous],
@@ -278,7 +280,33 @@ def fit_resample(df: DataFrame, spec: FeatureSpec, strategy="auto", seed: int =
 
 def select_realistic(scored: DataFrame, score: str, key: str, n: int) -> DataFrame:
     """The ``n`` generated rows that a discriminator finds most like real ones (lowest score)."""
-    return rank_rows(scored, score, key, out="__pos").filter(F.col("__pos") <= n).drop("__pos")
+    return take_lowest(scored, F.col(score), key, n)
+
+
+def most_realistic(real: DataFrame, fake: DataFrame, spec: FeatureSpec, n: int,
+                   params: dict | None = None, seed: int = 0) -> DataFrame:
+    """The ``n`` rows of ``fake`` that a forest takes for real ones, with all their columns and ``score``.
+
+    The generated rows are halved by ``draw_id``; each half is scored by a forest
+    trained on the other half and as many real rows, so no row is judged by a
+    model that has seen it.
+    """
+    from evenkeel.plans.evaluate import apply_classifier, fit_classifier
+
+    origin = FeatureSpec("origin", "__row", spec.continuous, spec.categorical)
+    half = F.floor(uniform([spec.label, "draw_id"], f"half{seed}") * 2)
+    made = fake.withColumn("__row", F.concat_ws(":", spec.label, "draw_id")).withColumn("__half", half)
+    both = real.select(F.concat(F.lit("r"), F.col(spec.key).cast("string")).alias("__row"),
+                       F.lit(0).alias("origin"), *spec.features)
+    scored = None
+    for side in (0, 1):
+        other = made.filter(F.col("__half") != side).select("__row", F.lit(1).alias("origin"), *spec.features)
+        model = fit_classifier(both.unionByName(other), origin, "RF", params)
+        mine = made.filter(F.col("__half") == side)
+        scores = apply_classifier(model, mine.withColumn("origin", F.lit(1)), origin).select("__row", "score")
+        part = mine.join(scores, "__row")
+        scored = part if scored is None else scored.unionByName(part)
+    return select_realistic(scored.drop("__half"), "score", "__row", n).drop("__row")
 
 
 # ---- mergeable state ---------------------------------------------------------
@@ -298,20 +326,18 @@ def fit_state(df: DataFrame, spec: FeatureSpec, ranges: dict[str, tuple[float, f
     rows = df.select(g, *[F.col(c).cast("double").alias(c) for c in spec.continuous],
                      *[F.col(c).cast("string").alias(c) for c in spec.categorical])
     names = list(spec.continuous)
-    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
-    wide = rows.groupBy("g").agg(
-        F.count(F.lit(1)).cast("double").alias("n"),
-        *[F.sum(c).alias(f"s{i}") for i, c in enumerate(names)],
-        *[F.sum(F.col(a) * F.col(b)).alias(f"c{i}") for i, (a, b) in enumerate(pairs)],
-    )
-
-    def cell(kind: str, a: str, b: str, v: str) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), F.lit(a).alias("a"), F.lit(b).alias("b"),
-                        F.col(v).alias("value"))
-
-    cells = [cell("n", "", "", "n"), *[cell("sum", c, "", f"s{i}") for i, c in enumerate(names)],
-             *[cell("cross", a, b, f"c{i}") for i, (a, b) in enumerate(pairs)]]
-    sums = wide.select("g", F.explode(F.array(*cells)).alias("x")).select("g", "x.*")
+    held = rows.groupBy("g").agg(F.count(F.lit(1)).cast("double").alias("value")).select(
+        "g", F.lit("n").alias("kind"), F.lit("").alias("a"), F.lit("").alias("b"), "value")
+    sums = held
+    if names:
+        name = F.array(*[F.lit(c) for c in names])
+        products = cross_sums(rows, names, ["g"])
+        cross = products.select("g", F.lit("cross").alias("kind"), name[F.col("i")].alias("a"),
+                                name[F.col("j")].alias("b"), F.col("xy").alias("value"))
+        single = products.filter("i = j").select(
+            "g", F.lit("sum").alias("kind"), name[F.col("i")].alias("a"), F.lit("").alias("b"),
+            F.col("x").alias("value"))
+        sums = held.unionByName(single).unionByName(cross)
     spots = [F.struct(F.lit("bin").alias("kind"), F.lit(c).alias("a"),
                       bin_of(c, *ranges[c], bins).cast("string").alias("b")) for c in names]
     spots += [F.struct(F.lit("level").alias("kind"), F.lit(c).alias("a"), F.col(c).alias("b"))

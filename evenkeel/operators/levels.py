@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.session import pin_small
+from evenkeel.session import write_scratch
 
 RARE_MARKER = "___"
 RARE_BELOW = 60
@@ -40,10 +40,10 @@ def pool_levels(train: DataFrame, test: DataFrame, columns: Sequence[str],
     Only the frequent levels are looked up; at most rows / min_count of them exist.
     """
     for c in columns:
-        kept = pin_small(
+        kept = write_scratch(
             train.filter(F.col(c).isNotNull()).groupBy(c).agg(F.count(F.lit(1)).alias("__n"))
-            .filter(F.col("__n") >= min_count).select(c, F.lit(True).alias("__kept"))
-        )
+            .filter(F.col("__n") >= min_count).select(c, F.lit(True).alias("__kept")),
+            "levels")
         train, test = (_pool(df, c, kept, marker) for df in (train, test))
     return train, test
 
@@ -60,7 +60,7 @@ def _pool(df: DataFrame, column: str, kept: DataFrame, marker: str) -> DataFrame
 def apply_codes(df: DataFrame, column: str, codes: DataFrame, out: str | None = None) -> DataFrame:
     """Replace a level by its code from a ``(level, code)`` table; an unknown level gives null."""
     out = out or column
-    table = pin_small(codes.select(F.col("level").alias(column), F.col("code").alias("__code")))
+    table = codes.select(F.col("level").alias(column), F.col("code").alias("__code"))
     joined = df.join(table, column, "left")
     kept = [c for c in df.columns if c != out]
     order = df.columns if out in df.columns else [*df.columns, out]

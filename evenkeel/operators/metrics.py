@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.operators.ordered import (
+    TIE_SALT,
     bucket_count,
     cumulative_by_value,
-    rank_rows,
+    rank_by_hash,
     running_sums,
     split_points,
     with_bucket,
@@ -48,7 +49,7 @@ def rank_by_score(df: DataFrame, score: str, key: str, n: int, best: bool = True
 def top_lift(df: DataFrame, y: str, score: str, key: str, p: float,
              by: Sequence[str] = ()) -> DataFrame:
     """Positive share of the floor(n * p) highest scores over the overall share."""
-    return _lift_table(df, y, score, key, p, by, F.col("pos") > F.col("n") - F.col("cut"), "top_lift")
+    return _lift_table(df, y, score, key, p, by, True, "top_lift")
 
 
 def tail_lift(df: DataFrame, y: str, score: str, key: str, p: float,
@@ -57,32 +58,60 @@ def tail_lift(df: DataFrame, y: str, score: str, key: str, p: float,
 
     This is the rule behind the published lift figures: p = 0.1 keeps the upper 90 %.
     """
-    return _lift_table(df, y, score, key, p, by, F.col("pos") > F.col("cut"), "tail_lift")
+    return _lift_table(df, y, score, key, p, by, False, "tail_lift")
 
 
-def _lift_table(df, y, score, key, p, by, kept: Column, out: str) -> DataFrame:
+def _lift_table(df, y, score, key, p, by, top: bool, out: str) -> DataFrame:
+    """Counts by score place the cut; rows are ordered only inside the one score it falls into."""
     if not 0 < p <= 1:
         raise ValueError(f"p must be above 0 and at most 1, not {p}")
-    slim = df.filter(F.col(score).isNotNull()).select(*by, key, score, _is(y, 1).alias("is_pos"))
-    ranked = rank_rows(slim, score, key, by=by, out="pos", total="n").withColumn(
-        "cut", F.floor(F.col("n") * F.lit(p))
-    )
-    share, base = F.avg(F.when(kept, F.col("is_pos"))), F.avg("is_pos")
-    return ranked.groupBy(*by).agg(F.when(base > 0, share / base).alias(out))
+    by = list(by)
+    slim = df.filter(F.col(score).isNotNull()).select(
+        *by, F.col(key).alias("__key"), F.col(score).alias("__score"), _is(y, 1).alias("is_pos"))
+    runs = cumulative_by_value(slim, "__score", {"n": F.lit(1), "pos": F.col("is_pos")}, by)
+    share = F.floor(F.col("n_total") * F.lit(p))
+    # rows up to this position are left out
+    cut = (F.col("n_total") - share if top else share).cast("bigint")
+    runs = runs.withColumn("cut", cut)
+    end = F.col("n_below") + F.col("n")
+    whole = runs.groupBy(*by).agg(
+        F.max("n_total").alias("n"), F.max("pos_total").alias("pos"), F.max("cut").alias("cut"),
+        F.coalesce(F.sum(F.when(F.col("n_below") >= F.col("cut"), F.col("pos"))), F.lit(0)).alias("sure"))
+    split = runs.filter((F.col("n_below") < F.col("cut")) & (F.col("cut") < end)).select(
+        *by, F.col("value").alias("__score"), (F.col("cut") - F.col("n_below")).alias("__skip"))
+    tied = slim.join(split, [*by, "__score"]) if by else slim.join(split, "__score")
+    inside = rank_by_hash(tied, "__key", TIE_SALT, by=by, out="at").filter(F.col("at") > F.col("__skip"))
+    rest = inside.groupBy(*by).agg(F.sum("is_pos").alias("rest"))
+    none = [F.lit(None).cast("bigint").alias(c) for c in ("n", "pos", "cut", "sure")]
+    both = whole.withColumn("rest", F.lit(0).cast("bigint")).unionByName(
+        rest.select(*by, *none, "rest")).groupBy(*by).agg(
+        *[F.max(c).alias(c) for c in ("n", "pos", "cut", "sure")], F.sum("rest").alias("rest"))
+    kept = F.col("n") - F.col("cut")
+    hit = F.col("sure") + F.coalesce("rest", F.lit(0))
+    base = F.col("pos") / F.col("n")
+    return both.select(*by, F.when((F.col("pos") > 0) & (kept > 0), hit / kept / base).alias(out))
+
+
+def _judged(df: DataFrame, y: str, score: str) -> DataFrame:
+    """Rows with a label and a score; others can be neither right nor wrong."""
+    return df.filter(F.col(y).isNotNull() & F.col(score).isNotNull())
 
 
 def accuracy(df: DataFrame, y: str, score: str, threshold: float = 0.5,
              by: Sequence[str] = ()) -> DataFrame:
-    """Share of rows whose score falls on the right side of the threshold."""
+    """Share of rows with label and score whose score falls on the right side of the threshold."""
+    df = _judged(df, y, score)
     guess = F.when(F.col(score) > F.lit(threshold), 1).otherwise(0)
     return df.groupBy(*by).agg(
         F.avg(F.when(guess == F.col(y), 1.0).otherwise(0.0)).alias("accuracy")
     )
 
 
-def f1(df: DataFrame, y: str, score: str, threshold: float, by: Sequence[str] = ()) -> DataFrame:
-    """F1 of the rows scored above the threshold; null without any positive."""
-    guess = F.when(F.col(score) > F.lit(threshold), 1).otherwise(0)
+def f1(df: DataFrame, y: str, score: str, threshold: float | Column,
+       by: Sequence[str] = ()) -> DataFrame:
+    """F1 of the rows with label and score above the threshold; null without any positive."""
+    df = _judged(df, y, score)
+    guess = F.when(F.col(score) > (threshold if isinstance(threshold, Column) else F.lit(threshold)), 1).otherwise(0)
     hit = F.sum(F.when((guess == 1) & (F.col(y) == 1), 1).otherwise(0))
     wrong = F.sum(F.when(guess != F.col(y), 1).otherwise(0))
     both = F.lit(2.0) * hit + wrong

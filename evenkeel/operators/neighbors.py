@@ -1,15 +1,16 @@
-"""Exact nearest neighbours, in pieces that no single task has to hold whole.
+"""Exact nearest neighbours, block against block.
 
 1. Rows with equal features become one point that remembers its k + 1 smallest
    keys; more copies can never be needed to fill k places.
-2. A few hundred points serve as pivots. Each point joins the cell of its
-   nearest pivot and knows its distance to it.
-3. Each point first searches its own cell, which bounds its k-th distance.
-   The triangle inequality then names the other cells that could hold a nearer
-   point; only those are visited.
-4. A cell is searched in blocks of limited size, so a cell that holds a third
-   of all points is many tasks. A block keeps k + 1 points per query, so pairs
-   never become rows.
+2. Points join the cell of their nearest pivot; a cell is cut into blocks of
+   limited size, and each block travels as one packed row.
+3. Each block of queries first searches the blocks of its own cell, which bounds
+   the k-th distance of its points. The triangle inequality then names the other
+   cells that could hold a nearer point for any of them.
+4. The blocks of those cells go once to each block of queries. So a vector is
+   copied once for a few thousand queries, not for each of them, and a cell that
+   holds a third of all points is many blocks. A block gives k + 1 points for
+   each query; pairs never become rows.
 
 Equal distances are ordered by key. Distances count a numeric difference by its
 square and a differing category by the square of ``penalty``.
@@ -21,27 +22,29 @@ import sys
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.draws import uniform
-from evenkeel.session import reuse
+from evenkeel.session import write_scratch
 from evenkeel.spec import FeatureSpec
 
 # send the helpers below with the task, so executors need no installed package
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-CELL_POINTS = 4096
-ONE_CELL_POINTS = 32_768
-MAX_PIVOTS = 4096
-BLOCK_POINTS = 16_384
-SPLIT_QUERIES = 1024
-FEW_BLOCKS = 8
-COPY_SLICES = 16
+#: Points in a block of queries or members, and the bytes their features may take.
+BLOCK_POINTS = 8192
+BLOCK_BYTES = 4 << 20
+#: Pivots are broadcast; their number and so the size of what is sent is bounded.
+MAX_PIVOTS = 1024
+#: Neighbouring blocks of members that one task searches together, in each direction.
+TOGETHER = 2
+#: Rows of copies of one vector that one slice of them holds.
+SLICE_ROWS = 50_000
 QUERY_STEP = 256
-MAX_CELL_STATS = 2_000_000
 SLACK = 1e-9
 
 
@@ -67,25 +70,32 @@ def _square_distances(xa, ca, xb, cb, penalty2: float) -> np.ndarray:
     return d2
 
 
-def _nearest_in_block(queries: pd.DataFrame, members: pd.DataFrame, k: int, penalty2: float):
-    """Yield (query position, member positions, squared distances) for the k nearest."""
-    xq, xm = _stack(queries["x"]), _stack(members["x"])
-    cq, cm = _codes(queries["c"], members["c"])
-    keys = members["vid"].to_numpy()
-    take = min(k, len(members))
+def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float):
+    """Yield (first query, member positions, squared distances) for steps of queries, nearest first.
+
+    Rough distances pick the members in reach; their distances are then worked
+    out term by term, so equal vectors have equal distances, and ordered by key.
+    """
+    take = min(k, len(xm))
+    order = np.empty(len(keys), np.int64)
+    order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
     scale = (xm**2).sum(1).max(initial=0.0)
-    for start in range(0, len(queries), QUERY_STEP):
-        rough = _square_distances(xq[start:start + QUERY_STEP], cq[start:start + QUERY_STEP], xm, cm, penalty2)
+    for start in range(0, len(xq), QUERY_STEP):
+        q, c = xq[start:start + QUERY_STEP], cq[start:start + QUERY_STEP]
+        rough = _square_distances(q, c, xm, cm, penalty2)
         limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        for i in range(len(rough)):
-            q = start + i
-            room = SLACK * (limit[i] + scale + (xq[q] ** 2).sum())
-            near = np.flatnonzero(rough[i] <= limit[i] + room)
-            d2 = ((xm[near] - xq[q]) ** 2).sum(axis=1)
-            for j in range(cq.shape[1]):
-                d2 = d2 + penalty2 * (cm[near, j] != cq[q, j])
-            best = np.lexsort((keys[near], d2))[:take]
-            yield q, near[best], d2[best]
+        room = SLACK * (limit + scale + (q**2).sum(1))
+        reach = rough <= (limit + room)[:, None]
+        width = int(reach.sum(1).max())
+        near = np.argpartition(np.where(reach, rough, np.inf), width - 1, axis=1)[:, :width]
+        d2 = np.zeros(near.shape)
+        for j in range(q.shape[1]):
+            d2 += (xm[near, j] - q[:, j][:, None]) ** 2
+        for j in range(c.shape[1]):
+            d2 += penalty2 * (cm[near, j] != c[:, j][:, None])
+        d2[~np.take_along_axis(reach, near, axis=1)] = np.inf
+        best = np.lexsort((order[near], d2), axis=1)[:, :take]
+        yield start, np.take_along_axis(near, best, axis=1), np.take_along_axis(d2, best, axis=1)
 
 
 def _point_columns(spec: FeatureSpec, within_class: bool) -> tuple[Column, Column, Column]:
@@ -145,101 +155,117 @@ def _assign_cells(points: DataFrame, pivots: list, penalty2: float) -> DataFrame
     return points.withColumn("__a", nearest_pivot("x", "c")).select(*points.columns, "__a.*")
 
 
-def _cells_to_visit(searched: DataFrame, pivots: list, stats: list, penalty2: float) -> DataFrame:
-    """For each point the other cells that its bound cannot rule out."""
-    spark = searched.sparkSession
-    table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
-                          "c": [np.array(p["c"], dtype=object) for p in pivots]})
-    size = len(pivots)
-    groups: dict[str, np.ndarray] = {}
-    for r in stats:
-        bounds = groups.setdefault(r["g"], np.full((size, 2), np.nan))
-        bounds[r["cell"]] = (r["low"], r["high"])
-    xp = _stack(table["x"])
-    cp, _ = _codes(table["c"], table["c"])
-    between = np.sqrt(_square_distances(xp, cp, xp, cp, penalty2))
-    shared = spark.sparkContext.broadcast((table, groups, between))
-
-    @F.pandas_udf("array<int>")
-    def open_cells(g: pd.Series, x: pd.Series, c: pd.Series, cell: pd.Series,
-                   bound: pd.Series) -> pd.Series:
-        piv, ranges, apart = shared.value
-        cq, cpv = _codes(c, piv["c"])
-        xq, xpv = _stack(x), _stack(piv["x"])
-        own = cell.to_numpy()
-        reach = bound.to_numpy(dtype=float)
-        every = np.arange(len(apart))
-        out = []
-        for start in range(0, len(xq), QUERY_STEP):
-            part = slice(start, start + QUERY_STEP)
-            d = np.sqrt(_square_distances(xq[part], cq[part], xpv, cpv, penalty2))
-            for i, di in enumerate(d, start):
-                low, high = ranges[g.iloc[i]].T
-                gap = apart[own[i]]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    side = np.where(gap > 0, (di**2 - di[own[i]] ** 2) / (2.0 * gap), 0.0)
-                least = np.maximum.reduce([di - high, low - di, side])
-                room = 1e-7 * (1.0 + di.max())
-                open_ = (least <= reach[i] + room) & (every != own[i]) & ~np.isnan(low)
-                out.append(every[open_].astype("int32"))
-        return pd.Series(out)
-
-    visits = open_cells("g", "x", "c", "cell", F.coalesce("bound", F.lit(float("inf"))))
-    return searched.withColumn("__v", visits).select(
-        "g", "x", "c", "vid", F.explode("__v").alias("cell")
-    )
+def _features(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Numbers, categories and keys of packed points."""
+    n = len(points)
+    x, c = (points.field(f).flatten().to_numpy(zero_copy_only=False) for f in ("x", "c"))
+    return (x.astype(float).reshape(n, -1) if len(x) else np.zeros((n, 0)),
+            c.reshape(n, -1) if len(c) else np.zeros((n, 0), object), points.field("vid"))
 
 
-def _search(queries: DataFrame, members: DataFrame, k: int, penalty2: float,
-            sizes: list, block: int) -> DataFrame:
-    """Search each queried cell block by block: ``(g, vid, near, d2)``."""
-    spark = queries.sparkSession
-    key_type = members.schema["members"].dataType.elementType["key"].dataType
+def _packed(table: pa.Table) -> pa.StructArray:
+    return pa.concat_arrays([chunk.flatten() for chunk in table.column("points").chunks])
 
-    def query_blocks(n: int) -> int:
-        """Enough blocks for the block size, and a few for parallel work on a small cell."""
-        return max(-(-n // block), min(FEW_BLOCKS, -(-n // SPLIT_QUERIES)))
 
-    cells = spark.createDataFrame(
-        [(r["g"], r["cell"], -(-r["n_members"] // block), query_blocks(r["n_queries"])) for r in sizes],
-        "g string, cell int, m_blocks int, q_blocks int",
-    )
+def _matched(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not ca.shape[1] or not len(cb):
+        return np.zeros((len(ca), 0), int), np.zeros((len(cb), 0), int)
+    both = np.vstack([ca, cb])
+    codes = np.column_stack([pd.factorize(both[:, j])[0] for j in range(both.shape[1])])
+    return codes[:len(ca)], codes[len(ca):]
+
+
+def _blocks(placed: DataFrame, block: int) -> DataFrame:
+    """One row for each block: ``g``, ``cell``, ``b`` and its packed points."""
+    sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
+    cut = placed.join(sizes, ["g", "cell"]).withColumn(
+        "b", F.floor(uniform("vid", "block") * F.ceil(F.col("n") / block)).cast("int"))
+    return cut.groupBy("g", "cell", "b").agg(
+        F.collect_list(F.struct("vid", "x", "c", "ask")).alias("points"), F.max("ask").alias("asks"))
 
-    def place(n: str) -> Column:
-        return F.floor(uniform("vid", "block") * F.col(n)).cast("int")
 
-    m = members.select("g", "cell", "x", "c", "vid").join(cells, ["g", "cell"])
-    m = m.withColumn("mb", place("m_blocks")).withColumn(
-        "qb", F.explode(F.sequence(F.lit(0), F.col("q_blocks") - 1)))
-    q = queries.select("g", "cell", "x", "c", "vid").join(cells, ["g", "cell"])
-    q = q.withColumn("qb", place("q_blocks")).withColumn(
-        "mb", F.explode(F.sequence(F.lit(0), F.col("m_blocks") - 1)))
+def _open_cells(asking: DataFrame, blocks: DataFrame, stats: DataFrame, pivots: list,
+                penalty2: float) -> DataFrame:
+    """For each block of queries the other cells that some query's bound cannot rule out."""
+    spark = asking.sparkSession
+    table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
+                          "c": [np.array(p["c"], dtype=object) for p in pivots]})
+    shared = spark.sparkContext.broadcast(table)
+
+    def open_cells(queries: pa.Table, cells: pa.Table) -> pa.Table:
+        piv = shared.value
+        own = cells.column("cell")[0].as_py()
+        xq, cq, _ = _features(_packed(queries))
+        bound = pa.concat_arrays([c.flatten() for c in queries.column("points").chunks]).field(
+            "bound").to_numpy(zero_copy_only=False)
+        other, low, high = (cells.column(n).to_numpy() for n in ("other", "low", "high"))
+        xp, cp = _stack(piv["x"]), np.stack(piv["c"].to_numpy())
+        codes_q, codes_p = _matched(cq, cp.reshape(len(xp), -1))
+        gap = np.sqrt(_square_distances(xp[[own]], codes_p[[own]], xp[other], codes_p[other], penalty2))[0]
+        need = np.zeros(len(other), bool)
+        for start in range(0, len(xq), QUERY_STEP):
+            part = slice(start, start + QUERY_STEP)
+            d = np.sqrt(_square_distances(xq[part], codes_q[part], xp, codes_p, penalty2))
+            do, dc = d[:, [own]], d[:, other]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                side = np.where(gap > 0, (dc**2 - do**2) / (2.0 * gap), 0.0)
+            least = np.maximum(np.maximum(dc - high, low - dc), side)
+            room = 1e-7 * (1.0 + d.max(axis=1))
+            need |= (least <= (bound[part] + room)[:, None]).any(axis=0)
+        hit = other[need & (other != own)]
+        key = [cells.column(n)[0].as_py() for n in ("g", "cell", "b")]
+        return pa.table({
+            "g": pa.array([key[0]] * len(hit), pa.string()), "cell": pa.array([key[1]] * len(hit), pa.int32()),
+            "b": pa.array([key[2]] * len(hit), pa.int32()), "other": pa.array(hit, pa.int32())})
+
+    ranges = blocks.filter("asks").select("g", "cell", "b").join(
+        stats.select("g", F.col("cell").alias("other"), "low", "high"), "g")
+    # both sides come from one table; new aliases keep their columns apart
+    asking, ranges = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (asking, ranges))
+    return asking.groupBy("g", "cell", "b").cogroup(ranges.groupBy("g", "cell", "b")).applyInArrow(
+        open_cells, "g string, cell int, b int, other int")
+
+
+def _search(blocks: DataFrame, pairs: DataFrame, k: int, penalty2: float, key_type) -> DataFrame:
+    """The k + 1 nearest points of each query in the blocks paired with its block.
+
+    ``pairs`` has ``g``, ``cell``, ``b`` (queries) and ``other``, ``mb`` (members).
+    """
     schema = T.StructType([
         T.StructField("g", T.StringType()), T.StructField("vid", key_type),
         T.StructField("near", T.ArrayType(key_type)), T.StructField("d2", T.ArrayType(T.DoubleType())),
     ])
 
-    def block_search(qs: pd.DataFrame, ms: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(qs) and len(ms):
-            vids, keys = qs["vid"].to_numpy(), ms["vid"].to_numpy()
-            g = qs["g"].iloc[0]
-            for i, near, d2 in _nearest_in_block(qs, ms, k + 1, penalty2):
-                rows.append((g, vids[i], keys[near], d2))
-        return pd.DataFrame(rows, columns=["g", "vid", "near", "d2"])
-
-    place_cols = ["g", "cell", "mb", "qb"]
-    slim = [*place_cols, "x", "c", "vid"]
-    # both sides may come from one table; new aliases keep their columns apart
-    q, m = (side.select(*[F.col(c).alias(c) for c in slim]) for side in (q, m))
-    found = (
-        q.groupBy(*place_cols)
-        .cogroup(m.groupBy(*place_cols))
-        .applyInPandas(block_search, schema)
-    )
-    pairs = found.select("g", "vid", F.explode(F.arrays_zip("near", "d2")).alias("p")).select(
+    def block_search(queries: pa.Table, members: pa.Table) -> pa.Table:
+        every = _packed(queries)
+        asked = every.filter(every.field("ask"))
+        (xq, cq, vids), (xm, cm, names) = _features(asked), _features(_packed(members))
+        codes_q, codes_m = _matched(cq, cm)
+        keys = names.to_numpy(zero_copy_only=False)
+        near, d2 = [], []
+        for _, at, dist in _nearest_in_block(xq, codes_q, xm, codes_m, keys, k + 1, penalty2):
+            near.append(at)
+            d2.append(dist)
+        at, dist = np.concatenate(near), np.concatenate(d2)
+        ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1], pa.int32())
+        g = queries.column("g")[0].as_py()
+        return pa.table({
+            "g": pa.array([g] * len(at), pa.string()), "vid": vids,
+            "near": pa.ListArray.from_arrays(ends, names.take(pa.array(at.ravel()))),
+            "d2": pa.ListArray.from_arrays(ends, pa.array(dist.ravel()))})
+
+    place = ["g", "cell", "b", "so", "sm"]
+    pairs = pairs.withColumn("so", F.floor(F.col("other") / TOGETHER)).withColumn(
+        "sm", F.floor(F.col("mb") / TOGETHER))
+    q = pairs.select(*place).distinct().join(
+        blocks.filter("asks").select("g", "cell", "b", "points"), ["g", "cell", "b"])
+    m = pairs.join(blocks.select("g", F.col("cell").alias("other"), F.col("b").alias("mb"), "points"),
+                   ["g", "other", "mb"]).select(*place, "points")
+    # both sides come from one table; new aliases keep their columns apart
+    q, m = (side.select(*[F.col(c).alias(c) for c in [*place, "points"]]) for side in (q, m))
+    found = q.groupBy(*place).cogroup(m.groupBy(*place)).applyInArrow(block_search, schema)
+    return found.select("g", "vid", F.explode(F.arrays_zip("near", "d2")).alias("p")).select(
         "g", "vid", F.col("p.near").alias("near"), F.col("p.d2").alias("d2"))
-    return pairs
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -250,7 +276,7 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         penalty: float = 0.0, query_classes: list | None = None,
-        cell_points: int | None = None, block_points: int = BLOCK_POINTS) -> DataFrame:
+        block_points: int | None = None) -> DataFrame:
     """Exact k nearest other rows of every row: ``(key, rank, neighbor, neighbor_label, distance)``.
 
     ``query_classes`` limits for which rows neighbours are searched, not among
@@ -263,50 +289,46 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         rows = rows.filter(F.col(spec.label).isin(query_classes))
     penalty2 = float(penalty) ** 2
     askers = query_classes if not within_class else None
-    points = reuse(points_of(rows, spec, k, within_class, askers))
-    asks = F.col("ask")
-    sizes = [F.count(F.lit(1)).alias("n_members"), F.count_if(asks).alias("n_queries")]
+    points = write_scratch(points_of(rows, spec, k, within_class, askers), "points")
     broken = (
         F.exists("x", lambda v: v.isNull()) | F.exists("c", lambda v: v.isNull())
-        | F.exists("members", lambda m: m["key"].isNull() | m["lab"].isNull())
+        | F.exists("members", lambda m: m["key"].isNull() | m["lab"].isNull()) | F.col("g").isNull()
     )
-    groups = points.groupBy("g").agg(*sizes, F.count_if(broken).alias("broken")).collect()
-    if any(r["broken"] or r["g"] is None for r in groups):
+    n_points, n_broken = points.agg(F.count(F.lit(1)), F.count_if(broken)).first()
+    if n_broken:
         raise ValueError("null value in a feature, label or key; fill it before resampling")
-    n_points = sum(r["n_members"] for r in groups)
-    if cell_points is None:  # below this size one plain search beats the two passes
-        cell_points = CELL_POINTS if n_points > ONE_CELL_POINTS else ONE_CELL_POINTS
-    n_pivots = max(1, min(-(-n_points // cell_points), MAX_PIVOTS,
-                          MAX_CELL_STATS // max(len(groups), 1)))
+    if block_points is None:
+        each = 8 * (len(spec.continuous) + len(spec.categorical) + 2)
+        block_points = max(256, min(BLOCK_POINTS, BLOCK_BYTES // each))
+    n_pivots = max(1, min(-(-n_points // block_points), MAX_PIVOTS))
     if n_pivots == 1:
-        placed = points.withColumn("cell", F.lit(0))
-        own = [{"cell": 0, **r.asDict()} for r in groups if r["n_queries"]]
+        pivots, placed = [], points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
     else:
-        pivots = points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select(
-            "x", "c").collect()
-        placed = reuse(_assign_cells(points, pivots, penalty2))
-        stats = placed.groupBy("g", "cell").agg(
-            *sizes, F.min("dist").alias("low"), F.max("dist").alias("high")).collect()
-        own = [r for r in stats if r["n_queries"]]
-    asking = placed.filter(asks)
-    near = _best(_search(asking, placed, k, penalty2, own, block_points), k)
+        pivots = points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select("x", "c").collect()
+        placed = _assign_cells(points, pivots, penalty2)
+    blocks = write_scratch(_blocks(placed, block_points), "blocks") if n_pivots > 1 else _blocks(
+        placed, block_points)
+    key_type = points.schema["vid"].dataType
+    asking = blocks.filter("asks").select("g", "cell", "b")
+    members = blocks.select("g", F.col("cell").alias("other"), F.col("b").alias("mb"))
+    own = asking.join(members.withColumn("cell", F.col("other")), ["g", "cell"])
+    near = _best(_search(blocks, own, k, penalty2, key_type), k)
     if n_pivots > 1:
-        near = reuse(near)
+        near = write_scratch(near, "near")
         held = near.join(points.select("g", F.col("vid").alias("near"),
                                        F.size("members").alias("held")), ["g", "near"])
         run = Window.partitionBy("g", "vid").orderBy("d2", "near").rowsBetween(
             Window.unboundedPreceding, Window.currentRow)
-        bound = (
-            held.withColumn("have", F.sum("held").over(run)).groupBy("g", "vid")
-            .agg(F.sqrt(F.min(F.when(F.col("have") >= k + 1, F.col("d2")))).alias("bound"))
-        )
-        visits = reuse(_cells_to_visit(asking.join(bound, ["g", "vid"], "left"), pivots, stats, penalty2))
-        coming = {(r["g"], r["cell"]): r["n"] for r in visits.groupBy("g", "cell").agg(
-            F.count(F.lit(1)).alias("n")).collect()}
-        other = [{"g": r["g"], "cell": r["cell"], "n_members": r["n_members"],
-                  "n_queries": coming[r["g"], r["cell"]]} for r in stats if (r["g"], r["cell"]) in coming]
-        if other:
-            near = _best(near.unionByName(_search(visits, placed, k, penalty2, other, block_points)), k)
+        bound = held.withColumn("have", F.sum("held").over(run)).groupBy("g", "vid").agg(
+            F.sqrt(F.min(F.when(F.col("have") >= k + 1, F.col("d2")))).alias("bound"))
+        stats = placed.groupBy("g", "cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
+        flat = blocks.filter("asks").select("g", "cell", "b", F.explode("points").alias("p")).filter("p.ask")
+        reach = flat.select("g", "cell", "b", "p.vid", "p.x", "p.c").join(bound, ["g", "vid"], "left")
+        queries = reach.groupBy("g", "cell", "b").agg(F.collect_list(F.struct(
+            "vid", "x", "c", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))).alias("points"))
+        open_ = write_scratch(_open_cells(queries, blocks, stats, pivots, penalty2), "open")
+        other = open_.join(members, ["g", "other"])
+        near = _best(near.unionByName(_search(blocks, other, k, penalty2, key_type)), k)
     return _expand(rows, points, near, spec, k, within_class, query_classes)
 
 
@@ -326,16 +348,19 @@ def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSp
     group, x, c = _point_columns(spec, within_class)
     # further copies: their first k fellow copies are their neighbours, at distance 0. One vector
     # may have very many of them, so its rows are spread over slices.
-    full = points.filter(F.size("members") > k).select(
-        "g", "x", "c", F.explode(F.sequence(F.lit(0), F.lit(COPY_SLICES - 1))).alias("s"),
+    copies = rows.groupBy(group.alias("g"), x.alias("x"), c.alias("c")).agg(
+        F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
+    full = points.filter(F.size("members") > k).join(copies, ["g", "x", "c"]).select(
+        "g", "x", "c", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"),
         F.element_at("members", -1)["key"].alias("__last"),
         F.transform(F.slice("members", 1, k), lambda m: F.struct(
             F.lit(0.0).alias("d2"), m["key"].alias("key"), m["lab"].alias("lab"))).alias("list"))
     sliced = rows.select(
         group.alias("g"), x.alias("x"), c.alias("c"), F.col(spec.key).alias("__key"),
-        F.col(spec.label).alias("__lab")).withColumn(
-        "s", F.floor(uniform("__key", "slice") * COPY_SLICES).cast("int"))
-    further = sliced.join(full, ["g", "x", "c", "s"]).filter(F.col("__key") > F.col("__last"))
+        F.col(spec.label).alias("__lab")).join(
+        full.select("g", "x", "c", "slices").distinct(), ["g", "x", "c"]).withColumn(
+        "s", F.floor(uniform("__key", "slice") * F.col("slices")).cast("int")).drop("slices")
+    further = sliced.join(full.drop("slices"), ["g", "x", "c", "s"]).filter(F.col("__key") > F.col("__last"))
     every = known.join(lists, ["g", "vid"]).select("__key", "__lab", others.alias("list")).unionByName(
         further.select("__key", "__lab", "list"))
     if not within_class and query_classes is not None:

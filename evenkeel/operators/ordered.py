@@ -9,17 +9,25 @@ A value that alone fills more than a bucket is cut again by a hash of the key.
 from __future__ import annotations
 
 import math
-import os
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.draws import uniform
 
 TIE_SALT = "tie"
-EXACT_LIMIT = float(2**53)
+FRACTIONS = (T.FloatType, T.DoubleType)
+#: Sampled rows for each bucket, and at most: bounds need no more.
+SAMPLED, SAMPLE_ROWS, SAMPLE_SEED = 20, 400_000, 17
+#: Cells in which ``take_lowest`` counts, and rows that it orders at the end.
+BAND_CELLS, BAND_ROWS = 200, 20_000
 
 
 def bucket_count(df: DataFrame) -> int:
@@ -27,24 +35,29 @@ def bucket_count(df: DataFrame) -> int:
     return max(8, 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
-def split_points(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list[float]]:
-    """Approximate quantiles of each column: one pass, ``buckets`` numbers back.
+def split_points(df: DataFrame, columns: Sequence[str], buckets: int) -> dict[str, list]:
+    """Bounds of buckets of each column, from a sample of bounded size.
 
-    They only balance the work; no result depends on them.
+    They only balance the work; no result depends on them. A value that fills a
+    bucket or more is a bound more than once.
     """
-    probs = [i / buckets for i in range(1, buckets)]
-    aggs = []
-    for c in columns:
-        v = F.col(c).cast("double")
-        v = F.when(F.abs(v) < F.lit(math.inf), v)
-        aggs.append(F.percentile_approx(v, probs, 20 * buckets).alias(c))
-    row = df.agg(*aggs).first()
-    return {c: [float(v) for v in (row[c] or [])] for c in columns}
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    total = df.count()
+    share = min(1.0, min(SAMPLE_ROWS, SAMPLED * buckets) / max(total, 1))
+    picked = df.select(*columns)
+    rows = (picked if share == 1.0 else picked.sample(False, share, SAMPLE_SEED)).collect()
+    found = {}
+    for i, c in enumerate(columns):
+        values = sorted(
+            v for v in (r[i] for r in rows)
+            if v is not None and not (isinstance(kinds[c], FRACTIONS) and not math.isfinite(v)))
+        found[c] = [values[len(values) * q // buckets] for q in range(1, buckets)] if values else []
+    return found
 
 
 def with_bucket(df: DataFrame, column: str, points: list[float], out: str) -> DataFrame:
     """Bucket number that never decreases with the value (NaN last)."""
-    bounds = sorted(set(points))
+    bounds = sorted({float(p) for p in points})
     if not bounds:
         return df.withColumn(out, F.lit(0))
     cut = Bucketizer(
@@ -89,31 +102,68 @@ def rank_rows(df: DataFrame, value: str | Column, key: str, by: Sequence[str] =
     valued = df.withColumn("__v", F.col(value) if isinstance(value, str) else value)
     buckets = bucket_count(df)
     points = split_points(valued, ["__v"], buckets)["__v"]
-    repeated = sorted({p for p in points if points.count(p) > 1 and abs(p) < EXACT_LIMIT})
+    bounds = sorted({float(p) for p in points})
+    hot = {bisect_right(bounds, float(p)): p for p, n in Counter(points).items() if n > 1}
     cut = with_bucket(valued, "__v", points, "__b").withColumn("__t", uniform(key, TIE_SALT))
-    if repeated:
-        hot = F.col("__v").cast("double").isin(repeated)
-        cut = cut.withColumn("__b", F.when(hot, 2 * F.col("__b")).otherwise(2 * F.col("__b") + 1))
-        slice_ = F.floor(F.col("__t") * buckets).cast("int")
-        cut = cut.withColumn("__s", F.when(hot, slice_).otherwise(F.lit(0)))
-    else:
-        cut = cut.withColumn("__s", F.lit(0))
+    v = F.col("__v")
+    odd = F.isnan(v) if isinstance(valued.schema["__v"].dataType, FRACTIONS) else F.lit(False)
+    common = F.lit(None).cast(valued.schema["__v"].dataType)
+    if hot:
+        table = F.create_map(*[F.lit(x) for b, p in hot.items() for x in (b, p)])
+        common = F.element_at(table, F.col("__b")).cast(valued.schema["__v"].dataType)
+    # nulls come before NaN in the last bucket; a hot value stands between lower and higher ones
+    side = (F.when(v.isNull(), 0).when(odd, 1).when(v == common, 1).when(v > common, 2).otherwise(0))
+    alike = v.isNull() | odd | F.coalesce(v == common, F.lit(False))
+    cut = cut.withColumn("__s", F.when(alike, F.floor(F.col("__t") * buckets).cast("int")).otherwise(0))
+    cut = cut.withColumn("__b", 3 * F.col("__b") + side)
     return _number(cut, by, ["__b", "__s"], ["__v", "__t", key], out, total)
 
 
 def rank_text(df: DataFrame, column: str, out: str = "rank") -> DataFrame:
-    """Position 1..n of distinct texts in byte order.
+    """Position 1..n of distinct texts in byte order; buckets lie between sampled texts."""
+    bounds = np.array(sorted(set(split_points(df, [column], bucket_count(df))[column])), dtype=object)
+
+    @F.pandas_udf("int")
+    def bucket(texts: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, texts.to_numpy(dtype=object), side="right")).astype("int32")
+
+    known = df.filter(F.col(column).isNotNull())
+    return _number(known.withColumn("__b", bucket(column)), (), ["__b"], [column], out, None)
 
-    Buckets follow the six bytes after the prefix that all texts share.
+
+def take_lowest(df: DataFrame, value: Column, key: str | Sequence[str], n: int) -> DataFrame:
+    """The ``n`` rows with the lowest value, ties by key, without ranking the table.
+
+    Counts between sampled bounds narrow the place of the n-th row down to a few
+    thousand rows; only those are ordered. Rows without a value are left out.
     """
-    low, high = df.agg(F.min(column), F.max(column)).first()
-    if low is None:
-        return df.withColumn(out, F.lit(0).cast("bigint")).limit(0)
-    shared = len(os.path.commonprefix([low.encode(), high.encode()]))
-    digits = F.rpad(F.hex(F.substring(F.encode(column, "utf-8"), shared + 1, 6)), 12, "0")
-    valued = df.withColumn("__v", F.conv(digits, 16, 10).cast("bigint"))
-    points = split_points(valued, ["__v"], bucket_count(df))["__v"]
-    return _number(with_bucket(valued, "__v", points, "__b"), (), ["__b"], [column], out, None)
+    keys = [key] if isinstance(key, str) else list(key)
+    valued = df.withColumn("__v", value).filter(F.col("__v").isNotNull())
+    v, band, below, floor = F.col("__v"), valued, 0, None
+    while True:
+        points = sorted(set(split_points(band, ["__v"], BAND_CELLS)["__v"]))
+        cells = dict(with_bucket(band, "__v", points, "__b").groupBy("__b").count().collect()) if points else {}
+        start, chosen = below, None
+        for b in sorted(cells):
+            if start + cells[b] >= n:
+                chosen = b
+                break
+            start += cells[b]
+        if chosen is None:
+            return valued.drop("__v")
+        low = points[chosen - 1] if chosen else None
+        high = points[chosen] if chosen < len(points) else None
+        narrowed = cells[chosen] < sum(cells.values())
+        below, floor = start, floor if low is None else low
+        if low is not None:
+            band = band.filter(v >= F.lit(low))
+        if high is not None:
+            band = band.filter(v < F.lit(high))
+        if cells[chosen] <= BAND_ROWS or not narrowed:
+            break
+    edge = band.orderBy(v, *keys).limit(n - below)
+    sure = valued.filter(v < F.lit(floor)) if floor is not None else valued.limit(0)
+    return sure.unionByName(edge).drop("__v")
 
 
 def cumulative_by_value(df: DataFrame, value: str, measures: dict[str, Column],

@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+import sys
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.operators.ordered import quantile_table
 from evenkeel.spec import FeatureSpec
@@ -14,6 +19,11 @@ from evenkeel.spec import FeatureSpec
 # Width rule for a category with L levels, min(15, ceil(L / 2)).
 WIDTH_CAP = 15
 QUARTILES = (0.25, 0.5, 0.75)
+#: Cells of sums that a task holds before it gives them out.
+HELD_CELLS = 4_000_000
+
+# send the helpers below with the task, so executors need no installed package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
 def _long(row: DataFrame, by: Sequence[str], cells: list[Column]) -> DataFrame:
@@ -94,19 +104,58 @@ def compare_means(sets: dict[str, DataFrame], columns: Sequence[str]) -> DataFra
     return _long(wide, ["set"], cells)
 
 
+def cross_sums(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
+               centre: dict[str, float] | None = None) -> DataFrame:
+    """Sums over the rows that have both columns, for every pair i <= j.
+
+    ``(by, i, j, xy, x, y, n)``: products, each column's sum and the rows. A task
+    multiplies whole blocks and adds them up; it gives one row for each pair.
+    """
+    columns, by = list(columns), list(by)
+    p, upper = len(columns), np.triu_indices(len(columns))
+    mean = np.array([(centre or {}).get(c) or 0.0 for c in columns])
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    schema = T.StructType([
+        *[T.StructField(c, kinds[c]) for c in by], T.StructField("i", T.IntegerType()),
+        T.StructField("j", T.IntegerType()),
+        *[T.StructField(c, T.DoubleType()) for c in ("xy", "x", "y", "n")]])
+
+    def rows_of(held: dict) -> Iterator[pd.DataFrame]:
+        for key, (xy, x, n) in held.items():
+            yield pd.DataFrame({
+                **dict(zip(by, key, strict=True)), "i": upper[0], "j": upper[1], "xy": xy[upper],
+                "x": x[upper], "y": x.T[upper], "n": n[upper]})[[f.name for f in schema.fields]]
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for batch in batches:
+            parts = batch.groupby(by, dropna=False) if by else [((), batch)]
+            for key, part in parts:
+                z = part[[f"__{i}" for i in range(p)]].to_numpy(dtype=float) - mean
+                there = ~np.isnan(z)
+                z, there = np.where(there, z, 0.0), there.astype(float)
+                new = (z.T @ z, z.T @ there, there.T @ there)
+                old = held.get(key)
+                held[key] = new if old is None else tuple(a + b for a, b in zip(old, new, strict=True))
+            if len(held) * p * p > HELD_CELLS:
+                yield from rows_of(held)
+                held.clear()
+        yield from rows_of(held)
+
+    slim = df.select(*by, *[F.col(c).cast("double").alias(f"__{i}") for i, c in enumerate(columns)])
+    return slim.mapInPandas(work, schema).groupBy(*by, "i", "j").agg(
+        *[F.sum(c).alias(c) for c in ("xy", "x", "y", "n")])
+
+
 def covariance(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
-    """Sample covariance of every pair i <= j: ``(by, a, b, cov)``."""
+    """Sample covariance of every pair i <= j: ``(by, a, b, cov)``; centred on the means first."""
     columns = list(columns)
-    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
-    wide = df.groupBy(*by).agg(*[
-        F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")).alias(f"c{i}")
-        for i, (a, b) in enumerate(pairs)
-    ])
-    cells = [
-        F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"c{i}").alias("cov"))
-        for i, (a, b) in enumerate(pairs)
-    ]
-    return _long(wide, by, cells)
+    means = df.agg(*[F.avg(F.col(c).cast("double")).alias(f"m{i}") for i, c in enumerate(columns)]).first()
+    sums = cross_sums(df, columns, by, {c: means[i] for i, c in enumerate(columns)})
+    names = F.array(*[F.lit(c) for c in columns])
+    n = F.col("n")
+    cov = F.when(n > 1, (F.col("xy") - F.col("x") * F.col("y") / n) / (n - 1))
+    return sums.select(*by, names[F.col("i")].alias("a"), names[F.col("j")].alias("b"), cov.alias("cov"))
 
 
 def covariance_diff(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenkeel.functions.draws import uniform
-from evenkeel.operators.ordered import rank_by_hash, rank_rows
+from evenkeel.operators.ordered import rank_by_hash, take_lowest
 from evenkeel.operators.splits import class_sizes
 from evenkeel.plans.sampling import class_counts, plan_rows
 
@@ -92,10 +92,7 @@ def balanced_sample(df: DataFrame, label: str, key: str, n: int | None = None, s
     if not replace:
         sized = df.join(class_sizes(df, label), label)
         arrival = -F.log(F.lit(1.0) - uniform(key, f"weight{seed}")) * F.col("class_n")
-        ranked = rank_rows(sized, arrival, key, out="__pos")
-        if n is not None:
-            ranked = ranked.filter(F.col("__pos") <= n)
-        return ranked.select(*df.columns)
+        return (sized if n is None else take_lowest(sized, arrival, key, n)).select(*df.columns)
     counts = class_counts(df, label)
     if not counts:
         raise ValueError("cannot draw rows from an empty table")

@@ -7,12 +7,11 @@ from pyspark.sql import functions as F
 
 from evenkeel.functions.draws import uniform
 from evenkeel.operators.ordered import rank_by_hash, rank_rows
-from evenkeel.session import pin_small
 
 
 def class_sizes(df: DataFrame, label: str) -> DataFrame:
-    """``(label, class_n)`` as a small local table."""
-    return pin_small(df.groupBy(label).agg(F.count(F.lit(1)).alias("class_n")))
+    """``(label, class_n)``; how it is joined is left to the planner."""
+    return df.groupBy(label).agg(F.count(F.lit(1)).alias("class_n"))
 
 
 def class_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evenkeel.functions.draws import uniform
 from evenkeel.operators.neighbors import knn, median_sd, tomek_links
@@ -14,7 +15,7 @@ from evenkeel.operators.resample import (
     shuffled_index,
 )
 from evenkeel.plans.sampling import class_counts, plan_rows
-from evenkeel.session import reuse
+from evenkeel.session import write_scratch
 from evenkeel.spec import FeatureSpec
 
 DRAWS_PER_BLOCK = 4096
@@ -100,7 +101,7 @@ def smote_nc(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed
         raise ValueError("smote_nc needs continuous and categorical features")
     classes = _growing(plan)
     penalty = median_sd(df, spec, classes)
-    near = reuse(knn(df, spec, k, penalty=penalty, query_classes=classes, **options))
+    near = write_scratch(knn(df, spec, k, penalty=penalty, query_classes=classes, **options), "near")
     pairs = draw_pairs(df, spec, plan, near, k, seed)
     cats = df.select(F.col(spec.key).alias("neighbor"), *spec.categorical)
     votes = near.select(F.col(spec.key).alias("base"), "neighbor").join(cats, "neighbor").groupBy(
@@ -115,15 +116,31 @@ def adasyn_shares(df: DataFrame, spec: FeatureSpec, minority, n_new: int, k: int
     ``other`` counts the row's k nearest rows of all classes that belong to
     another class; ``n_new`` is the rounded part of the total in that proportion.
     """
-    near = knn(df, spec, k, within_class=False, query_classes=[minority], **options)
-    others = near.groupBy(spec.key).agg(
-        F.count_if(F.col("neighbor_label") != F.lit(minority)).alias("other"))
-    others = reuse(others)
-    total = others.agg(F.sum("other")).first()[0]
-    if not total:
+    return _shares(_other_class_counts(df, spec, [minority], k, **options), spec, {minority: n_new}).drop(
+        spec.label)
+
+
+def _other_class_counts(df: DataFrame, spec: FeatureSpec, classes: list, k: int, **options) -> DataFrame:
+    """Neighbours of another class for each row of the given classes, from one search."""
+    near = knn(df, spec, k, within_class=False, query_classes=classes, **options)
+    own = df.filter(F.col(spec.label).isin(classes)).select(spec.key, spec.label)
+    return write_scratch(near.join(own, spec.key).groupBy(spec.key, spec.label).agg(
+        F.count_if(F.col("neighbor_label") != F.col(spec.label)).alias("other")), "others")
+
+
+def _shares(others: DataFrame, spec: FeatureSpec, wanted: dict) -> DataFrame:
+    """``(key, label, other, n_new)``: each class's new rows in proportion to ``other``."""
+    totals = {r[0]: r[1] for r in others.groupBy(spec.label).agg(F.sum("other")).collect()}
+    if not all(totals.get(c) for c in wanted):
         raise ValueError("no row of the class has a neighbour of another class")
-    share = F.rint(F.col("other") * F.lit(float(n_new)) / F.lit(float(total)))
-    return others.select(spec.key, "other", share.cast("bigint").alias("n_new"))
+    kind = others.schema[spec.label].dataType
+    rate = others.sparkSession.createDataFrame(
+        [(c, float(n), float(totals[c])) for c, n in wanted.items()],
+        T.StructType([T.StructField(spec.label, kind), T.StructField("__n", T.DoubleType()),
+                      T.StructField("__all", T.DoubleType())]))
+    share = F.rint(F.col("other") * F.col("__n") / F.col("__all"))
+    return others.join(rate, spec.label).select(
+        spec.key, spec.label, "other", share.cast("bigint").alias("n_new"))
 
 
 def adasyn(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: int = 0,
@@ -131,27 +148,24 @@ def adasyn(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed:
     """SMOTE rows placed where other classes are near. Rounded counts may miss the plan slightly."""
     if spec.categorical:
         raise ValueError("adasyn takes continuous features only")
-    _growing(plan)
-    made = None
-    for c, current, _, n_new in plan_rows(plan):
-        if n_new <= 0:
-            continue
-        shares = adasyn_shares(df, spec, c, n_new, k, **options).filter(F.col("n_new") > 0)
-        near = knn(df, spec, k, query_classes=[c], **options)
-        slots = min(k, current - 1)
+    classes = _growing(plan)
+    if classes:
+        sizes = {c: (current, n_new) for c, current, _, n_new in plan_rows(plan) if n_new > 0}
+        others = _other_class_counts(df, spec, classes, k, **options)
+        shares = _shares(others, spec, {c: n for c, (_, n) in sizes.items()}).filter(F.col("n_new") > 0)
+        near = knn(df, spec, k, query_classes=classes, **options)
+        held = others.groupBy(spec.label).agg(F.count(F.lit(1)).alias("class_n"))
         block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_new") - 1) / DRAWS_PER_BLOCK)))
         start = F.col("block") * DRAWS_PER_BLOCK
-        draws = (
-            shares.select(F.col(spec.key).alias("base"), "n_new", block.alias("block"))
-            .select("base", F.explode(F.sequence(
+        draws = shares.join(held, spec.label).select(
+            spec.label, "class_n", F.col(spec.key).alias("base"), "n_new", block.alias("block")).select(
+            spec.label, "class_n", "base", F.explode(F.sequence(
                 start, F.least(start + DRAWS_PER_BLOCK, F.col("n_new")) - 1)).alias("draw_id"))
-            .withColumn(spec.label, F.lit(c).cast(df.schema[spec.label].dataType))
-        )
+        slots = F.least(F.lit(k).cast("bigint"), F.col("class_n") - 1)
         slot = (F.floor(uniform(["base", "draw_id"], f"slot{seed}") * slots) + 1).cast("int")
         pairs = _with_partner(draws.withColumn("rank", slot), spec, near, ["base", "draw_id"], seed)
-        part = _between(df, spec, pairs)
-        made = part if made is None else made.unionByName(part)
-    if made is None:
+        made = _between(df, spec, pairs)
+    else:
         made = df.limit(0).select(
             spec.label, F.lit(0).cast("bigint").alias("draw_id"), F.col(spec.key).alias("base"),
             F.col(spec.key).alias("neighbor"), *spec.continuous)

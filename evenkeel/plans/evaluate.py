@@ -30,11 +30,16 @@ from evenkeel.operators.splits import (
 from evenkeel.plans.grid import expand_grid
 from evenkeel.plans.sampling import sampling_plan, undersampling_plan
 from evenkeel.session import reuse, write_scratch
+from evenkeel.sources.files import read_experiment, write_report
 from evenkeel.spec import FeatureSpec
 
-DRIVER_THREADS = 4
-ROWS_PER_PARTITION = 50_000
-SCORE = "score"
+#: Independent fits started at once; a session may set ``spark.evenkeel.driverThreads``.
+DRIVER_THREADS = 8
+#: Training bytes for each partition of a fit.
+FIT_BYTES = 64 << 20
+#: Spark's bound on the depth of a tree; the trees are grown without a limit of their own.
+DEEPEST = 30
+SCORE, TRAIN_SHARE, TRAIN_ROWS = "score", "train_share", "train_rows"
 
 # ---- samplers and scorers by name ----------------------------------------------
 
@@ -85,6 +90,7 @@ register_scorer("auc", lambda df, y, score, key, by: metrics.auc(df, y, score, b
 register_scorer("tail_lift", lambda df, y, score, key, by: metrics.tail_lift(df, y, score, key, 0.1, by))
 register_scorer("top_lift", lambda df, y, score, key, by: metrics.top_lift(df, y, score, key, 0.1, by))
 register_scorer("accuracy", lambda df, y, score, key, by: metrics.accuracy(df, y, score, 0.5, by))
+register_scorer("f1", lambda df, y, score, key, by: metrics.f1(df, y, score, F.col(TRAIN_SHARE), by))
 
 
 def score_tables(parts: Sequence[tuple[tuple, DataFrame]], tags: Sequence[str], spec: FeatureSpec,
@@ -99,7 +105,8 @@ def score_tables(parts: Sequence[tuple[tuple, DataFrame]], tags: Sequence[str],
         raise ValueError(f"no scorers {unknown}; known: {sorted(SCORERS)}")
     stacked = None
     for i, (_, scored) in enumerate(parts):
-        one = scored.select(spec.key, spec.label, SCORE, F.lit(i).alias("part"))
+        share = F.col(TRAIN_SHARE) if TRAIN_SHARE in scored.columns else F.lit(0.5)
+        one = scored.select(spec.key, spec.label, SCORE, share.alias(TRAIN_SHARE), F.lit(i).alias("part"))
         stacked = one if stacked is None else stacked.unionByName(one)
     stacked = reuse(stacked)
     out = [dict(zip(tags, values)) for values, _ in parts]
@@ -118,14 +125,28 @@ def score_with(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str]) ->
 
 def in_threads(fn: Callable, jobs: Sequence) -> list:
     """Start independent Spark jobs from a few driver threads; results in order."""
-    with ThreadPoolExecutor(DRIVER_THREADS) as pool:
+    spark = SparkSession.getActiveSession()
+    threads = int(spark.conf.get("spark.evenkeel.driverThreads", str(DRIVER_THREADS))) if spark else DRIVER_THREADS
+    with ThreadPoolExecutor(threads) as pool:
         return list(pool.map(fn, jobs))
 
 
 # ---- classifiers -----------------------------------------------------------------
 
+def _depth(params: dict) -> int:
+    """The depth asked for, or the deepest possible."""
+    depth = params.pop("max_depth", None)
+    if depth is not None and int(depth) > DEEPEST:
+        raise ValueError(f"max_depth {depth}: Spark grows trees to depth {DEEPEST} at most")
+    return DEEPEST if depth is None else int(depth)
+
+
 def classifier(name: str, n_rows: int, params: dict):
-    """LR, RF or DT; parameter names follow the experiment files."""
+    """LR, RF or DT; parameter names follow the experiment files.
+
+    Without parameters trees are grown until their leaves are pure or the depth
+    reaches ``DEEPEST``, a forest has 100 trees, and leaves may hold one row.
+    """
     common = {"labelCol": "__y", "featuresCol": "__features"}
     p = dict(params)
     if name == "LR":
@@ -134,13 +155,13 @@ def classifier(name: str, n_rows: int, params: dict):
                                   standardization=False, maxIter=int(p.pop("max_iter", 100)))
     elif name == "RF":
         made = RandomForestClassifier(
-            **common, numTrees=int(p.pop("n_estimators", 20)),
-            minInstancesPerNode=int(p.pop("min_samples_leaf", 20)),
+            **common, numTrees=int(p.pop("n_estimators", 100)),
+            minInstancesPerNode=int(p.pop("min_samples_leaf", 1)),
             featureSubsetStrategy=str(p.pop("max_features", "sqrt")),
-            maxDepth=int(p.pop("max_depth", 8)), seed=int(p.pop("seed", 1)))
+            maxDepth=_depth(p), seed=int(p.pop("seed", 1)))
     elif name == "DT":
         made = DecisionTreeClassifier(
-            **common, maxDepth=int(p.pop("max_depth", 10)),
+            **common, maxDepth=_depth(p),
             minInstancesPerNode=int(p.pop("min_samples_leaf", 1)),
             minWeightFractionPerNode=float(p.pop("min_weight_fraction_leaf", 0.0)))
     else:
@@ -168,9 +189,14 @@ def fit_classifier(train: DataFrame, spec: FeatureSpec, model: str = "LR",
     stages.append(VectorAssembler(inputCols=inputs, outputCol="__features"))
     n = train.count()
     stages.append(classifier(model, n, params or {}))
-    # a solver runs a job per step; few rows in many partitions only add overhead
-    fitted = Pipeline(stages=stages).fit(train.coalesce(max(1, -(-n // ROWS_PER_PARTITION))))
+    # a solver runs a job per step; few bytes in many partitions only add overhead
+    parts = max(1, -(-n * 16 * len(train.columns) // FIT_BYTES))
+    fitted = Pipeline(stages=stages).fit(train.coalesce(parts))
     train.unpersist()
+    if model in ("RF", "DT") and "max_depth" not in (params or {}):
+        last = fitted.stages[-1]
+        if max(t.depth for t in getattr(last, "trees", [last])) >= DEEPEST:
+            raise ValueError(f"a tree reached depth {DEEPEST}; set max_depth or min_samples_leaf")
     return fitted
 
 
@@ -217,58 +243,94 @@ def rank_importance(model: PipelineModel, spec: FeatureSpec, n: int) -> DataFram
 # ---- chain of steps ----------------------------------------------------------------
 
 class ResampleChain:
-    """Scale, resample, encode and classify; resampling happens only while fitting."""
+    """Scale, resample, clean, encode and classify; resampling happens only while fitting.
+
+    ``cleaning`` names a second sampler, such as ``tomek``, that runs on the
+    resampled rows. ``prepare`` resamples once; ``fit_model`` can then be called
+    for many classifiers before ``release``.
+    """
 
     def __init__(self, spec: FeatureSpec, sampler: str = "unbalanced", model: str = "LR",
                  sampler_params: dict | None = None, model_params: dict | None = None,
-                 scale: bool = True, seed: int = 0):
-        if sampler not in SAMPLERS:
-            raise ValueError(f"no sampler {sampler!r}; known: {sorted(SAMPLERS)}")
-        self.spec, self.sampler, self.model = spec, sampler, model
+                 scale: bool = True, seed: int = 0, cleaning: str | None = None):
+        for name in (sampler, cleaning):
+            if name is not None and name not in SAMPLERS:
+                raise ValueError(f"no sampler {name!r}; known: {sorted(SAMPLERS)}")
+        self.spec, self.sampler, self.model, self.cleaning = spec, sampler, model, cleaning
         self.sampler_params = dict(sampler_params or {})
         self.model_params = dict(model_params or {})
         self.scale, self.seed = scale, seed
         self.scaler: MinMax | None = None
+        self.resampled: DataFrame | None = None
+        self.positive_share, self.train_rows = 0.5, 0
         self.fitted: PipelineModel | None = None
 
-    def fit(self, train: DataFrame) -> "ResampleChain":
+    def prepare(self, train: DataFrame) -> "ResampleChain":
         train = self.spec.require(train)
         if self.scale and self.spec.continuous:
             self.scaler = MinMax.fit(train, self.spec.continuous)
             train = self.scaler.transform(train)
         params = dict(self.sampler_params)
         strategy = params.pop("sampling_strategy", "auto")
-        resampled = SAMPLERS[self.sampler](train, self.spec, strategy, self.seed, **params)
-        self.fitted = fit_classifier(resampled, self.spec, self.model, self.model_params)
+        rows = SAMPLERS[self.sampler](train, self.spec, strategy, self.seed, **params)
+        if self.cleaning:
+            # new rows have no key of their own; cleaning needs one
+            keyed = write_scratch(rows.select(*self.spec.columns).withColumn(
+                self.spec.key, F.monotonically_increasing_id()), "resampled")
+            rows = SAMPLERS[self.cleaning](keyed, self.spec, "auto", self.seed)
+        self.resampled = reuse(rows.select(*self.spec.features, self.spec.label))
+        positive = F.when(F.col(self.spec.label) == 1, 1.0).otherwise(0.0)
+        self.train_rows, share = self.resampled.agg(F.count(F.lit(1)), F.avg(positive)).first()
+        self.positive_share = 0.5 if share is None else share
+        return self
+
+    def fit_model(self, model: str | None = None, params: dict | None = None) -> "ResampleChain":
+        if self.resampled is None:
+            raise ValueError("prepare the chain before fitting a classifier")
+        self.fitted = fit_classifier(self.resampled, self.spec, model or self.model,
+                                     self.model_params if params is None else params)
+        return self
+
+    def release(self) -> None:
+        if self.resampled is not None:
+            self.resampled.unpersist()
+            self.resampled = None
+
+    def fit(self, train: DataFrame) -> "ResampleChain":
+        self.prepare(train).fit_model()
+        self.release()
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
         if self.fitted is None:
             raise ValueError("fit the chain before using it")
         scaled = self.scaler.transform(df) if self.scaler else df
-        return apply_classifier(self.fitted, scaled, self.spec)
+        return apply_classifier(self.fitted, scaled, self.spec).withColumn(
+            TRAIN_SHARE, F.lit(float(self.positive_share)))
 
 
 # ---- tests --------------------------------------------------------------------------
 
 def upsampled_scores(train: DataFrame, test: DataFrame, spec: FeatureSpec, sampler: str,
                      model: str = "LR", seed: int = 0, sampler_params: dict | None = None,
-                     model_params: dict | None = None) -> DataFrame:
-    """Resample the training rows, fit, give the scored test rows."""
-    chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed)
+                     model_params: dict | None = None, cleaning: str | None = None) -> DataFrame:
+    """Resample the training rows, clean them if asked to, fit, give the scored test rows."""
+    chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed, cleaning=cleaning)
     return chain.fit(train).transform(test)
 
 
 def upsampling_eval(train: DataFrame, test: DataFrame, spec: FeatureSpec, samplers: Sequence[str],
                     model: str = "LR", scorers: Sequence[str] = ("auc",), seed: int = 0,
-                    sampler_params: dict | None = None, model_params: dict | None = None) -> DataFrame:
-    """Scores of each sampler on the untouched test rows: ``(sampler, scores)``."""
+                    sampler_params: dict | None = None, model_params: dict | None = None,
+                    cleaning: str | None = None) -> DataFrame:
+    """Scores of each sampler on the untouched test rows: ``(sampler, train_rows, scores)``."""
     def run(sampler: str):
-        return (sampler,), upsampled_scores(train, test, spec, sampler, model, seed,
-                                            sampler_params, model_params)
+        chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed, cleaning=cleaning)
+        scored = chain.fit(train).transform(test)
+        return (sampler, chain.train_rows), scored
 
-    rows = score_tables(in_threads(run, list(samplers)), ["sampler"], spec, scorers)
-    return _table(train.sparkSession, rows, "sampler string", scorers)
+    rows = score_tables(in_threads(run, list(samplers)), ["sampler", TRAIN_ROWS], spec, scorers)
+    return _table(train.sparkSession, rows, f"sampler string, {TRAIN_ROWS} bigint", scorers)
 
 
 def _table(spark: SparkSession, rows: list[dict], tags: str, scorers: Sequence[str]) -> DataFrame:
@@ -292,7 +354,9 @@ def discriminator_eval(real: DataFrame, fake: DataFrame, spec: FeatureSpec, mode
     cut = reuse(random_split(stacked, test, "row_id", seed))
     train = cut if in_sample else cut.filter(~F.col("is_test"))
     scored = fit_score(train, cut if in_sample else cut.filter("is_test"), origin, model, params)
-    return score_with(scored, origin, ["auc", "accuracy"])
+    found = score_with(scored, origin, ["auc", "accuracy"])
+    cut.unpersist()
+    return found
 
 
 def predictive_eval(real: DataFrame, fake: DataFrame, test: DataFrame, spec: FeatureSpec,
@@ -323,52 +387,110 @@ def repeat_eval(df: DataFrame, spec: FeatureSpec, samplers: Sequence[str], repea
 
     parts = in_threads(run, [(s, i) for i in range(repeats) for s in samplers])
     rows = score_tables(parts, ["sampler", "repeat"], spec, scorers)
+    for cut in cuts:
+        cut.unpersist()
     table = _table(df.sparkSession, rows, "sampler string, repeat int", scorers)
     return score_summary(table, ["sampler"], list(scorers), sd)
 
 
+def _mean_sd(values: list) -> tuple[float | None, float | None]:
+    """Mean and sample sd of the scores that exist."""
+    known = [v for v in values if v is not None]
+    if not known:
+        return None, None
+    mean = sum(known) / len(known)
+    sd = (sum((v - mean) ** 2 for v in known) / (len(known) - 1)) ** 0.5 if len(known) > 1 else None
+    return mean, sd
+
+
 def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, inner: int = 5,
               scorers: Sequence[str] = ("auc", "tail_lift"), refit: str = "auc",
-              seed: int = 123) -> tuple[DataFrame, DataFrame]:
+              seed: int = 123, cleaning: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Nested cross-validation over sampler x model x grid.
 
     Returns the outer scores ``(sampler, model, fold, scores)`` and the inner
-    tuning results ``(sampler, model, fold, candidate, params, scores)``. Fits
-    are independent Spark jobs; all scored folds of a round are scored together.
+    tuning results ``(sampler, model, fold, candidate, params, scored_folds,
+    scores, their sds)``. A fold in which a score does not exist (no positives)
+    is left out of its mean. Rows are resampled once for each setting of a
+    sampler and fold; all classifiers and their settings are fitted on them.
     """
     rows = reuse(nested_folds(spec.require(df), spec.label, outer, inner, spec.key, seed))
-    pairs = [(s, m) for s in config["samplers"] for m in config["models"]]
-    grids = {(s, m): [(a, b) for a in expand_grid(config["samplers"][s])
-                      for b in expand_grid(config["models"][m])] for s, m in pairs}
+    samplers = {s: expand_grid(config["samplers"][s]) for s in config["samplers"]}
+    models = {m: expand_grid(config["models"][m]) for m in config["models"]}
+    grids = {(s, m): [(a, b) for a in range(len(samplers[s])) for b in range(len(models[m]))]
+             for s in samplers for m in models}
 
     def run(job):
-        sampler, model, fold, c, i = job
+        """Fit every wanted classifier on the rows of one resampling: ``[(tags, scored)]``."""
+        (sampler, a, fold, i), wanted = job
         part = rows if i is None else rows.filter(F.col("outer_fold") != fold)
         held = F.col("outer_fold") == fold if i is None else F.col("inner_fold") == i
-        return job, upsampled_scores(*_sides(part, held), spec, sampler, model, seed,
-                                     *grids[sampler, model][c])
-
-    tags = ["sampler", "model", "fold", "candidate", "inner"]
-    jobs = [(s, m, f, c, i) for s, m in pairs if len(grids[s, m]) > 1
-            for f in range(outer) for c in range(len(grids[s, m])) for i in range(inner)]
-    means: dict[tuple, dict] = {}
-    for row in score_tables(in_threads(run, jobs), tags, spec, scorers) if jobs else []:
-        mean = means.setdefault(tuple(row[t] for t in tags[:4]), dict.fromkeys(scorers, 0.0))
+        train, test = _sides(part, held)
+        chain = ResampleChain(spec, sampler, sampler_params=samplers[sampler][a], seed=seed, cleaning=cleaning)
+        chain.prepare(train)
+        found = []
+        for model, b in wanted:
+            tags = (sampler, model, fold, grids[sampler, model].index((a, b)), i)
+            found.append((tags, chain.fit_model(model, models[model][b]).transform(test)))
+        chain.release()
+        return found
+
+    def scores_of(jobs: dict) -> list[dict]:
+        parts = [x for found in in_threads(run, list(jobs.items())) for x in found]
+        tags = ["sampler", "model", "fold", "candidate", "inner"]
+        return score_tables(parts, tags, spec, scorers) if parts else []
+
+    jobs: dict[tuple, list] = {}
+    for (s, m), grid in grids.items():
+        if len(grid) > 1:
+            for f in range(outer):
+                for i in range(inner):
+                    for a, b in grid:
+                        jobs.setdefault((s, a, f, i), []).append((m, b))
+    found: dict[tuple, dict] = {}
+    for row in scores_of(jobs):
+        tags = tuple(row[t] for t in ("sampler", "model", "fold", "candidate"))
         for n in scorers:
-            mean[n] += row[n] / inner
+            found.setdefault(tags, {}).setdefault(n, []).append(row[n])
     best, tuning = {}, []
-    for (s, m, f, c), mean in means.items():
-        if (s, m, f) not in best or mean[refit] > means[s, m, f, best[s, m, f]][refit]:
-            best[s, m, f] = c
+    for (s, m, f, c), values in sorted(found.items()):
+        stats = {n: _mean_sd(values[n]) for n in scorers}
+        level = stats[refit][0]
+        if level is not None and level > best.get((s, m, f), (float("-inf"), 0))[0]:
+            best[s, m, f] = (level, c)
         a, b = grids[s, m][c]
-        params = {f"sampler__{k}": str(v) for k, v in a.items()}
-        params |= {f"classifier__{k}": str(v) for k, v in b.items()}
-        tuning.append({"sampler": s, "model": m, "fold": f, "candidate": c, "params": params, **mean})
-    final = [(s, m, f, best.get((s, m, f), 0), None) for s, m in pairs for f in range(outer)]
-    scores = score_tables(in_threads(run, final), tags, spec, scorers)
+        params = {f"sampler__{k}": str(v) for k, v in samplers[s][a].items()}
+        params |= {f"classifier__{k}": str(v) for k, v in models[m][b].items()}
+        tuning.append({"sampler": s, "model": m, "fold": f, "candidate": c, "params": params,
+                       "scored_folds": sum(v is not None for v in values[refit]),
+                       **{n: stats[n][0] for n in scorers}, **{f"{n}_sd": stats[n][1] for n in scorers}})
+    final: dict[tuple, list] = {}
+    for s, m in grids:
+        for f in range(outer):
+            a, b = grids[s, m][best.get((s, m, f), (0.0, 0))[1]]
+            final.setdefault((s, a, f, None), []).append((m, b))
+    scores = scores_of(final)
+    rows.unpersist()
     spark, head = df.sparkSession, "sampler string, model string, fold int"
     return (_table(spark, scores, head, scorers),
-            _table(spark, tuning, head + ", candidate int, params map<string,string>", scorers))
+            _table(spark, tuning, head + ", candidate int, params map<string,string>, scored_folds int",
+                   [*scorers, *[f"{n}_sd" for n in scorers]]))
+
+
+def run_experiment(df: DataFrame, spec: FeatureSpec, path: str, folder: str, outer: int = 5,
+                   inner: int = 5, scorers: Sequence[str] = ("auc", "tail_lift"), refit: str = "auc",
+                   seed: int = 123, cleaning: str | None = None) -> dict[str, DataFrame]:
+    """Read an experiment file, cross-validate, write scores, tuning results and their summary."""
+    config = read_experiment(df.sparkSession, path)
+    unknown = sorted(s for s in config["samplers"] if s not in SAMPLERS)
+    if unknown:
+        raise ValueError(f"no samplers {unknown}; known: {sorted(SAMPLERS)} (the generator stands for "
+                         "neural oversamplers and takes none of their training parameters)")
+    scores, tuning = nested_cv(df, spec, config, outer, inner, scorers, refit, seed, cleaning)
+    tables = {"scores": scores, "summary": score_summary(scores, ["sampler", "model"], list(scorers)),
+              "tuning": tuning.withColumn("params", F.to_json("params"))}
+    write_report(tables, folder)
+    return tables
 
 
 def dimension_sweep(df: DataFrame, spec: FeatureSpec, sizes: Sequence[int], samplers: Sequence[str],
@@ -384,6 +506,7 @@ def dimension_sweep(df: DataFrame, spec: FeatureSpec, sizes: Sequence[int], samp
 
     parts = in_threads(run, [(k, s) for k in sizes for s in samplers])
     rows = score_tables(parts, ["n_features", "sampler"], spec, scorers)
+    cut.unpersist()
     return _table(df.sparkSession, rows, "n_features int, sampler string", scorers)
 
 
@@ -404,6 +527,8 @@ def imbalance_sweep(df: DataFrame, spec: FeatureSpec, shares: Sequence[float], m
 
     jobs = [(s, i, f) for s in shares for i in range(repeats) for f in range(folds)]
     rows = score_tables(in_threads(run, jobs), ["share", "repeat", "fold"], spec, ["auc"])
+    for cut in cuts.values():
+        cut.unpersist()
     table = _table(df.sparkSession, rows, "share double, repeat int, fold int", ["auc"])
     return score_summary(table, ["share"], ["auc"])
 

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.functions.scalars import date_parts, day_diff, fallback
 from evenkeel.operators.levels import RARE_BELOW, RARE_MARKER
-from evenkeel.session import pin_small
+from evenkeel.operators.ordered import rank_rows
+from evenkeel.session import write_scratch
 
 
 def delivery_features(df: DataFrame, ordered: str, created: str, promised: str,
@@ -66,12 +67,14 @@ def level_table(train: DataFrame, columns: Sequence[str], pooled: Sequence[str],
     rare = F.col("col").isin(list(pooled)) & (F.col("n") < min_count)
     kept = found.withColumn("level", F.when(rare, F.lit(RARE_MARKER)).otherwise(F.col("level")))
     kept = kept.groupBy("col", "level").agg(F.min("first").alias("first"))
-    rank = F.row_number().over(Window.partitionBy("col").orderBy("first", "level")) - 1
-    return pin_small(kept.select("col", "level", rank.cast("int").alias("code")))
+    ranked = rank_rows(kept, "first", "level", by=["col"])
+    return write_scratch(ranked.select("col", "level", (F.col("rank") - 1).cast("int").alias("code")), "levels")
 
 
 def _apply_levels(df: DataFrame, table: DataFrame, columns: Sequence[str], pooled: Sequence[str],
                   coded: Sequence[str]) -> DataFrame:
+    rare = {r["col"]: r["code"] for r in table.filter(
+        (F.col("level") == RARE_MARKER) & F.col("col").isin(list(pooled))).collect()}
     for c in columns:
         one = table.filter(F.col("col") == c).select(
             F.col("level").alias("__level"), F.col("code").alias("__code"))
@@ -81,9 +84,7 @@ def _apply_levels(df: DataFrame, table: DataFrame, columns: Sequence[str], poole
         if c in coded:
             value = F.col("__code")
             if c in pooled:
-                marker = one.filter(F.col("__level") == RARE_MARKER).first()
-                other = F.lit(marker["__code"] if marker else None).cast("int")
-                value = F.when(unknown, other).otherwise(value)
+                value = F.when(unknown, F.lit(rare.get(c)).cast("int")).otherwise(value)
         else:
             value = F.when(unknown, F.lit(RARE_MARKER)).otherwise(F.col("__key"))
         df = joined.select(*[value.alias(x) if x == c else F.col(x) for x in df.columns])

@@ -54,6 +54,8 @@ def sampling_plan(df: DataFrame, label: str, strategy="auto", mode: str = "total
     elif isinstance(strategy, (int, float)) and not isinstance(strategy, bool):
         if len(counts) != 2:
             raise ValueError("a ratio needs a label with two classes")
+        if not 0 < strategy <= 1:
+            raise ValueError(f"a ratio is above 0 and at most 1, not {strategy}")
         small = min(counts, key=lambda c: (counts[c], str(c)))
         target = dict(counts) | {small: int(largest * strategy)}
     else:

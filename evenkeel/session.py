@@ -1,8 +1,10 @@
-"""Session settings, scratch storage and size-checked small tables."""
+"""Session settings, scratch storage and size-checked collects."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -42,6 +44,7 @@ def shared_folder(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
         folder = tempfile.mkdtemp(prefix="evenkeel-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark._evenkeel_scratch = folder
     return folder
 
@@ -70,14 +73,3 @@ def collect_small(df: DataFrame, what: str, max_rows: int = SMALL_ROWS) -> list:
         raise ValueError(f"{what}: more than {max_rows} rows, too many for a fitted state")
     return rows
 
-
-def pin_small(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """Turn an aggregate into a local table when it has at most ``max_rows`` rows.
-
-    The planner then knows its exact size and broadcasts it by its own rule.
-    A larger table comes back unchanged and is joined by shuffle.
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return df.sparkSession.createDataFrame(rows, df.schema)

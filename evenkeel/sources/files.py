@@ -9,6 +9,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Positions of a JSON object's arrays that are zipped at once.
+SLICE = 4096
+
+
 def load_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
@@ -27,19 +31,25 @@ def read_column_json(spark: SparkSession, path: str, label: str = "Y", features:
     """JSON objects with one array per column: ``(block, pos, label, f0, f1, ...)``.
 
     A file may be one object or, with ``multi_line=False``, one object per line;
-    ``block`` tells the objects apart. The arrays of an object are put together
-    by position and opened into rows where they are read, without a shuffle.
-    ``label`` may be nested once.
+    ``block`` tells the objects apart. The arrays of an object are cut into
+    slices of positions, zipped and opened into rows where they are read, so a
+    row carries its own cells only. ``label`` may be nested once; a label or
+    column that is shorter than the longest gives nulls.
     """
     raw = spark.read.option("multiLine", multi_line).json(path)
     kind = raw.schema[label].dataType
     y = F.flatten(label) if isinstance(kind.elementType, T.ArrayType) else F.col(label)
     width = raw.agg(F.max(F.size(features))).first()[0] or 0
-    rows = raw.select(
-        F.monotonically_increasing_id().alias("block"), F.col(features).alias("x"),
-        F.posexplode(y).alias("pos", "label"))
-    return rows.select("block", "pos", "label", *[
-        F.get(F.get("x", F.lit(i)), F.col("pos")).alias(f"f{i}") for i in range(width)])
+    cells = ["label", *[f"f{i}" for i in range(width)]]
+    whole = raw.select(
+        F.monotonically_increasing_id().alias("block"), y.alias("label"),
+        *[F.get(F.col(features), F.lit(i)).alias(f"f{i}") for i in range(width)])
+    long = F.coalesce(F.greatest(*[F.size(c) for c in cells], F.lit(0)), F.lit(0))
+    starts = F.when(long > 0, F.sequence(F.lit(0), long - 1, F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
+    cut = whole.select("*", F.explode(starts).alias("start")).select("block", "start", F.arrays_zip(
+        *[F.slice(c, F.col("start") + 1, SLICE).alias(c) for c in cells]).alias("rows"))
+    return cut.select("block", "start", F.posexplode("rows").alias("at", "row")).select(
+        "block", (F.col("start") + F.col("at")).alias("pos"), *[F.col("row")[c].alias(c) for c in cells])
 
 
 def write_report(tables: dict[str, DataFrame], folder: str) -> None:

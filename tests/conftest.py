@@ -10,7 +10,7 @@ from evenkeel.session import local_session  # noqa: E402
 
 @pytest.fixture(scope="session")
 def spark():
-    session = local_session(8)
+    session = local_session(os.environ.get("EVENKEEL_CORES", "8"))
     yield session
     session.stop()
 

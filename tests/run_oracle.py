@@ -15,7 +15,7 @@ from tests.oracle import connect, differences  # noqa: E402
 def main(folder: str, wanted: list[str]) -> int:
     import __spark_entry__ as entry
 
-    spark, con = local_session(8), connect(folder)
+    spark, con = local_session(int(os.environ.get("CORES", "8"))), connect(folder)
     queries, oracles = entry.queries(), entry.oracle_sql()
     bad = 0
     for name in wanted or queries:

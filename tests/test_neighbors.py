@@ -45,13 +45,13 @@ def lists(df):
 
 
 @pytest.mark.parametrize("within", [True, False])
-@pytest.mark.parametrize("sizes", [{}, {"cell_points": 25, "block_points": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"block_points": 20}])
 def test_numeric_neighbours(spark, within, sizes):
     pdf = table()
     assert lists(knn(spark.createDataFrame(pdf), SPEC, 4, within, **sizes)) == brute(pdf, 4, within)
 
 
-@pytest.mark.parametrize("sizes", [{}, {"cell_points": 25, "block_points": 20}])
+@pytest.mark.parametrize("sizes", [{}, {"block_points": 20}])
 def test_mixed_neighbours(spark, sizes):
     pdf = table(seed=2)
     got = lists(knn(spark.createDataFrame(pdf), MIXED, 3, False, penalty=2.5, **sizes))
@@ -60,7 +60,7 @@ def test_mixed_neighbours(spark, sizes):
 
 def test_query_classes_only_limit_who_asks(spark):
     pdf = table(seed=3)
-    got = lists(knn(spark.createDataFrame(pdf), SPEC, 3, False, query_classes=[1], cell_points=30))
+    got = lists(knn(spark.createDataFrame(pdf), SPEC, 3, False, query_classes=[1], block_points=30))
     want = {i: v for i, v in brute(pdf, 3, False).items() if pdf["y"].iloc[i] == 1}
     assert got == want
 
@@ -84,7 +84,7 @@ def test_tomek_links_by_brute_force(spark):
     y = pdf.set_index("id")["y"]
     want = {(i, j) for i, j in one.items() if i < j and one[j] == i and y[i] != y[j]}
     df = spark.createDataFrame(pdf)
-    assert {(r["a"], r["b"]) for r in tomek_links(df, SPEC, cell_points=40).collect()} == want
+    assert {(r["a"], r["b"]) for r in tomek_links(df, SPEC, block_points=40).collect()} == want
     gone = {i if y[i] == 0 else j for i, j in want}
     kept = {r["id"] for r in clean_tomek(df, SPEC, minority=1).collect()}
     assert kept == set(pdf["id"]) - gone
