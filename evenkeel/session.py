@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import zipfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -61,6 +62,24 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the Python workers, once for each context."""
+    context = spark.sparkContext
+    if getattr(context, "_evenkeel_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    folder = tempfile.mkdtemp(prefix="evenkeel-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    with zipfile.ZipFile(os.path.join(folder, "evenkeel_package.zip"), "w", zipfile.ZIP_DEFLATED) as packed:
+        for place, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    path = os.path.join(place, name)
+                    packed.write(path, os.path.relpath(path, os.path.dirname(root)))
+    context.addPyFile(packed.filename)
+    context._evenkeel_shipped = True
+
+
 def reuse(df: DataFrame) -> DataFrame:
     """Keep a table that several branches read; lost blocks are recomputed."""
     return df.persist(StorageLevel.MEMORY_AND_DISK)
