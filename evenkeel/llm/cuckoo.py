@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenkeel.session import write_scratch
+from evenkeel.session import ship_package, write_scratch
 
 CELL = 4
 KICKS = 200
@@ -126,6 +126,7 @@ class CuckooIndex:
     """Live texts by digest: ``insert``, ``delete`` and ``lookup`` take documents."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
+        ship_package(spark)
         self.spark, self.buckets = spark, buckets
         self.rows = self.live = self.filters = None
 

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.session import ship_package
+
 #: Pages of the table that are read to fit the potentials.
 SAMPLE_PAGES = 300
 
@@ -335,6 +337,7 @@ def fit_pages(pages: DataFrame, sample: int = SAMPLE_PAGES) -> TreeModel:
 
 def extract_text(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
     """``page_id``, ``url`` and ``text`` of every page."""
+    ship_package(pages.sparkSession)
     model = fit_pages(pages, sample)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

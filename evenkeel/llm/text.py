@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.session import ship_package
+
 WORD = r"[^\x20\x09-\x0D]+"
 #: Ids from here on stand for rows without a ``doc_id``; real ids are smaller.
 NO_ID = 2**62
@@ -49,6 +51,7 @@ def own_id(name: str = "id") -> Column:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """``doc_id``, ``id`` and ``h`` (row identity) and the text as UTF-8 bytes."""
+    ship_package(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select("doc_id", row_id().alias("id"), row_hash().alias("h"), text.cast("binary").alias("body"))
 
