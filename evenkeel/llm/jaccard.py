@@ -10,11 +10,15 @@ many segments of each kind a band gets is the cheapest mixture by a cost model
 of signatures and chance meetings. Empty parts meet often, so a band has some
 segments to spare, and a set with no more empty parts than that leaves them out.
 
-Sets that share a signature are candidates. Within a signature all are compared
-with its smallest set only; linked sets join one component, and only members of
-other components of the same signature are compared further, until every pair
-was compared or is connected. So a large group of near copies costs one
-comparison a member, and no link is lost. Candidates are verified on the texts.
+Sets that share a signature are candidates; what signatures connect is a clump.
+A clump is cut into blocks, and each pair of blocks is compared whole by matrix
+products of its shingles, which give back a forest of the links and never the
+pairs. A clump of more than ``DIRECT_BLOCKS`` blocks is thinned out first: within
+a signature all sets are compared with its smallest one, and only signatures
+whose members are then still in several components stay open; what these connect
+is cut into blocks. So a large group of near copies costs one comparison a
+member, every pair that shares a signature was compared or is connected, and no
+link is lost. All comparisons are made on the texts.
 
 A signature that repeats inside one Arrow batch is known to recur; its rows are
 dealt out by salt, and one of them stands for the batch where it is counted.
@@ -55,9 +59,12 @@ from evenkeel.session import write_scratch
 
 #: Share of the universe's cost model: what one chance meeting costs in signatures.
 MEETING_COST = 50.0
-#: Groups of a signature up to this size are compared pair by pair at the end.
-PAIR_GROUP = 100
-HUBS = 32
+#: Sets, and bytes of their texts, planned for one block of a clump.
+BLOCK_SETS, BLOCK_BYTES = 1200, 4 << 20
+#: Blocks of a clump up to which every two of them are compared at once.
+DIRECT_BLOCKS = 8
+#: Shingles that one matrix product looks at.
+COLUMNS = 4096
 SALTS = 1024
 #: Ids up to this many (16 bytes each) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -298,40 +305,94 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return write_scratch(found.dropDuplicates(["node"]), "texts")
 
 
+def linked_forest(sets: list[np.ndarray], names: list[int], percent: int) -> list[tuple[int, int]]:
+    """Links among sets of shingles, enough to connect what all of them connect.
+
+    Counts of common shingles come from products of 0/1 matrices, some thousand
+    shingles at a time; a shingle of one set only is left out.
+    """
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    keep = often[column] > 1
+    owner, column = owner[keep], np.unique(column[keep], return_inverse=True)[1]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    shared = np.zeros((len(sets), len(sets)), np.float32)
+    for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
+        x, y = np.searchsorted(column, [first, first + COLUMNS])
+        part = np.zeros((len(sets), COLUMNS), np.float32)
+        part[owner[x:y], column[x:y] - first] = 1
+        shared += part @ part.T
+    root = list(range(len(sets)))
+    found = []
+    for row in range(len(sets)):
+        both = shared[row, row + 1:].astype(np.int64)
+        union = sizes[row] + sizes[row + 1:] - both
+        for j in (np.flatnonzero((both > 0) & (100 * both >= percent * union)) + row + 1).tolist():
+            i = row
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            while root[j] != j:
+                root[j] = j = root[root[j]]
+            if i != j:
+                root[max(i, j)] = min(i, j)
+                found.append((names[i], names[j]))
+    return found
+
+
+def _clumps(meets: DataFrame, texts: DataFrame) -> DataFrame:
+    """What the pairs ``a``, ``b`` connect: ``clump``, ``node`` and the clump's ``blocks``."""
+    members = components(meets).select("node", F.col("comp").alias("clump")).join(
+        texts.select("node", F.length("body").alias("bytes")), "node")
+    blocks = members.groupBy("clump").agg(F.ceil(F.greatest(
+        F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
+    return write_scratch(members.join(blocks, "clump").select("clump", "node", "blocks"), "clumps")
+
+
+def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links (``a``, ``b``) inside clumps, block against block."""
+    def work(table: pa.Table) -> pa.Table:
+        names, sets = table.column("node").to_pylist(), []
+        for batch in table.select(["body"]).combine_chunks().to_batches():
+            for _, _, data, offsets in chunks(batch):
+                tokens, places = shingle_sets(data, offsets, width)
+                sets += [tokens[x:y] for x, y in zip(places[:-1], places[1:], strict=True)]
+        found = linked_forest(sets, names, percent)
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()),
+                         "b": pa.array([x for _, x in found], pa.int64())})
+
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    dealt = clumps.withColumn("own", own).select(
+        "clump", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "clump", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(texts, "node").groupBy("clump", "i", "j").applyInArrow(work, "a long, b long")
+
+
 def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Components of the similarity graph: ``node`` and ``comp`` for every linked node."""
     meet = write_scratch(_recurring(_signed(docs, width, percent)), "signatures")
     texts = _texts(docs, sets, meet.select("node").distinct())
-    hubs = meet.groupBy("sig").agg(F.min("node").alias("b"))
-    pairs = meet.join(hubs, "sig").filter("node != b").select(F.col("node").alias("a"), "b").distinct()
-    found = write_scratch(_verified(pairs, texts, width, percent), "links")
-    labels = components(found)
-    rest = meet.join(hubs, "sig").filter("node != b").select("sig", "node")
-    while True:
-        # members of one signature that are not connected yet, without the hubs compared already
-        marked = rest.join(labels, "node", "left").select(
-            "sig", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = marked.groupBy("sig").agg(
-            F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo < hi")
-        left = write_scratch(marked.join(open_.select("sig", "n"), "sig").distinct(), "open")
-        small, large = left.filter(F.col("n") <= PAIR_GROUP), left.filter(F.col("n") > PAIR_GROUP)
-        x, y = small.alias("x"), small.alias("y")
-        pairs = x.join(y, (F.col("x.sig") == F.col("y.sig")) & (F.col("x.node") > F.col("y.node")) & (
-            F.col("x.comp") != F.col("y.comp"))).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-        ranked = large.withColumn("place", place)
-        first = ranked.filter(F.col("place") <= HUBS).select(
-            "sig", F.col("node").alias("b"), F.col("comp").alias("cb"))
-        more = large.join(first, "sig").filter((F.col("node") > F.col("b")) & (F.col("comp") != F.col("cb"))).select(
-            F.col("node").alias("a"), "b")
-        pairs = write_scratch(pairs.unionByName(more).distinct(), "pairs")
-        again = write_scratch(_verified(pairs, texts, width, percent), "links")
-        found = found.unionByName(again)
-        if again.limit(1).count():
-            labels = components(found)
-        if not large.limit(1).count():
-            return labels
-        rest = write_scratch(ranked.filter(F.col("place") > HUBS).select("sig", "node"), "rest")
+    hubs = meet.groupBy("sig").agg(F.min("node").alias("hub"))
+    starred = meet.join(hubs, "sig").filter("node != hub")
+    pairs = write_scratch(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
+    clumps = _clumps(pairs, texts)
+    found = write_scratch(_clump_links(
+        clumps.filter(F.col("blocks") <= DIRECT_BLOCKS), texts, width, percent), "links")
+    wide = clumps.filter(F.col("blocks") > DIRECT_BLOCKS).select("node")
+    if wide.limit(1).count():
+        star = write_scratch(_verified(pairs.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"),
+                                       texts, width, percent), "links")
+        # the hub was compared with all; the others need no more if one component holds them
+        rest = starred.join(wide, "node", "left_semi").select("sig", "node").join(
+            components(star), "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+        open_ = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                        F.min("node").alias("b")).filter("lo < hi")
+        meets = write_scratch(rest.join(open_.select("sig", "b"), "sig").filter("node != b").select(
+            F.col("node").alias("a"), "b").distinct(), "open")
+        more = write_scratch(_clump_links(_clumps(meets, texts), texts, width, percent), "links")
+        found = found.unionByName(star).unionByName(more)
+    return components(found)
 
 
 def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:

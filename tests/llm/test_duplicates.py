@@ -58,16 +58,25 @@ def test_one_of_each_group_stays_with_its_columns(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-def test_crowded_signatures_are_compared_in_rounds(spark, monkeypatch):
-    """Many unlike texts under one signature: hubs first, then what is left."""
-    monkeypatch.setattr(jaccard, "PAIR_GROUP", 3)
-    monkeypatch.setattr(jaccard, "HUBS", 2)
+@pytest.mark.parametrize("direct", [100, 2])
+def test_clumps_are_compared_block_against_block(spark, monkeypatch, direct):
+    """Many unlike texts that share signatures, in blocks of a few, at once or thinned out first."""
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    monkeypatch.setattr(jaccard, "DIRECT_BLOCKS", direct)
+    monkeypatch.setattr(jaccard, "COLUMNS", 16)
     words = vocabulary(5)
     rng = random.Random(5)
     rows = [(i, " ".join(rng.choice(words[:6]) for _ in range(7))) for i in range(120)]
+    base = [rng.choice(words) for _ in range(120)]
+    for i in range(60):  # a family around the threshold: some pairs are linked, some not
+        copy = list(base)
+        for _ in range(rng.randint(2, 6)):
+            copy[rng.randrange(len(copy))] = f"w{rng.randint(0, 40)}"
+        rows.append((1000 + i, " ".join(copy)))
     got = {r.doc_id: (r.n_shingles, r.component_id)
-           for r in jaccard.similar_groups(table(spark, rows), 2, 60).collect()}
-    assert got == brute.similar_groups(rows, 2, 60)
+           for r in jaccard.similar_groups(table(spark, rows), 2, 80).collect()}
+    want = brute.similar_groups(rows, 2, 80)
+    assert got == want and len({c for i, (_, c) in want.items() if i >= 1000}) > 1
 
 
 def test_components_of_a_chain_and_a_star(spark):
