@@ -27,9 +27,9 @@ from evenkeel.llm.text import (
     arrow_batch,
     as_signed,
     chunks,
-    find_words,
     keyed,
     mix,
+    own_id,
     word_hashes,
 )
 from evenkeel.session import write_scratch
@@ -40,7 +40,9 @@ OUT_ROWS = 200_000
 #: Runs of one minimiser that differ: up to this many go to its bucket, of more every window goes
 #: to the window's own key.
 BUCKET_RUNS = 8_000
-RUN = "id long, h long, start int, n int, key long, name long"
+#: Runs of a batch that are looked at together.
+LOOK_RUNS = 150_000
+RUN = "id long, h long, start int, n int, key long, name long, again boolean"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,55 +106,70 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
 
     What repeats inside one Arrow batch is known to recur and is dealt out by
     salt; one row without windows stands for it where minimisers are counted.
+    ``again`` marks a run that its own document had before.
     """
+    def rows_out(found: list) -> Iterator[pa.RecordBatch]:
+        ids, hs, start, n, key, name = (np.concatenate(x) for x in zip(*found, strict=True))
+        if not len(ids):
+            return
+        order = np.argsort(key)
+        new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        more = ~new | np.concatenate([~new[1:], [False]])
+        shared = np.zeros(len(key), bool)
+        shared[order] = more
+        again = np.zeros(len(key), bool)
+        some = np.flatnonzero(shared)
+        some = some[np.lexsort((start[some], n[some], name[some], key[some], hs[some], ids[some]))]
+        again[some[1:]] = np.logical_and.reduce([c[some[1:]] == c[some[:-1]] for c in (ids, hs, key, name, n)])
+        salt = np.where(shared, 1 + mix(name + start.astype(np.uint64) + hs.view(np.uint64))
+                        % np.uint64(SALTS), 0).astype(np.int32)
+        yield from _slices({
+            "id": ids, "h": hs, "start": start.astype(np.int32), "n": n.astype(np.int32),
+            "key": as_signed(key), "name": as_signed(name), "again": again, "salt": salt})
+        stand = as_signed(key[order[new & more]])
+        zero = np.zeros(len(stand), np.int64)
+        yield from _slices({
+            "id": zero, "h": zero, "start": zero.astype(np.int32), "n": zero.astype(np.int32),
+            "key": stand, "name": zero, "again": zero.astype(bool), "salt": zero.astype(np.int32)})
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(kind)
         for batch in batches:
             ids = batch.column("id").to_numpy()
             hs = batch.column("h").to_numpy()
-            found = []
+            found, held = [], 0
             for first, _, data, offsets in chunks(batch):
                 rolling, sums, content, places = units.read(data, offsets)
                 doc, at, n, key = window_runs(rolling, sums, places, width, seed)
                 name = CONTENT.runs(content, at, at + n + width - 1)
-                found.append((doc + first, at - places[doc], n, key, name))
-            doc, start, n, key, name = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (
-                [np.zeros(0, np.int64)] * 5)
-            if not len(doc):
-                continue
-            order = np.argsort(key)
-            new = np.concatenate([[True], key[order][1:] != key[order][:-1]])
-            again = ~new | np.concatenate([~new[1:], [False]])
-            shared = np.zeros(len(key), bool)
-            shared[order] = again
-            salt = np.where(shared, 1 + mix(name + start.astype(np.uint64) + hs[doc].view(np.uint64))
-                            % np.uint64(SALTS), 0).astype(np.int32)
-            yield from _slices({
-                "id": ids[doc], "h": hs[doc], "start": start.astype(np.int32), "n": n.astype(np.int32),
-                "key": as_signed(key), "name": as_signed(name), "salt": salt})
-            stand = as_signed(key[order[new & again]])
-            zero = np.zeros(len(stand), np.int64)
-            yield from _slices({
-                "id": zero, "h": zero, "start": zero.astype(np.int32), "n": zero.astype(np.int32),
-                "key": stand, "name": zero, "salt": zero.astype(np.int32)})
+                found.append((ids[doc + first], hs[doc + first], at - places[doc], n, key, name))
+                held += len(doc)
+                if held > LOOK_RUNS:
+                    yield from rows_out(found)
+                    found, held = [], 0
+            if found:
+                yield from rows_out(found)
 
     found = rows.select("id", "h", "body").mapInArrow(work, f"{RUN}, salt int")
     seen = F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))
     return found.withColumn("seen", seen).filter(
         (F.col("n") > 0) & ((F.col("salt") > 0) | (F.col("seen") > 1))).select(
-        "id", "h", "start", "n", "key", "name")
+        "id", "h", "start", "n", "key", "name", "again")
 
 
 class Repeats:
     """Copies of runs and, where runs differ under one minimiser, copies of their windows.
 
-    ``keep_first`` leaves the first place of every window alone (by ``id``, ``h``
-    and start); otherwise all places of a window that repeats are found.
+    ``keep_first`` leaves the first place of every window alone (by ``id``, then
+    start; rows that share an id but not the text are not ordered among each
+    other); otherwise all places of a window that repeats are found.
     """
 
     def __init__(self, docs: DataFrame, kind: str, width: int, seed: int, keep_first: bool,
                  bucket_units: int, in_bucket: Callable, bucket_runs: int = BUCKET_RUNS):
-        self.rows, self.kind, self.width, self.seed = keyed(docs), kind, width, seed
+        # the same columns wherever texts are dealt out, so that they are dealt out once
+        self.rows = keyed(docs).select("id", "h", "body")
+        self.kind, self.width, self.seed = kind, width, seed
         self.keep_first, self.bucket_units = keep_first, bucket_units
         self.in_bucket, self.bucket_runs = in_bucket, bucket_runs
 
@@ -160,18 +177,22 @@ class Repeats:
         """``id``, ``h``, ``a`` and ``b``: the spans of the windows that are found."""
         width = self.width
         runs = write_scratch(recurring_runs(self.rows, self.kind, width, self.seed), "runs")
-        place = F.struct("id", "h", "start")
-        kinds = write_scratch(runs.groupBy("key", "name", "n").agg(
-            F.min(place).alias("lo"), F.max(place).alias("hi")).select(
-            "key", "name", "n", "lo", (F.col("lo") < F.col("hi")).alias("copied")), "kinds")
-        copies = runs.join(kinds.filter("copied"), ["key", "name", "n"])
-        if self.keep_first:
-            copies = copies.filter((F.col("id") != F.col("lo.id")) | (F.col("h") != F.col("lo.h"))
-                                   | (F.col("start") != F.col("lo.start")))
-        found = copies.select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
+        # what stands at one place only is no copy, however often its row is repeated
+        place = F.xxhash64("id", "h", "start")
+        kinds = write_scratch(runs.withColumn("place", place).groupBy("key", "name", "n").agg(
+            F.min("id").alias("low"), F.min("place").alias("p"), F.max("place").alias("q")).select(
+            "key", "name", "n", "low", "p", (F.col("p") < F.col("q")).alias("copied")), "kinds")
         several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        asked = write_scratch(kinds.join(several, "key").select(
-            "lo.*", "n", "key", "copied", (F.col("kinds") > self.bucket_runs).alias("hot")), "asked")
+        marks = kinds.join(several, "key", "left").filter("copied or kinds > 1").withColumn(
+            "kinds", F.coalesce("kinds", F.lit(1)))
+        # one place stands for all copies of a run: the first, which may be several rows of one id
+        first = (F.col("id") == F.col("low")) & ~F.col("again") if self.keep_first else place == F.col("p")
+        known = write_scratch(runs.join(marks, ["key", "name", "n"]).select(
+            "id", "h", "start", "n", "key", "copied", "kinds", first.alias("first")), "known")
+        copies = known.filter(F.col("copied") & ~F.col("first") if self.keep_first else F.col("copied"))
+        found = copies.select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
+        asked = known.filter("first and kinds > 1").select(
+            "id", "h", "start", "n", "key", "copied", (F.col("kinds") > self.bucket_runs).alias("hot"))
         units = asked.agg(F.sum(F.when(~F.col("hot"), F.col("n") + width - 1))).first()[0] or 0
         buckets = max(1, -(-units // self.bucket_units))
         cold = self._strings(asked.filter(~F.col("hot")), buckets)
@@ -182,8 +203,8 @@ class Repeats:
         return found
 
     def _asked(self, asked: DataFrame) -> DataFrame:
-        wanted = asked.groupBy(*ROW).agg(F.collect_list(F.struct("start", "n", "key", "copied")).alias("runs"))
-        return self.rows.select("id", "h", "body").join(wanted, ROW).dropDuplicates(ROW)
+        wanted = asked.groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "key", "copied")).alias("runs"))
+        return self.rows.join(wanted, ROW).dropDuplicates(ROW)
 
     def _strings(self, asked: DataFrame, buckets: int) -> DataFrame:
         """Each run as one packed string, with the bucket of its minimiser."""
@@ -208,7 +229,7 @@ class Repeats:
                          pa.array(out["copied"], pa.bool_()), pa.array(out["body"], pa.binary())],
                         names=list(out))
 
-        return self._asked(asked).select("id", "h", "body", "runs").mapInArrow(
+        return self._asked(asked).mapInArrow(
             work, "bucket long, id long, h long, start int, copied boolean, body binary")
 
     def _by_window(self, asked: DataFrame) -> DataFrame:
@@ -223,29 +244,31 @@ class Repeats:
                     rolling, sums, content, _ = units.read(data, np.array([0, len(data)]))
                     at = np.concatenate([np.arange(r["start"], r["start"] + r["n"]) for r in row["runs"]])
                     copied = np.concatenate([np.full(r["n"], r["copied"]) for r in row["runs"]])
+                    x = as_signed(rolling.runs(sums, at, at + width))
+                    y = as_signed(CONTENT.runs(content, at, at + width))
+                    order = np.lexsort((at, y, x))
+                    again = np.zeros(len(at), bool)
+                    again[order[1:]] = (x[order[1:]] == x[order[:-1]]) & (y[order[1:]] == y[order[:-1]])
                     yield from _slices({
-                        "x": as_signed(rolling.runs(sums, at, at + width)),
-                        "y": as_signed(CONTENT.runs(content, at, at + width)),
-                        "id": np.full(len(at), row["id"], np.int64), "h": np.full(len(at), row["h"], np.int64),
-                        "start": at.astype(np.int32), "copied": copied})
-
-        windows = write_scratch(self._asked(asked).select("id", "h", "body", "runs").mapInArrow(
-            work, "x long, y long, id long, h long, start int, copied boolean"), "windows")
-        place = F.struct("id", "h", "start")
-        known = windows.groupBy("x", "y").agg(F.min(place).alias("lo"), F.max(place).alias("hi"),
-                                              F.max("copied").alias("any")).filter(
-            (F.col("lo") < F.col("hi")) | F.col("any"))
+                        "x": x, "y": y, "id": np.full(len(at), row["id"], np.int64),
+                        "h": np.full(len(at), row["h"], np.int64), "start": at.astype(np.int32),
+                        "copied": copied, "again": again})
+
+        windows = write_scratch(self._asked(asked).mapInArrow(
+            work, "x long, y long, id long, h long, start int, copied boolean, again boolean"), "windows")
+        place = F.xxhash64("id", "h", "start")
+        known = windows.withColumn("place", place).groupBy("x", "y").agg(
+            F.min("id").alias("low"), F.min("place").alias("p"), F.max("place").alias("q"),
+            F.max("copied").alias("any")).filter((F.col("p") < F.col("q")) | F.col("any"))
         both = windows.join(known, ["x", "y"])
         if self.keep_first:
-            both = both.filter((F.col("id") != F.col("lo.id")) | (F.col("h") != F.col("lo.h"))
-                               | (F.col("start") != F.col("lo.start")))
+            both = both.filter((F.col("id") != F.col("low")) | F.col("again"))
         return both.select("id", "h", F.col("start").alias("a"), (F.col("start") + width).alias("b"))
 
     def marked(self) -> DataFrame:
         """Every row with its bytes and the spans found in it (null: none)."""
         spans = self.spans().groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-        return self.rows.select("doc_id", "id", "h", "body").join(spans, ROW, "left").select(
-            F.col("doc_id").cast("long").alias("doc_id"), "body", "spans")
+        return self.rows.join(spans, ROW, "left").select(own_id().alias("doc_id"), "body", "spans")
 
 
 def covered(size: int, spans: list[dict] | None) -> np.ndarray:
