@@ -6,10 +6,11 @@ that space is the sort key, so that neighbours on the curve are alike. Documents
 are range-sorted by key, laid end to end and cut every ``length`` ids: all
 sequences are full but the last one.
 
-The range-sorted table is written once with the place of each document inside
-its partition; the partitions' totals (one number each) give the places in the
-whole. So ids are computed once, nothing is sorted twice, and a lost executor
-changes no place.
+Bounds of the ranges come from the keys of a sample of documents; a key that
+fills several ranges is dealt out among them by a hash of the row. The sorted
+table is written once with the place of each document inside its range; the
+ranges' totals (one number each) give the places in the whole. So all ids are
+computed once and a lost executor changes no place.
 
 Cases: a null or empty text is the end id alone; a long text spans many
 sequences; rows that repeat ``doc_id`` and text are packed as often as they
@@ -25,7 +26,6 @@ from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,6 +38,8 @@ DIMS = 4
 #: Bits of each coordinate; DIMS * BITS stays below 63.
 BITS = 15
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
+#: Ranges of the curve for each shuffle partition, sampled documents for each range, and at most.
+RANGES, SAMPLED, SAMPLE_ROWS, SAMPLE_SEED = 2, 25, 400_000, 5
 #: Chunks whose ids a task remembers; beyond that it starts again.
 REMEMBERED = 400_000
 BATCH = 512
@@ -166,16 +168,35 @@ def _encoded(docs: DataFrame) -> DataFrame:
     return df.mapInArrow(work, "doc_id long, id long, h long, key long, ids binary")
 
 
+def _in_range(bounds: np.ndarray):
+    """Add the range of each document; equal bounds share their key's documents."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column("key").to_numpy()
+            low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
+            spread = mix(batch.column("id").to_numpy().view(np.uint64)
+                         ^ batch.column("h").to_numpy().view(np.uint64)) % (high - low + 1).astype(np.uint64)
+            yield arrow_batch({
+                **{c: batch.column(c) for c in batch.schema.names},
+                "part": (low + spread.astype(np.int64)).astype(np.int32)})
+    return work
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add the partition and how many of its ids stand before each document."""
-    part, before = TaskContext.get().partitionId(), 0
+    """Add how many ids of its range stand before each document; ranges follow each other."""
+    last, before = -1, 0
     for batch in batches:
+        parts = batch.column("part").to_numpy()
         sizes = np.array([len(x) // 2 for x in batch.column("ids").to_pylist()], np.int64)
-        ends = before + np.cumsum(sizes)
-        yield arrow_batch({
-            "doc_id": batch.column("doc_id"), "part": np.full(len(sizes), part, np.int32),
-            "before": ends - sizes, "size": sizes, "ids": batch.column("ids")})
-        before = int(ends[-1]) if len(ends) else before
+        ahead = np.concatenate([[0], np.cumsum(sizes)])
+        first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else []
+        start = np.repeat(ahead[first], np.diff(np.append(first, len(parts)))) if len(parts) else sizes
+        place = ahead[:-1] - start
+        if len(parts):
+            place[parts == last] += before
+            yield arrow_batch({"doc_id": batch.column("doc_id"), "part": parts, "before": place,
+                               "size": sizes, "ids": batch.column("ids")})
+            last, before = int(parts[-1]), int(place[-1] + sizes[-1])
 
 
 def _cutter(length: int):
@@ -204,9 +225,15 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     """One row for each piece of a document in a sequence; ``ids`` are little-endian 32-bit."""
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = ["key", "id", "h"]
-    line = write_scratch(_encoded(docs).repartitionByRange(parts, *order).sortWithinPartitions(
-        *order).mapInArrow(_placed, "doc_id long, part int, before long, size long, ids binary"), "curve")
+    ranges = RANGES * parts
+    share = min(1.0, min(SAMPLE_ROWS, SAMPLED * ranges) / max(docs.count(), 1))
+    keys = np.sort([r["key"] for r in _encoded(
+        docs if share == 1.0 else docs.sample(False, share, SAMPLE_SEED)).select("key").collect()])
+    bounds = keys[[len(keys) * i // ranges for i in range(1, ranges)]] if len(keys) else np.zeros(0, np.int64)
+    fields = "doc_id long, id long, h long, key long, ids binary, part int"
+    line = write_scratch(_encoded(docs).mapInArrow(_in_range(bounds), fields).repartition(
+        parts, "part").sortWithinPartitions("part", "key", "id", "h").mapInArrow(
+        _placed, "doc_id long, part int, before long, size long, ids binary"), "curve")
     totals = {r["part"]: r["n"] for r in line.groupBy("part").agg(F.sum("size").alias("n")).collect()}
     numbers = sorted(totals)
     starts = zip(numbers, accumulate([0, *(totals[p] for p in numbers)]), strict=False)
