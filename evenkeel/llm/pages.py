@@ -279,13 +279,32 @@ MARKED_PAGES = [
     <div class="widget"><h4>Popular</h4><ul><li><a>First</a></li><li><a>Second</a></li></ul></div></div>
     <form class="search"><p>Search the site</p></form><footer>Made by hand. <a>Contact</a></footer></body>
     </html>""",
-    """<html><body><header><h1>Site name</h1><p>The line below the name of the site</p></header><article>
-    <mark-content><section><h2>A part</h2><p>Words of the part, as many as it takes to say what is meant.</p>
+    """<html><body><header><h1>Site name</h1><p>The line below the name of the site</p></header><mark-content><article>
+    <section><h2>A part</h2><p>Words of the part, as many as it takes to say what is meant.</p>
     </section><section><h2>Next part</h2><p>More words, in the next part, about the same things.</p><figure>
-    <figcaption>What the picture shows</figcaption></figure></section></mark-content><div class="promo">
+    <figcaption>What the picture shows</figcaption></figure></section><div class="promo">
     <p>Read our other articles about this, they are good.</p></div><aside><p>A box with facts that stands
-    beside the text.</p></aside></article><div class="sponsored"><p>An offer by our partner, for you and
+    beside the text.</p></aside></article></mark-content><div class="sponsored"><p>An offer by our partner, for you and
     your family.</p></div><footer><div><p>Address of the publisher</p></div></footer></body></html>""",
+    """<html><body><nav id="menu"><ul><li><a>Top</a></li><li><a>Sports</a></li><li><a>Arts</a></li></ul></nav>
+    <mark-content><article><h1>Short news</h1><p>Rain fell.</p><p>Then the sun came out, and all went for a
+    walk along the river until the evening.</p><ul><li>Umbrellas were put away.</li><li>Ice was sold.</li></ul>
+    <p>The end.</p></article></mark-content><div class="related"><h3>More</h3><p>Snow in the hills</p></div>
+    <div class="comments"><p>Lovely day.</p><p>I stayed in and read, which was lovely as well, I must say.</p>
+    </div><footer><p>Terms and imprint of this site.</p></footer></body></html>""",
+    """<html><body><div class="header"><h1>Shop</h1></div><div class="main"><mark-content><div class="content">
+    <h1>How to bake bread</h1><p>Mix flour, water, salt and yeast, and let the dough rest for a night.</p>
+    <ol><li>Heat the oven as hot as it gets.</li><li>Bake for half an hour.</li></ol><h3>Tips</h3><p>Use less
+    yeast.</p><table><tr><td>Flour</td><td>500 g</td></tr><tr><td>Water</td><td>350 g</td></tr></table></div>
+    </mark-content><div class="sidebar"><p>Our new oven gloves are here, come and look at them.</p><form><p>Your
+    address</p></form></div></div><div class="cookie banner"><p>This shop uses cookies to remember your
+    basket.</p></div><div class="footer"><p>Shop, Main street 1</p></div></body></html>""",
+    """<html><body><aside class="ad"><p>The best price for your old car, call us now.</p></aside><main>
+    <mark-content><article><header><h1>On rivers</h1></header><section><p>Rivers run from the hills to the
+    sea, and they take sand with them on the way.</p><blockquote>All things flow.</blockquote></section>
+    <section><h2>Lakes</h2><p>Lakes hold the water for a while.</p><p>Some dry out.</p></section></article>
+    </mark-content></main><section id="comments"><h2>Replies</h2><article class="comment"><p>I live at a lake
+    and can say that this is so.</p></article></section><footer>About us</footer></body></html>""",
 ]
 
 

@@ -110,7 +110,8 @@ def votes(q) -> dict[str, Column]:
         "line_copies": _low(share("n_dup_lines", "n_lines"), 0.05, 0.6),
         "repeats": F.when(100 * q("n_repeat_words") <= 2 * q("n_words"), 1).otherwise(0),
         "word_length": _vote(length, (length >= 3) & (length <= 10), (length < 2) | (length > 15)),
-        "sentences": -_low(share("n_ended", "n_lines"), 0.3, 0.8),
+        "sentences": _vote(share("n_ended", "n_lines"), 10 * q("n_ended") >= 8 * q("n_lines"),
+                           (q("n_lines") >= 5) & (10 * q("n_ended") <= 2 * q("n_lines"))),
         "variety": -_low(share("n_distinct", "n_words"), 0.05, 0.2),
         "size": F.when(q("n_words") >= 40, 1).otherwise(0),
     }
