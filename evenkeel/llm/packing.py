@@ -20,6 +20,7 @@ occur, side by side; equal keys are ordered by id; an empty table packs nothing.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import accumulate
@@ -45,6 +46,10 @@ REMEMBERED = 400_000
 BATCH = 512
 
 
+#: A space that does not stand before a chunk.
+_SPACED = re.compile(r" (?:\s|\Z)")
+
+
 # ---- tokens -----------------------------------------------------------------------
 
 def _tokenizer_path(name: str) -> str:
@@ -75,7 +80,8 @@ class Encoder:
         self.known: dict[str, bytes] = {}
 
     def _chunk(self, text: str) -> bytes:
-        ids = np.array(self.pieces.encode_ordinary(text), np.uint16).tobytes()
+        """Ids of a space and the characters after it, remembered by the latter."""
+        ids = np.array(self.pieces.encode_ordinary(f" {text}"), np.uint16).tobytes()
         if len(self.known) >= REMEMBERED:
             self.known.clear()
         self.known[text] = ids
@@ -84,13 +90,13 @@ class Encoder:
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or "\x85" in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-        cut = text.split(" ")
-        if "" in cut[1:] or any(c[:1].isspace() for c in cut[1:]):
+        if _SPACED.search(text):
             return np.array(self.pieces.encode_ordinary(text), np.uint16)
-        get = self.known.get
-        found = [get(" " + c) or self._chunk(" " + c) for c in cut[1:]]
-        first = (get(cut[0]) or self._chunk(cut[0])) if cut[0] else b""
-        return np.frombuffer(first + b"".join(found), np.uint16)
+        first, *rest = text.split(" ")
+        get, chunk = self.known.get, self._chunk
+        found = [get(c) or chunk(c) for c in rest]
+        found.insert(0, np.array(self.pieces.encode_ordinary(first), np.uint16).tobytes())
+        return np.frombuffer(b"".join(found), np.uint16)
 
 
 @lru_cache(maxsize=1)
