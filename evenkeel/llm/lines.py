@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenkeel.llm.text import WORD, row_hash, row_id
+from evenkeel.session import write_scratch
 
 DEPTH = 3
 MIN_DOCS = 10
@@ -32,6 +33,8 @@ CONSTANT = 0.3
 SIMILAR = 0.75
 LEAST_CONSTANTS = 4
 FIELD = "<*>"
+#: Leaves (8 bytes each) up to which they are sent to the lines; more are joined by document.
+BROADCAST_LEAVES = 1_000_000
 ROW = ["__id", "__h"]
 
 
@@ -60,14 +63,18 @@ def _opened(rows: DataFrame, min_docs: int) -> DataFrame:
     """Lines of recurring leaves: document, line number, leaf and masked tokens."""
     leaves = rows.select(*ROW, F.explode(F.array_distinct(F.filter(
         F.transform(_tokens(), _leaf), lambda x: x.isNotNull()))).alias("leaf")).distinct()
-    often = leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_docs)
-    asked = leaves.join(often.select("leaf"), "leaf", "left_semi").groupBy(*ROW).agg(
-        F.collect_list("leaf").alias("__leaves"))
-    cut = rows.select(*ROW, "text").distinct().join(asked, ROW).select(
-        *ROW, "__leaves", F.posexplode(_tokens()).alias("line", "tokens"))
-    return cut.withColumn("leaf", _leaf(F.col("tokens"))).filter(
-        F.array_contains("__leaves", F.col("leaf"))).select(
-        *ROW, "line", "leaf", F.transform("tokens", _masked).alias("tokens"))
+    often = write_scratch(leaves.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= min_docs).select("leaf"), "leaves")
+    if often.count() <= BROADCAST_LEAVES:
+        cut = rows.select(*ROW, F.posexplode(_tokens()).alias("line", "tokens")).withColumn(
+            "leaf", _leaf(F.col("tokens"))).join(F.broadcast(often), "leaf", "left_semi")
+    else:
+        asked = leaves.join(often, "leaf", "left_semi").groupBy(*ROW).agg(
+            F.collect_list("leaf").alias("__leaves"))
+        cut = rows.select(*ROW, "text").join(asked, ROW).select(
+            *ROW, "__leaves", F.posexplode(_tokens()).alias("line", "tokens")).withColumn(
+            "leaf", _leaf(F.col("tokens"))).filter(F.array_contains("__leaves", F.col("leaf")))
+    return write_scratch(cut.select(*ROW, "line", "leaf", F.transform("tokens", _masked).alias("tokens")), "lines")
 
 
 def _templates(lines: DataFrame) -> DataFrame:

@@ -160,7 +160,9 @@ def _plain_templates(rows, min_docs):
     return {k: min(v) for k, v in holders.items() if len(v) >= min_docs}
 
 
-def test_recurring_lines_go_from_all_but_the_first(docs, rows):
+@pytest.mark.parametrize("broadcast", [10**6, 0])
+def test_recurring_lines_go_from_all_but_the_first(docs, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(lines, "BROADCAST_LEAVES", broadcast)
     got = {r.doc_id: r for r in lines.drop_recurring(docs, 5).collect()}
     often = _plain_templates(rows, 5)
     assert any("<*>" in k for k in often)
