@@ -2,11 +2,15 @@
 
 The tree has a fixed depth: a line goes to the leaf named by its token count
 and its first ``DEPTH`` tokens, where a token with a digit counts as a variable
-field. Inside a leaf a token stays constant where at least ``CONSTANT`` of the
-leaf's lines agree on it; the other places become fields, if at least
-``SIMILAR`` of the tokens and ``LEAST_CONSTANTS`` of them stay constant (else
-the line is its own template). A template found in ``MIN_DOCS`` documents or
-more is dropped from all of them but the first (smallest ``doc_id``), so that a
+field. A leaf may hold many templates. A token that fewer than ``MIN_DOCS`` of
+the leaf's lines have at its place cannot be constant in a template that counts
+and becomes a field. Then, round by round, templates that are alike in all but
+one place are held against each other: a token stays constant where at least
+``CONSTANT`` of their lines agree on it, else the place becomes a field. At
+least ``SIMILAR`` of the tokens and ``LEAST_CONSTANTS`` of them must stay
+constant (else the line is its own template). A line that is left over and has
+all constants of a template that counts joins it. A template found in
+``MIN_DOCS`` documents or more is dropped from all of them but the first (smallest ``doc_id``), so that a
 text that was copied many times is not lost altogether.
 
 Only leaves that recur are opened: a template has at most as many documents as
@@ -77,35 +81,100 @@ def _opened(rows: DataFrame, min_docs: int) -> DataFrame:
     return write_scratch(cut.select(*ROW, "line", "leaf", F.transform("tokens", _masked).alias("tokens")), "lines")
 
 
-def _templates(lines: DataFrame) -> DataFrame:
+def _kinds(lines: DataFrame) -> DataFrame:
+    """Each different line: ``leaf``, ``body`` (hash), rows ``n``, ``size`` and ``marks``.
+
+    A mark is the hash of a place and its token; fields have none. A template
+    is named by all its marks xored, so that one mark less is one xor.
+    """
+    return write_scratch(lines.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n")).select(
+        "leaf", F.xxhash64("tokens").alias("body"), "n", F.size("tokens").alias("size"),
+        F.transform(F.filter(F.transform("tokens", lambda t, i: F.struct(i.alias("i"), t.alias("t"))),
+                             lambda x: x["t"] != FIELD), lambda x: F.xxhash64(x["i"], x["t"])).alias("marks")), "kinds")
+
+
+def _enough(stays: Column) -> Column:
+    return (stays >= LEAST_CONSTANTS) & (stays >= SIMILAR * F.col("size"))
+
+
+def _name(marks: str = "marks") -> Column:
+    return F.aggregate(marks, F.lit(0).cast("long"), lambda x, m: x.bitwiseXOR(m))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    """Rows of leaves that have more than one."""
+    return rows.join(rows.groupBy("leaf").agg(F.count(F.lit(1)).alias("kinds")).filter(
+        "kinds > 1").select("leaf"), "leaf", "left_semi")
+
+
+def _moves(rows: DataFrame) -> DataFrame:
+    """For each template (``leaf``, ``name``) the ``mark`` that becomes a field.
+
+    Templates that are alike in all other places form a group; a token that
+    fewer than ``CONSTANT`` of the group's lines have there is variable. The
+    largest such group decides.
+    """
+    now = rows.groupBy("leaf", "name").agg(
+        F.sum("n").alias("n"), F.first("size").alias("size"), F.first("marks").alias("marks"))
+    now = _several(now)
+    less = now.filter(_enough(F.size("marks") - 1)).select(
+        "leaf", "name", "n", F.explode("marks").alias("mark")).withColumn(
+        "rest", F.col("name").bitwiseXOR(F.col("mark")))
+    groups = less.select("leaf", "rest", "n").unionByName(
+        now.select("leaf", F.col("name").alias("rest"), "n")).groupBy("leaf", "rest").agg(F.sum("n").alias("all"))
+    return less.join(groups, ["leaf", "rest"]).filter(F.col("n") < CONSTANT * F.col("all")).groupBy(
+        "leaf", "name").agg(F.max(F.struct("all", "mark"))["mark"].alias("mark"))
+
+
+def _fitting(rows: DataFrame, seen: DataFrame, min_docs: int) -> DataFrame:
+    """Lines outside the counted templates that have all constants of one: ``leaf``, ``body`` and its ``fit``."""
+    sizes = rows.groupBy("leaf", "name").agg(F.sum("n").alias("held"), F.first("marks").alias("constant"))
+    counted = _several(rows).select("leaf", "name").distinct().join(
+        sizes.filter(F.col("held") >= min_docs), ["leaf", "name"])
+    # found by its rarest constant
+    asked = counted.select("*", F.explode("constant").alias("mark")).join(seen, ["leaf", "mark"]).groupBy(
+        "leaf", "name").agg(F.min(F.struct("seen", "mark"))["mark"].alias("mark")).join(counted, ["leaf", "name"])
+    others = rows.join(sizes.filter(F.col("held") < min_docs), ["leaf", "name"], "left_semi")
+    return others.select("leaf", "body", "whole", F.explode("whole").alias("mark")).join(
+        asked.select("leaf", "mark", "held", "constant", F.col("name").alias("fit")), ["leaf", "mark"]).filter(
+        F.size(F.array_except("constant", "whole")) == 0).groupBy("leaf", "body").agg(
+        F.max(F.struct("held", "fit"))["fit"].alias("fit"))
+
+
+def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
     """Template of each different line: ``leaf``, ``body`` (hash) and ``template`` (hash)."""
-    kinds = lines.groupBy("leaf", "tokens").agg(F.count(F.lit(1)).alias("n")).withColumn(
-        "body", F.xxhash64("tokens"))
-    total = kinds.groupBy("leaf").agg(F.sum("n").alias("all"), F.count(F.lit(1)).alias("kinds"))
+    kinds = _kinds(lines)
     # a leaf with one kind of line is its own template
-    mixed = kinds.join(total.filter("kinds > 1"), "leaf")
-    places = mixed.select("leaf", "all", "n", F.posexplode("tokens").alias("place", "token"))
-    fixed = places.groupBy("leaf", "all", "place", "token").agg(F.sum("n").alias("n")).filter(
-        F.col("n") >= CONSTANT * F.col("all"))
-    constant = fixed.groupBy("leaf").agg(F.map_from_entries(F.collect_list(F.struct(
-        F.concat_ws(" ", F.col("place"), F.col("token")), F.lit(True)))).alias("constant"))
-    kept = mixed.join(constant, "leaf", "left").withColumn("general", F.transform(
-        "tokens", lambda t, i: F.when(F.coalesce(F.element_at(
-            "constant", F.concat_ws(" ", i, t)), F.lit(False)), t).otherwise(F.lit(FIELD))))
-    stays = F.size(F.filter("general", lambda t: t != FIELD))
-    general = (stays >= LEAST_CONSTANTS) & (stays >= SIMILAR * F.size("tokens"))
-    several = kept.select("leaf", "body", F.when(general, F.xxhash64("general")).otherwise(
-        F.col("body")).alias("template"))
-    single = kinds.join(total.filter("kinds = 1"), "leaf", "left_semi").select(
-        "leaf", "body", F.col("body").alias("template"))
-    return several.unionByName(single)
+    mixed = _several(kinds).filter(_enough(F.size("marks")))
+    places = mixed.select("leaf", "body", "n", F.explode("marks").alias("mark"))
+    seen = write_scratch(places.groupBy("leaf", "mark").agg(F.sum("n").alias("seen")), "marks")
+    rare = places.join(seen.filter(F.col("seen") < min_docs), ["leaf", "mark"], "left_semi").groupBy(
+        "leaf", "body").agg(F.collect_list("mark").alias("rare"))
+    left = F.when(F.col("rare").isNull(), F.col("marks")).otherwise(F.array_except("marks", "rare"))
+    rows = mixed.join(rare, ["leaf", "body"], "left").select(
+        "leaf", "body", "n", "size", F.col("marks").alias("whole"), left.alias("marks")).filter(
+        _enough(F.size("marks"))).withColumn("name", _name())
+    rows = write_scratch(rows, "templates")
+    while True:
+        moves = write_scratch(_moves(rows), "moves")
+        if moves.isEmpty():
+            break
+        gone = F.col("mark")
+        rows = write_scratch(rows.join(moves, ["leaf", "name"], "left").select(
+            "leaf", "body", "n", "size", "whole",
+            F.when(gone.isNull(), F.col("marks")).otherwise(F.array_except("marks", F.array(gone))).alias("marks"),
+            F.when(gone.isNull(), F.col("name")).otherwise(F.col("name").bitwiseXOR(gone)).alias("name")), "templates")
+    found = rows.select("leaf", "body", "name").join(_fitting(rows, seen, min_docs), ["leaf", "body"], "left").select(
+        "leaf", "body", F.coalesce("fit", "name").alias("template"))
+    return kinds.select("leaf", "body").join(found, ["leaf", "body"], "left").select(
+        "leaf", "body", F.coalesce("template", "body").alias("template"))
 
 
 def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
     """Lines to drop: document (``__id``, ``__h``) and ``line``, counted from 0."""
     lines = _opened(_rows(docs.select("doc_id", "text")), min_docs)
     placed = lines.select(*ROW, "line", "leaf", F.xxhash64("tokens").alias("body")).join(
-        _templates(lines), ["leaf", "body"]).select(*ROW, "line", "leaf", "template")
+        _templates(lines, min_docs), ["leaf", "body"]).select(*ROW, "line", "leaf", "template")
     spread = placed.select("leaf", "template", *ROW).distinct().groupBy("leaf", "template").agg(
         F.count(F.lit(1)).alias("docs"), F.min("__id").alias("first"))
     often = spread.filter(F.col("docs") >= min_docs)

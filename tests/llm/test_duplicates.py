@@ -180,6 +180,40 @@ def test_variable_places_of_a_template(spark):
     assert {r.doc_id: r["__n_dropped"] for r in out} == {i: int(i > 0) for i in range(8)}
 
 
+def _lines_beside(others):
+    """One line in 100 documents with a variable word, and ``others`` in the same leaf."""
+    out = [(i, f"we would like word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} to read one of our news today")
+           for i in range(100)]
+    return out + [(1000 + i, x) for i, x in enumerate(others)]
+
+
+def _dropped(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    return {r.doc_id for r in lines.drop_recurring(df).collect() if r["__n_dropped"]}
+
+
+def test_leaf_with_five_templates(spark):
+    ends = ["send it all back home again", "buy some more green tea here", "see what others have just found",
+            "join us on every second sunday"]
+    rows = _lines_beside([f"we would like word{'abcdefghij'[i % 10]}{'klmnopqrst'[i // 10]} to {end}"
+                          for end in ends for i in range(100)])
+    assert len({len(t.split()) for _, t in rows}) == 1
+    assert _dropped(spark, rows) == {i for i, _ in rows} - {0, 1000, 1100, 1200, 1300}
+
+
+def test_leaf_with_a_hot_line(spark):
+    rows = _lines_beside(["we would like you all to know about this new offer"] * 300)
+    assert _dropped(spark, rows) == {i for i, _ in rows} - {0, 1000}
+
+
+def test_variable_words_that_are_frequent_elsewhere(spark):
+    names, towns = [[x + y for x in "abcde" for y in end] for end in ("klmn", "pqrs")]
+    pairs = [(n, t) for n in names for t in towns][::2]
+    rows = _lines_beside([f"we would like {n} to come and visit us in {t}" for n, t in pairs])
+    rows += [(5000 + i, "we would like wordak to come and visit us in ap") for i in range(2)]
+    assert _dropped(spark, rows) == {i for i, _ in rows} - {0, 1000}
+
+
 def test_repeated_rows_and_null_ids(spark):
     rng = random.Random(9)
     text = prose(rng, vocabulary(9), 120)
