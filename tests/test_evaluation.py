@@ -31,6 +31,22 @@ def test_nested_cv(df):
     assert {r["params"]["classifier__C"] for r in tuning.collect()} == {"1", "100"}
 
 
+def test_nested_query_tunes_over_three_folds(spark, small, monkeypatch):
+    from evenkeel.catalog import evaluation
+
+    asked = {}
+
+    def nested_cv(df, spec, config, outer=5, inner=5):
+        asked.update(config=config, folds=(outer, inner))
+        raise InterruptedError
+
+    monkeypatch.setattr(evaluation.op, "nested_cv", nested_cv)
+    with pytest.raises(InterruptedError):
+        evaluation.nested_cross_validation(spark, small)
+    assert min(asked["folds"]) >= 3
+    assert {3, 5} <= set(asked["config"]["samplers"]["SMOTE"]["k_neighbors"])
+
+
 def test_registered_functions(df):
     seen = []
 
