@@ -10,6 +10,12 @@ the chance that all bands miss is ``0.8 ** 32`` at most, below one in a
 thousand. A shared band retrieves the template for the window; the share of its
 shingles that the window has decides.
 
+Licenses share much of their wording. A license whose shingles, as far as the
+window has them, all stand in a better one that is found in the same place has
+nothing that speaks for it and is left out; better is the one with more
+shingles found less those missing, so a whole text beats its own opening and
+the version that is there beats the one whose number is missing.
+
 Each document is scanned where it lies: nothing is shuffled. Templates are a
 parameter and travel with the task.
 
@@ -28,14 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from evenkeel.llm.license_texts import TEXTS
 from evenkeel.llm.text import BYTES, TOKENS, chunks, keyed, mix
 
 SHINGLE = 5
 CONTAINED = 0.8
 BANDS = 32
 
+
+def _gnu(work: str, kind: str, version: str) -> str:
+    """The notice that the GNU licenses ask for."""
+    return (f"This {work} is free software; you can redistribute it and/or modify it under the terms of the GNU "
+            f"{kind} Public License as published by the Free Software Foundation; either version {version} of the "
+            "License, or (at your option) any later version.")
+
+
+def _cc(kind: str) -> str:
+    return f"This work is licensed under a Creative Commons Attribution-{kind} 4.0 International License."
+
+
 # Wording of public license statements, by SPDX name.
-TEMPLATES = {
+STATEMENTS = {
     "MIT": [
         "Released under the MIT License.",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software "
@@ -55,10 +74,18 @@ TEMPLATES = {
         "GNU General Public License as published by the Free Software Foundation, either version 3 of "
         "the License, or (at your option) any later version.",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        _gnu("program", "General", "2"),
+        "This program is free software; you can redistribute it and/or modify it under the terms of the "
+        "GNU General Public License version 2 as published by the Free Software Foundation.",
+    ],
+    "LGPL-2.0": [_gnu("library", "Library General", "2")],
+    "LGPL-2.1": [_gnu("library", "Lesser General", "2.1")],
     "LGPL-3.0": ["under the terms of the GNU Lesser General Public License as published by the Free "
-                 "Software Foundation"],
+                 "Software Foundation", _gnu("library", "Lesser General", "3")],
     "AGPL-3.0": ["under the terms of the GNU Affero General Public License as published by the Free "
-                 "Software Foundation"],
+                 "Software Foundation", _gnu("program", "Affero General", "3")],
     "BSD-3-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted "
         "provided that the following conditions are met:",
@@ -66,13 +93,22 @@ TEMPLATES = {
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."],
     "CC-BY-4.0": ["This work is licensed under a Creative Commons Attribution 4.0 International License.",
                   "Licensed under CC BY 4.0."],
-    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+    "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0.", _cc("ShareAlike")],
+    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", _cc("NonCommercial")],
+    "CC-BY-ND-4.0": ["Licensed under CC BY-ND 4.0.", _cc("NoDerivatives")],
+    "CC-BY-NC-SA-4.0": ["Licensed under CC BY-NC-SA 4.0.", _cc("NonCommercial-ShareAlike")],
+    "CC-BY-NC-ND-4.0": ["Licensed under CC BY-NC-ND 4.0.", _cc("NonCommercial-NoDerivatives")],
+    "EPL-2.0": ["This program and the accompanying materials are made available under the terms of the Eclipse "
+                "Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"],
     "CC0-1.0": ["To the extent possible under law, the author has waived all copyright and related or "
                 "neighboring rights to this work."],
     "Unlicense": ["This is free and unencumbered software released into the public domain."],
 }
 
+#: Statements first, then the whole text.
+TEMPLATES = {name: [*STATEMENTS.get(name, []), *([TEXTS[name]] if name in TEXTS else [])]
+             for name in [*STATEMENTS, *(n for n in TEXTS if n not in STATEMENTS)]}
+
 _WORD = np.zeros(256, bool)
 _WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 _LOWER = np.arange(256)
@@ -135,7 +171,7 @@ class Templates:
             for block, numbers in by_class.items()}
 
     def scan(self, shingles: np.ndarray, places: np.ndarray) -> list[tuple[int, int, int, float]]:
-        """Document, template, first shingle of the window and containment of each match."""
+        """Document, template, first shingle of the window and containment of each match that stands."""
         if not len(shingles):
             return []
         counts = np.diff(places)
@@ -156,10 +192,27 @@ class Templates:
                 d, number = doc[w], numbers[i]
                 window = shingles[first[w]:min(first[w] + 2 * block, places[d + 1])]
                 template = self.sets[number]
-                share = len(np.intersect1d(window, template)) / len(template)
-                if share >= CONTAINED:
-                    found.append((int(d), int(number), int(first[w] - places[d]), share))
-        return found
+                held = np.intersect1d(window, template)
+                if len(held) / len(template) >= CONTAINED:
+                    found.append((int(d), int(number), int(first[w] - places[d]), len(window), held))
+        return self._standing(found)
+
+    def _standing(self, found: list[tuple[int, int, int, int, np.ndarray]]) -> list[tuple[int, int, int, float]]:
+        """Matches with a shingle that no better license in an overlapping window has."""
+        by_doc: dict[int, list] = {}
+        for d, number, at, width, held in found:
+            better = 2 * len(held) - len(self.sets[number])
+            by_doc.setdefault(d, []).append((-better, self.names[number], at, number, width, held))
+        out = []
+        for d, matches in by_doc.items():
+            matches.sort(key=lambda m: m[:4])
+            kept: list[tuple] = []
+            for _, name, at, number, width, held in matches:
+                if not any(name != n and at < a + w and a < at + width and np.isin(held, self.sets[i]).all()
+                           for n, a, i, w in kept):
+                    kept.append((name, at, number, width))
+                    out.append((d, number, at, len(held) / len(self.sets[number])))
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] | None = None) -> DataFrame:

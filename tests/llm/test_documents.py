@@ -233,6 +233,29 @@ def test_licenses_against_every_window(spark, docs, rows):
     assert got == pytest.approx(want) and (902, "MIT") in got and (903, "CC-BY-NC-4.0") in got
 
 
+def test_alike_licenses_are_told_apart(spark):
+    gnu = ("This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {} Public "
+           "License as published by the Free Software Foundation; either version {} of the License, or (at your "
+           "option) any later version.")
+    notices = {"GPL-2.0": gnu.format("program", "General", 2), "GPL-3.0": gnu.format("program", "General", 3),
+               "LGPL-2.1": gnu.format("library", "Lesser General", "2.1"),
+               "LGPL-3.0": gnu.format("library", "Lesser General", 3),
+               "CC-BY-ND-4.0": "Licensed under CC BY-ND 4.0.", "CC-BY-NC-SA-4.0": "Licensed under CC BY-NC-SA 4.0."}
+    rows = list(notices.items()) + [
+        ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
+        *licenses.TEXTS.items()]
+    both = notices["GPL-2.0"] + " own words" * 40 + notices["GPL-3.0"]
+    df = table(spark, [(i, f"some words before it. {t}") for i, (_, t) in enumerate(rows)] + [(999, both)])
+    got = {}
+    for r in licenses.scan_licenses(df).collect():
+        got.setdefault(r.doc_id, set()).add(r.license)
+    assert got.pop(999) == {"GPL-2.0", "GPL-3.0"}
+    short = {i: n for i, (n, t) in enumerate(rows) if len(t) < 2500}
+    assert {"ISC", "BSD-2-Clause", "BSD-3-Clause", "MIT", "NCSA"} <= set(short.values())
+    assert {i: got[i] for i in short} == {i: {n} for i, n in short.items()}
+    assert all(n in got[i] for i, (n, _) in enumerate(rows))
+
+
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, small, name):
     assert differences(QUERIES[name](spark, small), connect(small), ORACLES[name]) == []
