@@ -21,8 +21,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines whose template recurs go from all documents but the first; all documents stay."""
-    return lines.drop_recurring(docs).select(*docs.columns)
+    """Lines whose template recurs go from all documents but the first; all documents stay.
+
+    Copies of one text are one document here: the next stage keeps one of them, with its lines.
+    """
+    return lines.drop_recurring(docs, by_text=True).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -170,21 +170,25 @@ def _templates(lines: DataFrame, min_docs: int) -> DataFrame:
         "leaf", "body", F.coalesce("template", "body").alias("template"))
 
 
-def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
-    """Lines to drop: document (``__id``, ``__h``) and ``line``, counted from 0."""
+def recurring_lines(docs: DataFrame, min_docs: int = MIN_DOCS, by_text: bool = False) -> DataFrame:
+    """Lines to drop: document (``__id``, ``__h``) and ``line``, counted from 0.
+
+    With ``by_text`` copies of one text are one document, so all of them keep what the first keeps.
+    """
     lines = _opened(_rows(docs.select("doc_id", "text")), min_docs)
     placed = lines.select(*ROW, "line", "leaf", F.xxhash64("tokens").alias("body")).join(
         _templates(lines, min_docs), ["leaf", "body"]).select(*ROW, "line", "leaf", "template")
-    spread = placed.select("leaf", "template", *ROW).distinct().groupBy("leaf", "template").agg(
-        F.count(F.lit(1)).alias("docs"), F.min("__id").alias("first"))
+    unit = ["__h"] if by_text else ROW
+    spread = placed.groupBy("leaf", "template", *unit).agg(F.min("__id").alias("least")).groupBy(
+        "leaf", "template").agg(F.count(F.lit(1)).alias("docs"), F.min(F.struct("least", "__h")).alias("first"))
     often = spread.filter(F.col("docs") >= min_docs)
-    return placed.join(often, ["leaf", "template"]).filter(
-        F.col("__id") != F.col("first")).select(*ROW, "line")
+    first = (F.col("__h") == F.col("first.__h")) if by_text else (F.col("__id") == F.col("first.least"))
+    return placed.join(often, ["leaf", "template"]).filter(~first).select(*ROW, "line")
 
 
-def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
+def drop_recurring(docs: DataFrame, min_docs: int = MIN_DOCS, by_text: bool = False) -> DataFrame:
     """The documents without recurring lines; ``__n_dropped`` counts them."""
-    gone = recurring_lines(docs, min_docs).groupBy(*ROW).agg(F.collect_set("line").alias("__gone"))
+    gone = recurring_lines(docs, min_docs, by_text).groupBy(*ROW).agg(F.collect_set("line").alias("__gone"))
     df = _rows(docs).join(gone, ROW, "left")
     gone = F.col("__gone")
     text = F.when(gone.isNull(), F.col("text")).otherwise(F.array_join(F.filter(

@@ -293,6 +293,20 @@ def test_pipeline_stages(spark, small):
     assert sum(r.length for r in packed) == sum(len(_ids(r.text)) + 1 for r in mixed.collect())
 
 
+def test_copies_keep_their_lines_until_one_of_them_is_kept(spark):
+    import corpus_pipeline as p
+
+    text = "\n".join(f"line {x} of a text that was copied many times over" for x in "abc")
+    rows = [(i, text) for i in range(12)] + [(100 + i, f"{x} has words of its own\nplease accept all of our cookies")
+                                             for i, x in enumerate("abcdefghijkl")]
+    cut = p.line_dedup(spark, table(spark, rows), "")
+    left = {r.doc_id: r.text for r in cut.collect()}
+    assert [left[i] for i in range(12)] == [text] * 12
+    assert sum("cookies" in t for t in left.values()) == 1
+    kept = [r.doc_id for r in p.near_duplicates(spark, cut, "").collect()]
+    assert sum(i < 100 for i in kept) == 1
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     assert quality.rate(none).count() == quality.keep_good(none).count() == 0
