@@ -6,11 +6,14 @@ from pyspark.sql import functions as F
 
 from evenkeel.catalog.registry import u_sql
 from evenkeel.llm import (
+    centroids,
     cuckoo,
     jaccard,
+    languages,
     licenses,
     lines,
     mixing,
+    negatives,
     packing,
     pages,
     quality,
@@ -119,6 +122,74 @@ def op10_packing(spark, sf):
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def _clusters_sql(k: int = 8, rounds: int = 10, width: int = 64) -> str:
+    """Every round as a table of its own; a key holds squared distance and centroid."""
+    key = (f"min((list_dot_product(e, e) - 2 * list_dot_product(e, m) + list_dot_product(m, m))::bigint * {k} + c)")
+    parts = [f"""v as materialized (
+  select vec_id, list_transform(embedding, lambda x: floor(1024 * x::double)) as e from embeddings
+  where len(embedding) = {width} and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0)""",
+             f"""c0 as materialized (
+  select row_number() over (order by sha256('3:' || vec_id)) - 1 as c, e as m from v
+  order by sha256('3:' || vec_id) limit {k})"""]
+    for i in range(rounds + 1):
+        parts.append(f"a{i} as materialized (select vec_id, any_value(e) as e, {key} as key from v, c{i} group by vec_id)")
+        if i < rounds:
+            parts.append(f"""c{i + 1} as materialized (
+  select c{i}.c, coalesce(n.m, c{i}.m) as m from c{i} left join (
+    select c, list(floor((s - ((s % n) + n) % n) / n) order by place) as m from (
+      select key % {k} as c, place, sum(x::bigint)::bigint as s, count(*) as n
+      from (select key, unnest(e) as x, unnest(range({width})) as place from a{i}) group by 1, 2) group by c) n
+  on c{i}.c = n.c)""")
+    parts.append(f"""found as (
+  select vec_id, (key % {k})::int as cluster, key // {k} as distance from a{rounds}),
+final as (select c, sha256(array_to_string(list_transform(m, lambda x: x::bigint), ',')) as centroid_sha256 from c{rounds})""")
+    return "with " + ",\n".join(parts) + """
+select vec_id, cluster, distance, sum(distance) over (partition by cluster)::bigint as cluster_inertia,
+       sum(distance) over ()::bigint as inertia, centroid_sha256
+from found join final on c = cluster"""
+
+
+@query("op11_centroid_clustering", _clusters_sql())
+def op11_centroid_clustering(spark, sf):
+    found = centroids.cluster(load_table(spark, sf, "embeddings"))
+    return found.withColumn("centroid_sha256", centroids.centroid_digest(F.col("centroid"))).drop("centroid")
+
+
+@query("op12_language_id")
+def op12_language_id(spark, sf):
+    docs = load_table(spark, sf, "documents")
+    aside = languages.held_out()
+    model = languages.learn_languages(docs, ~aside & F.col("doc_id").isNotNull())
+    return languages.predict_languages(docs, model).select(
+        "doc_id", aside.alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query("op13_hard_negatives", """
+with v as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)) as e
+  from embeddings
+  where label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (
+  select a.vec_id as anchor_id, b.vec_id as other_id, a.label = b.label as same,
+         list_dot_product(a.e, b.e)::bigint as score
+  from v a join v b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (
+  select anchor_id, other_id as positive_id, score as positive_score from s where same
+  qualify row_number() over (partition by anchor_id order by score desc, other_id) <= 5),
+n as (
+  select p.anchor_id, positive_id, other_id as negative_id, positive_score, score as negative_score,
+         row_number() over (partition by p.anchor_id, positive_id order by score desc, other_id)::int as rank
+  from p join s on p.anchor_id = s.anchor_id and not same
+   and 80 * positive_score <= 100 * score and score <= positive_score)
+select * from n where rank <= 5""")
+def op13_hard_negatives(spark, sf):
+    shifted = load_table(spark, sf, "embeddings").withColumn(
+        "label", F.expr("case when vec_id % 7 = 0 then (label + 1) % 10 else label end"))
+    return negatives.hard_negatives(shifted, F.col("vec_id") % 100 == 0)
+
+
 @query("pipeline")
 def pipeline(spark, sf):
     from corpus_pipeline import run
