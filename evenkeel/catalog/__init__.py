@@ -5,6 +5,7 @@ from evenkeel.catalog import (  # noqa: F401  (importing registers the queries)
     columns,
     evaluation,
     generation,
+    logistic,
     neighborhood,
     profiles,
     resampling,

@@ -40,6 +40,27 @@ def auc(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
     return c.groupBy(*by).agg(F.when(pairs > 0, won / pairs).alias("auc"))
 
 
+def rank_test(df: DataFrame, y: str, score: str, by: Sequence[str] = ()) -> DataFrame:
+    """Pairs that the positive row wins (a tie counts one half) and their variance under permutation.
+
+    Returns ``n_pos``, ``n_neg``, ``won``, ``variance`` and ``z``, how many standard
+    deviations ``won`` lies above half of all pairs; z is null when all scores tie
+    or a class is missing. One sorted pass; tied scores lower the variance.
+    """
+    c = cumulative_by_score(df.filter(F.col(y).isNotNull() & F.col(score).isNotNull()), y, score, by)
+    tied = (F.col("pos") + F.col("neg")).cast("double")
+    got = c.groupBy(*by).agg(
+        F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"),
+        F.sum(F.col("pos") * (F.col("neg_below") + F.lit(0.5) * F.col("neg"))).alias("won"),
+        F.sum(tied * tied * tied - tied).alias("__tied"))
+    n = F.col("n_pos") + F.col("n_neg")
+    pairs = F.col("n_pos") * F.lit(1.0) * F.col("n_neg")
+    variance = F.when(n > 1, pairs / 12 * (n + 1 - F.col("__tied") / (n * F.lit(1.0) * (n - 1)))).otherwise(0.0)
+    got = got.withColumn("variance", variance)
+    return got.withColumn("z", F.when(F.col("variance") > 0, (F.col("won") - pairs / 2) / F.sqrt("variance"))).drop(
+        "__tied")
+
+
 def rank_by_score(df: DataFrame, score: str, key: str, n: int, best: bool = True) -> DataFrame:
     """The ``n`` rows with the highest (or lowest) score, ties by key."""
     order = F.col(score).desc() if best else F.col(score).asc()

@@ -384,7 +384,12 @@ def median_sd(df: DataFrame, spec: FeatureSpec, classes: list | None = None) ->
 
 def tomek_links(df: DataFrame, spec: FeatureSpec, penalty: float = 0.0, **options) -> DataFrame:
     """Pairs of opposite classes that are each other's nearest row: ``(a, b, label_a, label_b)``, a < b."""
-    first = knn(df, spec, 1, within_class=False, penalty=penalty, **options).select(
+    return mutual_links(knn(df, spec, 1, within_class=False, penalty=penalty, **options), spec)
+
+
+def mutual_links(nearest: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """The pairs of opposite classes in a table of nearest rows that name each other."""
+    first = nearest.select(
         F.col(spec.key).alias("a"), F.col("neighbor").alias("b"), F.col("neighbor_label").alias("label_b"))
     back = first.select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("label_b").alias("label_a"))
     return first.join(back, ["a", "b"]).filter(

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.draws import uniform
-from evenkeel.operators.neighbors import knn, median_sd, tomek_links
+from evenkeel.operators.neighbors import knn, median_sd, mutual_links
 from evenkeel.operators.resample import (
     append_synthetic,
     draw_table,
@@ -15,7 +17,7 @@ from evenkeel.operators.resample import (
     shuffled_index,
 )
 from evenkeel.plans.sampling import class_counts, plan_rows
-from evenkeel.session import write_scratch
+from evenkeel.session import collect_small, write_scratch
 from evenkeel.spec import FeatureSpec
 
 DRAWS_PER_BLOCK = 4096
@@ -90,17 +92,17 @@ def smote(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: i
 
 
 def smote_nc(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: int = 0,
-             only_new: bool = False, **options) -> DataFrame:
+             only_new: bool = False, penalty: float | None = None, **options) -> DataFrame:
     """SMOTE for mixed features.
 
-    A differing category counts like the median sd of the continuous columns in
-    the growing classes; the new category is the most frequent one among the k
+    A differing category counts like ``penalty``, by default the median sd of the
+    continuous columns in the growing classes; the new category is the most frequent one among the k
     neighbours (the smallest level on a tie).
     """
     if not spec.categorical or not spec.continuous:
         raise ValueError("smote_nc needs continuous and categorical features")
     classes = _growing(plan)
-    penalty = median_sd(df, spec, classes)
+    penalty = median_sd(df, spec, classes) if penalty is None else penalty
     near = write_scratch(knn(df, spec, k, penalty=penalty, query_classes=classes, **options), "near")
     pairs = draw_pairs(df, spec, plan, near, k, seed)
     cats = df.select(F.col(spec.key).alias("neighbor"), *spec.categorical)
@@ -120,9 +122,20 @@ def adasyn_shares(df: DataFrame, spec: FeatureSpec, minority, n_new: int, k: int
         spec.label)
 
 
-def _other_class_counts(df: DataFrame, spec: FeatureSpec, classes: list, k: int, **options) -> DataFrame:
+def _any_class_neighbors(df: DataFrame, spec: FeatureSpec, k: int, within: str | None,
+                         classes: list | None = None, **options) -> DataFrame:
+    """Neighbours of all classes; with ``within`` only among the rows of equal value there."""
+    if within is None:
+        return knn(df, spec, k, within_class=False, query_classes=classes, **options)
+    near = knn(df, replace(spec, label=within), k, **options).drop("neighbor_label")
+    return near.join(df.select(F.col(spec.key).alias("neighbor"), F.col(spec.label).alias("neighbor_label")),
+                     "neighbor")
+
+
+def _other_class_counts(df: DataFrame, spec: FeatureSpec, classes: list, k: int, within: str | None = None,
+                        **options) -> DataFrame:
     """Neighbours of another class for each row of the given classes, from one search."""
-    near = knn(df, spec, k, within_class=False, query_classes=classes, **options)
+    near = _any_class_neighbors(df, spec, k, within, classes, **options)
     own = df.filter(F.col(spec.label).isin(classes)).select(spec.key, spec.label)
     return write_scratch(near.join(own, spec.key).groupBy(spec.key, spec.label).agg(
         F.count_if(F.col("neighbor_label") != F.col(spec.label)).alias("other")), "others")
@@ -144,14 +157,21 @@ def _shares(others: DataFrame, spec: FeatureSpec, wanted: dict) -> DataFrame:
 
 
 def adasyn(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: int = 0,
-           only_new: bool = False, **options) -> DataFrame:
-    """SMOTE rows placed where other classes are near. Rounded counts may miss the plan slightly."""
+           only_new: bool = False, within: str | None = None, **options) -> DataFrame:
+    """SMOTE rows placed where other classes are near. Rounded counts may miss the plan slightly.
+
+    Categories take part as codes, the places of their sorted levels: codes that
+    differ are as far apart as their numbers, and a new row between two codes has
+    no level (null), which one-hot encoding turns into zeros. ``within`` names a
+    column whose values are tables of their own: other classes are looked for
+    among the rows of the same value only.
+    """
     if spec.categorical:
-        raise ValueError("adasyn takes continuous features only")
+        return _adasyn_on_codes(df, spec, plan, k, seed, only_new, within, **options)
     classes = _growing(plan)
     if classes:
         sizes = {c: (current, n_new) for c, current, _, n_new in plan_rows(plan) if n_new > 0}
-        others = _other_class_counts(df, spec, classes, k, **options)
+        others = _other_class_counts(df, spec, classes, k, within, **options)
         shares = _shares(others, spec, {c: n for c, (_, n) in sizes.items()}).filter(F.col("n_new") > 0)
         near = knn(df, spec, k, query_classes=classes, **options)
         held = others.groupBy(spec.label).agg(F.count(F.lit(1)).alias("class_n"))
@@ -172,19 +192,38 @@ def adasyn(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed:
     return _finish(df, spec, made, only_new)
 
 
-def clean_tomek(df: DataFrame, spec: FeatureSpec, minority=None, **options) -> DataFrame:
+def _adasyn_on_codes(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int, seed: int, only_new: bool,
+                     within: str | None, **options) -> DataFrame:
+    lists = {}
+    for c in spec.categorical:
+        rows = collect_small(df.select(c).distinct(), f"levels of {c}")
+        lists[c] = F.array(*[F.lit(v) for v in sorted(r[c] for r in rows if r[c] is not None)])
+    coded = df.withColumns({c: (F.array_position(a, F.col(c)) - 1).cast("double") for c, a in lists.items()})
+    numeric = spec.with_features([*spec.continuous, *spec.categorical], [])
+    new = adasyn(coded, numeric, plan, k, seed, True, within, **options)
+    new = new.withColumns({c: F.when(F.col(c) == F.rint(c), F.get(a, F.col(c).cast("int"))) for c, a in lists.items()})
+    return _finish(df, spec, new.drop("is_synthetic"), only_new)
+
+
+def clean_tomek(df: DataFrame, spec: FeatureSpec, minority=None, within: str | None = None,
+                penalty: float | None = None, **options) -> DataFrame:
     """Drop the rows of every Tomek link that are not of the smallest class.
 
-    Mixed features use the category distance of ``smote_nc``.
+    Mixed features use the category distance of ``smote_nc``. ``within`` names a
+    column whose values are tables of their own; ``minority`` then lists the
+    class to keep in each of them.
     """
     if minority is None:
         counts = class_counts(df, spec.label)
         minority = min(counts, key=lambda c: (counts[c], str(c)))
-    penalty = median_sd(df, spec, [minority]) if spec.categorical else 0.0
-    links = tomek_links(df, spec, penalty=penalty, **options)
+    kept = minority if isinstance(minority, list) else [minority]
+    if penalty is None:
+        penalty = median_sd(df, spec, kept) if spec.categorical else 0.0
+    near = _any_class_neighbors(df, spec, 1, within, penalty=penalty, **options)
+    links = mutual_links(near, spec)
     ends = F.array(F.struct(F.col("a").alias("key"), F.col("label_a").alias("lab")),
                    F.struct(F.col("b").alias("key"), F.col("label_b").alias("lab")))
     spent = links.select(F.explode(ends).alias("e")).filter(
-        F.col("e.lab") != F.lit(minority)).select(F.col("e.key").alias(spec.key))
+        ~F.col("e.lab").isin(kept)).select(F.col("e.key").alias(spec.key))
     return df.join(spent, spec.key, "left_anti").select(*df.columns)
 

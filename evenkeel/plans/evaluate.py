@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
 from concurrent.futures import ThreadPoolExecutor
 
@@ -22,13 +23,13 @@ from evenkeel.operators.encode import MinMax
 from evenkeel.operators.profile import covariance, quantiles, score_summary
 from evenkeel.operators.splits import (
     nested_folds,
-    random_split,
     repeated_folds,
     stratified_split,
     thin_majority,
 )
 from evenkeel.plans.grid import expand_grid
 from evenkeel.plans.sampling import sampling_plan, undersampling_plan
+from evenkeel.plans.stacked import SET, STACKED, StackedLogistic
 from evenkeel.session import reuse, write_scratch
 from evenkeel.sources.files import read_experiment, write_report
 from evenkeel.spec import FeatureSpec
@@ -86,6 +87,8 @@ register_sampler("tomek", lambda df, spec, strategy, seed: synthetic.clean_tomek
 register_sampler("generator", lambda df, spec, strategy, seed, **fit: generator.fit_resample(
     df, spec, strategy, seed, **fit))
 
+BUILT_IN = dict(SAMPLERS)
+
 register_scorer("auc", lambda df, y, score, key, by: metrics.auc(df, y, score, by))
 register_scorer("tail_lift", lambda df, y, score, key, by: metrics.tail_lift(df, y, score, key, 0.1, by))
 register_scorer("top_lift", lambda df, y, score, key, by: metrics.top_lift(df, y, score, key, 0.1, by))
@@ -100,22 +103,27 @@ def score_tables(parts: Sequence[tuple[tuple, DataFrame]], tags: Sequence[str],
     ``parts`` pairs the tag values of a table with the table; the result has one
     dict per part, in order, with its tags and scores.
     """
-    unknown = [n for n in scorers if n not in SCORERS]
-    if unknown:
-        raise ValueError(f"no scorers {unknown}; known: {sorted(SCORERS)}")
     stacked = None
     for i, (_, scored) in enumerate(parts):
         share = F.col(TRAIN_SHARE) if TRAIN_SHARE in scored.columns else F.lit(0.5)
         one = scored.select(spec.key, spec.label, SCORE, share.alias(TRAIN_SHARE), F.lit(i).alias("part"))
         stacked = one if stacked is None else stacked.unionByName(one)
-    stacked = reuse(stacked)
-    out = [dict(zip(tags, values)) for values, _ in parts]
+    found = score_parts(stacked, spec, scorers)
+    none = dict.fromkeys(scorers)
+    return [{**dict(zip(tags, values)), **none, **found.get(i, {})} for i, (values, _) in enumerate(parts)]
+
+
+def score_parts(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str]) -> dict[int, dict]:
+    """Scores of each ``part`` of a scored table, one job for each scorer."""
+    unknown = [n for n in scorers if n not in SCORERS]
+    if unknown:
+        raise ValueError(f"no scorers {unknown}; known: {sorted(SCORERS)}")
+    scored, out = reuse(scored), {}
     for name in scorers:
-        table = SCORERS[name](stacked, spec.label, SCORE, spec.key, ["part"])
-        for row in table.collect():
-            out[row["part"]][name] = row[name]
-    stacked.unpersist()
-    return [{**{n: None for n in scorers}, **o} for o in out]
+        for row in SCORERS[name](scored, spec.label, SCORE, spec.key, ["part"]).collect():
+            out.setdefault(row["part"], {})[name] = row[name]
+    scored.unpersist()
+    return out
 
 
 def score_with(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str]) -> dict:
@@ -319,11 +327,56 @@ def upsampled_scores(train: DataFrame, test: DataFrame, spec: FeatureSpec, sampl
     return chain.fit(train).transform(test)
 
 
+def stacked_parts(models: StackedLogistic, df: DataFrame, members: dict) -> DataFrame:
+    """Scored rows of all stacked models; ``part`` numbers (set, resampling, candidate)."""
+    per_set = len(models.parts) * len(models.penalties)
+    part = F.col(SET) * per_set + F.col("resampling") * len(models.penalties) + F.col("candidate")
+    return models.score(df, members).select(
+        models.spec.key, models.spec.label, SCORE, F.col("train_share").alias(TRAIN_SHARE), part.alias("part"))
+
+
+def _linear(model: str, params: dict | None, cleaning: str | None) -> bool:
+    """Whether all fits can be made at once."""
+    return model == "LR" and set(params or {}) <= {"C"} and cleaning in (None, "tomek")
+
+
+def _sampler(name: str):
+    """The stacked form of a sampler, or the function that is called for each set."""
+    if name not in SAMPLERS:
+        raise ValueError(f"no sampler {name!r}; known: {sorted(SAMPLERS)}")
+    return name if name in STACKED and SAMPLERS[name] is BUILT_IN.get(name) else SAMPLERS[name]
+
+
+def _resample_all(models: StackedLogistic, resamplings: Sequence[tuple[str, dict]], seed: int,
+                  cleaning: str | None) -> None:
+    """Resample with each setting; the searches and fits behind them start from a few threads."""
+    models.add(in_threads(lambda job: models.resampled(_sampler(job[0]), job[1], seed, cleaning is not None),
+                          list(resamplings)))
+
+
+def _together(train: DataFrame, test: DataFrame, spec: FeatureSpec, resamplings: Sequence[tuple[str, dict]],
+              params: dict | None, scorers: Sequence[str], seed: int, cleaning: str | None) -> list[dict]:
+    """Scores and ``train_rows`` of each resampling of one training table, fitted together."""
+    every = {0: F.lit(True)}
+    models = StackedLogistic(train, spec, every)
+    _resample_all(models, resamplings, seed, cleaning)
+    models.fit([float((params or {}).get("C", 1.0))])
+    found = score_parts(stacked_parts(models, test, every), spec, scorers)
+    sizes = {s // models.step: n for s, (n, _) in models.sizes.items()}
+    return [{**dict.fromkeys(scorers), **found.get(i, {}), TRAIN_ROWS: sizes.get(i, 0)} for i in range(len(resamplings))]
+
+
 def upsampling_eval(train: DataFrame, test: DataFrame, spec: FeatureSpec, samplers: Sequence[str],
                     model: str = "LR", scorers: Sequence[str] = ("auc",), seed: int = 0,
                     sampler_params: dict | None = None, model_params: dict | None = None,
                     cleaning: str | None = None) -> DataFrame:
     """Scores of each sampler on the untouched test rows: ``(sampler, train_rows, scores)``."""
+    if _linear(model, model_params, cleaning):
+        rows = _together(train, test, spec, [(s, sampler_params or {}) for s in samplers], model_params, scorers,
+                         seed, cleaning)
+        rows = [{"sampler": s, **row} for s, row in zip(samplers, rows, strict=True)]
+        return _table(train.sparkSession, rows, f"sampler string, {TRAIN_ROWS} bigint", scorers)
+
     def run(sampler: str):
         chain = ResampleChain(spec, sampler, model, sampler_params, model_params, seed=seed, cleaning=cleaning)
         scored = chain.fit(train).transform(test)
@@ -341,22 +394,42 @@ def _table(spark: SparkSession, rows: list[dict], tags: str, scorers: Sequence[s
 
 
 def discriminator_eval(real: DataFrame, fake: DataFrame, spec: FeatureSpec, model: str = "RF",
-                       params: dict | None = None, test: float = 0.33, in_sample: bool = False,
+                       params: dict | None = None, folds: int = 2, in_sample: bool = False,
                        seed: int = 0) -> dict:
-    """How well a classifier tells synthetic rows from real ones; an AUC near 0.5 is good.
+    """How well a classifier tells synthetic rows from real ones: ``auc``, ``accuracy`` and ``p_value``.
 
-    Scored on a hold-out unless ``in_sample``. Needs a unique key in both tables.
+    An AUC near 0.5 is good. Unless ``in_sample``, each fold is scored by a model
+    of the other folds, and rows with equal features are in one fold: a model
+    never sees the twin of a row it scores. The AUC is that of pairs inside a
+    fold. The p-value is that of a permutation of the origins inside the folds,
+    with ties, in its normal form. Needs a unique key in both tables.
     """
     origin = FeatureSpec("origin", "row_id", spec.continuous, spec.categorical)
     stacked = resample.label_origin(
         real.select(F.concat(F.lit("r"), F.col(spec.key).cast("string")).alias("row_id"), *spec.features),
         fake.select(F.concat(F.lit("s"), F.col(spec.key).cast("string")).alias("row_id"), *spec.features))
-    cut = reuse(random_split(stacked, test, "row_id", seed))
-    train = cut if in_sample else cut.filter(~F.col("is_test"))
-    scored = fit_score(train, cut if in_sample else cut.filter("is_test"), origin, model, params)
-    found = score_with(scored, origin, ["auc", "accuracy"])
+    alike = [F.col(c).cast("double") + F.lit(0.0) for c in spec.continuous]
+    alike += [F.col(c).cast("string") for c in spec.categorical]
+    fold = F.lit(0) if in_sample else F.pmod(F.xxhash64(F.lit(seed), *alike), F.lit(folds)).cast("int")
+    cut = reuse(stacked.withColumn("fold", fold))
+
+    def run(f: int) -> DataFrame:
+        train = cut if in_sample else cut.filter(F.col("fold") != f)
+        return fit_score(train, cut.filter(F.col("fold") == f), origin, model, params).withColumn("fold", F.lit(f))
+
+    scored = None
+    for one in in_threads(run, [0] if in_sample else list(range(folds))):
+        scored = one if scored is None else scored.unionByName(one)
+    scored = reuse(scored)
+    tests = metrics.rank_test(scored, "origin", SCORE, ["fold"]).collect()
+    accuracy = metrics.accuracy(scored, "origin", SCORE).first()["accuracy"]
+    scored.unpersist()
     cut.unpersist()
-    return found
+    pairs = sum(r["n_pos"] * r["n_neg"] for r in tests)
+    won = sum(r["won"] for r in tests)
+    spread = sum(r["variance"] for r in tests) ** 0.5
+    apart = abs(won - pairs / 2) / spread if spread else 0.0
+    return {"auc": won / pairs if pairs else None, "accuracy": accuracy, "p_value": math.erfc(apart / 2 ** 0.5)}
 
 
 def predictive_eval(real: DataFrame, fake: DataFrame, test: DataFrame, spec: FeatureSpec,
@@ -385,8 +458,14 @@ def repeat_eval(df: DataFrame, spec: FeatureSpec, samplers: Sequence[str], repea
         return (sampler, i), upsampled_scores(*_sides(cuts[i], F.col("is_test")), spec, sampler, model,
                                               i, model_params=model_params)
 
-    parts = in_threads(run, [(s, i) for i in range(repeats) for s in samplers])
-    rows = score_tables(parts, ["sampler", "repeat"], spec, scorers)
+    if _linear(model, model_params, None):
+        found = in_threads(lambda i: _together(*_sides(cuts[i], F.col("is_test")), spec, [(s, {}) for s in samplers],
+                                               model_params, scorers, i, None), list(range(repeats)))
+        rows = [{"sampler": s, "repeat": i, **row} for i, part in enumerate(found)
+                for s, row in zip(samplers, part, strict=True)]
+    else:
+        parts = in_threads(run, [(s, i) for i in range(repeats) for s in samplers])
+        rows = score_tables(parts, ["sampler", "repeat"], spec, scorers)
     for cut in cuts:
         cut.unpersist()
     table = _table(df.sparkSession, rows, "sampler string, repeat int", scorers)
@@ -403,25 +482,72 @@ def _mean_sd(values: list) -> tuple[float | None, float | None]:
     return mean, sd
 
 
+def _fold_sets(outer: int, inner: int, tuned: bool) -> dict[int, tuple]:
+    """Set number, outer fold and inner fold; the inner fold is None where the whole outer part trains."""
+    each = inner + 1
+    return {f * each + i: (f, i if i < inner else None) for f in range(outer)
+            for i in range(each) if tuned or i == inner}
+
+
+def _sides_of(sets: dict[int, tuple]) -> tuple[dict, dict]:
+    """Which rows train and which test in each set."""
+    train, test = {}, {}
+    for s, (f, i) in sets.items():
+        inside, own = F.col("outer_fold") != f, F.col("inner_fold") == i
+        train[s] = inside if i is None else inside & ~own
+        test[s] = F.col("outer_fold") == f if i is None else inside & own
+    return train, test
+
+
+def _scored_together(rows: DataFrame, spec: FeatureSpec, samplers: dict, candidates: list[dict], sets: dict,
+                     scorers: Sequence[str], seed: int, cleaning: str | None, train_scores: bool) -> list[dict]:
+    """Scores of all logistic regressions, each sampler's settings resampled and all sets fitted at once."""
+    train, test = _sides_of(sets)
+    models = StackedLogistic(rows, spec, train)
+    _resample_all(models, [(n, p) for n, settings in samplers.items() for p in settings], seed, cleaning)
+    models.fit([float(p.get("C", 1.0)) for p in candidates])
+    found = score_parts(stacked_parts(models, rows, test), spec, scorers)
+    seen = score_parts(stacked_parts(models, rows, train), spec, scorers) if train_scores else {}
+    out, n = [], 0
+    for name, settings in samplers.items():
+        for a in range(len(settings)):
+            for s, (f, i) in sets.items():
+                for b in range(len(candidates)):
+                    part = (s * len(models.parts) + n) * len(candidates) + b
+                    out.append({
+                        "sampler": name, "model": "LR", "fold": f, "candidate": a * len(candidates) + b, "inner": i,
+                        TRAIN_ROWS: models.sizes.get(n * models.step + s, (0,))[0],
+                        **dict.fromkeys(scorers), **found.get(part, {}),
+                        **{f"train_{k}": seen.get(part, {}).get(k) for k in scorers}})
+            n += 1
+    return out
+
+
 def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, inner: int = 5,
               scorers: Sequence[str] = ("auc", "tail_lift"), refit: str = "auc",
-              seed: int = 123, cleaning: str | None = None) -> tuple[DataFrame, DataFrame]:
+              seed: int = 123, cleaning: str | None = None,
+              train_scores: bool = False) -> tuple[DataFrame, DataFrame]:
     """Nested cross-validation over sampler x model x grid.
 
-    Returns the outer scores ``(sampler, model, fold, scores)`` and the inner
-    tuning results ``(sampler, model, fold, candidate, params, scored_folds,
-    scores, their sds)``. A fold in which a score does not exist (no positives)
-    is left out of its mean. Rows are resampled once for each setting of a
-    sampler and fold; all classifiers and their settings are fitted on them.
+    Returns the outer scores ``(sampler, model, fold, candidate, train_rows,
+    scores)`` of the candidate that the inner folds chose, and the inner tuning
+    results ``(sampler, model, fold, candidate, params, scored_folds, scores,
+    their sds)``. ``train_scores`` adds the scores on the rows that trained. A
+    fold in which a score does not exist (no positives) is left out of its mean.
+    Rows are resampled once for each setting of a sampler and fold; logistic
+    regressions of all folds and settings are fitted together, other models one
+    by one.
     """
     rows = reuse(nested_folds(spec.require(df), spec.label, outer, inner, spec.key, seed))
     samplers = {s: expand_grid(config["samplers"][s]) for s in config["samplers"]}
     models = {m: expand_grid(config["models"][m]) for m in config["models"]}
     grids = {(s, m): [(a, b) for a in range(len(samplers[s])) for b in range(len(models[m]))]
              for s in samplers for m in models}
+    together = [m for m in models if all(_linear(m, p, cleaning) for p in models[m])]
+    extra = [f"train_{n}" for n in scorers] if train_scores else []
 
     def run(job):
-        """Fit every wanted classifier on the rows of one resampling: ``[(tags, scored)]``."""
+        """Fit every wanted classifier on the rows of one resampling: ``[(tags, scored, scored train rows)]``."""
         (sampler, a, fold, i), wanted = job
         part = rows if i is None else rows.filter(F.col("outer_fold") != fold)
         held = F.col("outer_fold") == fold if i is None else F.col("inner_fold") == i
@@ -430,25 +556,37 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
         chain.prepare(train)
         found = []
         for model, b in wanted:
-            tags = (sampler, model, fold, grids[sampler, model].index((a, b)), i)
-            found.append((tags, chain.fit_model(model, models[model][b]).transform(test)))
+            tags = (sampler, model, fold, grids[sampler, model].index((a, b)), i, chain.train_rows)
+            fitted = chain.fit_model(model, models[model][b])
+            found.append((tags, fitted.transform(test), fitted.transform(train) if train_scores else None))
         chain.release()
         return found
 
     def scores_of(jobs: dict) -> list[dict]:
         parts = [x for found in in_threads(run, list(jobs.items())) for x in found]
-        tags = ["sampler", "model", "fold", "candidate", "inner"]
-        return score_tables(parts, tags, spec, scorers) if parts else []
-
+        tags = ["sampler", "model", "fold", "candidate", "inner", TRAIN_ROWS]
+        if not parts:
+            return []
+        out = score_tables([(t, test) for t, test, _ in parts], tags, spec, scorers)
+        if train_scores:
+            seen = score_tables([(t, train) for t, _, train in parts], tags, spec, scorers)
+            out = [{**o, **{f"train_{n}": x[n] for n in scorers}} for o, x in zip(out, seen, strict=True)]
+        return out
+
+    fitted = []
+    if together:
+        tuned = any(len(grid) > 1 for (_, m), grid in grids.items() if m in together)
+        fitted = _scored_together(rows, spec, samplers, models["LR"], _fold_sets(outer, inner, tuned), scorers,
+                                  seed, cleaning, train_scores)
     jobs: dict[tuple, list] = {}
     for (s, m), grid in grids.items():
-        if len(grid) > 1:
+        if len(grid) > 1 and m not in together:
             for f in range(outer):
                 for i in range(inner):
                     for a, b in grid:
                         jobs.setdefault((s, a, f, i), []).append((m, b))
     found: dict[tuple, dict] = {}
-    for row in scores_of(jobs):
+    for row in scores_of(jobs) + [r for r in fitted if r["inner"] is not None and len(grids[r["sampler"], "LR"]) > 1]:
         tags = tuple(row[t] for t in ("sampler", "model", "fold", "candidate"))
         for n in scorers:
             found.setdefault(tags, {}).setdefault(n, []).append(row[n])
@@ -456,7 +594,8 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
     for (s, m, f, c), values in sorted(found.items()):
         stats = {n: _mean_sd(values[n]) for n in scorers}
         level = stats[refit][0]
-        if level is not None and level > best.get((s, m, f), (float("-inf"), 0))[0]:
+        # equal means differ in their last digits only; the first candidate then stays
+        if level is not None and level > best.get((s, m, f), (float("-inf"), 0))[0] + 1e-10:
             best[s, m, f] = (level, c)
         a, b = grids[s, m][c]
         params = {f"sampler__{k}": str(v) for k, v in samplers[s][a].items()}
@@ -464,16 +603,18 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
         tuning.append({"sampler": s, "model": m, "fold": f, "candidate": c, "params": params,
                        "scored_folds": sum(v is not None for v in values[refit]),
                        **{n: stats[n][0] for n in scorers}, **{f"{n}_sd": stats[n][1] for n in scorers}})
+    chosen = {(s, m, f): best.get((s, m, f), (0.0, 0))[1] for s, m in grids for f in range(outer)}
     final: dict[tuple, list] = {}
-    for s, m in grids:
-        for f in range(outer):
-            a, b = grids[s, m][best.get((s, m, f), (0.0, 0))[1]]
+    for (s, m, f), c in chosen.items():
+        if m not in together:
+            a, b = grids[s, m][c]
             final.setdefault((s, a, f, None), []).append((m, b))
-    scores = scores_of(final)
+    scores = scores_of(final) + [r for r in fitted if r["inner"] is None
+                                 and chosen[r["sampler"], "LR", r["fold"]] == r["candidate"]]
     rows.unpersist()
-    spark, head = df.sparkSession, "sampler string, model string, fold int"
-    return (_table(spark, scores, head, scorers),
-            _table(spark, tuning, head + ", candidate int, params map<string,string>, scored_folds int",
+    spark, head = df.sparkSession, "sampler string, model string, fold int, candidate int"
+    return (_table(spark, scores, f"{head}, {TRAIN_ROWS} bigint", [*scorers, *extra]),
+            _table(spark, tuning, head + ", params map<string,string>, scored_folds int",
                    [*scorers, *[f"{n}_sd" for n in scorers]]))
 
 
@@ -537,6 +678,12 @@ def ratio_sweep(train: DataFrame, test: DataFrame, spec: FeatureSpec, ratios: Se
                 sampler: str = "random", model: str = "LR", scorers: Sequence[str] = ("auc",),
                 seed: int = 0) -> DataFrame:
     """Scores for each wanted minority / majority ratio."""
+    if _linear(model, None, None):
+        rows = _together(train, test, spec, [(sampler, {"sampling_strategy": r}) for r in ratios], None, scorers,
+                         seed, None)
+        rows = [{"ratio": float(r), **row} for r, row in zip(ratios, rows, strict=True)]
+        return _table(train.sparkSession, rows, "ratio double", scorers)
+
     def run(ratio):
         return (float(ratio),), upsampled_scores(
             train, test, spec, sampler, model, seed, {"sampling_strategy": ratio})

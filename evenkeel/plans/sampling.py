@@ -27,15 +27,8 @@ def plan_table(spark: SparkSession, label: T.StructField, rows: list[tuple]) ->
     return spark.createDataFrame(rows, schema)
 
 
-def sampling_plan(df: DataFrame, label: str, strategy="auto", mode: str = "total") -> DataFrame:
-    """Plan for making classes larger.
-
-    ``'auto'`` lifts every class to the size of the largest one. A number is the
-    wanted ratio minority / majority of a binary label. A dict gives target
-    totals, or with ``mode='new'`` the number of rows to add; classes it does
-    not list stay as they are.
-    """
-    counts = class_counts(df, label)
+def class_targets(counts: dict, strategy="auto", mode: str = "total") -> dict:
+    """Rows that each class shall have; see ``sampling_plan``."""
     if not counts:
         raise ValueError("cannot plan an empty table")
     largest = max(counts.values())
@@ -63,6 +56,19 @@ def sampling_plan(df: DataFrame, label: str, strategy="auto", mode: str = "total
     short = {c: n for c, n in target.items() if n < counts.get(c, 0)}
     if short:
         raise ValueError(f"targets {short} are below the rows present")
+    return target
+
+
+def sampling_plan(df: DataFrame, label: str, strategy="auto", mode: str = "total") -> DataFrame:
+    """Plan for making classes larger.
+
+    ``'auto'`` lifts every class to the size of the largest one. A number is the
+    wanted ratio minority / majority of a binary label. A dict gives target
+    totals, or with ``mode='new'`` the number of rows to add; classes it does
+    not list stay as they are.
+    """
+    counts = class_counts(df, label)
+    target = class_targets(counts, strategy, mode)
     rows = [
         (c, counts.get(c, 0), target[c], target[c] - counts.get(c, 0))
         for c in sorted(target, key=str)

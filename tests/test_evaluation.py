@@ -1,6 +1,7 @@
 """Classifier tests, chains, configs and file formats."""
 
 import json
+import math
 
 import pytest
 from pyspark.sql import functions as F
@@ -31,20 +32,19 @@ def test_nested_cv(df):
     assert {r["params"]["classifier__C"] for r in tuning.collect()} == {"1", "100"}
 
 
-def test_nested_query_tunes_over_three_folds(spark, small, monkeypatch):
-    from evenkeel.catalog import evaluation
-
-    asked = {}
-
-    def nested_cv(df, spec, config, outer=5, inner=5):
-        asked.update(config=config, folds=(outer, inner))
-        raise InterruptedError
-
-    monkeypatch.setattr(evaluation.op, "nested_cv", nested_cv)
-    with pytest.raises(InterruptedError):
-        evaluation.nested_cross_validation(spark, small)
-    assert min(asked["folds"]) >= 3
-    assert {3, 5} <= set(asked["config"]["samplers"]["SMOTE"]["k_neighbors"])
+def test_nested_cv_chooses_by_the_inner_folds(df):
+    config = {"models": {"LR": {"C": [1e-4, 10]}}, "samplers": {"unbalanced": {}, "SMOTE": {"k_neighbors": [2, 3]}}}
+    scores, tuning = ev.nested_cv(df, SPEC, config, outer=3, inner=2, train_scores=True)
+    held = {}
+    for r in tuning.collect():
+        assert r["scored_folds"] == 2 and 0 < r["auc_sd"] < 0.5
+        held.setdefault((r["sampler"], r["fold"]), []).append((-round(r["auc"], 9), r["candidate"]))
+    assert {k: len(v) for k, v in held.items()} == {(s, f): n for s, n in (("unbalanced", 2), ("SMOTE", 4)) for f in range(3)}
+    for r in scores.collect():
+        assert r["candidate"] == min(held[r["sampler"], r["fold"]])[1]
+        assert r["auc"] > 0.8 and abs(r["train_auc"] - r["auc"]) < 0.15
+    sizes = {r["train_rows"] for r in scores.filter("sampler = 'unbalanced'").collect()}
+    assert sizes <= {399, 400, 401}
 
 
 def test_registered_functions(df):
@@ -72,6 +72,26 @@ def test_registered_functions(df):
 def test_discriminator_knows_nothing_about_equal_tables(df):
     got = ev.discriminator_eval(df, df, SPEC, "RF", {"n_estimators": 5, "max_depth": 4})
     assert abs(got["auc"] - 0.5) < 0.12
+    assert got["auc"] == pytest.approx(0.5) and got["p_value"] == pytest.approx(1.0)
+
+
+def test_discriminator_tells_tables_apart(df):
+    half = df.filter("id % 2 = 0"), df.filter("id % 2 = 1")
+    same = ev.discriminator_eval(*half, SPEC, "LR")
+    assert abs(same["auc"] - 0.5) < 0.12 and same["p_value"] > 0.001
+    moved = ev.discriminator_eval(half[0], half[1].withColumn("a", F.col("a") + 0.5), SPEC, "RF", {"max_depth": 4})
+    assert moved["auc"] > 0.8 and moved["p_value"] < 1e-6
+
+
+def test_p_values_of_exchangeable_scores_are_uniform(spark):
+    from evenkeel.operators.metrics import rank_test
+
+    rows = spark.range(300 * 80).select(
+        (F.col("id") % 300).alias("g"), F.round(F.rand(5), 1).alias("score"), (F.rand(6) < 0.3).cast("int").alias("y"))
+    z = [r["z"] for r in rank_test(rows, "y", "score", ["g"]).collect()]
+    p = sorted(math.erfc(abs(x) / 2 ** 0.5) for x in z)
+    assert max(abs((i + 0.5) / len(p) - v) for i, v in enumerate(p)) < 1.6 / len(p) ** 0.5
+    assert abs(sum(x * x for x in z) / len(z) - 1) < 0.3
 
 
 def test_importance(df):
