@@ -126,13 +126,17 @@ CV = {"models": {"LR": {"C": [1, 10]}},
 
 @query("nested_cross_validation", "N-7, D-10, K-11, K-13", f"""
 with docs as (select d.doc_id, 1 - l.quality as good from documents d join labels l using (doc_id)),
-o as (select good, ({shuffled_sql('fold123', 'doc_id', 'good')} - 1) % 5 as outer_fold from docs),
+o as (select doc_id, good, ({shuffled_sql('fold123', 'doc_id', 'good')} - 1) % 5 as outer_fold from docs),
+p as (select good, outer_fold, ({shuffled_sql('inner123', 'doc_id', 'good, outer_fold')} - 1) % 5 as inner_fold from o),
+k as (select f, count(*) filter (rare > 0 and rare < rows) as scored from (
+        select f, inner_fold, count(*) as rows, count(*) filter (good = 0) as rare
+        from p, range(5) t(f) where outer_fold <> f group by f, inner_fold) group by f),
 n as (select f, count(*) filter (good = 1) as n1, count(*) filter (good = 0) as n0
       from o, range(5) t(f) where outer_fold <> f group by f)
 select sampler, 'LR' as model, f::int as fold, (case sampler when 'SMOTE' then 4 else 2 end)::bigint as candidates,
-       5 as scored_folds, case when sampler = 'unbalanced' then n0 + n1
+       scored::int as scored_folds, case when sampler = 'unbalanced' then n0 + n1
                                when sampler not in ('ADASYN', 'tomek') then 2 * greatest(n0, n1) end as train_rows
-from (values ('unbalanced'), ('random'), ('SMOTE'), ('ADASYN'), ('generator'), ('tomek')) s(sampler), n""")
+from (values ('unbalanced'), ('random'), ('SMOTE'), ('ADASYN'), ('generator'), ('tomek')) s(sampler), n join k using (f)""")
 def nested_cross_validation(spark, sf):
     """Candidates tuned in each outer fold and the rows trained on; ADASYN and Tomek links depend on neighbours."""
     scores, tuning = op.nested_cv(_docs(spark, sf), DOCS, CV, outer=5, inner=5)
@@ -143,8 +147,8 @@ def nested_cross_validation(spark, sf):
         "sampler", "model", "fold", "candidates", "scored_folds", rows.alias("train_rows"))
 
 
-EXPERIMENT = {"models": {"LR": {"C": [1, 10]}, "RF": {"min_samples_leaf": [20], "n_estimators": [50]}},
-              "samplers": {"unbalanced": {}, "SMOTE": {"k_neighbors": [3, 5]}, "ADASYN": {}, "generator": {}}}
+EXPERIMENT = {"models": {"LR": {"C": [1, 10]}, "RF": {"min_samples_leaf": [20], "n_estimators": [10], "max_depth": [5]}},
+              "samplers": {"unbalanced": {}, "SMOTE": {"k_neighbors": [5]}}}
 
 
 @query("experiment_scores", "N-7")
