@@ -62,6 +62,15 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_scratch(df: DataFrame) -> None:
+    """Delete a table of ``write_scratch`` that nothing will read again."""
+    spark = df.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
+        if path.split("://")[-1].startswith(shared_folder(spark).split("://")[-1].rstrip("/")):
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each context."""
     context = spark.sparkContext
