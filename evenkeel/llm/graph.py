@@ -5,28 +5,47 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.session import write_scratch
+from evenkeel.session import drop_scratch, write_scratch
 
 
 def components(links: DataFrame) -> DataFrame:
     """``node`` and ``comp``, the smallest node it can reach, for every node of a link (``a``, ``b``).
 
-    Labels move along links and then jump to the label of their label, so long
-    chains shorten by half a round. Every round is a written table.
+    By contraction: every node takes the name of its smallest neighbour, or of
+    that one's smallest neighbour, if that is smaller than its own. Links are then renamed, and those
+    inside one name and doubles go. What is left is a graph of fewer nodes, to
+    which the same is done until no link is left. The smallest node of a component
+    never changes its name, so it is the last one. The names of all rounds are
+    then followed from the last round back to the first.
+
+    Every round is a written table of its own; tables nothing reads again are deleted.
+    Cases: a link of a node with itself gives the node alone; doubles and both
+    directions of a link are one; an empty table gives an empty one.
     """
     both = write_scratch(links.select("a", "b").unionByName(
         links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = write_scratch(both.groupBy(F.col("a").alias("node")).agg(
-        F.min("b").alias("near")).select("node", F.least("node", "near").alias("comp")), "labels")
-    while True:
-        heard = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(
-            F.col("a").alias("node")).agg(F.min("comp").alias("heard"))
-        lower = labels.join(heard, "node").select(
-            "node", F.col("comp").alias("old"), F.least("comp", "heard").alias("comp"))
-        jump = labels.select(F.col("node").alias("comp"), F.col("comp").alias("next"))
-        after = write_scratch(lower.join(jump, "comp", "left").select(
-            "node", "old", F.least("comp", F.coalesce("next", "comp")).alias("comp")), "labels")
-        moved = after.filter(F.col("old") != F.col("comp")).limit(1).count()
-        labels = after.select("node", "comp")
-        if not moved:
-            return labels
+    rounds = []
+    while both.limit(1).count():
+        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
+            "node", F.least("node", "near").alias("name"))
+        near = write_scratch(near, "near")
+        further = near.select(F.col("node").alias("name"), F.col("name").alias("next"))
+        names = write_scratch(near.join(further, "name").select(
+            "node", F.least("name", "next").alias("name")), "names")
+        drop_scratch(near)
+        rounds.append(names)
+        a = names.select(F.col("node").alias("a"), F.col("name").alias("x"))
+        b = names.select(F.col("node").alias("b"), F.col("name").alias("y"))
+        left = write_scratch(both.join(a, "a").join(b, "b").filter("x != y").select(
+            F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
+        drop_scratch(both)
+        both = left
+    if not rounds:
+        return both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+    comp = rounds.pop().withColumnRenamed("name", "comp")
+    while rounds:
+        last = comp.withColumnRenamed("node", "name")
+        # a name without links in the next round is the name of its component
+        comp = rounds.pop().join(last, "name", "left").select("node", F.coalesce("comp", "name").alias("comp"))
+        comp = write_scratch(comp, "components")
+    return comp

@@ -11,13 +11,16 @@ of signatures and chance meetings. Empty parts meet often, so a band has some
 segments to spare, and a set with no more empty parts than that leaves them out.
 
 Sets that share a signature are candidates; what signatures connect is a clump.
-A clump is cut into blocks, and each pair of blocks is compared whole by matrix
-products of its shingles, which give back a forest of the links and never the
-pairs. A clump of more than ``DIRECT_BLOCKS`` blocks is thinned out first: within
-a signature all sets are compared with its smallest one, and only signatures
-whose members are then still in several components stay open; what these connect
-is cut into blocks. So a large group of near copies costs one comparison a
-member, every pair that shares a signature was compared or is connected, and no
+A clump that fits a block is compared whole by matrix products of its shingles,
+which give back a forest of the links and never the pairs. A larger clump, which
+chance meetings may have joined, is thinned out first: within a signature all
+sets are compared with its smallest one, and only signatures whose members are
+then still in several components stay open. Of these, either the members of each
+signature or, where that is fewer copies of texts, all that they connect are
+compared; what does not fit a block is cut into blocks and compared block
+against block. So a large group of near copies costs one comparison a member,
+texts are copied for the signatures they share and not for the size of their
+clump, every pair that shares a signature was compared or is connected, and no
 link is lost. All comparisons are made on the texts.
 
 A signature that repeats inside one Arrow batch is known to recur; its rows are
@@ -60,11 +63,13 @@ from evenkeel.session import write_scratch
 #: Share of the universe's cost model: what one chance meeting costs in signatures.
 MEETING_COST = 50.0
 #: Sets, and bytes of their texts, planned for one block of a clump.
-BLOCK_SETS, BLOCK_BYTES = 1200, 4 << 20
-#: Blocks of a clump up to which every two of them are compared at once.
-DIRECT_BLOCKS = 8
+BLOCK_SETS, BLOCK_BYTES = 2400, 8 << 20
+#: Members that are compared with one copy of the smallest set of their signature.
+STAR_SETS = 512
+#: Rounds of hubs in wide clumps, and the share of open members up to which another round is worth it.
+STAR_TURNS, MOST_LEFT = 4, 0.7
 #: Shingles that one matrix product looks at.
-COLUMNS = 4096
+COLUMNS = 2048
 SALTS = 1024
 #: Ids up to this many (16 bytes each) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -271,28 +276,34 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return shared > 0 and 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (``a``, ``b``) whose texts are similar enough."""
-    def sets_of(batch: pa.RecordBatch, column: str) -> list[np.ndarray]:
-        found = []
-        for _, _, data, offsets in chunks(batch, column):
-            tokens, places = shingle_sets(data, offsets, width)
-            found += [tokens[x:y] for x, y in zip(places[:-1], places[1:], strict=True)]
-        return found
+def _star_links(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """The pairs (``a``, ``b``) whose texts are similar enough.
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch = whole.slice(i, 256)
-                good = np.array([linked(x, y, percent) for x, y in zip(
-                    sets_of(batch, "text_a"), sets_of(batch, "text_b"), strict=True)], bool)
-                yield arrow_batch({"a": batch.column("a").filter(pa.array(good)),
-                                   "b": batch.column("b").filter(pa.array(good))})
-
-    one = texts.select(F.col("node").alias("a"), F.col("body").alias("text_a"))
-    two = texts.select(F.col("node").alias("b"), F.col("body").alias("text_b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(
-        work, "a long, b long")
+    A text ``b`` is sent once for ``STAR_SETS`` of its partners and read once in a task.
+    """
+    def sets_of(table: pa.Table) -> Iterator[np.ndarray]:
+        for batch in table.select(["body"]).combine_chunks().to_batches():
+            for _, _, data, offsets in chunks(batch):
+                tokens, places = shingle_sets(data, offsets, width)
+                yield from (tokens[x:y] for x, y in zip(places[:-1], places[1:], strict=True))
+
+    def work(members: pa.Table, hubs: pa.Table) -> pa.Table:
+        known = dict(zip(hubs.column("b").to_pylist(), sets_of(hubs), strict=True))
+        good = np.array([linked(x, known[b], percent) for x, b in zip(
+            sets_of(members), members.column("b").to_pylist(), strict=True)], bool)
+        return members.select(["a", "b"]).filter(pa.array(good))
+
+    sized = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_SETS).cast("int").alias("slices"))
+    total = texts.join(pairs.select(F.col("a").alias("node")), "node").agg(F.sum(F.length("body"))).first()[0] or 0
+    buckets = max(1, -(-total // BLOCK_BYTES))
+    bucket = F.pmod(F.xxhash64("b", "slice"), F.lit(buckets))
+    members = pairs.join(sized, "b").withColumn("slice", F.pmod(F.xxhash64("a"), F.col("slices"))).select(
+        "a", "b", bucket.alias("bucket")).join(texts.withColumnRenamed("node", "a"), "a")
+    hubs = sized.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.col("slices").cast("long") - 1))).select(
+        "b", bucket.alias("bucket")).distinct().join(texts.withColumnRenamed("node", "b"), "b")
+    # both sides come from one table; new aliases keep their columns apart
+    members, hubs = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (members, hubs))
+    return members.groupBy("bucket").cogroup(hubs.groupBy("bucket")).applyInArrow(work, "a long, b long")
 
 
 def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -341,13 +352,42 @@ def linked_forest(sets: list[np.ndarray], names: list[int], percent: int) -> lis
     return found
 
 
+def _blocks(size, total) -> F.Column:
+    return F.ceil(F.greatest(size / BLOCK_SETS, total / BLOCK_BYTES)).cast("int")
+
+
 def _clumps(meets: DataFrame, texts: DataFrame) -> DataFrame:
-    """What the pairs ``a``, ``b`` connect: ``clump``, ``node`` and the clump's ``blocks``."""
+    """What the pairs ``a``, ``b`` connect: ``clump``, ``node``, its ``bytes`` and the clump's ``blocks``."""
     members = components(meets).select("node", F.col("comp").alias("clump")).join(
         texts.select("node", F.length("body").alias("bytes")), "node")
-    blocks = members.groupBy("clump").agg(F.ceil(F.greatest(
-        F.count(F.lit(1)) / BLOCK_SETS, F.sum("bytes") / BLOCK_BYTES)).cast("int").alias("blocks"))
-    return write_scratch(members.join(blocks, "clump").select("clump", "node", "blocks"), "clumps")
+    blocks = members.groupBy("clump").agg(_blocks(F.count(F.lit(1)), F.sum("bytes")).alias("blocks"))
+    return write_scratch(members.join(blocks, "clump").select("clump", "node", "bytes", "blocks"), "clumps")
+
+
+def _open_groups(rest: DataFrame, texts: DataFrame) -> DataFrame:
+    """Groups to compare for the open signatures (``sig``, ``node``): ``clump``, ``node`` and ``blocks``.
+
+    By signature, one group for all signatures with the same members, or by what
+    the signatures connect, whichever needs fewer bytes of texts in a clump.
+    """
+    same = rest.groupBy("sig").agg(
+        F.min("node").alias("low"), F.count(F.lit(1)).alias("n"), F.sum(F.hash("node").cast("long")).alias("x"),
+        F.bit_xor(F.xxhash64("node")).alias("y"))
+    once = same.groupBy("n", "x", "y").agg(F.min_by(F.struct("sig", "low"), "sig").alias("one")).select("one.*")
+    kept = write_scratch(rest.join(once, "sig"), "open")
+    whole = _clumps(kept.filter("node != low").select(F.col("node").alias("a"), F.col("low").alias("b")), texts)
+    parts = kept.join(whole.select("node", "clump", "bytes"), "node")
+    sized = parts.groupBy("sig", "clump").agg(_blocks(F.count(F.lit(1)), F.sum("bytes")).alias("blocks"),
+                                              F.sum("bytes").alias("total"))
+    by_sig = sized.groupBy("clump").agg(F.sum(F.col("total") * F.col("blocks")).alias("apart"))
+    by_clump = whole.groupBy("clump").agg(F.sum(F.col("bytes") * F.col("blocks")).alias("together"))
+    choice = by_sig.join(by_clump, "clump").select("clump", (F.col("apart") < F.col("together")).alias("split"))
+    apart = parts.join(choice.filter("split").select("clump"), "clump", "left_semi").join(
+        sized.select("sig", "blocks"), "sig").select(F.col("sig").alias("clump"), "node", "blocks")
+    together = whole.join(choice.filter(~F.col("split")).select("clump"), "clump", "left_semi")
+    # the two kinds of names are hashes of their own; the last column keeps them apart
+    return write_scratch(apart.withColumn("split", F.lit(True)).unionByName(
+        together.select("clump", "node", "blocks").withColumn("split", F.lit(False))), "groups")
 
 
 def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
@@ -364,9 +404,38 @@ def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int)
 
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     dealt = clumps.withColumn("own", own).select(
-        "clump", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
-        "clump", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.join(texts, "node").groupBy("clump", "i", "j").applyInArrow(work, "a long, b long")
+        "clump", "split", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
+        "clump", "split", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    return dealt.join(texts, "node").groupBy("clump", "split", "i", "j").applyInArrow(work, "a long, b long")
+
+
+def _open(rest: DataFrame, star: DataFrame) -> DataFrame:
+    """The signatures (``sig``, ``node``, ``comp``) whose members are in several components of the links."""
+    named = rest.join(components(star), "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
+    several = named.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi")
+    return write_scratch(named.join(several.select("sig"), "sig", "left_semi"), "open")
+
+
+def _more_stars(rest: DataFrame, star: DataFrame, texts: DataFrame, width: int,
+                percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare with further hubs while that closes signatures; what is still open, and all links.
+
+    The hub of a round is the member with the lowest hash, so signatures of one family
+    mostly agree on it. Members of its component need no comparison with it.
+    """
+    left, held = _open(rest, star), None
+    for turn in range(STAR_TURNS):
+        n = left.count()
+        if not n or (held is not None and n > MOST_LEFT * held):
+            break
+        held = n
+        hubs = left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub"))
+        pairs = left.join(hubs, "sig").filter("comp != hub.comp").select(
+            F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        found = _star_links(write_scratch(pairs, "pairs"), texts, width, percent)
+        star = write_scratch(star.unionByName(found), "links")
+        left = _open(left.select("sig", "node"), star)
+    return left.select("sig", "node"), star
 
 
 def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
@@ -376,21 +445,16 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     hubs = meet.groupBy("sig").agg(F.min("node").alias("hub"))
     starred = meet.join(hubs, "sig").filter("node != hub")
     pairs = write_scratch(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    clumps = _clumps(pairs, texts)
-    found = write_scratch(_clump_links(
-        clumps.filter(F.col("blocks") <= DIRECT_BLOCKS), texts, width, percent), "links")
-    wide = clumps.filter(F.col("blocks") > DIRECT_BLOCKS).select("node")
+    clumps = _clumps(pairs, texts).withColumn("split", F.lit(False))
+    found = write_scratch(_clump_links(clumps.filter("blocks = 1"), texts, width, percent), "links")
+    wide = clumps.filter("blocks > 1").select("node")
     if wide.limit(1).count():
-        star = write_scratch(_verified(pairs.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"),
-                                       texts, width, percent), "links")
+        star = write_scratch(_star_links(pairs.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"),
+                                         texts, width, percent), "links")
         # the hub was compared with all; the others need no more if one component holds them
-        rest = starred.join(wide, "node", "left_semi").select("sig", "node").join(
-            components(star), "node", "left").select("sig", "node", F.coalesce("comp", "node").alias("comp"))
-        open_ = rest.groupBy("sig").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                        F.min("node").alias("b")).filter("lo < hi")
-        meets = write_scratch(rest.join(open_.select("sig", "b"), "sig").filter("node != b").select(
-            F.col("node").alias("a"), "b").distinct(), "open")
-        more = write_scratch(_clump_links(_clumps(meets, texts), texts, width, percent), "links")
+        rest = write_scratch(starred.join(wide, "node", "left_semi").select("sig", "node"), "rest")
+        left, star = _more_stars(rest, star, texts, width, percent)
+        more = write_scratch(_clump_links(_open_groups(left, texts), texts, width, percent), "links")
         found = found.unionByName(star).unionByName(more)
     return components(found)
 

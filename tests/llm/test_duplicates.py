@@ -58,11 +58,11 @@ def test_one_of_each_group_stays_with_its_columns(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("direct", [100, 2])
-def test_clumps_are_compared_block_against_block(spark, monkeypatch, direct):
+@pytest.mark.parametrize("block,star", [(7, 512), (7, 3), (1000, 512), (2, 2)])
+def test_clumps_are_compared_block_against_block(spark, monkeypatch, block, star):
     """Many unlike texts that share signatures, in blocks of a few, at once or thinned out first."""
-    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
-    monkeypatch.setattr(jaccard, "DIRECT_BLOCKS", direct)
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
+    monkeypatch.setattr(jaccard, "STAR_SETS", star)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     words = vocabulary(5)
     rng = random.Random(5)
@@ -85,6 +85,25 @@ def test_components_of_a_chain_and_a_star(spark):
     assert got == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(30)}}
 
 
+def test_components_of_random_graphs(spark):
+    rng = random.Random(12)
+    links = [(rng.randrange(400) - 200, rng.randrange(400) - 200) for _ in range(230)]
+    links += [(a, b) for b, a in links[:40]] + [(999, 999)]
+    up = {x: x for pair in links for x in pair}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in links:
+        x, y = sorted((root(a), root(b)))
+        up[y] = x
+    got = {r.node: r.comp for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in up}
+    assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("bucket_runs", [8000, 1])
 def test_bytes_seen_earlier_go(docs, rows, bucket_runs):
     got = suffixes.drop_earlier_seen(docs, 40, 12, bucket_runs).collect()
