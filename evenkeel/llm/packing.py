@@ -22,11 +22,12 @@ from __future__ import annotations
 import base64
 import re
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -41,8 +42,10 @@ BITS = 15
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Ranges of the curve for each shuffle partition, sampled documents for each range, and at most.
 RANGES, SAMPLED, SAMPLE_ROWS, SAMPLE_SEED = 2, 25, 400_000, 5
-#: Chunks whose ids a task remembers; beyond that it starts again.
-REMEMBERED = 400_000
+#: Bytes of chunks and their ids that a task remembers; beyond that it starts again.
+REMEMBERED = 24 << 20
+#: What a remembered chunk takes besides its own bytes.
+OVERHEAD = 150
 BATCH = 512
 
 
@@ -70,20 +73,29 @@ class Encoder:
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.whole = Tokenizer.from_file(_tokenizer_path(vocabulary))
+        self.vocabulary = vocabulary
         with open(_tokenizer_path(ranks), "rb") as f:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = tiktoken.Encoding(
             "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def whole(self):
+        """The vocabulary's own tokenizer, loaded when a text needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(_tokenizer_path(self.vocabulary))
 
     def _chunk(self, text: str) -> bytes:
         """Ids of a space and the characters after it, remembered by the latter."""
         ids = np.array(self.pieces.encode_ordinary(f" {text}"), np.uint16).tobytes()
-        if len(self.known) >= REMEMBERED:
+        self.held += len(text) + len(ids) + OVERHEAD
+        if self.held > REMEMBERED:
             self.known.clear()
+            self.held = len(text) + len(ids) + OVERHEAD
         self.known[text] = ids
         return ids
 
@@ -156,36 +168,45 @@ def curve_keys(documents: list[np.ndarray]) -> np.ndarray:
 
 # ---- packing --------------------------------------------------------------------------
 
-def _encoded(docs: DataFrame) -> DataFrame:
-    """``doc_id``, ``id``, ``h``, ``key`` and ``ids`` (16-bit, with the end id)."""
+def _part(keys: np.ndarray, ids: np.ndarray, hashes: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """The range of each document; equal bounds share their key's documents."""
+    low, high = np.searchsorted(bounds, keys, "left"), np.searchsorted(bounds, keys, "right")
+    spread = mix(ids.view(np.uint64) ^ hashes.view(np.uint64)) % (high - low + 1).astype(np.uint64)
+    return (low + spread.astype(np.int64)).astype(np.int32)
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of batches with the token ids of their texts."""
+    tool = encoder()
+    for whole in batches:
+        for i in range(0, whole.num_rows, BATCH):
+            batch = whole.slice(i, BATCH)
+            yield batch, [tool.encode(t.as_py()) for t in batch.column("text")]
+
+
+def _keys(docs: DataFrame) -> DataFrame:
+    """``key`` of each document."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tool, end = encoder(), np.array([END], np.uint16).tobytes()
-        for whole in batches:
-            for i in range(0, whole.num_rows, BATCH):
-                batch = whole.slice(i, BATCH)
-                ids = [tool.encode(t) for t in batch.column("text").to_pylist()]
-                yield arrow_batch({
-                    "doc_id": batch.column("doc_id"), "id": batch.column("id"), "h": batch.column("h"),
-                    "key": curve_keys(ids),
-                    "ids": pa.array([x.tobytes() + end for x in ids], pa.binary())})
+        for _, ids in _texts(batches):
+            yield arrow_batch({"key": curve_keys(ids)})
 
-    df = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "id", "h",
-                            F.col("body").cast("string").alias("text"))
-    return df.mapInArrow(work, "doc_id long, id long, h long, key long, ids binary")
+    return keyed(docs).select(F.col("body").cast("string").alias("text")).mapInArrow(work, "key long")
 
 
-def _in_range(bounds: np.ndarray):
-    """Add the range of each document; equal bounds share their key's documents."""
+def _encoded(docs: DataFrame, bounds: np.ndarray) -> DataFrame:
+    """``doc_id``, ``id``, ``h``, ``key``, ``ids`` (16-bit, with the end id) and ``part``, the range of the key."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column("key").to_numpy()
-            low, high = np.searchsorted(bounds, key, "left"), np.searchsorted(bounds, key, "right")
-            spread = mix(batch.column("id").to_numpy().view(np.uint64)
-                         ^ batch.column("h").to_numpy().view(np.uint64)) % (high - low + 1).astype(np.uint64)
+        end = np.array([END], np.uint16).tobytes()
+        for batch, ids in _texts(batches):
+            keys = curve_keys(ids)
             yield arrow_batch({
-                **{c: batch.column(c) for c in batch.schema.names},
-                "part": (low + spread.astype(np.int64)).astype(np.int32)})
-    return work
+                "doc_id": batch.column("doc_id"), "id": batch.column("id"), "h": batch.column("h"), "key": keys,
+                "ids": pa.array([x.tobytes() + end for x in ids], pa.binary()),
+                "part": _part(keys, batch.column("id").to_numpy(), batch.column("h").to_numpy(), bounds)})
+
+    df = keyed(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "id", "h",
+                            F.col("body").cast("string").alias("text"))
+    return df.mapInArrow(work, "doc_id long, id long, h long, key long, ids binary, part int")
 
 
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,7 +214,7 @@ def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, before = -1, 0
     for batch in batches:
         parts = batch.column("part").to_numpy()
-        sizes = np.array([len(x) // 2 for x in batch.column("ids").to_pylist()], np.int64)
+        sizes = pc.binary_length(batch.column("ids")).to_numpy().astype(np.int64) // 2
         ahead = np.concatenate([[0], np.cumsum(sizes)])
         first = np.flatnonzero(np.concatenate([[True], parts[1:] != parts[:-1]])) if len(parts) else []
         start = np.repeat(ahead[first], np.diff(np.append(first, len(parts)))) if len(parts) else sizes
@@ -210,9 +231,8 @@ def _cutter(length: int):
         for batch in (w.slice(i, BATCH) for w in batches for i in range(0, w.num_rows, BATCH)):
             rows, cuts = [], []
             doc_ids = batch.column("doc_id").to_pylist()
-            for doc, at, raw in zip(doc_ids, batch.column("at").to_pylist(),
-                                    batch.column("ids").to_pylist(), strict=True):
-                ids = np.frombuffer(raw, np.uint16).astype("<u4")
+            for doc, at, raw in zip(doc_ids, batch.column("at").to_pylist(), batch.column("ids"), strict=True):
+                ids = np.frombuffer(raw.as_buffer(), np.uint16).astype("<u4")
                 start = 0
                 while start < len(ids):
                     offset = (at + start) % length
@@ -233,11 +253,10 @@ def pack(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = RANGES * parts
     share = min(1.0, min(SAMPLE_ROWS, SAMPLED * ranges) / max(docs.count(), 1))
-    keys = np.sort([r["key"] for r in _encoded(
-        docs if share == 1.0 else docs.sample(False, share, SAMPLE_SEED)).select("key").collect()])
+    keys = np.sort([r["key"] for r in _keys(
+        docs if share == 1.0 else docs.sample(False, share, SAMPLE_SEED)).collect()])
     bounds = keys[[len(keys) * i // ranges for i in range(1, ranges)]] if len(keys) else np.zeros(0, np.int64)
-    fields = "doc_id long, id long, h long, key long, ids binary, part int"
-    line = write_scratch(_encoded(docs).mapInArrow(_in_range(bounds), fields).repartition(
+    line = write_scratch(_encoded(docs, bounds).repartition(
         parts, "part").sortWithinPartitions("part", "key", "id", "h").mapInArrow(
         _placed, "doc_id long, part int, before long, size long, ids binary"), "curve")
     totals = {r["part"]: r["n"] for r in line.groupBy("part").agg(F.sum("size").alias("n")).collect()}
