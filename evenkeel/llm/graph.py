@@ -22,13 +22,14 @@ def components(links: DataFrame) -> DataFrame:
     Cases: a link of a node with itself gives the node alone; doubles and both
     directions of a link are one; an empty table gives an empty one.
     """
-    both = write_scratch(links.select("a", "b").unionByName(
-        links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    left = write_scratch(_once(links, "a", "b"), "links")
     rounds = []
-    while both.limit(1).count():
-        near = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("near")).select(
-            "node", F.least("node", "near").alias("name"))
-        near = write_scratch(near, "near")
+    while left.limit(1).count():
+        both = left.select(F.col("a").alias("node"), F.col("b").alias("near")).unionByName(
+            left.select(F.col("b").alias("node"), F.col("a").alias("near")))
+        near = write_scratch(both.groupBy("node").agg(F.min("near").alias("near")).select(
+            "node", F.least("node", "near").alias("name")), "near")
         further = near.select(F.col("node").alias("name"), F.col("name").alias("next"))
         names = write_scratch(near.join(further, "name").select(
             "node", F.least("name", "next").alias("name")), "names")
@@ -36,16 +37,23 @@ def components(links: DataFrame) -> DataFrame:
         rounds.append(names)
         a = names.select(F.col("node").alias("a"), F.col("name").alias("x"))
         b = names.select(F.col("node").alias("b"), F.col("name").alias("y"))
-        left = write_scratch(both.join(a, "a").join(b, "b").filter("x != y").select(
-            F.col("x").alias("a"), F.col("y").alias("b")).distinct(), "links")
-        drop_scratch(both)
-        both = left
+        less = write_scratch(_once(left.join(a, "a").join(b, "b"), "x", "y"), "links")
+        drop_scratch(left)
+        left = less
     if not rounds:
-        return both.select(F.col("a").alias("node"), F.col("b").alias("comp"))
+        return nodes.select("node", F.col("node").alias("comp"))
     comp = rounds.pop().withColumnRenamed("name", "comp")
     while rounds:
         last = comp.withColumnRenamed("node", "name")
         # a name without links in the next round is the name of its component
         comp = rounds.pop().join(last, "name", "left").select("node", F.coalesce("comp", "name").alias("comp"))
         comp = write_scratch(comp, "components")
-    return comp
+    loops = links.filter("a = b").select(F.col("a").alias("node")).distinct()
+    alone = loops.join(comp, "node", "left_anti").select("node", F.col("node").alias("comp"))
+    return comp.unionByName(alone)
+
+
+def _once(links: DataFrame, a: str, b: str) -> DataFrame:
+    """Each link between different nodes once, the smaller node first."""
+    return links.filter(F.col(a) != F.col(b)).select(
+        F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).distinct()

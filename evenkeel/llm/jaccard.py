@@ -11,9 +11,10 @@ of signatures and chance meetings. Empty parts meet often, so a band has some
 segments to spare, and a set with no more empty parts than that leaves them out.
 
 Sets that share a signature are candidates; what signatures connect is a clump.
-A clump that fits a block is compared whole by matrix products of its shingles,
-which give back a forest of the links and never the pairs. A larger clump, which
-chance meetings may have joined, is thinned out first: within a signature all
+A clump is cut into blocks, and each pair of blocks is compared whole by matrix
+products of its shingles, which give back a forest of the links and never the
+pairs. A clump of more than ``DIRECT_BLOCKS`` blocks, which chance meetings may
+have joined, is thinned out first: within a signature all
 sets are compared with its smallest one, and only signatures whose members are
 then still in several components stay open. Of these, either the members of each
 signature or, where that is fewer copies of texts, all that they connect are
@@ -63,13 +64,15 @@ from evenkeel.session import write_scratch
 #: Share of the universe's cost model: what one chance meeting costs in signatures.
 MEETING_COST = 50.0
 #: Sets, and bytes of their texts, planned for one block of a clump.
-BLOCK_SETS, BLOCK_BYTES = 2400, 8 << 20
+BLOCK_SETS, BLOCK_BYTES = 2400, 6 << 20
+#: Blocks of a clump up to which every two of them are compared at once.
+DIRECT_BLOCKS = 8
 #: Members that are compared with one copy of the smallest set of their signature.
 STAR_SETS = 512
 #: Rounds of hubs in wide clumps, and the share of open members up to which another round is worth it.
 STAR_TURNS, MOST_LEFT = 4, 0.7
-#: Shingles that one matrix product looks at.
-COLUMNS = 2048
+#: Shingles that one matrix product looks at, and rows of its result that are made at once.
+COLUMNS, ROWS = 1024, 512
 SALTS = 1024
 #: Ids up to this many (16 bytes each) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -334,7 +337,8 @@ def linked_forest(sets: list[np.ndarray], names: list[int], percent: int) -> lis
         x, y = np.searchsorted(column, [first, first + COLUMNS])
         part = np.zeros((len(sets), COLUMNS), np.float32)
         part[owner[x:y], column[x:y] - first] = 1
-        shared += part @ part.T
+        for i in range(0, len(sets), ROWS):
+            shared[i:i + ROWS] += part[i:i + ROWS] @ part.T
     root = list(range(len(sets)))
     found = []
     for row in range(len(sets)):
@@ -446,8 +450,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     starred = meet.join(hubs, "sig").filter("node != hub")
     pairs = write_scratch(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     clumps = _clumps(pairs, texts).withColumn("split", F.lit(False))
-    found = write_scratch(_clump_links(clumps.filter("blocks = 1"), texts, width, percent), "links")
-    wide = clumps.filter("blocks > 1").select("node")
+    found = write_scratch(_clump_links(clumps.filter(F.col("blocks") <= DIRECT_BLOCKS), texts, width, percent), "links")
+    wide = clumps.filter(F.col("blocks") > DIRECT_BLOCKS).select("node")
     if wide.limit(1).count():
         star = write_scratch(_star_links(pairs.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"),
                                          texts, width, percent), "links")

@@ -58,11 +58,12 @@ def test_one_of_each_group_stays_with_its_columns(spark, docs, rows):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("block,star", [(7, 512), (7, 3), (1000, 512), (2, 2)])
-def test_clumps_are_compared_block_against_block(spark, monkeypatch, block, star):
+@pytest.mark.parametrize("block,star,direct", [(7, 512, 100), (7, 3, 2), (2, 2, 1)])
+def test_clumps_are_compared_block_against_block(spark, monkeypatch, block, star, direct):
     """Many unlike texts that share signatures, in blocks of a few, at once or thinned out first."""
     monkeypatch.setattr(jaccard, "BLOCK_SETS", block)
     monkeypatch.setattr(jaccard, "STAR_SETS", star)
+    monkeypatch.setattr(jaccard, "DIRECT_BLOCKS", direct)
     monkeypatch.setattr(jaccard, "COLUMNS", 16)
     words = vocabulary(5)
     rng = random.Random(5)
