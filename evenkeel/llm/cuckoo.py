@@ -27,6 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evenkeel.llm.text import whole_row
 from evenkeel.session import ship_package, write_scratch
 
 CELL = 4
@@ -205,9 +206,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def unique_texts(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns."""
+    """One row of each text, the one that stays, with all its columns; of equal such rows one."""
     kept = exact_groups(docs).filter("kept").select(
-        F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__d")).distinct()
-    return docs.withColumn("__d", _digest(F.col("text"))).alias("a").join(
-        kept.withColumnRenamed("__d", "__k"), F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (
-            F.col("__d") == F.col("__k"))).select(*docs.columns)
+        F.col("doc_id").cast("long").alias("i"), F.col("text_sha256").alias("d")).distinct()
+    df = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("id"), _digest(F.col("text")).alias("digest"))
+    return df.join(kept, F.col("id").eqNullSafe(F.col("i")) & (F.col("digest") == F.col("d"))).dropDuplicates(
+        ["digest"]).select("row.*")

@@ -58,6 +58,7 @@ from evenkeel.llm.text import (
     own_id,
     row_hash,
     row_id,
+    whole_row,
 )
 from evenkeel.session import write_scratch
 
@@ -483,8 +484,7 @@ def similar_groups(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFr
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """One document of each component, with all its columns."""
-    kept = similar_groups(docs, width, percent).filter("stays").select(
-        F.col("id").alias("__id"), F.col("h").alias("__h")).distinct()
-    df = docs.withColumn("__id", row_id()).withColumn(
-        "__h", row_hash())
-    return df.join(kept, ["__id", "__h"]).dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    kept = similar_groups(docs, width, percent).filter("stays").select("id", "h").distinct()
+    # the row travels as one column, so that no name of its columns can clash
+    df = docs.select(whole_row(docs), row_id().alias("id"), row_hash().alias("h"))
+    return df.join(kept, ["id", "h"]).dropDuplicates(["id", "h"]).select("row.*")

@@ -3,8 +3,12 @@
 The targets share out the size of all documents by weight, but none exceeds
 ``MAX_EPOCHS`` times its source; what is cut off is shared by weight among the
 others until none is above its cap. Every document of a source is then taken as
-often as whole epochs fit, and once more while the rest of the target lasts, in
-an order drawn from ``doc_id``. Reruns agree.
+often as whole epochs fit. What is left of the target is filled once more in an
+order drawn from ``doc_id``: documents are taken while they fit. The first one
+that does not fit is passed over, and the filling goes on behind it with those
+no larger than what is left, ``FILLS`` times in all. In the end the smallest
+document left is taken as well and those that make up its excess are given back,
+found in the same way, if that brings the source nearer to its target. Reruns agree.
 
 Cases: a null text has size 0; null sources form one source, the last; ids that
 are null come last in the draw; equal rows are interchangeable; documents of
@@ -23,12 +27,16 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenkeel.functions.draws import uniform
-from evenkeel.llm.text import WORD, row_hash, row_id
+from evenkeel.llm.text import WORD, row_hash, row_id, whole_row
 from evenkeel.session import write_scratch
 
 MAX_EPOCHS = 3
 WEIGHTS = 3
 SALT = "mix"
+#: Times that a source is filled with documents no larger than what is left of its target.
+FILLS = 6
+#: Rounding of a target, in words.
+EDGE = 1e-6
 #: Documents of a source whose sizes one task adds up.
 SLICE_ROWS = 20_000
 
@@ -79,33 +87,77 @@ def mix(docs: DataFrame) -> DataFrame:
         row_hash().alias("h"),
         F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     plan = targets(rows)
-    a = rows.withColumn("u", uniform("id", SALT)).alias("a")
+    a = rows.withColumn("u", uniform("id", SALT)).withColumn("row", F.monotonically_increasing_id()).alias("a")
     b = plan.withColumnRenamed("source", "s").alias("b")
-    df = a.join(b, F.col("source").eqNullSafe(F.col("s"))).drop("s").withColumn(
-        "slice", F.floor(F.col("u") * F.ceil(F.col("n") / SLICE_ROWS)))
-    by = [F.coalesce("source", F.lit("")), F.col("source").isNull(), F.col("slice")]
-    df = df.withColumns({"k": by[0], "none": by[1]})
-    before = F.sum("size").over(Window.partitionBy("k", "none", "slice").orderBy("u", "id", "h").rowsBetween(
-        Window.unboundedPreceding, -1))
+    df = a.join(b, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    df = write_scratch(df.select(
+        "row", "doc_id", "id", "h", "u", "size", "source_size", "target", whole.alias("whole"),
+        (F.col("target") - whole * F.col("source_size")).alias("rest"),
+        F.coalesce("source", F.lit("")).alias("k"), F.col("source").isNull().alias("none"),
+        F.floor(F.col("u") * F.ceil(F.col("n") / SLICE_ROWS)).alias("slice")), "draw")
+    hits = _filled(df)
+    times = (F.col("whole") + F.coalesce("hit", F.lit(0))).cast("int")
+    return df.join(hits, "row", "left").select(
+        "doc_id", "id", "h", "size", "source_size", "target", times.alias("times"),
+        (times * F.col("size")).cast("long").alias("taken"))
+
+
+def _fitting(df: DataFrame) -> DataFrame:
+    """The rows that fit into ``left`` one after another in the order of the draw."""
+    before = F.sum("size").over(Window.partitionBy("k", "none", "slice").orderBy("u", "id", "h", "row").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow))
     ahead = df.groupBy("k", "none", "slice").agg(F.sum("size").alias("held")).withColumn(
         "ahead", F.coalesce(F.sum("held").over(Window.partitionBy("k", "none").orderBy("slice").rowsBetween(
             Window.unboundedPreceding, -1)), F.lit(0))).drop("held")
-    df = df.withColumn("before", F.coalesce(before, F.lit(0))).join(ahead, ["k", "none", "slice"])
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    rest = F.col("target") - whole * F.col("source_size")
-    # a document is taken once more when at least half of it still fits
-    more = F.col("ahead") + F.col("before") + F.col("size") / 2 <= rest
-    times = (whole + F.when(more & (rest > 0), 1).otherwise(0)).cast("int")
-    return df.select("doc_id", "id", "h", "size", "source_size", "target", times.alias("times"),
-                     (times * F.col("size")).cast("long").alias("taken"))
+    return df.withColumn("before", before).join(ahead, ["k", "none", "slice"]).filter(
+        F.col("ahead") + F.col("before") <= F.col("left") + EDGE).select("row", "k", "none", "size")
+
+
+def _less(left: DataFrame, hit: DataFrame) -> DataFrame:
+    """What is left of each source after the rows of ``hit``."""
+    used = hit.groupBy("k", "none").agg(F.sum("size").alias("used"))
+    return write_scratch(left.join(used, ["k", "none"], "left").select(
+        "k", "none", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left")), "left")
+
+
+def _fill(spare: DataFrame, left: DataFrame, whole: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows that fill ``left``, what they leave of it, and the rows not taken.
+
+    ``whole`` starts with a prefix of the draw; otherwise rows larger than what is left are never looked at.
+    """
+    found = None
+    for turn in range(FILLS):
+        near = spare.join(left, ["k", "none"])
+        if turn or not whole:
+            near = near.filter((F.col("size") > 0) & (F.col("size") <= F.col("left") + EDGE))
+        hit = write_scratch(_fitting(near), "fill")
+        left = _less(left, hit)
+        spare = spare.join(hit.select("row"), "row", "left_anti")
+        found = hit if found is None else found.unionByName(hit)
+    return found, left, spare
+
+
+def _filled(df: DataFrame) -> DataFrame:
+    """``row`` and ``hit`` (1) of the documents that are taken once more."""
+    rest = write_scratch(df.groupBy("k", "none").agg(F.max("rest").alias("left")).filter(F.col("left") > EDGE), "left")
+    draw = df.select("row", "k", "none", "slice", "u", "id", "h", "size")
+    found, left, spare = _fill(draw, rest, True)
+    last = write_scratch(spare.filter("size > 0").join(left, ["k", "none"]).groupBy("k", "none").agg(
+        F.min(F.struct("size", "u", "id", "h", "row")).alias("m"), F.max("left").alias("short")).select(
+        "m.row", "k", "none", "short", (F.col("m.size") - F.col("short")).alias("left")), "last")
+    back, over, _ = _fill(draw.join(found.select("row"), "row", "left_semi"), last.select("k", "none", "left"), False)
+    better = over.withColumnRenamed("left", "over").join(last, ["k", "none"]).filter(F.col("over") < F.col("short") - EDGE)
+    dropped = back.join(better.select("k", "none"), ["k", "none"], "left_semi").select("row")
+    return found.select("row").join(dropped, "row", "left_anti").unionByName(better.select("row")).select(
+        "row", F.lit(1).alias("hit"))
 
 
 def repeated(docs: DataFrame) -> DataFrame:
     """The documents as often as the mix takes them, with their own columns."""
-    often = mix(docs).select(F.col("id").alias("__id"), F.col("h").alias("__h"),
-                             F.col("times").alias("__times")).distinct().groupBy("__id", "__h").agg(
-        F.max("__times").alias("__times")).filter("__times > 0")
-    df = docs.withColumn("__id", row_id()).withColumn(
-        "__h", row_hash())
-    return df.join(often, ["__id", "__h"]).withColumn(
-        "__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+    often = mix(docs).select("id", "h", "times").groupBy("id", "h").agg(
+        F.max("times").alias("times")).filter("times > 0")
+    # the row travels as one column, so that no name of its columns can clash
+    df = docs.select(whole_row(docs), row_id().alias("id"), row_hash().alias("h"))
+    return df.join(often, ["id", "h"]).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1), F.col("times")))).select("row.*")

@@ -20,25 +20,29 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenkeel.llm.text import words
+from evenkeel.llm.text import row_hash, row_id, whole_row, words
 from evenkeel.session import reuse, write_scratch
 
+#: A word without a letter.
+BARE = r"(?:^|(?<=[\x20\x09-\x0D]))[^\x20\x09-\x0D\p{L}]+(?=[\x20\x09-\x0D]|$)"
+#: A word with a symbol.
+MARKED = r"[^\x20\x09-\x0D#*$%&|<>]*[#*$%&|<>][^\x20\x09-\x0D]*"
 #: Words in a window whose repeats are counted.
 WINDOW = 5
 MIN_WORDS = 10
 #: Repeated words in percent of all words above which a text fails at once.
 MAX_REPEATED = 20
-ROUNDS = 12
-#: Starting chance of a bad and a good vote, for good and for bad documents. Junk of one
-#: kind sets off few rules, so a bad document escapes most of them.
-START = {"good": (0.001, 0.7), "bad": (0.15, 0.5)}
-START_PRIOR = 0.8
-#: The anchor that names the classes: a rule speaks against a good document once in a thousand
-#: times at most and against a bad one in a twentieth at least, and a tenth of all may be bad.
-BAD_ON_GOOD, BAD_ON_BAD, MOST_GOOD = 0.001, 0.05, 0.9
+ROUNDS = 30
+#: Starting chance of a bad and a good vote, for good and for bad documents, and the prior: documents
+#: that count as if seen with these chances, as a share of all and at least.
+START = {"good": (0.03, 0.85), "bad": (0.35, 0.4)}
+START_PRIOR = 0.85
+PRIOR_SHARE, PRIOR_LEAST = 0.01, 10
+#: Chances that move less than this have settled.
+SETTLED = 1e-4
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-SIGNALS = [*BASE, "n_lines", "n_ended", "n_upper", "n_bangs", "n_distinct"]
+SIGNALS = [*BASE, "n_lines", "n_ended", "n_upper", "n_bangs", "n_distinct", "n_bare", "n_marked"]
 
 
 def signals(docs: DataFrame) -> DataFrame:
@@ -81,7 +85,9 @@ def signals(docs: DataFrame) -> DataFrame:
         .cast("long").alias("n_ended"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
         F.regexp_count(text, F.lit("!")).cast("long").alias("n_bangs"),
-        F.size(F.array_distinct(h)).cast("long").alias("n_distinct"))
+        F.size(F.array_distinct(h)).cast("long").alias("n_distinct"),
+        F.regexp_count(text, F.lit(BARE)).cast("long").alias("n_bare"),
+        F.regexp_count(text, F.lit(MARKED)).cast("long").alias("n_marked"))
     # a generator keeps the planner from copying the counts into every rule that reads them
     return df.withColumn("__q", F.explode(F.array(q))).drop("__w", "__h", "__lines", "__win", "__sorted", "__hit")
 
@@ -104,21 +110,22 @@ def votes(q) -> dict[str, Column]:
     """One vote for each rule; ``q(name)`` gives a signal."""
     share = lambda a, b: q(a) / F.nullif(q(b), F.lit(0))
     length = share("word_chars", "n_words")
+    ended = share("n_ended", "n_lines")
     return {
-        "symbols": _low(share("n_symbols", "n_words"), 0.1, 0.4),
+        "symbols": _low(share("n_symbols", "n_words"), 0.02, 0.1),
+        "marked": _low(share("n_marked", "n_words"), 0.05, 0.25),
+        "letters": _low(share("n_bare", "n_words"), 0.1, 0.2),
         "capitals": _low(share("n_upper", "word_chars"), 0.2, 0.5),
-        "bangs": _low(share("n_bangs", "n_words"), 0.1, 0.4),
-        "line_copies": _low(share("n_dup_lines", "n_lines"), 0.05, 0.6),
-        "repeats": F.when(100 * q("n_repeat_words") <= 2 * q("n_words"), 1).otherwise(0),
-        "word_length": _vote(length, (length >= 3) & (length <= 10), (length < 2) | (length > 15)),
-        "sentences": _vote(share("n_ended", "n_lines"), 10 * q("n_ended") >= 8 * q("n_lines"),
-                           (q("n_lines") >= 5) & (10 * q("n_ended") <= 2 * q("n_lines"))),
-        "variety": -_low(share("n_distinct", "n_words"), 0.05, 0.2),
-        "size": F.when(q("n_words") >= 40, 1).otherwise(0),
+        "bangs": _low(share("n_bangs", "n_words"), 0.02, 0.1),
+        "repeats": _low(share("n_repeat_words", "n_words"), 0.02, 0.1),
+        "word_length": _vote(length, (length >= 3) & (length <= 10), (length < 2.5) | (length > 12)),
+        "sentences": _vote(ended, ended >= 0.8, ended <= 0.5),
+        "variety": -_low(share("n_distinct", "n_words"), 0.1, 0.3),
+        "size": _vote(q("n_words"), q("n_words") >= 40, q("n_words") < 25),
     }
 
 
-RULES = ["symbols", "capitals", "bangs", "line_copies", "repeats", "word_length", "sentences",
+RULES = ["symbols", "marked", "letters", "capitals", "bangs", "repeats", "word_length", "sentences",
          "variety", "size"]
 
 
@@ -141,16 +148,16 @@ def posterior(vote: list[Column], model: Model) -> Column:
     return 1 / (1 + F.exp(-score))
 
 
-def _chances(bad: float, good: float, total: float, start: tuple[float, float]) -> tuple[float, float]:
-    """Shares of bad and good votes, with ten documents' worth of the starting values added."""
-    return tuple(min(max((n + 10 * s) / (total + 10), 1e-4), 0.98)
-                 for n, s in zip((bad, good), start, strict=True))
+def _chances(bad: float, good: float, total: float, start: tuple[float, float], weight: float) -> tuple[float, float]:
+    """Shares of bad and good votes among some documents and ``weight`` more that vote like the start."""
+    return tuple((n + weight * s) / (total + weight) for n, s in zip((bad, good), start, strict=True))
 
 
-def _within(chance: tuple[float, float], least: float = 0.0, most: float = 1.0) -> tuple[float, float]:
-    """Keep the bad votes within bounds and leave room for abstaining."""
-    bad = min(max(chance[0], least), most)
-    return bad, min(chance[1], 1 - 1e-2 - bad) if bad < 0.98 else 1e-2
+def _named(model: Model) -> Model:
+    """The class that gets the bad votes is the bad one: summed over rules, they speak against it."""
+    prior, chances = model
+    against = sum(math.log(c["bad"][0] / c["good"][0]) for c in chances)
+    return model if against >= 0 else (1 - prior, [{"good": c["bad"], "bad": c["good"]} for c in chances])
 
 
 def fit_rules(voted: DataFrame, rounds: int = ROUNDS) -> Model:
@@ -158,6 +165,8 @@ def fit_rules(voted: DataFrame, rounds: int = ROUNDS) -> Model:
 
     ``voted`` has one vote column for each rule. Expectation: the posterior of
     each vote pattern. Maximisation: weighted vote counts, one aggregate a round.
+    Every chance is learned; a weak prior keeps it off 0 and 1, and which class
+    is the good one is told by the sum of what bad votes weigh.
     """
     patterns = reuse(voted.groupBy(*RULES).agg(F.count(F.lit(1)).alias("n")))
     model: Model = (START_PRIOR, [START] * len(RULES))
@@ -172,16 +181,24 @@ def fit_rules(voted: DataFrame, rounds: int = ROUNDS) -> Model:
             *[s.alias(f"s{i}") for i, s in enumerate(sums)]).first()
         x = [v or 0 for v in row]
         total, good_n = x[0], x[1]
+        weight = max(PRIOR_LEAST, PRIOR_SHARE * total)
         chances = []
         for i in range(len(RULES)):
             bad_good, bad_all, good_good, good_all = x[2 + 4 * i: 6 + 4 * i]
             chances.append({
-                "good": _within(_chances(bad_good, good_good, good_n, START["good"]), most=BAD_ON_GOOD),
-                "bad": _within(_chances(bad_all - bad_good, good_all - good_good,
-                                        total - good_n, START["bad"]), least=BAD_ON_BAD)})
-        model = (min(max((good_n + 10 * START_PRIOR) / (total + 10), 0.05), MOST_GOOD), chances)
+                "good": _chances(bad_good, good_good, good_n, START["good"], weight),
+                "bad": _chances(bad_all - bad_good, good_all - good_good, total - good_n, START["bad"], weight)})
+        before, model = model, ((good_n + weight * START_PRIOR) / (total + weight), chances)
+        if _moved(before, model) < SETTLED:
+            break
     patterns.unpersist()
-    return model
+    return _named(model)
+
+
+def _moved(a: Model, b: Model) -> float:
+    """The largest change of a chance."""
+    return max([abs(a[0] - b[0]), *(abs(p - q) for c, d in zip(a[1], b[1], strict=True)
+                                    for k in c for p, q in zip(c[k], d[k], strict=True))])
 
 
 def _judge(df: DataFrame, q, model: Model) -> dict[str, Column]:
@@ -201,9 +218,15 @@ def rate(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows whose verdict is good, with all columns as they came."""
-    scored = signals(docs)
-    q = lambda name: F.col("__q")[name]
-    model = fit_rules(signals(docs.select("text")).filter(~base_failed(q)).select(
-        *[v.alias(k) for k, v in votes(q).items()]))
-    return scored.filter(_judge(scored, q, model)["kept"]).drop("__q")
+    """The rows whose verdict is good, with all columns as they came.
+
+    Texts are read once for the counts, which are written, and once for the rows that stay.
+    """
+    named = docs.select("text", row_id().alias("id"), row_hash().alias("h"))
+    table = write_scratch(signals(named).select("id", "h", "__q.*"), "quality")
+    model = fit_rules(table.filter(~base_failed(F.col)).select(
+        *[v.alias(k) for k, v in votes(F.col).items()]))
+    good = table.filter(_judge(table, F.col, model)["kept"]).select("id", "h")
+    # the row travels as one column, so that no name of its columns can clash
+    df = docs.select(whole_row(docs), row_id().alias("id"), row_hash().alias("h"))
+    return df.join(good, ["id", "h"], "left_semi").select("row.*")

@@ -41,6 +41,21 @@ def op3_quality_rules(spark, sf):
         "doc_id", *quality.BASE, "base_failed", "kept", "quality")
 
 
+def _fill_sql(mark: str, room: str, eligible: str, names: str, first: str, turns: int) -> str:
+    """Rounds that mark rows which fit into ``room`` one after another in the order of the draw."""
+    out, table = [], first
+    for i in range(turns):
+        out.append(f"""{names}l{i} as (select *, {room} - sum(case when {mark} then size else 0 end)
+              over (partition by source) as space from {table})""")
+        out.append(f"""{names}e{i} as (select *, {eligible} and not {mark} and size > 0 and size <= space + 1e-6 as fits
+              from {names}l{i})""")
+        table = f"{names}f{i}"
+        out.append(f"""{table} as (select * exclude ({mark}, space, fits), {mark} or (fits and
+              sum(case when fits then size else 0 end) over (partition by source order by u, doc_id
+              rows unbounded preceding) <= space + 1e-6) as {mark} from {names}e{i})""")
+    return ",\n".join(out)
+
+
 @query("op6_mix_sources", f"""
 with d as (
   select doc_id, source,
@@ -55,15 +70,23 @@ o as (select *, sum(w) over () - sum(w) over (order by cap / w, rank rows unboun
 level as (select greatest(max(total / all_w), coalesce(max(case when free > 0 then rest / free end), 0)) as level
           from o, (select sum(w) as all_w from w)),
 t as (select source, s, least(cap::double, w * level) as target from w, level),
-c as (select d.doc_id, d.size, t.s as source_size, t.target,
-             floor(t.target / nullif(t.s, 0)) as whole,
-             coalesce(sum(d.size) over (partition by d.source order by {u_sql('mix', 'd.doc_id')}, d.doc_id
-                      rows between unbounded preceding and 1 preceding), 0) as before
-      from d join t on d.source is not distinct from t.source)
+c as (select d.doc_id, d.source, d.size, t.s as source_size, t.target, {u_sql('mix', 'd.doc_id')} as u,
+             coalesce(floor(t.target / nullif(t.s, 0)), 0) as whole,
+             t.target - coalesce(floor(t.target / nullif(t.s, 0)), 0) * t.s as rest
+      from d join t on d.source is not distinct from t.source),
+f0 as (select *, rest > 1e-6 and sum(size) over (partition by source order by u, doc_id rows unbounded preceding)
+              <= rest + 1e-6 as got from c),
+{_fill_sql('got', 'rest', 'rest > 1e-6', 'a', 'f0', mixing.FILLS - 1)},
+s1 as (select *, rest - sum(case when got then size else 0 end) over (partition by source) as short,
+              row_number() over (partition by source order by rest > 1e-6 and not got and size > 0 desc, size, u, doc_id) = 1
+                and rest > 1e-6 and not got and size > 0 as picked from af{mixing.FILLS - 2}),
+s2 as (select *, sum(case when picked then size end) over (partition by source) - short as over_, false as back from s1),
+{_fill_sql('back', 'over_', 'got', 'b', 's2', mixing.FILLS)},
+s3 as (select *, coalesce(over_ - sum(case when back then size else 0 end) over (partition by source) < short - 1e-6, false)
+              as better from bf{mixing.FILLS - 1})
 select doc_id, size, source_size, target,
-       (size * (coalesce(whole, 0) + case when before + size / 2 <= target - coalesce(whole, 0) * source_size
-               and target - coalesce(whole, 0) * source_size > 0 then 1 else 0 end))::bigint as taken
-from c""")
+       (size * (whole + case when (got and not (better and back)) or (better and picked) then 1 else 0 end))::bigint as taken
+from s3""")
 def op6_mix_sources(spark, sf):
     return mixing.mix(load_table(spark, sf, "documents")).select(
         "doc_id", "size", "source_size", "target", "taken")

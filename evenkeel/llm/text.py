@@ -44,6 +44,11 @@ def row_id() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), row_hash().bitwiseAND(F.lit(NO_ID - 1)) + F.lit(NO_ID))
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of a row as one, ``row``; ``row.*`` gives them back."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+
+
 def own_id(name: str = "id") -> Column:
     """Back from an id to the ``doc_id``."""
     return F.when(F.col(name) < NO_ID, F.col(name))

@@ -6,8 +6,9 @@ from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from evenkeel.llm import licenses, mixing, packing, pages, quality
+from evenkeel.llm import cuckoo, jaccard, licenses, mixing, packing, pages, quality
 from evenkeel.llm.queries import ORACLES, QUERIES
 from tests.llm import brute
 from tests.llm.fixtures import empty, table, texts
@@ -64,6 +65,47 @@ def test_expectation_maximisation_finds_planted_rules(spark):
     assert np.mean([(r.p >= 0.5) == bool(r.good) for r in scored]) > 0.99
 
 
+def test_noisy_rules_are_weighed(spark):
+    """Good documents get bad votes as well; the chances are found, and single bad votes do not decide."""
+    rng = np.random.default_rng(2)
+    chances = {r: {"good": (0.05, 0.8), "bad": (0.3, 0.5)} for r in quality.RULES}
+    for strong in quality.RULES[:3]:
+        chances[strong] = {"good": (0.02, 0.9), "bad": (0.8, 0.1)}
+    votes = []
+    for i in range(6000):
+        good = i % 8 > 0
+        row = [int(good)]
+        for r in quality.RULES:
+            bad, fine = chances[r]["good" if good else "bad"]
+            row.append(int(rng.choice([-1, 1, 0], p=[bad, fine, 1 - bad - fine])))
+        votes.append(row)
+    df = spark.createDataFrame(votes, ", ".join(["good int", *[f"{r} int" for r in quality.RULES]]))
+    model = quality.fit_rules(df)
+    assert model[0] == pytest.approx(7 / 8, abs=0.03)
+    for r, got in zip(quality.RULES, model[1]):
+        for side in ("good", "bad"):
+            assert got[side] == pytest.approx(chances[r][side], abs=0.08), (r, side)
+    scored = df.withColumn("p", quality.posterior([df[r] for r in quality.RULES], model)).collect()
+    assert np.mean([(r.p >= 0.5) == bool(r.good) for r in scored]) > 0.98
+    single = [r for r in scored if sum(r[x] == -1 for x in quality.RULES) == 1]
+    assert {r.p >= 0.5 for r in single} == {True, False}
+    assert any(0.1 < r.p < 0.9 for r in scored)
+
+
+def test_one_bad_vote_does_not_reject(spark):
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rated = quality.rate(docs).filter("not base_failed").withColumnRenamed("quality", "chance")
+    against = sum((v < 0).cast("int") for v in quality.votes(F.col).values())
+    rows = rated.withColumn("against", against).join(
+        spark.read.parquet(f"{sf}/labels.parquet"), "doc_id", "left").collect()
+    assert {r.kept for r in rows if r.against == 1} == {True, False}
+    assert any(r.kept for r in rows if r.against == 2)
+    assert any(0.1 < r.chance < 0.9 for r in rows)
+    assert all(r.kept for r in rows if r.quality == 1)
+    assert sum(r.kept for r in rows if r.quality == 0) <= 0.05 * sum(r.quality == 0 for r in rows)
+
+
 def test_mix_meets_its_targets(spark, docs, rows):
     out = mixing.mix(docs).collect()
     assert len(out) == len(rows)
@@ -80,6 +122,40 @@ def test_mix_meets_its_targets(spark, docs, rows):
     assert again == sorted((r.doc_id, r.taken) for r in out)
 
 
+def test_sources_come_within_half_a_percent(spark):
+    out = mixing.mix(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.target, r.source_size].append(r)
+    assert len(by) > 5
+    for (target, _), group in by.items():
+        assert abs(sum(r.taken for r in group) - target) <= 0.005 * target
+
+
+@pytest.mark.parametrize("first", range(6))
+def test_large_documents_do_not_stop_the_filling(spark, first):
+    """A document of most of a source's words, wherever the draw puts it, and ties in size."""
+    rows = [(i, "w " * 10, "a") for i in range(40)] + [(1000 + first, "w " * 600, "a")]
+    rows += [(2000 + i, "w " * 7, "b") for i in range(700)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    by = defaultdict(list)
+    for r in out:
+        by[r.target].append(r)
+    for target, group in by.items():
+        assert abs(sum(r.taken for r in group) - target) <= max(5, 0.005 * target), (target, group[0].source_size)
+
+
+def test_clashing_column_names(spark, rows):
+    names = ["__id", "__h", "__q", "__times", "__copy", "__d", "row", "copy", "h", "__w", "__lines"]
+    df = table(spark, [r for r in rows if r[0] < 210]).drop("id", "h", "size")
+    for n in names:
+        df = df.withColumn(n, F.lit(f"own {n}"))
+    for out in (mixing.repeated(df), jaccard.keep_one(df, 4, 85), quality.keep_good(df), cuckoo.unique_texts(df)):
+        assert out.columns == df.columns
+        kept = out.collect()
+        assert kept and all(r[n] == f"own {n}" for r in kept for n in names)
+
+
 def test_water_filling_stops_at_the_caps(spark):
     sizes = spark.createDataFrame([("a", 10), ("b", 1000), ("c", 5), (None, 100)], "source string, size long")
     got = {r.source: r.target for r in mixing.targets(sizes).collect()}
