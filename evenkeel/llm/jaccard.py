@@ -74,6 +74,9 @@ STAR_SETS = 512
 STAR_TURNS, MOST_LEFT = 4, 0.7
 #: Shingles that one matrix product looks at, and rows of its result that are made at once.
 COLUMNS, ROWS = 1024, 512
+#: Shingles of more than this share of the sets go into matrix products, pairs of the others are
+#: counted one by one, so many at a time.
+DENSE, PAIRS = 0.1, 1 << 20
 SALTS = 1024
 #: Ids up to this many (16 bytes each) are broadcast to pick their texts, more are joined by shuffle.
 BROADCAST_IDS = 500_000
@@ -320,11 +323,28 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     return write_scratch(found.dropDuplicates(["node"]), "texts")
 
 
+def _count_pairs(shared: np.ndarray, owner: np.ndarray, often: np.ndarray) -> None:
+    """Add one for each two owners of a shingle, above the diagonal.
+
+    ``owner`` lists the owners of one shingle after another, ``often`` how many each has.
+    """
+    flat, n = shared.reshape(-1), len(shared)
+    start = np.cumsum(often) - often
+    for d in np.unique(often).tolist():
+        i, j = np.triu_indices(d, 1)
+        at = start[often == d]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(at), step):
+            members = owner[at[k:k + step, None] + np.arange(d)]
+            np.add.at(flat, (members[:, i].astype(np.int64) * n + members[:, j]).ravel(), np.float32(1))
+
+
 def linked_forest(sets: list[np.ndarray], names: list[int], percent: int) -> list[tuple[int, int]]:
     """Links among sets of shingles, enough to connect what all of them connect.
 
-    Counts of common shingles come from products of 0/1 matrices, some thousand
-    shingles at a time; a shingle of one set only is left out.
+    Counts of common shingles come from products of 0/1 matrices for frequent
+    shingles, some at a time, and from the pairs of owners for the others; a
+    shingle of one set only is left out.
     """
     sizes = np.array([len(x) for x in sets])
     owner = np.repeat(np.arange(len(sets)), sizes)
@@ -334,6 +354,11 @@ def linked_forest(sets: list[np.ndarray], names: list[int], percent: int) -> lis
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
     shared = np.zeros((len(sets), len(sets)), np.float32)
+    often = np.bincount(column) if len(column) else np.zeros(0, np.int64)
+    many = often > max(2, len(sets) * DENSE)
+    _count_pairs(shared, owner[~many[column]], often[~many])
+    common = many[column]
+    owner, column = owner[common], (np.cumsum(many) - 1)[column[common]]
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, COLUMNS):
         x, y = np.searchsorted(column, [first, first + COLUMNS])
         part = np.zeros((len(sets), COLUMNS), np.float32)
