@@ -14,15 +14,15 @@ Sets that share a signature are candidates; what signatures connect is a clump.
 A clump is cut into blocks, and each pair of blocks is compared whole by matrix
 products of its shingles, which give back a forest of the links and never the
 pairs. A clump of more than ``DIRECT_BLOCKS`` blocks, which chance meetings may
-have joined, is thinned out first: within a signature all
-sets are compared with its smallest one, and only signatures whose members are
-then still in several components stay open. Of these, either the members of each
-signature or, where that is fewer copies of texts, all that they connect are
-compared; what does not fit a block is cut into blocks and compared block
-against block. So a large group of near copies costs one comparison a member,
-texts are copied for the signatures they share and not for the size of their
-clump, every pair that shares a signature was compared or is connected, and no
-link is lost. All comparisons are made on the texts.
+have joined, is thinned out first: each set is compared with a hub of its
+signatures, for as many rounds as that closes signatures, and only signatures
+whose members are then still in several components stay open. Of these, either
+the members of each signature or, where that is fewer copies of texts, all that
+they connect are compared; what does not fit a block is cut into blocks and
+compared block against block. Near copies that a hub connects need no more; texts
+that share signatures without being similar cost a copy for each block or
+signature. Every pair that shares a signature was compared or is connected, so
+no link is lost. All comparisons are made on the texts.
 
 A signature that repeats inside one Arrow batch is known to recur; its rows are
 dealt out by salt, and one of them stands for the batch where it is counted.
@@ -446,24 +446,26 @@ def _open(rest: DataFrame, star: DataFrame) -> DataFrame:
     return write_scratch(named.join(several.select("sig"), "sig", "left_semi"), "open")
 
 
-def _more_stars(rest: DataFrame, star: DataFrame, texts: DataFrame, width: int,
-                percent: int) -> tuple[DataFrame, DataFrame]:
-    """Compare with further hubs while that closes signatures; what is still open, and all links.
+def _more_stars(rest: DataFrame, texts: DataFrame, width: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Compare each member with one hub a round while that closes signatures; what is still open, and all links.
 
-    The hub of a round is the member with the lowest hash, so signatures of one family
-    mostly agree on it. Members of its component need no comparison with it.
+    The hub of a signature is the member with the lowest hash, so signatures of one
+    family mostly agree on it; a member takes the lowest hub of its signatures
+    that is not in its own component yet.
     """
-    left, held = _open(rest, star), None
+    left, star = rest.withColumn("comp", F.col("node")), None
+    held = None
     for turn in range(STAR_TURNS):
         n = left.count()
         if not n or (held is not None and n > MOST_LEFT * held):
             break
         held = n
-        hubs = left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub"))
-        pairs = left.join(hubs, "sig").filter("comp != hub.comp").select(
-            F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
+        low = lambda c, turn=turn: F.xxhash64(c, F.lit(turn))
+        hubs = left.groupBy("sig").agg(F.min_by(F.struct("node", "comp"), low("node")).alias("hub"))
+        pairs = left.join(hubs, "sig").filter("comp != hub.comp").groupBy(F.col("node").alias("a")).agg(
+            F.min_by("hub.node", low("hub.node")).alias("b"))
         found = _star_links(write_scratch(pairs, "pairs"), texts, width, percent)
-        star = write_scratch(star.unionByName(found), "links")
+        star = write_scratch(found if star is None else star.unionByName(found), "links")
         left = _open(left.select("sig", "node"), star)
     return left.select("sig", "node"), star
 
@@ -479,11 +481,8 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     found = write_scratch(_clump_links(clumps.filter(F.col("blocks") <= DIRECT_BLOCKS), texts, width, percent), "links")
     wide = clumps.filter(F.col("blocks") > DIRECT_BLOCKS).select("node")
     if wide.limit(1).count():
-        star = write_scratch(_star_links(pairs.join(wide.withColumnRenamed("node", "a"), "a", "left_semi"),
-                                         texts, width, percent), "links")
-        # the hub was compared with all; the others need no more if one component holds them
-        rest = write_scratch(starred.join(wide, "node", "left_semi").select("sig", "node"), "rest")
-        left, star = _more_stars(rest, star, texts, width, percent)
+        rest = write_scratch(meet.join(wide, "node", "left_semi"), "rest")
+        left, star = _more_stars(rest, texts, width, percent)
         more = write_scratch(_clump_links(_open_groups(left, texts), texts, width, percent), "links")
         found = found.unionByName(star).unionByName(more)
     return components(found)

@@ -34,7 +34,7 @@ MAX_EPOCHS = 3
 WEIGHTS = 3
 SALT = "mix"
 #: Times that a source is filled with documents no larger than what is left of its target.
-FILLS = 6
+FILLS = 4
 #: Rounding of a target, in words.
 EDGE = 1e-6
 #: Documents of a source whose sizes one task adds up.
