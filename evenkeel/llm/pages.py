@@ -13,8 +13,9 @@ the markup. All pages are then read whole, each where it lies, so nothing is
 shuffled.
 
 Cases: a null or empty page gives an empty text; markup that is never closed
-ends with its page or its container; nesting of any depth is handled without
-recursion; repeated rows get the same text; pages without an article are judged
+ends with its page or its container, and a tag without its ``>`` is text;
+nesting of any depth is handled without recursion, broken markup of any length
+in linear time; repeated rows get the same text; pages without an article are judged
 by their other signs; an empty table gives an empty result.
 """
 
@@ -23,7 +24,7 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Generator, Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -38,9 +39,13 @@ SAMPLE_PAGES = 300
 # Element kinds of HTML.
 INLINE = set(
     "a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd mark q rp rt ruby s "
-    "samp small span strike strong sub sup time tt u var wbr".split())
+    "samp small span strike strong sub sup time tt u var wbr nobr math mi mn mo ms mtext mrow mfrac msqrt "
+    "mroot msub msup msubsup munder mover munderover mtable mtr mtd mspace mstyle mpadded semantics".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style template noscript svg iframe textarea title select object canvas math".split())
+#: Elements whose content is no markup; one that is never closed reaches to the end of the page.
+RAW = set("script style iframe textarea title xmp noembed noframes".split())
+#: Elements whose content is not shown; one that is never closed hides nothing.
+UNSHOWN = set("template noscript svg select object canvas audio video annotation annotation-xml".split())
 #: A new element of the first kind ends an open one of the second.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
         "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -61,9 +66,9 @@ HINTS = {
 }
 _HINT_OF = {word: hint for hint, words in HINTS.items() for word in words.split()}
 
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|"
-    r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_HEAD = re.compile(r"<(?P<close>/?)(?P<tag>[a-zA-Z][^\s/>]*)|(?P<note><!--|<!|<\?)")
+_ATTRS = re.compile(r"(?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|=)*+>")
+_EDGES = {tag: re.compile(rf"<(?P<close>/?){tag}(?=[\s/>])", re.I) for tag in RAW | UNSHOWN}
 _NAMED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-zA-Z][a-z]*|[A-Z]+")
 _SPACES = re.compile(r"\s+")
@@ -91,11 +96,79 @@ def _hints(attrs: str) -> tuple[str, ...]:
     return tuple(sorted(found))
 
 
+def _tokens(html: str) -> Generator[tuple[str, bool, str, int, int], int | None, None]:
+    """Tags of a page as ``(name, closing, attributes, start, end)``; name "" for comments.
+
+    A quoted value may hold ``>``. When a tag's quotes would reach the end of the page, tags end at
+    their first ``>`` from there on, so every character is looked at a bounded number of times. The
+    reader may send the place to go on from.
+    """
+    at, quoted = 0, True
+    while (start := html.find("<", at)) >= 0:
+        at = start + 1
+        head = _HEAD.match(html, start)
+        if head is None:
+            continue
+        if head["tag"] is None:
+            if head["note"] == "<!--":
+                close = html.find("-->", start + 2)
+                at = close + 3 if close >= 0 else len(html)
+            else:
+                close = html.find(">", at)
+                if close < 0:
+                    return
+                at = close + 1
+            yield "", False, "", start, at
+            continue
+        rest = _ATTRS.match(html, head.end()) if quoted else None
+        if rest is None:
+            quoted = False
+            close = html.find(">", head.end())
+            if close < 0:
+                return
+            at = close + 1
+        else:
+            at = rest.end()
+        go_on = yield head["tag"].lower(), bool(head["close"]), html[head.end():at - 1], start, at
+        if go_on is not None:
+            at = go_on
+            yield "", False, "", at, at
+
+
+class _Hidden:
+    """Where elements whose content is not shown end."""
+
+    def __init__(self, html: str):
+        self.html = html
+        self.open_ended: set[str] = set()
+
+    def end(self, tag: str, at: int) -> int | None:
+        """End of the element that starts before ``at``; None for one that is never closed."""
+        if tag in self.open_ended:
+            return None
+        depth, close = 1, at
+        for m in _EDGES[tag].finditer(self.html, at):
+            if close < m.end():
+                close = self.html.find(">", m.end())
+                if close < 0:
+                    break
+            if m["close"]:
+                depth -= 1
+            elif tag not in RAW and self.html[close - 1] != "/":
+                depth += 1
+            if not depth:
+                return close + 1
+        self.open_ended.add(tag)
+        return None
+
+
 def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
     """Block elements, parents first, and the text blocks in page order with their node."""
     nodes = [Node("#page", -1)]
     stack = [0]
-    inline: list[str] = []
+    places: dict[str, list[int]] = {}  # depths at which a tag is open
+    walls: list[int] = []
+    inline: Counter = Counter()
     blocks: list[tuple[int, str]] = []
     pending: list[str] = []
     linked = 0
@@ -117,66 +190,80 @@ def parse(html: str) -> tuple[list[Node], list[tuple[int, str]]]:
         if text:
             text = unescape(text) if "&" in text else text
             pending.append(text)
-            if "a" in inline:
+            if inline["a"] > 0:
                 linked += len(text.strip())
 
     def leave(depth: int) -> None:
         flush()
+        for place in stack[depth:]:
+            places[nodes[place].tag].pop()
+        while walls and walls[-1] >= depth:
+            walls.pop()
         del stack[depth:]
         inline.clear()
 
-    at, end = 0, len(html)
-    while at < end:
-        m = _TOKEN.search(html, at)
-        if m is None:
-            add(html[at:])
-            break
-        add(html[at:m.start()])
-        at = m.end()
-        if not m["tag"]:
+    def innermost(tags: Iterable[str]) -> int:
+        return max((places[t][-1] for t in tags if places.get(t)), default=0)
+
+    hidden = _Hidden(html)
+    tokens = _tokens(html)
+    done = 0
+    for tag, closing, attrs, start, at in tokens:
+        add(html[done:start])
+        done = at
+        if not tag:
             continue
-        tag = m["tag"].lower()
-        if m["close"]:
+        if closing:
             if tag in INLINE:
-                if tag in inline:
-                    inline.remove(tag)
-                continue
-            for depth in range(len(stack) - 1, 0, -1):
-                if nodes[stack[depth]].tag == tag:
-                    leave(depth)
-                    break
+                if inline[tag] > 0:
+                    inline[tag] -= 1
+            elif places.get(tag):
+                leave(places[tag][-1])
             continue
-        if tag in RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(html, at)
-            if not m["attrs"].rstrip().endswith("/"):
-                at = close.end() if close else end
+        if tag in RAW or tag in UNSHOWN:
+            if not attrs.rstrip().endswith("/"):
+                end = hidden.end(tag, at)
+                if end is None and tag in RAW:
+                    end = len(html)
+                if end is not None:
+                    done = end
+                    tokens.send(end)
             continue
         if tag in INLINE:
             if tag == "br":
                 pending.append(" ")
             elif tag not in VOID:
-                inline.append(tag)
+                inline[tag] += 1
             continue
         flush()
         if tag in VOID:
             continue
-        for depth in range(len(stack) - 1, 0, -1):
-            open_ = nodes[stack[depth]].tag
-            if open_ == "p" or open_ in ENDS.get(tag, ()):
-                leave(depth)
-                if open_ != "p":
-                    break
-            elif open_ in WALLS:
+        ended = ENDS.get(tag, set())
+        while True:
+            depth = innermost({"p"} | ended)
+            if depth <= (walls[-1] if walls else 0):
+                break
+            was = nodes[stack[depth]].tag
+            leave(depth)
+            if was != "p":
                 break
         inline.clear()
-        nodes.append(Node(tag, stack[-1], _hints(m["attrs"])))
+        nodes.append(Node(tag, stack[-1], _hints(attrs)))
+        places.setdefault(tag, []).append(len(stack))
+        if tag in WALLS:
+            walls.append(len(stack))
         stack.append(len(nodes) - 1)
+    add(html[done:])
     flush()
     return nodes, blocks
 
 
+#: Steps of text size that are told apart.
+LARGEST = 6
+
+
 def _step(value: int) -> int:
-    return min(6, value.bit_length() // 2)
+    return min(LARGEST, value.bit_length() // 2)
 
 
 def signs(node: Node) -> tuple[str, ...]:
@@ -210,6 +297,8 @@ class TreeModel:
             yes = (seen[1][sign] + 0.5) / (totals[1] + 1)
             no = (seen[0][sign] + 0.5) / (totals[0] + 1)
             model.weight[sign] = math.log(yes / no)
+        for step in range(1, LARGEST + 1):  # a size that no page shows counts like the next smaller one
+            model.weight.setdefault(f"size:{step}", model.weight.get(f"size:{step - 1}", 0.0))
         model.pair = [[math.log(c / sum(row)) for c in row] for row in pairs]
         return model
 
@@ -248,6 +337,8 @@ def _log_sum(a: float, b: float) -> float:
 
 # ---- labelled pages -------------------------------------------------------------------
 
+_SENTENCE = "The river rose in the night and fell again before anyone had seen how far it went. "
+
 #: Pages with their content inside ``<mark-content>``; the marks are not part of the tree.
 MARKED_PAGES = [
     """<html><body><header class="masthead"><h2>Daily Site</h2><nav class="menu"><ul><li><a>Home</a></li>
@@ -305,6 +396,21 @@ MARKED_PAGES = [
     <section><h2>Lakes</h2><p>Lakes hold the water for a while.</p><p>Some dry out.</p></section></article>
     </mark-content></main><section id="comments"><h2>Replies</h2><article class="comment"><p>I live at a lake
     and can say that this is so.</p></article></section><footer>About us</footer></body></html>""",
+    f"""<html><body><nav><ul><li><a>News</a></li><li><a>Weather</a></li></ul></nav><div class="ad">Cheap boats.</div>
+    <mark-content><div><h1>A long report</h1><p>{_SENTENCE * 5}</p><p>{_SENTENCE * 14}</p><p>{_SENTENCE * 3}</p>
+    <p>{_SENTENCE * 60}</p></div></mark-content><footer>&copy; The report, all rights reserved.</footer></body></html>""",
+    f"""<html><body><header>Letters of a town</header><div class="menu"><a>Start</a> <a>Archive</a></div><mark-content>
+    <div><h2>On floods</h2><p>{_SENTENCE * 20}</p><p>{_SENTENCE}</p><ul><li>{_SENTENCE}</li><li>{_SENTENCE * 4}</li>
+    </ul><p>{_SENTENCE * 8}</p><blockquote>{_SENTENCE * 5}</blockquote></div></mark-content><div class="comments">
+    <div class="comment"><p>{_SENTENCE * 4}</p></div><div class="comment"><p>{_SENTENCE * 13}</p></div></div>
+    <aside>{_SENTENCE * 4}</aside><form><p>Write to us</p></form><footer><p>{_SENTENCE * 4}</p></footer></body></html>""",
+    f"""<html><body><div id="nav"><a>One</a><a>Two</a></div><div id="page"><mark-content><div><h1>Notes</h1>
+    {_SENTENCE * 16}<br>{_SENTENCE * 50}</div></mark-content></div><div class="cookie-notice">{_SENTENCE * 4}</div>
+    <div class="sidebar"><p>{_SENTENCE * 3}</p></div><div id="footer">Printed in the town.</div></body></html>""",
+    f"""<html><body><nav><ul><li><a>Home</a></li><li><a>Boats</a></li></ul></nav><mark-content><div><h1>A short report</h1>
+    <p>{_SENTENCE * 4}</p></div></mark-content><footer>The report, made by hand.</footer></body></html>""",
+    """<html><body><header><a>Start</a></header><mark-content><div><h1>A note</h1><p>The bridge is open again since
+    this morning.</p></div></mark-content><footer>All rights reserved.</footer></body></html>""",
 ]
 
 

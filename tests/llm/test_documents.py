@@ -254,6 +254,46 @@ def test_pages_of_another_make(spark):
     assert hits >= 0.9 * total and wrong <= 0.2 * total
 
 
+def test_pages_that_do_not_name_their_article(spark):
+    """The given pages with their articles renamed, so that only the marked pages label."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    renamed = rows.withColumn("html", F.regexp_replace("html", r"(</?)article", "$1div"))
+    got = {r.page_id: r.text for r in pages.extract_text(renamed).collect()}
+    lost = extra = whole = 0
+    for r in rows.collect():
+        want = {" ".join(b.split()) for b in _article(r.html) if b}
+        found = {" ".join(b.split()) for b in got[r.page_id].split("\n")}
+        lost += sum(map(len, want - found))
+        extra += sum(map(len, found - want))
+        whole += sum(map(len, want))
+    assert lost <= 0.001 * whole and extra <= 0.001 * whole
+
+
+def test_broken_markup_takes_linear_time():
+    import time
+
+    for piece in ("<a ", '<div class="x ', "<center>", "<b>", "<a<", "<!", "<svg ", "<svg>", '<a b=">" ', "<p>x",
+                  "<ul><li>", "<!--", "<a b='", "<object>", "<script>"):
+        page = piece * (300_000 // len(piece))
+        begun = time.process_time()
+        pages.parse(page)
+        assert time.process_time() - begun < 4, piece
+
+
+def test_nothing_is_swallowed():
+    def blocks(html):
+        return [text for _, text in pages.parse(html)[1]]
+
+    for tag in ("object data=x", "canvas", "svg", "select", "noscript", "template"):
+        assert blocks(f"<article><p>Text one</p><{tag}><p>Text two</article>") == ["Text one", "Text two"]
+        assert blocks(f"<p>a</p><{tag}>b</{tag.split()[0]}><p>c") == ["a", "c"]
+    assert blocks("<svg><svg>a</svg>b</svg>c<script>d</p></script>e") == ["ce"]
+    assert blocks("<p>Let <math><mi>x</mi><mo>=</mo><mn>2</mn></math> be.") == ["Let x=2 be."]
+    assert blocks("""<p title="a>b">c</p><p>don't say a < b""") == ["c", "don't say a < b"]
+    assert blocks('<p>a <b x="unclosed>bold</b> tail</p><p>more') == ["a bold tail", "more"]
+    assert blocks("<p>one<!-->two<a two") == ["onetwo<a two"]
+
+
 def test_messages_give_exact_marginals():
     """Against a sum over all labellings of a small tree."""
     import itertools
