@@ -157,6 +157,12 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
         "id", "h", "start", "n", "key", "name", "again")
 
 
+def _by_key(side: DataFrame) -> DataFrame:
+    """Side of a join that is dealt out by its key: these tables grow with the documents, so no size of
+    them is taken for small, and the plan is the same at every size."""
+    return side.hint("merge")
+
+
 class Repeats:
     """Copies of runs and, where runs differ under one minimiser, copies of their windows.
 
@@ -183,11 +189,11 @@ class Repeats:
             F.min("id").alias("low"), F.min("place").alias("p"), F.max("place").alias("q")).select(
             "key", "name", "n", "low", "p", (F.col("p") < F.col("q")).alias("copied")), "kinds")
         several = kinds.groupBy("key").agg(F.count(F.lit(1)).alias("kinds")).filter("kinds > 1")
-        marks = kinds.join(several, "key", "left").filter("copied or kinds > 1").withColumn(
+        marks = kinds.join(_by_key(several), "key", "left").filter("copied or kinds > 1").withColumn(
             "kinds", F.coalesce("kinds", F.lit(1)))
         # one place stands for all copies of a run: the first, which may be several rows of one id
         first = (F.col("id") == F.col("low")) & ~F.col("again") if self.keep_first else place == F.col("p")
-        known = write_scratch(runs.join(marks, ["key", "name", "n"]).select(
+        known = write_scratch(runs.join(_by_key(marks), ["key", "name", "n"]).select(
             "id", "h", "start", "n", "key", "copied", "kinds", first.alias("first")), "known")
         copies = known.filter(F.col("copied") & ~F.col("first") if self.keep_first else F.col("copied"))
         found = copies.select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
@@ -204,7 +210,7 @@ class Repeats:
 
     def _asked(self, asked: DataFrame) -> DataFrame:
         wanted = asked.groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "key", "copied")).alias("runs"))
-        return self.rows.join(wanted, ROW).dropDuplicates(ROW)
+        return self.rows.join(_by_key(wanted), ROW).dropDuplicates(ROW)
 
     def _strings(self, asked: DataFrame, buckets: int) -> DataFrame:
         """Each run as one packed string, with the bucket of its minimiser."""
@@ -260,7 +266,7 @@ class Repeats:
         known = windows.withColumn("place", place).groupBy("x", "y").agg(
             F.min("id").alias("low"), F.min("place").alias("p"), F.max("place").alias("q"),
             F.max("copied").alias("any")).filter((F.col("p") < F.col("q")) | F.col("any"))
-        both = windows.join(known, ["x", "y"])
+        both = windows.join(_by_key(known), ["x", "y"])
         if self.keep_first:
             both = both.filter((F.col("id") != F.col("low")) | F.col("again"))
         return both.select("id", "h", F.col("start").alias("a"), (F.col("start") + width).alias("b"))
@@ -268,7 +274,7 @@ class Repeats:
     def marked(self) -> DataFrame:
         """Every row with its bytes and the spans found in it (null: none)."""
         spans = self.spans().groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-        return self.rows.join(spans, ROW, "left").select(own_id().alias("doc_id"), "body", "spans")
+        return self.rows.join(_by_key(spans), ROW, "left").select(own_id().alias("doc_id"), "body", "spans")
 
 
 def covered(size: int, spans: list[dict] | None) -> np.ndarray:
