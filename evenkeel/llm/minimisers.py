@@ -121,7 +121,8 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
         some = np.flatnonzero(shared)
         some = some[np.lexsort((start[some], n[some], name[some], key[some], hs[some], ids[some]))]
         again[some[1:]] = np.logical_and.reduce([c[some[1:]] == c[some[:-1]] for c in (ids, hs, key, name, n)])
-        salt = np.where(shared, 1 + mix(name + start.astype(np.uint64) + hs.view(np.uint64))
+        owner = hs.view(np.uint64) + ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        salt = np.where(shared, 1 + mix(name + start.astype(np.uint64) + owner)
                         % np.uint64(SALTS), 0).astype(np.int32)
         yield from _slices({
             "id": ids, "h": hs, "start": start.astype(np.int32), "n": n.astype(np.int32),
@@ -157,6 +158,11 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
         "id", "h", "start", "n", "key", "name", "again")
 
 
+def several_texts(rows: DataFrame) -> bool:
+    """Does an id stand for different texts? If none does, the id alone names a row in all run tables."""
+    return not rows.groupBy("id").agg((F.min("h") < F.max("h")).alias("several")).filter("several").isEmpty()
+
+
 class Repeats:
     """Copies of runs and, where runs differ under one minimiser, copies of their windows.
 
@@ -168,7 +174,8 @@ class Repeats:
     def __init__(self, docs: DataFrame, kind: str, width: int, seed: int, keep_first: bool,
                  bucket_units: int, in_bucket: Callable, bucket_runs: int = BUCKET_RUNS):
         # the same columns wherever texts are dealt out, so that they are dealt out once
-        self.rows = keyed(docs).select("id", "h", "body")
+        rows = keyed(docs).select("id", "h", "body")
+        self.rows = rows if several_texts(rows) else rows.withColumn("h", F.lit(0).cast("long"))
         self.kind, self.width, self.seed = kind, width, seed
         self.keep_first, self.bucket_units = keep_first, bucket_units
         self.in_bucket, self.bucket_runs = in_bucket, bucket_runs
