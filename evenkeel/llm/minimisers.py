@@ -172,10 +172,11 @@ class Repeats:
     """
 
     def __init__(self, docs: DataFrame, kind: str, width: int, seed: int, keep_first: bool,
-                 bucket_units: int, in_bucket: Callable, bucket_runs: int = BUCKET_RUNS):
+                 bucket_units: int, in_bucket: Callable, bucket_runs: int = BUCKET_RUNS,
+                 short_names: bool = False):
         # the same columns wherever texts are dealt out, so that they are dealt out once
         rows = keyed(docs).select("id", "h", "body")
-        self.rows = rows if several_texts(rows) else rows.withColumn("h", F.lit(0).cast("long"))
+        self.rows = rows if not short_names or several_texts(rows) else rows.withColumn("h", F.lit(0).cast("long"))
         self.kind, self.width, self.seed = kind, width, seed
         self.keep_first, self.bucket_units = keep_first, bucket_units
         self.in_bucket, self.bucket_runs = in_bucket, bucket_runs

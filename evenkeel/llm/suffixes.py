@@ -148,6 +148,7 @@ def drop_earlier_seen(docs: DataFrame, length: int = LENGTH, seed: int = SEED,
                      pa.array(kept, pa.binary())],
                     names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    found = Repeats(docs, "bytes", length, seed, True, BUCKET_BYTES, earlier_copies(length), bucket_runs)
+    found = Repeats(docs, "bytes", length, seed, True, BUCKET_BYTES, earlier_copies(length), bucket_runs,
+                    short_names=True)
     return found.marked().mapInArrow(
         work, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
