@@ -13,6 +13,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 SMALL_ROWS = 200_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -56,10 +57,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage with a written table; it outlives lost executors."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Cut the lineage with a written table; it outlives lost executors.
+
+    Nothing reads the shuffles of a written table again, so Spark deletes them when
+    the write ends; otherwise they would stay on disk until the driver collects garbage.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def drop_scratch(df: DataFrame) -> None:
