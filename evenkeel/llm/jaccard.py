@@ -60,7 +60,7 @@ from evenkeel.llm.text import (
     row_id,
     whole_row,
 )
-from evenkeel.session import write_scratch
+from evenkeel.session import drop_scratch, write_scratch
 
 #: Share of the universe's cost model: what one chance meeting costs in signatures.
 MEETING_COST = 50.0
@@ -317,10 +317,11 @@ def _texts(docs: DataFrame, sets: DataFrame, nodes: DataFrame) -> DataFrame:
     """One text for each node asked for: ``node`` and ``body``."""
     wanted = write_scratch(sets.join(nodes, "node", "left_semi").groupBy("node").agg(
         F.min_by(F.struct("id", "h"), F.struct("id", "h")).alias("row")).select("node", "row.id", "row.h"), "wanted")
-    if wanted.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    found = keyed(docs).join(wanted, ["id", "h"]).select("node", "body")
-    return write_scratch(found.dropDuplicates(["node"]), "texts")
+    few = wanted.count() <= BROADCAST_IDS
+    found = keyed(docs).join(F.broadcast(wanted) if few else wanted, ["id", "h"]).select("node", "body")
+    texts = write_scratch(found.dropDuplicates(["node"]), "texts")
+    drop_scratch(wanted)
+    return texts
 
 
 def _count_pairs(shared: np.ndarray, owner: np.ndarray, often: np.ndarray) -> None:
@@ -485,6 +486,9 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
         left, star = _more_stars(rest, texts, width, percent)
         more = write_scratch(_clump_links(_open_groups(left, texts), texts, width, percent), "links")
         found = found.unionByName(star).unionByName(more)
+        drop_scratch(rest)
+    for table in (meet, texts, pairs, clumps):
+        drop_scratch(table)
     return components(found)
 
 

@@ -32,7 +32,7 @@ from evenkeel.llm.text import (
     own_id,
     word_hashes,
 )
-from evenkeel.session import write_scratch
+from evenkeel.session import drop_scratch, write_scratch
 
 ROW = ["id", "h"]
 SALTS = 1024
@@ -197,6 +197,8 @@ class Repeats:
         first = (F.col("id") == F.col("low")) & ~F.col("again") if self.keep_first else place == F.col("p")
         known = write_scratch(runs.join(marks, ["key", "name", "n"]).select(
             "id", "h", "start", "n", "key", "copied", "kinds", first.alias("first")), "known")
+        drop_scratch(runs)
+        drop_scratch(kinds)
         copies = known.filter(F.col("copied") & ~F.col("first") if self.keep_first else F.col("copied"))
         found = copies.select("id", "h", F.col("start").alias("a"), (F.col("start") + F.col("n") + (width - 1)).alias("b"))
         asked = known.filter("first and kinds > 1").select(
