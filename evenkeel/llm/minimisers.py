@@ -35,14 +35,12 @@ from evenkeel.llm.text import (
 from evenkeel.session import drop_scratch, write_scratch
 
 ROW = ["id", "h"]
-SALTS = 1024
 OUT_ROWS = 200_000
 #: Runs of one minimiser that differ: up to this many go to its bucket, of more every window goes
 #: to the window's own key.
 BUCKET_RUNS = 8_000
 #: Runs of a batch that are looked at together.
 LOOK_RUNS = 150_000
-RUN = "id long, h long, start int, n int, key long, name long, again boolean"
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -104,9 +102,12 @@ def _slices(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
 def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFrame:
     """Every run whose minimiser is found at two places or more.
 
-    What repeats inside one Arrow batch is known to recur and is dealt out by
-    salt; one row without windows stands for it where minimisers are counted.
-    ``again`` marks a run that its own document had before.
+    What repeats inside one Arrow batch is known to recur and is dealt out by its
+    place; one row without windows stands for it where minimisers are counted.
+    ``again`` marks a run that its own document had before. A row travels as five
+    whole numbers: start, window count (below 2^24) and both marks are one of them,
+    and a minimiser that is known to recur is mixed with the row's place, which
+    takes it out again.
     """
     def rows_out(found: list) -> Iterator[pa.RecordBatch]:
         ids, hs, start, n, key, name = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -121,17 +122,13 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
         some = np.flatnonzero(shared)
         some = some[np.lexsort((start[some], n[some], name[some], key[some], hs[some], ids[some]))]
         again[some[1:]] = np.logical_and.reduce([c[some[1:]] == c[some[:-1]] for c in (ids, hs, key, name, n)])
-        owner = hs.view(np.uint64) + ids.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-        salt = np.where(shared, 1 + mix(name + start.astype(np.uint64) + owner)
-                        % np.uint64(SALTS), 0).astype(np.int32)
-        yield from _slices({
-            "id": ids, "h": hs, "start": start.astype(np.int32), "n": n.astype(np.int32),
-            "key": as_signed(key), "name": as_signed(name), "again": again, "salt": salt})
-        stand = as_signed(key[order[new & more]])
+        at = (start.astype(np.int64) << 32) | (n.astype(np.int64) << 8) | (shared * 2 + again)
+        key = as_signed(key)
+        yield from _slices({"spread": np.where(shared, key ^ at ^ (ids << 20) ^ hs, key),
+                            "name": as_signed(name), "id": ids, "at": at, "h": hs})
+        stand = key[order[new & more]]
         zero = np.zeros(len(stand), np.int64)
-        yield from _slices({
-            "id": zero, "h": zero, "start": zero.astype(np.int32), "n": zero.astype(np.int32),
-            "key": stand, "name": zero, "again": zero.astype(bool), "salt": zero.astype(np.int32)})
+        yield from _slices({"spread": stand, "name": zero, "id": zero, "at": zero, "h": zero})
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = Units(kind)
@@ -151,11 +148,15 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
             if found:
                 yield from rows_out(found)
 
-    found = rows.select("id", "h", "body").mapInArrow(work, f"{RUN}, salt int")
-    seen = F.count(F.lit(1)).over(Window.partitionBy("key", "salt"))
-    return found.withColumn("seen", seen).filter(
-        (F.col("n") > 0) & ((F.col("salt") > 0) | (F.col("seen") > 1))).select(
-        "id", "h", "start", "n", "key", "name", "again")
+    found = rows.select("id", "h", "body").mapInArrow(work, "spread long, name long, id long, at long, h long")
+    at, shared = F.col("at"), F.col("at").bitwiseAND(F.lit(2)) > 0
+    n = F.shiftright(at, 8).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    dealt = F.col("spread").bitwiseXOR(at).bitwiseXOR(F.shiftleft("id", 20)).bitwiseXOR(F.col("h"))
+    seen = F.count(F.lit(1)).over(Window.partitionBy("spread"))
+    return found.withColumn("seen", seen).filter((n > 0) & (shared | (F.col("seen") > 1))).select(
+        "id", "h", F.shiftright(at, 32).cast("int").alias("start"), n.alias("n"),
+        F.when(shared, dealt).otherwise(F.col("spread")).alias("key"), "name",
+        (at.bitwiseAND(F.lit(1)) > 0).alias("again"))
 
 
 def several_texts(rows: DataFrame) -> bool:
