@@ -131,10 +131,9 @@ def row_sample_with_replacement(spark, sf):
 
 
 @query("derived_norm", "B-13", """
-select vec_id, round(sqrt(embedding[1]::double * embedding[1]::double + embedding[2]::double * embedding[2]::double), 4) + 0e0 as norm
-from embeddings""")
+select vec_id, round(sqrt(list_sum([x::double * x::double for x in embedding])), 4) + 0e0 as norm from embeddings""")
 def derived_norm(spark, sf):
-    return op.with_norm(vectors(spark, sf, 2), ["x0", "x1"]).select("vec_id", "norm")
+    return op.with_norm(vectors(spark, sf), [f"x{i}" for i in range(64)]).select("vec_id", "norm")
 
 
 # ---- joins ---------------------------------------------------------------------

@@ -78,9 +78,9 @@ def day_differences(spark, sf):
 # ---- arrays ------------------------------------------------------------------------
 
 @query("onehot_to_label", "H-5", """
-select vec_id, (list_position(embedding[1:10], list_max(embedding[1:10])) - 1)::int as code from embeddings""")
+select vec_id, (list_position(embedding, list_max(embedding)) - 1)::int as code from embeddings""")
 def onehot_to_label_query(spark, sf):
-    return vectors(spark, sf, 10).select("vec_id", onehot_to_label([f"x{i}" for i in range(10)]).alias("code"))
+    return vectors(spark, sf).select("vec_id", onehot_to_label([f"x{i}" for i in range(64)]).alias("code"))
 
 
 @query("label_to_onehot", "H-6", """
@@ -92,27 +92,27 @@ def label_to_onehot(spark, sf):
 
 
 @query("category_draw", "H-7", f"""
-with e as (select vec_id, [abs(v::double) for v in embedding[1:8]] as w,
+with e as (select vec_id, [abs(v::double) for v in embedding] as w,
                   {u_sql('cat', 'vec_id')} as u from embeddings),
 x as (select vec_id, u, w, unnest(w) as v, generate_subscripts(w, 1) as i from e),
 c as (select vec_id, i, u * sum(v) over (partition by vec_id) as target,
              sum(v) over (partition by vec_id order by i) as mass from x)
-select vec_id, least(count(*) filter (where mass <= target), 7)::int as code from c group by 1""")
+select vec_id, least(count(*) filter (where mass <= target), 63)::int as code from c group by 1""")
 def category_draw(spark, sf):
-    weights = F.array(*[F.abs(f"x{i}") for i in range(8)])
-    return vectors(spark, sf, 8).select(
+    weights = F.array(*[F.abs(f"x{i}") for i in range(64)])
+    return vectors(spark, sf).select(
         "vec_id", sample_category(weights, uniform("vec_id", "cat")).alias("code"))
 
 
 @query("softmax", "H-8", f"""
-with x as (select vec_id, unnest(embedding[1:8])::double as v, generate_subscripts(embedding[1:8], 1) as i
+with x as (select vec_id, unnest(embedding)::double as v, generate_subscripts(embedding, 1) as i
            from embeddings)
 select vec_id, (i - 1)::int as pos,
        {r('exp(v - max(v) over w) / sum(exp(v)) over w * exp(max(v) over w)', 'share')}
 from x window w as (partition by vec_id)""")
 def softmax_query(spark, sf):
-    scores = F.array(*[f"x{i}" for i in range(8)])
-    return tidy(vectors(spark, sf, 8).select("vec_id", F.posexplode(softmax(scores)).alias("pos", "share")))
+    scores = F.array(*[f"x{i}" for i in range(64)])
+    return tidy(vectors(spark, sf).select("vec_id", F.posexplode(softmax(scores)).alias("pos", "share")))
 
 
 @query("weighted_level_vectors", "H-9", f"""
