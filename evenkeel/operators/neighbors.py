@@ -2,15 +2,17 @@
 
 1. Rows with equal features become one point that remembers its k + 1 smallest
    keys; more copies can never be needed to fill k places.
-2. Points join the cell of their nearest pivot; a cell is cut into blocks of
-   limited size, and each block travels as one packed row.
-3. Each block of queries first searches the blocks of its own cell, which bounds
-   the k-th distance of its points. The triangle inequality then names the other
-   cells that could hold a nearer point for any of them.
-4. The blocks of those cells go once to each block of queries. So a vector is
-   copied once for a few thousand queries, not for each of them, and a cell that
-   holds a third of all points is many blocks. A block gives k + 1 points for
-   each query; pairs never become rows.
+2. Points join the cell of their nearest pivot. Pivots are numbered along a tree
+   of halves, so cells with near numbers lie near each other, and the cells of a
+   group are cut, in that order, into blocks of limited size. However small the
+   cells are, a block is full; a hot cell is many blocks.
+3. Each block of queries first searches itself, which bounds the k-th distance of
+   its points. The triangle inequality then names the cells that could hold a
+   nearer point for any of them.
+4. The blocks of those cells go to a few blocks of queries together. So a vector
+   is copied once for some ten thousand queries, not for each of them. Inside a
+   task boxes around small leaves of points are ruled out by the bounds; only
+   points within the bound of a query leave the task.
 
 Equal distances are ordered by key. Distances count a numeric difference by its
 square and a differing category by the square of ``penalty``.
@@ -18,6 +20,7 @@ square and a differing category by the square of ``penalty``.
 
 from __future__ import annotations
 
+import math
 import sys
 
 import numpy as np
@@ -27,6 +30,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.functions.draws import uniform
 from evenkeel.session import write_scratch
@@ -40,11 +44,18 @@ BLOCK_POINTS = 8192
 BLOCK_BYTES = 4 << 20
 #: Pivots are broadcast; their number and so the size of what is sent is bounded.
 MAX_PIVOTS = 1024
-#: Neighbouring blocks of members that one task searches together, in each direction.
-TOGETHER = 2
+#: Cells for each block; smaller cells rule out more.
+CELLS_PER_BLOCK = 4
+#: Neighbouring blocks that one task searches together: of queries and of members.
+QUERY_BLOCKS = 2
+MEMBER_BLOCKS = 4
 #: Rows of copies of one vector that one slice of them holds.
 SLICE_ROWS = 50_000
 QUERY_STEP = 256
+#: Members in a leaf, columns beyond which boxes rule out nothing, and members compared at once.
+LEAF_POINTS = 128
+LEAF_COLUMNS = 12
+MEMBER_STEP = 8192
 SLACK = 1e-9
 
 
@@ -70,32 +81,85 @@ def _square_distances(xa, ca, xb, cb, penalty2: float) -> np.ndarray:
     return d2
 
 
-def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float):
-    """Yield (first query, member positions, squared distances) for steps of queries, nearest first.
+def _leaves(x: np.ndarray, c: np.ndarray, penalty: float, size: int) -> list[np.ndarray]:
+    """Row numbers cut into halves along the widest column until ``size`` rows at most are left."""
+    out, todo = [], [np.arange(len(x))]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= size:
+            out.append(rows)
+            continue
+        half = len(rows) // 2
+        if 0 < x.shape[1] + c.shape[1] <= LEAF_COLUMNS:
+            wide = np.concatenate([np.ptp(x[rows], axis=0), penalty * (np.ptp(c[rows], axis=0) > 0)])
+            j = int(wide.argmax())
+            values = x[rows, j] if j < x.shape[1] else c[rows, j - x.shape[1]]
+            rows = rows[np.argsort(values, kind="stable")]
+        todo += [rows[half:], rows[:half]]
+    return out
+
+
+def _boxes(x: np.ndarray, c: np.ndarray, leaves: list) -> tuple:
+    """Smallest and largest number and category code in each leaf."""
+    return tuple(np.array([f(v[rows], axis=0) for rows in leaves])
+                 for v, f in ((x, np.min), (x, np.max), (c, np.min), (c, np.max)))
+
+
+def _box_distances(q: np.ndarray, c: np.ndarray, boxes: tuple, penalty2: float) -> np.ndarray:
+    """Squared distance from the box of some queries to each box, at most that of any two points in them."""
+    low, high, first, last = boxes
+    gap = np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0)
+    apart = (first > c.max(axis=0)) | (last < c.min(axis=0))
+    return (gap**2).sum(axis=1) + penalty2 * apart.sum(axis=1)
+
+
+def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.ndarray):
+    """Yield (query numbers, member numbers, squared distances): for each query its k nearest members,
+    without those that lie beyond the query's bound.
 
     Rough distances pick the members in reach; their distances are then worked
     out term by term, so equal vectors have equal distances, and ordered by key.
     """
-    take = min(k, len(xm))
     order = np.empty(len(keys), np.int64)
     order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
     scale = (xm**2).sum(1).max(initial=0.0)
-    for start in range(0, len(xq), QUERY_STEP):
-        q, c = xq[start:start + QUERY_STEP], cq[start:start + QUERY_STEP]
-        rough = _square_distances(q, c, xm, cm, penalty2)
-        limit = np.partition(rough, take - 1, axis=1)[:, take - 1]
-        room = SLACK * (limit + scale + (q**2).sum(1))
-        reach = rough <= (limit + room)[:, None]
-        width = int(reach.sum(1).max())
-        near = np.argpartition(np.where(reach, rough, np.inf), width - 1, axis=1)[:, :width]
-        d2 = np.zeros(near.shape)
+    penalty = penalty2**0.5
+    boxed = xm.shape[1] + cm.shape[1] <= LEAF_COLUMNS
+    leaves = _leaves(xm, cm, penalty, LEAF_POINTS if boxed else MEMBER_STEP // 8)
+    boxes = _boxes(xm, cm, leaves)
+    sizes = np.array([len(rows) for rows in leaves])
+    for asked in _leaves(xq, cq, penalty, LEAF_POINTS if boxed else QUERY_STEP):
+        q, c, limit = xq[asked], cq[asked], bound2[asked]
+        own = scale + (q**2).sum(1)
+        least = _box_distances(q, c, boxes, penalty2)
+        if np.isinf(limit).any() and len(xm) >= k:
+            near = np.argsort(least, kind="stable")
+            near = near[:1 + int(np.searchsorted(np.cumsum(sizes[near]), 2 * k))]
+            some = np.concatenate([leaves[i] for i in near])
+            rough = _square_distances(q, c, xm[some], cm[some], penalty2)
+            kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
+            limit = np.minimum(limit, kth + SLACK * (kth + own))
+        reach = limit + SLACK * (np.where(np.isinf(limit), 0.0, limit) + own)
+        kept = np.flatnonzero(least <= reach.max())
+        if not len(kept):
+            continue
+        some = np.concatenate([leaves[i] for i in kept])
+        pairs = []
+        for start in range(0, len(some), MEMBER_STEP):
+            part = some[start:start + MEMBER_STEP]
+            rough = _square_distances(q, c, xm[part], cm[part], penalty2)
+            at, to = np.nonzero(rough <= reach[:, None])
+            pairs.append((at, part[to]))
+        at, to = (np.concatenate(side) for side in zip(*pairs, strict=True))
+        d2 = np.zeros(len(at))
         for j in range(q.shape[1]):
-            d2 += (xm[near, j] - q[:, j][:, None]) ** 2
+            d2 += (xm[to, j] - q[at, j]) ** 2
         for j in range(c.shape[1]):
-            d2 += penalty2 * (cm[near, j] != c[:, j][:, None])
-        d2[~np.take_along_axis(reach, near, axis=1)] = np.inf
-        best = np.lexsort((order[near], d2), axis=1)[:, :take]
-        yield start, np.take_along_axis(near, best, axis=1), np.take_along_axis(d2, best, axis=1)
+            d2 += penalty2 * (cm[to, j] != c[at, j])
+        best = np.lexsort((order[to], d2, at))
+        at, to, d2 = at[best], to[best], d2[best]
+        first = np.arange(len(at)) - np.searchsorted(at, at) < k
+        yield asked[at[first]], to[first], d2[first]
 
 
 def _point_columns(spec: FeatureSpec, within_class: bool) -> tuple[Column, Column, Column]:
@@ -133,6 +197,13 @@ def points_of(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool,
     )
 
 
+def _numbered(pivots: list, penalty: float) -> list:
+    """The pivots in an order that keeps near ones together."""
+    x = np.array([p["x"] for p in pivots], float).reshape(len(pivots), -1)
+    c = np.array([p["c"] for p in pivots], object).reshape(len(pivots), -1)
+    return [pivots[i] for rows in _leaves(x, _matched(c, c)[0], penalty, 1) for i in rows]
+
+
 def _assign_cells(points: DataFrame, pivots: list, penalty2: float) -> DataFrame:
     spark = points.sparkSession
     table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
@@ -159,7 +230,7 @@ def _features(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]
     """Numbers, categories and keys of packed points."""
     n = len(points)
     x, c = (points.field(f).flatten().to_numpy(zero_copy_only=False) for f in ("x", "c"))
-    return (x.astype(float).reshape(n, -1) if len(x) else np.zeros((n, 0)),
+    return (x.astype(float, copy=False).reshape(n, -1) if len(x) else np.zeros((n, 0)),
             c.reshape(n, -1) if len(c) else np.zeros((n, 0), object), points.field("vid"))
 
 
@@ -175,97 +246,104 @@ def _matched(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[:len(ca)], codes[len(ca):]
 
 
-def _blocks(placed: DataFrame, block: int) -> DataFrame:
-    """One row for each block: ``g``, ``cell``, ``b`` and its packed points."""
-    sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"))
-    cut = placed.join(sizes, ["g", "cell"]).withColumn(
-        "b", F.floor(uniform("vid", "block") * F.ceil(F.col("n") / block)).cast("int"))
-    return cut.groupBy("g", "cell", "b").agg(
+def _dealt(placed: DataFrame, limit: int) -> DataFrame:
+    """The points with their block ``z``: a group's cells, one after the other, cut every ``limit`` points."""
+    before = Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    # a group has no more cells than there are pivots
+    sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    return placed.join(sizes, ["g", "cell"]).withColumn(
+        "z", F.floor((F.col("start") + uniform("vid", "block") * F.col("n")) / limit).cast("int")).drop("n", "start")
+
+
+def _blocks(dealt: DataFrame) -> DataFrame:
+    """One row for each block: ``g``, ``z`` and its packed points."""
+    return dealt.groupBy("g", "z").agg(
         F.collect_list(F.struct("vid", "x", "c", "ask")).alias("points"), F.max("ask").alias("asks"))
 
 
-def _open_cells(asking: DataFrame, blocks: DataFrame, stats: DataFrame, pivots: list,
-                penalty2: float) -> DataFrame:
-    """For each block of queries the other cells that some query's bound cannot rule out."""
-    spark = asking.sparkSession
+def _open_cells(queries: DataFrame, stats: DataFrame, pivots: list, penalty2: float) -> DataFrame:
+    """For each block of queries the cells that some query's bound cannot rule out."""
+    spark = queries.sparkSession
     table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
                           "c": [np.array(p["c"], dtype=object) for p in pivots]})
     shared = spark.sparkContext.broadcast(table)
 
     def open_cells(queries: pa.Table, cells: pa.Table) -> pa.Table:
         piv = shared.value
-        own = cells.column("cell")[0].as_py()
-        xq, cq, _ = _features(_packed(queries))
-        bound = pa.concat_arrays([c.flatten() for c in queries.column("points").chunks]).field(
-            "bound").to_numpy(zero_copy_only=False)
+        points = _packed(queries)
+        xq, cq, _ = _features(points)
+        bound, cell = (points.field(f).to_numpy(zero_copy_only=False) for f in ("bound", "cell"))
         other, low, high = (cells.column(n).to_numpy() for n in ("other", "low", "high"))
         xp, cp = _stack(piv["x"]), np.stack(piv["c"].to_numpy())
         codes_q, codes_p = _matched(cq, cp.reshape(len(xp), -1))
-        gap = np.sqrt(_square_distances(xp[[own]], codes_p[[own]], xp[other], codes_p[other], penalty2))[0]
+        gaps = np.sqrt(_square_distances(xp, codes_p, xp[other], codes_p[other], penalty2))
         need = np.zeros(len(other), bool)
         for start in range(0, len(xq), QUERY_STEP):
             part = slice(start, start + QUERY_STEP)
             d = np.sqrt(_square_distances(xq[part], codes_q[part], xp, codes_p, penalty2))
-            do, dc = d[:, [own]], d[:, other]
+            do, dc, gap = np.take_along_axis(d, cell[part][:, None], axis=1), d[:, other], gaps[cell[part]]
             with np.errstate(divide="ignore", invalid="ignore"):
                 side = np.where(gap > 0, (dc**2 - do**2) / (2.0 * gap), 0.0)
+            # nothing lies between a query and its own cell
+            side[cell[part][:, None] == other] = 0.0
             least = np.maximum(np.maximum(dc - high, low - dc), side)
             room = 1e-7 * (1.0 + d.max(axis=1))
             need |= (least <= (bound[part] + room)[:, None]).any(axis=0)
-        hit = other[need & (other != own)]
-        key = [cells.column(n)[0].as_py() for n in ("g", "cell", "b")]
-        return pa.table({
-            "g": pa.array([key[0]] * len(hit), pa.string()), "cell": pa.array([key[1]] * len(hit), pa.int32()),
-            "b": pa.array([key[2]] * len(hit), pa.int32()), "other": pa.array(hit, pa.int32())})
+        hit = other[need]
+        g, z = (queries.column(n)[0].as_py() for n in ("g", "z"))
+        return pa.table({"g": pa.array([g] * len(hit), pa.string()), "z": pa.array([z] * len(hit), pa.int32()),
+                         "cell": pa.array(hit, pa.int32())})
 
-    ranges = blocks.filter("asks").select("g", "cell", "b").join(
+    ranges = queries.select("g", "z").join(
         stats.select("g", F.col("cell").alias("other"), "low", "high"), "g")
     # both sides come from one table; new aliases keep their columns apart
-    asking, ranges = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (asking, ranges))
-    return asking.groupBy("g", "cell", "b").cogroup(ranges.groupBy("g", "cell", "b")).applyInArrow(
-        open_cells, "g string, cell int, b int, other int")
+    queries, ranges = (side.select(*[F.col(c).alias(c) for c in side.columns]) for side in (queries, ranges))
+    return queries.groupBy("g", "z").cogroup(ranges.groupBy("g", "z")).applyInArrow(
+        open_cells, "g string, z int, cell int")
 
 
-def _search(blocks: DataFrame, pairs: DataFrame, k: int, penalty2: float, key_type) -> DataFrame:
-    """The k + 1 nearest points of each query in the blocks paired with its block.
+def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, penalty2: float, key_type,
+            together: tuple[int, int] = (1, 1)) -> DataFrame:
+    """The k + 1 nearest points of each query in the blocks paired with its block: ``(g, vid, near, d2)``.
 
-    ``pairs`` has ``g``, ``cell``, ``b`` (queries) and ``other``, ``mb`` (members).
+    ``pairs`` has ``g``, ``z`` (queries) and ``mz`` (members); ``together`` says how
+    many neighbouring blocks of queries and of members meet in a task. Points
+    beyond the ``bound`` of a query, where it has one, are left out.
     """
     schema = T.StructType([
         T.StructField("g", T.StringType()), T.StructField("vid", key_type),
-        T.StructField("near", T.ArrayType(key_type)), T.StructField("d2", T.ArrayType(T.DoubleType())),
+        T.StructField("near", key_type), T.StructField("d2", T.DoubleType()),
     ])
 
     def block_search(queries: pa.Table, members: pa.Table) -> pa.Table:
-        every = _packed(queries)
-        asked = every.filter(every.field("ask"))
+        if not queries.num_rows or not members.num_rows:
+            return pa.table({f.name: pa.array([]) for f in schema}).cast(to_arrow)
+        asked = _packed(queries)
+        if "ask" in [f.name for f in asked.type]:
+            asked = asked.filter(asked.field("ask"))
+            bound2 = np.full(len(asked), np.inf)
+        else:
+            bound2 = asked.field("bound").to_numpy(zero_copy_only=False) ** 2
         (xq, cq, vids), (xm, cm, names) = _features(asked), _features(_packed(members))
         codes_q, codes_m = _matched(cq, cm)
         keys = names.to_numpy(zero_copy_only=False)
-        near, d2 = [], []
-        for _, at, dist in _nearest_in_block(xq, codes_q, xm, codes_m, keys, k + 1, penalty2):
-            near.append(at)
-            d2.append(dist)
-        at, dist = np.concatenate(near), np.concatenate(d2)
-        ends = pa.array(np.arange(len(at) + 1, dtype=np.int32) * at.shape[1], pa.int32())
+        found = list(_nearest_in_block(xq, codes_q, xm, codes_m, keys, k + 1, penalty2, bound2))
+        at, to, d2 = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
         g = queries.column("g")[0].as_py()
-        return pa.table({
-            "g": pa.array([g] * len(at), pa.string()), "vid": vids,
-            "near": pa.ListArray.from_arrays(ends, names.take(pa.array(at.ravel()))),
-            "d2": pa.ListArray.from_arrays(ends, pa.array(dist.ravel()))})
-
-    place = ["g", "cell", "b", "so", "sm"]
-    pairs = pairs.withColumn("so", F.floor(F.col("other") / TOGETHER)).withColumn(
-        "sm", F.floor(F.col("mb") / TOGETHER))
-    q = pairs.select(*place).distinct().join(
-        blocks.filter("asks").select("g", "cell", "b", "points"), ["g", "cell", "b"])
-    m = pairs.join(blocks.select("g", F.col("cell").alias("other"), F.col("b").alias("mb"), "points"),
-                   ["g", "other", "mb"]).select(*place, "points")
+        return pa.table([pa.array([g] * len(at), pa.string()), vids.take(pa.array(at)), names.take(pa.array(to)),
+                         pa.array(d2, pa.float64())], names=["g", "vid", "near", "d2"])
+
+    to_arrow = to_arrow_schema(schema)
+    place = ["g", "qs", "ms"]
+    pairs = pairs.withColumn("qs", F.floor(F.col("z") / together[0])).withColumn(
+        "ms", F.floor(F.col("mz") / together[1]))
+    q = pairs.select("g", "z", "qs", "ms").distinct().join(queries.select("g", "z", "points"), ["g", "z"])
+    m = pairs.select("g", "mz", "qs", "ms").distinct().join(
+        blocks.select("g", F.col("z").alias("mz"), "points"), ["g", "mz"])
     # both sides come from one table; new aliases keep their columns apart
     q, m = (side.select(*[F.col(c).alias(c) for c in [*place, "points"]]) for side in (q, m))
-    found = q.groupBy(*place).cogroup(m.groupBy(*place)).applyInArrow(block_search, schema)
-    return found.select("g", "vid", F.explode(F.arrays_zip("near", "d2")).alias("p")).select(
-        "g", "vid", F.col("p.near").alias("near"), F.col("p.d2").alias("d2"))
+    return q.groupBy(*place).cogroup(m.groupBy(*place)).applyInArrow(block_search, schema)
 
 
 def _best(pairs: DataFrame, k: int) -> DataFrame:
@@ -281,6 +359,7 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
 
     ``query_classes`` limits for which rows neighbours are searched, not among
     which. A row with fewer than k others gets as many as there are.
+    ``block_points`` is the mean number of points in a cell.
     """
     if k < 1:
         raise ValueError("k must be at least 1")
@@ -297,22 +376,25 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     n_points, n_broken = points.agg(F.count(F.lit(1)), F.count_if(broken)).first()
     if n_broken:
         raise ValueError("null value in a feature, label or key; fill it before resampling")
-    if block_points is None:
-        each = 8 * (len(spec.continuous) + len(spec.categorical) + 2)
-        block_points = max(256, min(BLOCK_POINTS, BLOCK_BYTES // each))
-    n_pivots = max(1, min(-(-n_points // block_points), MAX_PIVOTS))
+    each = 8 * (len(spec.continuous) + len(spec.categorical) + 2)
+    limit = max(256, min(BLOCK_POINTS, BLOCK_BYTES // each))
+    in_cell = limit / CELLS_PER_BLOCK if block_points is None else block_points
+    n_pivots = 1 if n_points <= limit and block_points is None else max(1, min(
+        math.ceil(n_points / in_cell), MAX_PIVOTS))
     if n_pivots == 1:
+        limit = max(limit, n_points)
         pivots, placed = [], points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
     else:
-        pivots = points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select("x", "c").collect()
-        placed = _assign_cells(points, pivots, penalty2)
-    blocks = write_scratch(_blocks(placed, block_points), "blocks") if n_pivots > 1 else _blocks(
-        placed, block_points)
+        pivots = _numbered(points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select(
+            "x", "c").collect(), float(penalty))
+        placed = write_scratch(_assign_cells(points, pivots, penalty2), "placed")
+    dealt = _dealt(placed, limit)
+    if n_pivots > 1:
+        dealt = write_scratch(dealt, "dealt")
+    blocks = write_scratch(_blocks(dealt), "blocks") if n_pivots > 1 else _blocks(dealt)
     key_type = points.schema["vid"].dataType
-    asking = blocks.filter("asks").select("g", "cell", "b")
-    members = blocks.select("g", F.col("cell").alias("other"), F.col("b").alias("mb"))
-    own = asking.join(members.withColumn("cell", F.col("other")), ["g", "cell"])
-    near = _best(_search(blocks, own, k, penalty2, key_type), k)
+    asking = blocks.filter("asks")
+    near = _best(_search(asking, blocks, asking.select("g", "z", F.col("z").alias("mz")), k, penalty2, key_type), k)
     if n_pivots > 1:
         near = write_scratch(near, "near")
         held = near.join(points.select("g", F.col("vid").alias("near"),
@@ -322,13 +404,14 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         bound = held.withColumn("have", F.sum("held").over(run)).groupBy("g", "vid").agg(
             F.sqrt(F.min(F.when(F.col("have") >= k + 1, F.col("d2")))).alias("bound"))
         stats = placed.groupBy("g", "cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
-        flat = blocks.filter("asks").select("g", "cell", "b", F.explode("points").alias("p")).filter("p.ask")
-        reach = flat.select("g", "cell", "b", "p.vid", "p.x", "p.c").join(bound, ["g", "vid"], "left")
-        queries = reach.groupBy("g", "cell", "b").agg(F.collect_list(F.struct(
-            "vid", "x", "c", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))).alias("points"))
-        open_ = write_scratch(_open_cells(queries, blocks, stats, pivots, penalty2), "open")
-        other = open_.join(members, ["g", "other"])
-        near = _best(near.unionByName(_search(blocks, other, k, penalty2, key_type)), k)
+        queries = write_scratch(dealt.filter("ask").join(bound, ["g", "vid"], "left").groupBy("g", "z").agg(
+            F.collect_list(F.struct("vid", "x", "c", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
+                           ).alias("points")), "queries")
+        open_ = write_scratch(_open_cells(queries, stats, pivots, penalty2), "open")
+        # a query's own cell is always open, so this search finds again what gave the bound
+        pairs = open_.join(dealt.select("g", "cell", F.col("z").alias("mz")).distinct(), ["g", "cell"]).select(
+            "g", "z", "mz").distinct()
+        near = _best(_search(queries, blocks, pairs, k, penalty2, key_type, (QUERY_BLOCKS, MEMBER_BLOCKS)), k)
     return _expand(rows, points, near, spec, k, within_class, query_classes)
 
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from evenkeel import FeatureSpec
+from evenkeel.operators import neighbors
 from evenkeel.operators.neighbors import knn, tomek_links
 from evenkeel.operators.synthetic import adasyn, clean_tomek, smote, smote_nc
 from evenkeel.plans.sampling import sampling_plan
@@ -137,3 +138,50 @@ def test_blocks_stay_small(spark):
     df = spark.range(3000).select("id", F.rand(1).alias("a"), F.rand(2).alias("b"), (F.col("id") % 2).cast("int").alias("y")).cache()
     pdf = df.toPandas()
     assert lists(knn(df, SPEC, 2, False, block_points=500)) == brute(pdf, 2, False)
+
+
+@pytest.mark.parametrize("within", [True, False])
+def test_many_blocks_of_small_cells_name_each_neighbour_once(spark, monkeypatch, within):
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 256)
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"id": range(2400), "y": rng.integers(0, 2, 2400), "a": rng.integers(0, 60, 2400) / 4.0,
+                        "b": rng.normal(0, 9, 2400).round(1), "c": rng.choice(list("uvw"), 2400)})
+    got = lists(knn(spark.createDataFrame(pdf), MIXED, 4, within, 1.5, block_points=25))
+    assert got == brute(pdf, 4, within, 1.5, ["c"])
+
+
+def test_small_cells_do_not_send_a_vector_to_a_task_for_each_cell(spark, monkeypatch):
+    sent, search = [], neighbors._search
+
+    def spy(queries, blocks, pairs, *rest):
+        sizes = blocks.select("g", F.col("z").alias("mz"), F.size("points").alias("n"))
+        sent.append(pairs.join(sizes, ["g", "mz"]).agg(F.sum("n")).first()[0])
+        return search(queries, blocks, pairs, *rest)
+
+    monkeypatch.setattr(neighbors, "_search", spy)
+    spec = FeatureSpec("y", "id", [f"x{i}" for i in range(16)])
+    pdf = pd.DataFrame(np.random.default_rng(5).normal(0, 1, (2560, 16)), columns=spec.continuous)
+    df = spark.createDataFrame(pdf.assign(id=range(2560), y=0))
+    knn(df, spec, 3, within_class=False, block_points=64).count()
+    # each vector used to go to nearly every one of the 40 cells
+    assert sum(sent) <= 4 * 2560
+
+
+def test_search_compares_few_members_at_once_and_rules_out_far_leaves(monkeypatch):
+    held = []
+    distances = neighbors._square_distances
+
+    def spy(xa, ca, xb, cb, penalty2):
+        held.append(len(xa) * len(xb))
+        return distances(xa, ca, xb, cb, penalty2)
+
+    monkeypatch.setattr(neighbors, "_square_distances", spy)
+    rng = np.random.default_rng(6)
+    for width, share in ((2, 0.1), (20, 1.2)):
+        held.clear()
+        x, none = rng.normal(0, 1, (9000, width)), np.zeros((9000, 0), int)
+        found = list(neighbors._nearest_in_block(
+            x, none, x, none, np.arange(9000), 1, 0.0, np.full(9000, np.inf)))
+        assert sorted(zip(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))) == [
+            (i, i) for i in range(9000)]
+        assert max(held) <= 256 * 8192 and sum(held) <= share * 9000 ** 2
