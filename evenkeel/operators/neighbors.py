@@ -52,10 +52,12 @@ MEMBER_BLOCKS = 4
 #: Rows of copies of one vector that one slice of them holds.
 SLICE_ROWS = 50_000
 QUERY_STEP = 256
-#: Members in a leaf, columns beyond which boxes rule out nothing, and members compared at once.
-LEAF_POINTS = 128
+#: Points in a leaf, columns beyond which boxes rule out nothing, and members compared at once.
+LEAF_POINTS = 64
 LEAF_COLUMNS = 12
 MEMBER_STEP = 8192
+#: Members that give a query's first bound.
+NEAR_POINTS = 256
 SLACK = 1e-9
 
 
@@ -106,11 +108,14 @@ def _boxes(x: np.ndarray, c: np.ndarray, leaves: list) -> tuple:
 
 
 def _box_distances(q: np.ndarray, c: np.ndarray, boxes: tuple, penalty2: float) -> np.ndarray:
-    """Squared distance from the box of some queries to each box, at most that of any two points in them."""
+    """Squared distance from each query to each box, at most that of the query to any point in it."""
     low, high, first, last = boxes
-    gap = np.maximum(np.maximum(low - q.max(axis=0), q.min(axis=0) - high), 0.0)
-    apart = (first > c.max(axis=0)) | (last < c.min(axis=0))
-    return (gap**2).sum(axis=1) + penalty2 * apart.sum(axis=1)
+    out = np.zeros((len(q), len(low)))
+    for j in range(q.shape[1]):
+        out += np.maximum(np.maximum(low[:, j] - q[:, [j]], q[:, [j]] - high[:, j]), 0.0) ** 2
+    for j in range(c.shape[1]):
+        out += penalty2 * ((first[:, j] > c[:, [j]]) | (last[:, j] < c[:, [j]]))
+    return out
 
 
 def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.ndarray):
@@ -133,14 +138,14 @@ def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.
         own = scale + (q**2).sum(1)
         least = _box_distances(q, c, boxes, penalty2)
         if np.isinf(limit).any() and len(xm) >= k:
-            near = np.argsort(least, kind="stable")
-            near = near[:1 + int(np.searchsorted(np.cumsum(sizes[near]), 2 * k))]
+            near = np.argsort(least.sum(axis=0), kind="stable")
+            near = near[:1 + int(np.searchsorted(np.cumsum(sizes[near]), max(NEAR_POINTS, 2 * k)))]
             some = np.concatenate([leaves[i] for i in near])
             rough = _square_distances(q, c, xm[some], cm[some], penalty2)
             kth = np.partition(rough, k - 1, axis=1)[:, k - 1]
             limit = np.minimum(limit, kth + SLACK * (kth + own))
         reach = limit + SLACK * (np.where(np.isinf(limit), 0.0, limit) + own)
-        kept = np.flatnonzero(least <= reach.max())
+        kept = np.flatnonzero((least <= reach[:, None]).any(axis=0))
         if not len(kept):
             continue
         some = np.concatenate([leaves[i] for i in kept])
