@@ -95,11 +95,15 @@ def _lift_table(df, y, score, key, p, by, top: bool, out: str) -> DataFrame:
     cut = (F.col("n_total") - share if top else share).cast("bigint")
     runs = runs.withColumn("cut", cut)
     end = F.col("n_below") + F.col("n")
+    # the cut falls into one score of a group at most
+    split = F.max(F.when((F.col("n_below") < F.col("cut")) & (F.col("cut") < end), F.struct(
+        F.col("value").alias("__score"), (F.col("cut") - F.col("n_below")).alias("__skip"))))
     whole = runs.groupBy(*by).agg(
         F.max("n_total").alias("n"), F.max("pos_total").alias("pos"), F.max("cut").alias("cut"),
-        F.coalesce(F.sum(F.when(F.col("n_below") >= F.col("cut"), F.col("pos"))), F.lit(0)).alias("sure"))
-    split = runs.filter((F.col("n_below") < F.col("cut")) & (F.col("cut") < end)).select(
-        *by, F.col("value").alias("__score"), (F.col("cut") - F.col("n_below")).alias("__skip"))
+        F.coalesce(F.sum(F.when(F.col("n_below") >= F.col("cut"), F.col("pos"))), F.lit(0)).alias("sure"),
+        split.alias("__split"))
+    split = whole.filter(F.col("__split").isNotNull()).select(*by, "__split.*")
+    whole = whole.drop("__split")
     tied = slim.join(split, [*by, "__score"]) if by else slim.join(split, "__score")
     inside = rank_by_hash(tied, "__key", TIE_SALT, by=by, out="at").filter(F.col("at") > F.col("__skip"))
     rest = inside.groupBy(*by).agg(F.sum("is_pos").alias("rest"))

@@ -114,13 +114,16 @@ def score_tables(parts: Sequence[tuple[tuple, DataFrame]], tags: Sequence[str],
 
 
 def score_parts(scored: DataFrame, spec: FeatureSpec, scorers: Sequence[str]) -> dict[int, dict]:
-    """Scores of each ``part`` of a scored table, one job for each scorer."""
+    """Scores of each ``part`` of a scored table; the scorers start together."""
     unknown = [n for n in scorers if n not in SCORERS]
     if unknown:
         raise ValueError(f"no scorers {unknown}; known: {sorted(SCORERS)}")
     scored, out = reuse(scored), {}
-    for name in scorers:
-        for row in SCORERS[name](scored, spec.label, SCORE, spec.key, ["part"]).collect():
+    # filled once, so that scorers that start together do not compute it twice
+    scored.count()
+    found = in_threads(lambda n: SCORERS[n](scored, spec.label, SCORE, spec.key, ["part"]).collect(), list(scorers))
+    for name, rows in zip(scorers, found, strict=True):
+        for row in rows:
             out.setdefault(row["part"], {})[name] = row[name]
     scored.unpersist()
     return out
@@ -506,8 +509,8 @@ def _scored_together(rows: DataFrame, spec: FeatureSpec, samplers: dict, candida
     models = StackedLogistic(rows, spec, train)
     _resample_all(models, [(n, p) for n, settings in samplers.items() for p in settings], seed, cleaning)
     models.fit([float(p.get("C", 1.0)) for p in candidates])
-    found = score_parts(stacked_parts(models, rows, test), spec, scorers)
-    seen = score_parts(stacked_parts(models, rows, train), spec, scorers) if train_scores else {}
+    sides = [test, train] if train_scores else [test]
+    found, seen = [*in_threads(lambda side: score_parts(stacked_parts(models, rows, side), spec, scorers), sides), {}][:2]
     out, n = [], 0
     for name, settings in samplers.items():
         for a in range(len(settings)):
@@ -567,17 +570,12 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
         tags = ["sampler", "model", "fold", "candidate", "inner", TRAIN_ROWS]
         if not parts:
             return []
-        out = score_tables([(t, test) for t, test, _ in parts], tags, spec, scorers)
-        if train_scores:
-            seen = score_tables([(t, train) for t, _, train in parts], tags, spec, scorers)
-            out = [{**o, **{f"train_{n}": x[n] for n in scorers}} for o, x in zip(out, seen, strict=True)]
+        sides = [1, 2] if train_scores else [1]
+        out, *seen = in_threads(lambda i: score_tables([(p[0], p[i]) for p in parts], tags, spec, scorers), sides)
+        for rest in seen:
+            out = [{**o, **{f"train_{n}": x[n] for n in scorers}} for o, x in zip(out, rest, strict=True)]
         return out
 
-    fitted = []
-    if together:
-        tuned = any(len(grid) > 1 for (_, m), grid in grids.items() if m in together)
-        fitted = _scored_together(rows, spec, samplers, models["LR"], _fold_sets(outer, inner, tuned), scorers,
-                                  seed, cleaning, train_scores)
     jobs: dict[tuple, list] = {}
     for (s, m), grid in grids.items():
         if len(grid) > 1 and m not in together:
@@ -585,8 +583,25 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
                 for i in range(inner):
                     for a, b in grid:
                         jobs.setdefault((s, a, f, i), []).append((m, b))
+    # a single candidate needs no inner folds to be chosen
+    sure: dict[tuple, list] = {}
+    for (s, m), grid in grids.items():
+        if len(grid) == 1 and m not in together:
+            for f in range(outer):
+                sure.setdefault((s, grid[0][0], f, None), []).append((m, grid[0][1]))
+
+    def stacked() -> list[dict]:
+        if not together:
+            return []
+        tuned = any(len(grid) > 1 for (_, m), grid in grids.items() if m in together)
+        return _scored_together(rows, spec, samplers, models["LR"], _fold_sets(outer, inner, tuned), scorers,
+                                seed, cleaning, train_scores)
+
+    # the regressions, the inner fits and the fits that wait for no choice start side by side
+    rows.count()
+    fitted, tried, single = in_threads(lambda start: start(), [stacked, lambda: scores_of(jobs), lambda: scores_of(sure)])
     found: dict[tuple, dict] = {}
-    for row in scores_of(jobs) + [r for r in fitted if r["inner"] is not None and len(grids[r["sampler"], "LR"]) > 1]:
+    for row in tried + [r for r in fitted if r["inner"] is not None and len(grids[r["sampler"], "LR"]) > 1]:
         tags = tuple(row[t] for t in ("sampler", "model", "fold", "candidate"))
         for n in scorers:
             found.setdefault(tags, {}).setdefault(n, []).append(row[n])
@@ -606,10 +621,10 @@ def nested_cv(df: DataFrame, spec: FeatureSpec, config: dict, outer: int = 5, in
     chosen = {(s, m, f): best.get((s, m, f), (0.0, 0))[1] for s, m in grids for f in range(outer)}
     final: dict[tuple, list] = {}
     for (s, m, f), c in chosen.items():
-        if m not in together:
+        if m not in together and len(grids[s, m]) > 1:
             a, b = grids[s, m][c]
             final.setdefault((s, a, f, None), []).append((m, b))
-    scores = scores_of(final) + [r for r in fitted if r["inner"] is None
+    scores = single + scores_of(final) + [r for r in fitted if r["inner"] is None
                                  and chosen[r["sampler"], "LR", r["fold"]] == r["candidate"]]
     rows.unpersist()
     spark, head = df.sparkSession, "sampler string, model string, fold int, candidate int"

@@ -6,6 +6,7 @@ import atexit
 import os
 import shutil
 import tempfile
+import threading
 import uuid
 import zipfile
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 SMALL_ROWS = 200_000
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Writes under way in a session and what the setting was before the first of them.
+_WRITING: dict[int, tuple[int, str | None]] = {}
+_WRITING_LOCK = threading.Lock()
 
 
 def local_session(cores: int | str = "*", partitions: int = 8) -> SparkSession:
@@ -56,6 +60,24 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def _free_shuffles(spark: SparkSession, change: int) -> None:
+    """Count the writes under way; the first one sets the setting, the last one puts back what was there."""
+    with _WRITING_LOCK:
+        n, before = _WRITING.get(id(spark), (0, None))
+        if n == 0:
+            before = spark.conf.get(FREE_SHUFFLES, None)
+            spark.conf.set(FREE_SHUFFLES, "true")
+        n += change
+        if n:
+            _WRITING[id(spark)] = (n, before)
+            return
+        _WRITING.pop(id(spark))
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
+
+
 def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """Cut the lineage with a written table; it outlives lost executors.
 
@@ -64,15 +86,11 @@ def write_scratch(df: DataFrame, name: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(FREE_SHUFFLES, None)
-    spark.conf.set(FREE_SHUFFLES, "true")
+    _free_shuffles(spark, 1)
     try:
         df.write.parquet(path)
     finally:
-        if before is None:
-            spark.conf.unset(FREE_SHUFFLES)
-        else:
-            spark.conf.set(FREE_SHUFFLES, before)
+        _free_shuffles(spark, -1)
     return spark.read.schema(df.schema).parquet(path)
 
 

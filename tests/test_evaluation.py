@@ -2,11 +2,12 @@
 
 import json
 import math
+import threading
 
 import pytest
 from pyspark.sql import functions as F
 
-from evenkeel import FeatureSpec
+from evenkeel import FeatureSpec, session
 from evenkeel.plans import evaluate as ev
 from evenkeel.plans.grid import candidate_folds, expand_grid, experiment_table
 from evenkeel.sources.files import read_column_json, read_delimited, read_experiment, write_report
@@ -127,3 +128,27 @@ def test_files(spark, tmp_path):
     assert [r["code"] for r in rows] == ["01", "02"]
     write_report({"one": spark.range(3)}, str(tmp_path / "r"))
     assert spark.read.option("header", True).csv(str(tmp_path / "r" / "one")).count() == 3
+
+
+def test_scorers_start_together(spark, monkeypatch):
+    meeting = threading.Barrier(2, timeout=60)
+
+    def waits(df, y, score, key, by):
+        meeting.wait()
+        return df.groupBy(*by).agg(F.count(F.lit(1)).alias("name"))
+
+    for name in ("first", "second"):
+        monkeypatch.setitem(ev.SCORERS, name, lambda *a, name=name: waits(*a).withColumnRenamed("name", name))
+    scored = spark.createDataFrame([(1, 0, 0.2, 0), (2, 1, 0.7, 0)], "id int, y int, score double, part int")
+    found = ev.score_parts(scored, FeatureSpec("y", "id", ["score"]), ["first", "second"])
+    assert found == {0: {"first": 2, "second": 2}}
+
+
+def test_overlapping_writes_leave_the_setting(spark):
+    spark.conf.unset(session.FREE_SHUFFLES)
+    session._free_shuffles(spark, 1)
+    session._free_shuffles(spark, 1)
+    session._free_shuffles(spark, -1)
+    assert spark.conf.get(session.FREE_SHUFFLES) == "true"
+    session._free_shuffles(spark, -1)
+    assert spark.conf.get(session.FREE_SHUFFLES, None) in (None, "false")
