@@ -20,7 +20,6 @@ occur, side by side; equal keys are ordered by id; an empty table packs nothing.
 from __future__ import annotations
 
 import base64
-import re
 from collections.abc import Iterator
 from functools import cached_property, lru_cache
 from itertools import accumulate
@@ -42,17 +41,9 @@ BITS = 15
 VOCABULARY, RANKS = "byte_bpe_50k.json", "byte_bpe_50k.tiktoken"
 #: Ranges of the curve for each shuffle partition, sampled documents for each range, and at most.
 RANGES, SAMPLED, SAMPLE_ROWS, SAMPLE_SEED = 2, 25, 400_000, 5
-#: Bytes of chunks and their ids that a task remembers; beyond that it starts again.
-REMEMBERED = 24 << 20
-#: What a remembered chunk takes besides its own bytes.
-OVERHEAD = 150
 BATCH = 512
 
 
-#: A space that does not stand before a chunk.
-_SPACED = re.compile(r" (?:\s|\Z)")
-
-
 # ---- tokens -----------------------------------------------------------------------
 
 def _tokenizer_path(name: str) -> str:
@@ -62,12 +53,9 @@ def _tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """Ids of whole texts, put together from remembered chunks.
+    """Ids of whole texts, by the vocabulary's ranks.
 
-    The vocabulary's pattern never joins a space to what stands before it, and a
-    space goes with the character after it. So a text without double spaces can
-    be cut before each space and the pieces encoded alone. Other texts, and
-    those with the vocabulary's special mark, are encoded whole.
+    Texts with the vocabulary's special mark go through its own tokenizer.
     """
 
     def __init__(self, vocabulary: str = VOCABULARY, ranks: str = RANKS):
@@ -79,8 +67,6 @@ class Encoder:
             table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.pieces = tiktoken.Encoding(
             "pieces", pat_str=public_tokenizers.PATTERN, mergeable_ranks=table, special_tokens={})
-        self.known: dict[str, bytes] = {}
-        self.held = 0
 
     @cached_property
     def whole(self):
@@ -89,26 +75,10 @@ class Encoder:
 
         return Tokenizer.from_file(_tokenizer_path(self.vocabulary))
 
-    def _chunk(self, text: str) -> bytes:
-        """Ids of a space and the characters after it, remembered by the latter."""
-        ids = np.array(self.pieces.encode_ordinary(f" {text}"), np.uint16).tobytes()
-        self.held += len(text) + len(ids) + OVERHEAD
-        if self.held > REMEMBERED:
-            self.known.clear()
-            self.held = len(text) + len(ids) + OVERHEAD
-        self.known[text] = ids
-        return ids
-
     def encode(self, text: str) -> np.ndarray:
         if "<|" in text or "\x85" in text:
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, np.uint16)
-        if _SPACED.search(text):
-            return np.array(self.pieces.encode_ordinary(text), np.uint16)
-        first, *rest = text.split(" ")
-        get, chunk = self.known.get, self._chunk
-        found = [get(c) or chunk(c) for c in rest]
-        found.insert(0, np.array(self.pieces.encode_ordinary(first), np.uint16).tobytes())
-        return np.frombuffer(b"".join(found), np.uint16)
+        return np.array(self.pieces.encode_ordinary(text), np.uint16)
 
 
 @lru_cache(maxsize=1)

@@ -186,6 +186,15 @@ def test_chunked_ids_equal_the_tokenizer():
         assert encoder.encode(t).tolist() == _ids(t), repr(t[:40])
 
 
+def test_a_text_is_encoded_in_one_call(monkeypatch):
+    encoder, calls = packing.Encoder(), []
+    pieces = encoder.pieces
+    monkeypatch.setattr(encoder, "pieces", type("Counted", (), {
+        "encode_ordinary": staticmethod(lambda t: calls.append(t) or pieces.encode_ordinary(t))}))
+    assert encoder.encode("one two three four").tolist() == _ids("one two three four")
+    assert calls == ["one two three four"]
+
+
 def test_every_id_lies_in_one_piece(docs, rows):
     out = packing.pack(docs, 256).collect()
     by, line = defaultdict(list), defaultdict(list)
