@@ -99,16 +99,23 @@ def _slices(columns: dict[str, np.ndarray]) -> Iterator[pa.RecordBatch]:
         yield arrow_batch({k: v[i:i + OUT_ROWS] for k, v in columns.items()})
 
 
+def place_of(start: np.ndarray, n: np.ndarray, marks: np.ndarray, bits: int) -> np.ndarray:
+    """Start, window count (below ``2 ** bits``) and two marks as one number, as small as it can be."""
+    return (start.astype(np.int64) << (bits + 2)) | (n.astype(np.int64) << 2) | marks
+
+
 def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFrame:
     """Every run whose minimiser is found at two places or more.
 
     What repeats inside one Arrow batch is known to recur and is dealt out by its
     place; one row without windows stands for it where minimisers are counted.
     ``again`` marks a run that its own document had before. A row travels as five
-    whole numbers: start, window count (below 2^24) and both marks are one of them,
-    and a minimiser that is known to recur is mixed with the row's place, which
-    takes it out again.
+    whole numbers: start, window count and both marks are one of them (``place_of``),
+    and a minimiser that is known to recur is mixed with the row's place, which takes
+    it out again.
     """
+    bits = width.bit_length()
+
     def rows_out(found: list) -> Iterator[pa.RecordBatch]:
         ids, hs, start, n, key, name = (np.concatenate(x) for x in zip(*found, strict=True))
         if not len(ids):
@@ -122,7 +129,7 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
         some = np.flatnonzero(shared)
         some = some[np.lexsort((start[some], n[some], name[some], key[some], hs[some], ids[some]))]
         again[some[1:]] = np.logical_and.reduce([c[some[1:]] == c[some[:-1]] for c in (ids, hs, key, name, n)])
-        at = (start.astype(np.int64) << 32) | (n.astype(np.int64) << 8) | (shared * 2 + again)
+        at = place_of(start, n, shared * 2 + again, bits)
         key = as_signed(key)
         yield from _slices({"spread": np.where(shared, key ^ at ^ (ids << 20) ^ hs, key),
                             "name": as_signed(name), "id": ids, "at": at, "h": hs})
@@ -150,11 +157,11 @@ def recurring_runs(rows: DataFrame, kind: str, width: int, seed: int) -> DataFra
 
     found = rows.select("id", "h", "body").mapInArrow(work, "spread long, name long, id long, at long, h long")
     at, shared = F.col("at"), F.col("at").bitwiseAND(F.lit(2)) > 0
-    n = F.shiftright(at, 8).bitwiseAND(F.lit((1 << 24) - 1)).cast("int")
+    n = F.shiftright(at, 2).bitwiseAND(F.lit((1 << bits) - 1)).cast("int")
     dealt = F.col("spread").bitwiseXOR(at).bitwiseXOR(F.shiftleft("id", 20)).bitwiseXOR(F.col("h"))
     seen = F.count(F.lit(1)).over(Window.partitionBy("spread"))
     return found.withColumn("seen", seen).filter((n > 0) & (shared | (F.col("seen") > 1))).select(
-        "id", "h", F.shiftright(at, 32).cast("int").alias("start"), n.alias("n"),
+        "id", "h", F.shiftright(at, bits + 2).cast("int").alias("start"), n.alias("n"),
         F.when(shared, dealt).otherwise(F.col("spread")).alias("key"), "name",
         (at.bitwiseAND(F.lit(1)) > 0).alias("again"))
 
