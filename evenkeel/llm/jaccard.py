@@ -68,6 +68,8 @@ MEETING_COST = 50.0
 BLOCK_SETS, BLOCK_BYTES = 2400, 6 << 20
 #: Blocks of a clump up to which every two of them are compared at once.
 DIRECT_BLOCKS = 8
+#: Bytes of texts that blocks of clumps get in one turn, if the texts themselves are not more.
+TURN_BYTES = 64 << 20
 #: Members that are compared with one copy of the smallest set of their signature.
 STAR_SETS = 512
 #: Rounds of hubs in wide clumps, and the share of open members up to which another round is worth it.
@@ -396,7 +398,7 @@ def _clumps(meets: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _open_groups(rest: DataFrame, texts: DataFrame) -> DataFrame:
-    """Groups to compare for the open signatures (``sig``, ``node``): ``clump``, ``node`` and ``blocks``.
+    """Groups to compare for the open signatures (``sig``, ``node``): ``clump``, ``node``, ``bytes`` and ``blocks``.
 
     By signature, one group for all signatures with the same members, or by what
     the signatures connect, whichever needs fewer bytes of texts in a clump.
@@ -414,15 +416,19 @@ def _open_groups(rest: DataFrame, texts: DataFrame) -> DataFrame:
     by_clump = whole.groupBy("clump").agg(F.sum(F.col("bytes") * F.col("blocks")).alias("together"))
     choice = by_sig.join(by_clump, "clump").select("clump", (F.col("apart") < F.col("together")).alias("split"))
     apart = parts.join(choice.filter("split").select("clump"), "clump", "left_semi").join(
-        sized.select("sig", "blocks"), "sig").select(F.col("sig").alias("clump"), "node", "blocks")
+        sized.select("sig", "blocks"), "sig").select(F.col("sig").alias("clump"), "node", "bytes", "blocks")
     together = whole.join(choice.filter(~F.col("split")).select("clump"), "clump", "left_semi")
     # the two kinds of names are hashes of their own; the last column keeps them apart
     return write_scratch(apart.withColumn("split", F.lit(True)).unionByName(
-        together.select("clump", "node", "blocks").withColumn("split", F.lit(False))), "groups")
+        together.select("clump", "node", "bytes", "blocks").withColumn("split", F.lit(False))), "groups")
 
 
-def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links (``a``, ``b``) inside clumps, block against block."""
+def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int, room: int) -> DataFrame:
+    """Links (``a``, ``b``) inside clumps, block against block.
+
+    A text travels once for each block of its clump. Pairs of blocks take turns,
+    so that only ``room`` bytes or so of such copies are on disk at a time.
+    """
     def work(table: pa.Table) -> pa.Table:
         names, sets = table.column("node").to_pylist(), []
         for batch in table.select(["body"]).combine_chunks().to_batches():
@@ -437,7 +443,16 @@ def _clump_links(clumps: DataFrame, texts: DataFrame, width: int, percent: int)
     dealt = clumps.withColumn("own", own).select(
         "clump", "split", "node", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")).select(
         "clump", "split", "node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    return dealt.join(texts, "node").groupBy("clump", "split", "i", "j").applyInArrow(work, "a long, b long")
+    copies = clumps.agg(F.sum(F.col("bytes").cast("long") * F.col("blocks"))).first()[0] or 0
+    turns = max(1, -(-copies // max(room, TURN_BYTES)))
+    turn, out = F.pmod(F.xxhash64("clump", "split", "i", "j", F.lit("turn")), F.lit(turns)), None
+    for t in range(turns):
+        part = dealt.filter(turn == t) if turns > 1 else dealt
+        found = part.join(texts, "node").groupBy("clump", "split", "i", "j").applyInArrow(work, "a long, b long")
+        if turns > 1:
+            found = write_scratch(found, "links")
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def _open(rest: DataFrame, star: DataFrame) -> DataFrame:
@@ -475,16 +490,18 @@ def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFra
     """Components of the similarity graph: ``node`` and ``comp`` for every linked node."""
     meet = write_scratch(_recurring(_signed(docs, width, percent)), "signatures")
     texts = _texts(docs, sets, meet.select("node").distinct())
+    room = texts.agg(F.sum(F.length("body").cast("long"))).first()[0] or 0
     hubs = meet.groupBy("sig").agg(F.min("node").alias("hub"))
     starred = meet.join(hubs, "sig").filter("node != hub")
     pairs = write_scratch(starred.select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
     clumps = _clumps(pairs, texts).withColumn("split", F.lit(False))
-    found = write_scratch(_clump_links(clumps.filter(F.col("blocks") <= DIRECT_BLOCKS), texts, width, percent), "links")
+    near = clumps.filter(F.col("blocks") <= DIRECT_BLOCKS)
+    found = write_scratch(_clump_links(near, texts, width, percent, room), "links")
     wide = clumps.filter(F.col("blocks") > DIRECT_BLOCKS).select("node")
     if wide.limit(1).count():
         rest = write_scratch(meet.join(wide, "node", "left_semi"), "rest")
         left, star = _more_stars(rest, texts, width, percent)
-        more = write_scratch(_clump_links(_open_groups(left, texts), texts, width, percent), "links")
+        more = write_scratch(_clump_links(_open_groups(left, texts), texts, width, percent, room), "links")
         found = found.unionByName(star).unionByName(more)
         drop_scratch(rest)
     for table in (meet, texts, pairs, clumps):

@@ -7,7 +7,7 @@ import re
 import numpy as np
 import pytest
 
-from evenkeel.llm import cuckoo, jaccard, lines, superkmers, suffixes
+from evenkeel.llm import cuckoo, jaccard, lines, minimisers, superkmers, suffixes
 from evenkeel.llm.graph import components
 from pyspark.sql import functions as F
 from tests.llm import brute
@@ -258,3 +258,26 @@ def test_empty_tables(spark):
     for found in (jaccard.similar_groups(none), jaccard.keep_one(none), suffixes.drop_earlier_seen(none),
                   superkmers.drop_repeated_passages(none), cuckoo.exact_groups(none), lines.drop_recurring(none)):
         assert found.count() == 0
+
+
+def test_pairs_of_blocks_take_turns(spark, monkeypatch):
+    """Few bytes of copies at a time, and the same groups."""
+    rng = random.Random(9)
+    base = rng.sample(vocabulary(9), 60)
+    rows = [(i, " ".join([*base[:i % 58], f"w{i}", *base[i % 58 + 1:]])) for i in range(40)]
+    written = []
+    kept = jaccard.write_scratch
+    monkeypatch.setattr(jaccard, "write_scratch", lambda df, name: written.append(name) or kept(df, name))
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 8)
+    monkeypatch.setattr(jaccard, "TURN_BYTES", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id)
+           for r in jaccard.similar_groups(table(spark, rows), 4, 60).collect()}
+    assert got == brute.similar_groups(rows, 4, 60)
+    assert written.count("links") > 2
+
+
+def test_the_place_of_a_run_is_a_small_number():
+    start, n = np.array([0, 70_000, 2**31 - 1]), np.array([1, 61, 100])
+    at = minimisers.place_of(start, n, np.array([0, 3, 2]), (100).bit_length())
+    assert at[1] < 2**32 and ((at >> 9) == start).all() and ((at >> 2 & 127) == n).all()
+    assert (at & 3).tolist() == [0, 3, 2]
