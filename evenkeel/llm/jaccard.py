@@ -7,10 +7,16 @@ signature) or one (its part and the part less each one shingle are signatures).
 An allowance of none counts one and of one counts two; when the counts sum to
 more than H, a linked pair shares a signature in some segment (pigeonhole). How
 many segments of each kind a band gets is the cheapest mixture by a cost model
-of signatures and chance meetings. Empty parts meet often, so a band has some
-segments to spare, and a set with no more empty parts than that leaves them out.
-
-Sets that share a signature are candidates; what signatures connect is a clump.
+of signatures and chance meetings. Parts that are empty, or are so with one
+deletion, would meet those of a share of all sets. So a band has some segments to
+spare, enough for its smallest sets, and a set whose such parts count no more
+than that leaves them out: another segment has to agree.
+
+Sets that share a signature are candidates if their sketches allow it: one bit a
+slot, whether an odd number of shingles falls there. Sets differ in as many
+shingles as bits at least, and unlike ones in about half the bits, so common
+shingles connect hardly any; what the sketches of a signature do not connect is
+told apart before any text is read. What is left of all signatures is a clump.
 A clump is cut into blocks, and each pair of blocks is compared whole by matrix
 products of its shingles, which give back a forest of the links and never the
 pairs. A clump of more than ``DIRECT_BLOCKS`` blocks, which chance meetings may
@@ -64,12 +70,23 @@ from evenkeel.session import drop_scratch, write_scratch
 
 #: Share of the universe's cost model: what one chance meeting costs in signatures.
 MEETING_COST = 50.0
+#: Standard deviations of the empty parts of a band's smallest sets that its spare segments allow for.
+SPREADS = 3.0
+#: Segments with one deletion that a band may have.
+MOST_LOOSE = 24
 #: Sets, and bytes of their texts, planned for one block of a clump.
 BLOCK_SETS, BLOCK_BYTES = 2400, 6 << 20
 #: Blocks of a clump up to which every two of them are compared at once.
 DIRECT_BLOCKS = 8
 #: Bytes of texts that blocks of clumps get in one turn, if the texts themselves are not more.
 TURN_BYTES = 64 << 20
+#: Bits of a set's sketch, as a share of its shingles, at least and at most; bytes of sketches in one task.
+SKETCH_SHARE, LEAST_BITS, MOST_BITS = 0.7, 64, 1 << 14
+SKETCH_BYTES = 16 << 20
+#: Bytes of sketches in one turn, for each shingle of the table, if they are more than ``TURN_BYTES``.
+SKETCH_ROOM = 4
+#: Members of a signature up to which all its pairs are made at once.
+PAIRED_SETS = 64
 #: Members that are compared with one copy of the smallest set of their signature.
 STAR_SETS = 512
 #: Rounds of hubs in wide clumps, and the share of open members up to which another round is worth it.
@@ -121,6 +138,23 @@ def set_names(tokens: np.ndarray, places: np.ndarray) -> np.ndarray:
     return mix(_sums_by_row(mix(tokens ^ np.uint64(0x51ED270B7F4A7C15)), places) + sizes)
 
 
+def sketches(tokens: np.ndarray, places: np.ndarray) -> list[bytes]:
+    """For each set one bit for each slot of a power of two: whether it has an odd number of shingles there.
+
+    Two sets differ in at least as many shingles as their sketches in bits. A
+    sketch folds to half its slots by exclusive or of its halves.
+    """
+    value = mix(tokens ^ np.uint64(0x6A09E667F3BCC909))
+    out = []
+    for a, b in zip(places[:-1].tolist(), places[1:].tolist(), strict=True):
+        bits = LEAST_BITS
+        while bits < min(SKETCH_SHARE * (b - a), MOST_BITS):
+            bits *= 2
+        slot = (value[a:b] & np.uint64(bits - 1)).astype(np.int64)
+        out.append(np.packbits(np.bincount(slot, minlength=bits) & 1).tobytes())
+    return out
+
+
 # ---- signatures -----------------------------------------------------------------
 
 class Scheme:
@@ -150,22 +184,25 @@ class Scheme:
 
     @lru_cache(maxsize=None)  # noqa: B019
     def plan(self, k: int) -> tuple[int, int, int]:
-        """Segments with one deletion, segments without, and spare ones; the cheapest mixture."""
+        """Segments with one deletion, segments without, and spare differences; the cheapest mixture."""
         lo, hi = self.band(k)
         size, need = (lo + hi) / 2, self.most_apart(k) + 1
         best = None
-        for ones in range(need // 2 + 2):
-            exact = max(0, need - 2 * ones)
-            spare = 0
-            for _ in range(4):  # spare segments thin out the others a little
-                each = size / max(1, ones + exact + spare)
-                empty = (exact + spare) * math.exp(-each)
-                spare = math.ceil(empty + 3 * math.sqrt(empty)) if exact else 0
-            each = size / max(1, ones + exact + spare)
-            cost = ((exact + spare) * (1 + MEETING_COST * math.exp(-each) / 10)
-                    + ones * (1 + each + MEETING_COST * (1 + each) * math.exp(-each)))
+        for ones in range(min(need, MOST_LOOSE) + 1):
+            exact, spare, enough = max(0, need - 2 * ones), -1, max(0, 2 * ones - need)
+            while spare < enough <= need:  # more segments thin out the others a little
+                spare, exact = enough, max(exact, need + enough - 2 * ones)
+                each = lo / max(1, ones + exact)
+                none, few = math.exp(-each), (1 + each) * math.exp(-each)
+                spread = math.sqrt((exact * none + 4 * ones * few) * (1 - few))
+                enough = max(spare, math.ceil(exact * none + 2 * ones * few + SPREADS * spread))
+            if enough > need and best is not None:
+                continue
+            each = size / max(1, ones + exact)
+            cost = exact * (1 + MEETING_COST * math.exp(-each) / 10) + ones * (
+                1 + each + MEETING_COST * (1 + each) * math.exp(-each))
             if best is None or cost < best[0]:
-                best = cost, ones, exact + spare, spare
+                best = cost, ones, exact, exact + 2 * ones - need
         return best[1:]
 
     @lru_cache(maxsize=None)  # noqa: B019
@@ -196,15 +233,18 @@ class Scheme:
         value = mix(token ^ np.uint64(0x2545F4914F6CDD1D))
         part = np.zeros(base[-1], np.uint64)
         np.add.at(part, slot, value)
-        filled = np.bincount(slot, minlength=base[-1]) > 0
         owner = np.repeat(np.arange(len(jobs)), segments)
         within = np.arange(base[-1]) - base[owner]
         band = np.array([k for _, k in jobs], np.uint64)
         salt = mix((band[owner] << np.uint64(32)) + within.astype(np.uint64) + np.uint64(1))
         loose = within < ones[owner]
-        empty = np.bincount(owner[~filled & ~loose], minlength=len(jobs))
-        shown = filled | loose | (empty > spare)[owner]
-        deleted = loose[slot]
+        # parts that are empty, or are so with one deletion, would meet those of very many sets
+        held = np.bincount(slot, minlength=base[-1])
+        weak = held <= loose
+        missed = np.bincount(owner, np.where(weak, 1 + loose, 0), len(jobs))
+        hidden = weak & (missed <= spare)[owner]
+        shown = ~hidden | (held > 0)
+        deleted = loose[slot] & ~hidden[slot]
         sigs = np.concatenate([mix(part + salt)[shown],
                                mix(part[slot[deleted]] - value[deleted] + salt[slot[deleted]])])
         return sigs, rows[np.concatenate([owner[shown], job[deleted]])]
@@ -226,10 +266,11 @@ def _sets(docs: DataFrame, width: int) -> DataFrame:
                     "id": batch.column("id").slice(first, last - first),
                     "h": batch.column("h").slice(first, last - first),
                     "n": np.diff(places).astype(np.int64),
-                    "node": as_signed(set_names(tokens, places))})
+                    "node": as_signed(set_names(tokens, places)),
+                    "sketch": pa.array(sketches(tokens, places), pa.binary())})
 
     df = keyed(docs).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return df.mapInArrow(work, "doc_id long, id long, h long, n long, node long")
+    return df.mapInArrow(work, "doc_id long, id long, h long, n long, node long, sketch binary")
 
 
 def _signed(docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -277,6 +318,122 @@ def _recurring(signed: DataFrame) -> DataFrame:
         (F.col("salt") > 0) | (F.col("lo") < F.col("hi"))).select("sig", "node")
 
 
+# ---- sketches -------------------------------------------------------------------
+
+class Sketched:
+    """Sketches of sets, and which pairs of sets may be similar by them."""
+
+    def __init__(self, sizes: np.ndarray, sketch: list[bytes], percent: int):
+        self.sizes, self.percent = sizes, percent
+        words = np.array([len(x) // 8 for x in sketch])
+        self.words, self.place, self.own, self.half = words, np.zeros(len(sketch), np.int64), {}, {}
+        for w in np.unique(words).tolist():
+            at = np.flatnonzero(words == w)
+            bits = np.frombuffer(b"".join(sketch[i] for i in at.tolist()), np.uint64).reshape(len(at), w)
+            self.place[at] = np.arange(len(at))
+            self.own[w] = bits
+            if w > 1:
+                self.half[w] = bits[:, :w // 2] ^ bits[:, w // 2:]
+
+    def may_link(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Whether pairs of set numbers differ in no more bits than linked sets in shingles."""
+        both, p = self.sizes[a] + self.sizes[b], self.percent
+        most = both - 2 * -(-p * both // (100 + p))
+        good = np.abs(self.sizes[a] - self.sizes[b]) <= most
+        swap = self.words[a] < self.words[b]
+        a, b = np.where(swap, b, a), np.where(swap, a, b)
+        # sizes of linked sets may be further apart than a fold where the similarity asked for is low
+        for w in self.own:
+            for table, v in ((self.own, w), (self.half, w // 2)):
+                at = np.flatnonzero(good & (self.words[a] == w) & (self.words[b] == v)) if v in self.own else []
+                step = max(1, PAIRS // w)
+                for i in range(0, len(at), step):
+                    part = at[i:i + step]
+                    apart = table[w][self.place[a[part]]] ^ self.own[v][self.place[b[part]]]
+                    good[part] = np.bitwise_count(apart).sum(axis=1) <= most[part]
+        return good
+
+
+def _join(root: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Give all that the pairs connect the smallest number among them."""
+    while len(x):
+        x, y = root[x], root[y]
+        x, y = np.minimum(x, y)[x != y], np.maximum(x, y)[x != y]
+        np.minimum.at(root, y, x)
+        while (root[root] != root).any():
+            root[:] = root[root]
+
+
+def alike_groups(sig: np.ndarray, owner: np.ndarray, known: Sketched) -> np.ndarray:
+    """For each place of a signature (in order) the first place that pairs in reach connect it with."""
+    root = np.arange(len(sig))
+    starts = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(sig)))
+    for d in np.unique(sizes[(sizes > 1) & (sizes <= PAIRED_SETS)]).tolist():
+        i, j = np.triu_indices(d, 1)
+        first = starts[sizes == d]
+        step = max(1, PAIRS // len(i))
+        for k in range(0, len(first), step):
+            x, y = ((first[k:k + step, None] + side).ravel() for side in (i, j))
+            good = known.may_link(owner[x], owner[y])
+            _join(root, x[good], y[good])
+    for a, n in zip(starts[sizes > PAIRED_SETS].tolist(), sizes[sizes > PAIRED_SETS].tolist(), strict=True):
+        own = np.arange(n)
+        for i in range(n):
+            other = np.flatnonzero(own[i + 1:] != own[i]) + i + 1
+            if not len(other) and (own == own[0]).all():
+                break
+            good = other[known.may_link(np.full(len(other), owner[a + i]), owner[a + other])]
+            names = np.unique(own[np.append(good, i)])
+            own[np.isin(own, names)] = names[0]
+        root[a:a + n] = a + own
+    return root
+
+
+def _alike(meet: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Sets that share a signature, less those that sketches tell apart from all others there: ``sig`` and ``node``.
+
+    What is left of a signature may fall into several groups. A group is named
+    by its members, so signatures with the same ones are one. Rows take turns,
+    so that no more sketches are on disk than the texts take.
+    """
+    def work(table: pa.Table) -> pa.Table:
+        sig, node = (table.column(c).to_numpy() for c in ("sig", "node"))
+        names, first, owner = np.unique(node, return_index=True, return_inverse=True)
+        picked = table.select(["n", "sketch"]).take(pa.array(first))
+        known = Sketched(picked.column("n").to_numpy(), picked.column("sketch").to_pylist(), percent)
+        order = np.lexsort((owner, sig))
+        sig, owner = sig[order], owner[order]
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (owner[1:] != owner[:-1])
+        sig, owner = sig[new], owner[new]
+        root = alike_groups(sig, owner, known)
+        often = np.bincount(root, minlength=len(root))
+        kept = often[root] > 1
+        root, owner = root[kept], owner[kept]
+        total = np.zeros(len(often), np.uint64)
+        np.add.at(total, root, mix(names[owner].view(np.uint64) ^ np.uint64(0x3C6EF372FE94F82B)))
+        group = as_signed(mix(total + often.astype(np.uint64)))[root]
+        rows = np.unique(np.column_stack([group, names[owner]]), axis=0)
+        return pa.table({"sig": pa.array(rows[:, 0], pa.int64()), "node": pa.array(rows[:, 1], pa.int64())})
+
+    named = sets.filter("n > 0").groupBy("node").agg(F.first(F.struct("n", "sketch")).alias("s")).select("node", "s.*")
+    named = write_scratch(named.join(meet.select("node").distinct(), "node", "left_semi"), "sketches")
+    total = meet.join(named.select("node", F.length("sketch").alias("b")), "node").agg(F.sum("b")).first()[0] or 0
+    room = max(TURN_BYTES, SKETCH_ROOM * (sets.agg(F.sum("n")).first()[0] or 0))
+    turns, out = max(1, -(-total // room)), None
+    buckets = max(1, -(-total // (SKETCH_BYTES * turns)))
+    for t in range(turns):
+        part = meet.filter(F.pmod(F.xxhash64("sig", F.lit("turn")), F.lit(turns)) == t) if turns > 1 else meet
+        found = part.join(named, "node").groupBy(F.pmod(F.xxhash64("sig"), F.lit(buckets))).applyInArrow(
+            work, "sig long, node long")
+        found = write_scratch(found.distinct(), "alike")
+        out = found if out is None else out.unionByName(found)
+    out = write_scratch(out.distinct(), "alike") if turns > 1 else out
+    drop_scratch(named)
+    return out
+
+
 # ---- verification ---------------------------------------------------------------
 
 def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -488,7 +645,9 @@ def _more_stars(rest: DataFrame, texts: DataFrame, width: int, percent: int) ->
 
 def links(docs: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
     """Components of the similarity graph: ``node`` and ``comp`` for every linked node."""
-    meet = write_scratch(_recurring(_signed(docs, width, percent)), "signatures")
+    shared = write_scratch(_recurring(_signed(docs, width, percent)), "signatures")
+    meet = _alike(shared, sets, percent)
+    drop_scratch(shared)
     texts = _texts(docs, sets, meet.select("node").distinct())
     room = texts.agg(F.sum(F.length("body").cast("long"))).first()[0] or 0
     hubs = meet.groupBy("sig").agg(F.min("node").alias("hub"))

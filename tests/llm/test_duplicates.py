@@ -281,3 +281,62 @@ def test_the_place_of_a_run_is_a_small_number():
     at = minimisers.place_of(start, n, np.array([0, 3, 2]), (100).bit_length())
     assert at[1] < 2**32 and ((at >> 9) == start).all() and ((at >> 2 & 127) == n).all()
     assert (at & 3).tolist() == [0, 3, 2]
+
+
+@pytest.mark.parametrize("size", [20, 60, 280, 1100])
+def test_sets_without_a_common_shingle_share_no_signature(size):
+    """Empty parts would make groups that grow with the number of sets."""
+    rng = np.random.default_rng(size)
+    sets = [np.unique(rng.integers(1, 2**63, size, dtype=np.uint64)) for _ in range(300)]
+    places = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    sigs, owner = jaccard.Scheme(80).signatures(np.concatenate(sets), places)
+    _, where = np.unique(sigs, return_inverse=True)
+    met = np.unique(np.column_stack([where, owner]), axis=0)[:, 0]
+    assert (np.bincount(met) > 1).sum() <= 5
+
+
+@pytest.mark.parametrize("percent,paired", [(80, 64), (80, 1), (45, 64), (45, 1)])
+def test_sketches_rule_out_no_linked_pair(monkeypatch, percent, paired):
+    monkeypatch.setattr(jaccard, "PAIRED_SETS", paired)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in [1, 3, 40, 90, 91, 200, 700, 3000, 30_000]:
+        base = rng.integers(1, 2**63, size, dtype=np.uint64)
+        for share in [0, 0, 0.04, 0.08, 0.1, 0.15, 0.3, 0.5]:
+            new = rng.integers(1, 2**63, int(size * share), dtype=np.uint64)
+            sets.append(np.unique(np.concatenate([base[len(new):] if size % 2 else base, new])))
+    places = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+    known = jaccard.Sketched(np.diff(places), jaccard.sketches(np.concatenate(sets), places), percent)
+    a, b = np.triu_indices(len(sets), 1)
+    may = known.may_link(a, b)
+    linked = np.array([jaccard.linked(sets[i], sets[j], percent) for i, j in zip(a, b, strict=True)])
+    assert linked.sum() > 50 and may[linked].all() and may.mean() < 0.4
+    owner = np.concatenate([np.arange(len(sets)), np.arange(0, len(sets), 3)])
+    sig = np.repeat([5, 9], [len(sets), len(owner) - len(sets)])
+    root = jaccard.alike_groups(sig, owner, known)
+    up = np.arange(len(owner))
+    for i in range(len(owner)):
+        for j in range(i + 1, len(owner)):
+            if sig[i] == sig[j] and known.may_link(owner[[i]], owner[[j]])[0]:
+                up[up == max(up[i], up[j])] = min(up[i], up[j])
+    assert (root == up).all()
+
+
+def test_chance_meetings_send_no_texts(spark, monkeypatch):
+    """Unlike texts with common passages share signatures; none of them is read for a comparison."""
+    rng = random.Random(4)
+    words = vocabulary(11)
+    rows = [(i, " ".join([*words[:8], *(rng.choice(words) + str(rng.random()) for _ in range(30))])) for i in range(60)]
+    rows += [(100 + i, rows[0][1] + f" w{i}") for i in range(2)]
+    sizes, kept = {}, jaccard.write_scratch
+
+    def counted(df, name):
+        out = kept(df, name)
+        sizes[name] = out.count()
+        return out
+
+    monkeypatch.setattr(jaccard, "write_scratch", counted)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, rows), 4, 80).collect()}
+    assert got == brute.similar_groups(rows, 4, 80)
+    assert sizes["signatures"] > 20 and sizes["texts"] == 3
