@@ -340,3 +340,23 @@ def test_chance_meetings_send_no_texts(spark, monkeypatch):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(table(spark, rows), 4, 80).collect()}
     assert got == brute.similar_groups(rows, 4, 80)
     assert sizes["signatures"] > 20 and sizes["texts"] == 3
+
+
+@pytest.mark.parametrize("ones", [1, 4, 9])
+def test_one_deletion_segments_lose_no_pair(monkeypatch, ones):
+    """Segments with one deletion, and spare ones, whatever the cost model would take."""
+    scheme = jaccard.Scheme(80)
+    monkeypatch.setattr(jaccard.Scheme, "plan", lambda self, k: (
+        ones, max(0, self.most_apart(k) + 4 - 2 * ones), max(3, 2 * ones - self.most_apart(k) - 1)))
+    rng = np.random.default_rng(ones)
+    for size in [6, 11, 20, 40, 90]:
+        for _ in range(60):
+            a = rng.integers(1, 2**63, size, dtype=np.uint64)
+            drop = int(rng.integers(0, size // 5 + 1))
+            b = np.concatenate([a[drop:], rng.integers(1, 2**63, int(rng.integers(0, 3)), dtype=np.uint64)])
+            sets = [np.unique(a), np.unique(b)]
+            if not jaccard.linked(*sets, 80) or (len(b) == size and not drop):
+                continue
+            places = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            sigs, owner = scheme.signatures(np.concatenate(sets), places)
+            assert set(sigs[owner == 0].tolist()) & set(sigs[owner == 1].tolist()), size
