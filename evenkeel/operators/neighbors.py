@@ -55,7 +55,7 @@ QUERY_STEP = 256
 #: Points in a leaf, columns beyond which boxes rule out nothing, and members compared at once.
 LEAF_POINTS = 64
 LEAF_COLUMNS = 12
-MEMBER_STEP = 8192
+MEMBER_STEP = 1024
 #: Members that give a query's first bound.
 NEAR_POINTS = 256
 SLACK = 1e-9
@@ -75,9 +75,18 @@ def _codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return out[: len(a)], out[len(a):]
 
 
+def _squares(x: np.ndarray) -> np.ndarray:
+    """Squared length of each vector."""
+    return np.einsum("ij,ij->i", x, x)
+
+
 def _square_distances(xa, ca, xb, cb, penalty2: float) -> np.ndarray:
     """All squared distances between two blocks, up to rounding."""
-    d2 = np.maximum((xa**2).sum(1)[:, None] + (xb**2).sum(1)[None, :] - 2.0 * xa @ xb.T, 0.0)
+    d2 = xa @ xb.T
+    d2 *= -2.0
+    d2 += _squares(xa)[:, None]
+    d2 += _squares(xb)
+    np.maximum(d2, 0.0, out=d2)
     for j in range(ca.shape[1]):
         d2 += penalty2 * (ca[:, j][:, None] != cb[:, j][None, :])
     return d2
@@ -127,15 +136,15 @@ def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.
     """
     order = np.empty(len(keys), np.int64)
     order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
-    scale = (xm**2).sum(1).max(initial=0.0)
+    scale = _squares(xm).max(initial=0.0)
     penalty = penalty2**0.5
     boxed = xm.shape[1] + cm.shape[1] <= LEAF_COLUMNS
-    leaves = _leaves(xm, cm, penalty, LEAF_POINTS if boxed else MEMBER_STEP // 8)
+    leaves = _leaves(xm, cm, penalty, LEAF_POINTS if boxed else MEMBER_STEP)
     boxes = _boxes(xm, cm, leaves)
     sizes = np.array([len(rows) for rows in leaves])
     for asked in _leaves(xq, cq, penalty, LEAF_POINTS if boxed else QUERY_STEP):
         q, c, limit = xq[asked], cq[asked], bound2[asked]
-        own = scale + (q**2).sum(1)
+        own = scale + _squares(q)
         least = _box_distances(q, c, boxes, penalty2)
         if np.isinf(limit).any() and len(xm) >= k:
             near = np.argsort(least.sum(axis=0), kind="stable")
@@ -240,7 +249,8 @@ def _features(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]
 
 
 def _packed(table: pa.Table) -> pa.StructArray:
-    return pa.concat_arrays([chunk.flatten() for chunk in table.column("points").chunks])
+    chunks = [chunk.flatten() for chunk in table.column("points").chunks]
+    return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
 
 
 def _matched(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -185,3 +185,18 @@ def test_search_compares_few_members_at_once_and_rules_out_far_leaves(monkeypatc
         assert sorted(zip(np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found]))) == [
             (i, i) for i in range(9000)]
         assert max(held) <= 256 * 8192 and sum(held) <= share * 9000 ** 2
+
+
+def test_search_in_many_columns_takes_little_memory():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    x, none = rng.normal(size=(8192, 64)), np.zeros((8192, 0), int)
+    tracemalloc.start()
+    found = list(neighbors._nearest_in_block(
+        x[:512], none[:512], x, none, np.arange(8192), 2, 0.0, np.full(512, np.inf)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    to = np.concatenate([t for _, t, _ in found]).reshape(-1, 2)
+    assert sorted(to[:, 0].tolist()) == list(range(512))
+    assert peak < 16 << 20
