@@ -7,12 +7,12 @@
    group are cut, in that order, into blocks of limited size. However small the
    cells are, a block is full; a hot cell is many blocks.
 3. Each block of queries first searches itself, which bounds the k-th distance of
-   its points. The triangle inequality then names the cells that could hold a
-   nearer point for any of them.
+   its points; only the bounds leave the task. The triangle inequality then names
+   the cells that could hold a nearer point for any of them.
 4. The blocks of those cells go to a few blocks of queries together. So a vector
    is copied once for some ten thousand queries, not for each of them. Inside a
-   task boxes around small leaves of points are ruled out by the bounds; only
-   points within the bound of a query leave the task.
+   task boxes around small leaves of points are ruled out by the bounds; a query's
+   nearest rows leave the task with their keys and labels.
 
 Equal distances are ordered by key. Distances count a numeric difference by its
 square and a differing category by the square of ``penalty``.
@@ -33,7 +33,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from evenkeel.functions.draws import uniform
-from evenkeel.session import write_scratch
+from evenkeel.session import drop_scratch, write_scratch
 from evenkeel.spec import FeatureSpec
 
 # send the helpers below with the task, so executors need no installed package
@@ -49,6 +49,7 @@ CELLS_PER_BLOCK = 4
 #: Neighbouring blocks that one task searches together: of queries and of members.
 QUERY_BLOCKS = 2
 MEMBER_BLOCKS = 4
+TASKS_PER_CORE = 4
 #: Rows of copies of one vector that one slice of them holds.
 SLICE_ROWS = 50_000
 QUERY_STEP = 256
@@ -261,20 +262,56 @@ def _matched(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return codes[:len(ca)], codes[len(ca):]
 
 
-def _dealt(placed: DataFrame, limit: int) -> DataFrame:
-    """The points with their block ``z``: a group's cells, one after the other, cut every ``limit`` points."""
+def _cells(placed: DataFrame) -> DataFrame:
+    """Each cell of a group: its points, those of the cells before it and the range of distances to the pivot."""
     before = Window.partitionBy("g").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
     # a group has no more cells than there are pivots
-    sizes = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n")).withColumn(
+    return placed.groupBy("g", "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("dist").alias("low"), F.max("dist").alias("high")).withColumn(
         "start", F.coalesce(F.sum("n").over(before), F.lit(0)))
-    return placed.join(sizes, ["g", "cell"]).withColumn(
-        "z", F.floor((F.col("start") + uniform("vid", "block") * F.col("n")) / limit).cast("int")).drop("n", "start")
 
 
-def _blocks(dealt: DataFrame) -> DataFrame:
-    """One row for each block: ``g``, ``z`` and its packed points."""
-    return dealt.groupBy("g", "z").agg(
-        F.collect_list(F.struct("vid", "x", "c", "ask")).alias("points"), F.max("ask").alias("asks"))
+def _blocks(placed: DataFrame, cells: DataFrame, limit: int) -> DataFrame:
+    """One row for each block, ``g``, ``z`` and its packed points: a group's cells, one after the other, cut
+    every ``limit`` points."""
+    at = F.col("start") + uniform("vid", "block") * F.col("n")
+    return placed.join(cells.select("g", "cell", "n", "start"), ["g", "cell"]).groupBy(
+        "g", F.floor(at / limit).cast("int").alias("z")).agg(
+        F.collect_list(F.struct("vid", "x", "c", "ask", "cell", "members")).alias("points"),
+        F.max("ask").alias("asks"))
+
+
+def _bounded(blocks: DataFrame, k: int, penalty2: float, tasks: int) -> DataFrame:
+    """The asking points of each block, packed, each with a distance within which k + 1 rows of its block lie."""
+    fields = blocks.schema["points"].dataType.elementType
+    packed = T.StructType([fields[f] for f in ("vid", "x", "c", "cell")] + [T.StructField("bound", T.DoubleType())])
+    schema = T.StructType([blocks.schema["g"], blocks.schema["z"], T.StructField("points", T.ArrayType(packed))])
+    to_arrow = to_arrow_schema(schema)
+
+    def bound_block(block: pa.Table) -> pa.Table:
+        points = _packed(block)
+        asked = points.filter(points.field("ask"))
+        (xq, cq, _), (xm, cm, names) = _features(asked), _features(points)
+        codes_q, codes_m = _matched(cq, cm)
+        held = points.field("members").value_lengths().to_numpy(zero_copy_only=False)
+        bound2 = np.full(len(asked), np.inf)
+        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names.to_numpy(zero_copy_only=False), k + 1,
+                                            penalty2, bound2.copy()):
+            enough = _running(at, held[to]) >= k + 1
+            np.minimum.at(bound2, at[enough], d2[enough])
+        columns = [asked.field(f.name) for f in packed.fields[:-1]] + [pa.array(np.sqrt(bound2))]
+        rows = pa.StructArray.from_arrays(columns, names=packed.names)
+        return pa.table([block.column("g"), block.column("z"), pa.ListArray.from_arrays([0, len(asked)], rows)],
+                        names=schema.names).cast(to_arrow)
+
+    return blocks.filter("asks").repartition(tasks, "g", "z").groupBy("g", "z").applyInArrow(bound_block, schema)
+
+
+def _running(at: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Running sums of ``n`` among neighbouring entries with the same number ``at``."""
+    total = np.cumsum(n)
+    first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))[:len(at)]
+    return total - np.repeat((total - n)[first], np.diff(np.append(first, len(at))))
 
 
 def _open_cells(queries: DataFrame, stats: DataFrame, pivots: list, penalty2: float) -> DataFrame:
@@ -318,36 +355,54 @@ def _open_cells(queries: DataFrame, stats: DataFrame, pivots: list, penalty2: fl
         open_cells, "g string, z int, cell int")
 
 
-def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, penalty2: float, key_type,
-            together: tuple[int, int] = (1, 1)) -> DataFrame:
-    """The k + 1 nearest points of each query in the blocks paired with its block: ``(g, vid, near, d2)``.
+def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, penalty2: float,
+            tasks: int | None = None, together: tuple[int, int] = (1, 1)) -> DataFrame:
+    """The k + 1 nearest rows of each query in the blocks paired with its block: ``(g, vid, d2, key, lab)``.
 
     ``pairs`` has ``g``, ``z`` (queries) and ``mz`` (members); ``together`` says how
     many neighbouring blocks of queries and of members meet in a task. Points
     beyond the ``bound`` of a query, where it has one, are left out.
     """
+    point = blocks.schema["points"].dataType.elementType
+    row = point["members"].dataType.elementType
     schema = T.StructType([
-        T.StructField("g", T.StringType()), T.StructField("vid", key_type),
-        T.StructField("near", key_type), T.StructField("d2", T.DoubleType()),
+        blocks.schema["g"], T.StructField("vid", point["vid"].dataType), T.StructField("d2", T.DoubleType()),
+        *row.fields,
     ])
 
     def block_search(queries: pa.Table, members: pa.Table) -> pa.Table:
         if not queries.num_rows or not members.num_rows:
-            return pa.table({f.name: pa.array([]) for f in schema}).cast(to_arrow)
+            return to_arrow.empty_table()
         asked = _packed(queries)
         if "ask" in [f.name for f in asked.type]:
             asked = asked.filter(asked.field("ask"))
             bound2 = np.full(len(asked), np.inf)
         else:
             bound2 = asked.field("bound").to_numpy(zero_copy_only=False) ** 2
-        (xq, cq, vids), (xm, cm, names) = _features(asked), _features(_packed(members))
+        points = _packed(members)
+        (xq, cq, vids), (xm, cm, names) = _features(asked), _features(points)
         codes_q, codes_m = _matched(cq, cm)
-        keys = names.to_numpy(zero_copy_only=False)
-        found = list(_nearest_in_block(xq, codes_q, xm, codes_m, keys, k + 1, penalty2, bound2))
-        at, to, d2 = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, int) for i in range(3))
-        g = queries.column("g")[0].as_py()
-        return pa.table([pa.array([g] * len(at), pa.string()), vids.take(pa.array(at)), names.take(pa.array(to)),
-                         pa.array(d2, pa.float64())], names=["g", "vid", "near", "d2"])
+        lists = points.field("members")
+        rows, held = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
+        starts = np.cumsum(held) - held
+        keys = rows.field("key").to_numpy(zero_copy_only=False)
+        order = np.empty(len(keys), np.int64)
+        order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+        found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
+        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names.to_numpy(zero_copy_only=False), k + 1,
+                                            penalty2, bound2):
+            # from points to their rows, of which each query keeps the first
+            n = held[to]
+            at, d2 = np.repeat(at, n), np.repeat(d2, n)
+            to = np.repeat(starts[to] - np.cumsum(n) + n, n) + np.arange(len(at))
+            best = np.lexsort((order[to], d2, at))
+            at, to, d2 = at[best], to[best], d2[best]
+            first = _running(at, np.ones(len(at), int)) <= k + 1
+            found.append((at[first], to[first], d2[first]))
+        at, to, d2 = (np.concatenate(side) for side in zip(*found, strict=True))
+        rows = rows.take(pa.array(to))
+        return pa.table([pa.repeat(queries.column("g")[0], len(at)), vids.take(pa.array(at)), pa.array(d2),
+                         rows.field("key"), rows.field("lab")], names=schema.names).cast(to_arrow)
 
     to_arrow = to_arrow_schema(schema)
     place = ["g", "qs", "ms"]
@@ -358,15 +413,12 @@ def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, pen
         blocks.select("g", F.col("z").alias("mz"), "points"), ["g", "mz"])
     # both sides come from one table; new aliases keep their columns apart
     q, m = (side.select(*[F.col(c).alias(c) for c in [*place, "points"]]) for side in (q, m))
+    if tasks:
+        # a task's work goes by pairs of points, not by bytes
+        q, m = (side.repartition(tasks, *place) for side in (q, m))
     return q.groupBy(*place).cogroup(m.groupBy(*place)).applyInArrow(block_search, schema)
 
 
-def _best(pairs: DataFrame, k: int) -> DataFrame:
-    """The k + 1 nearest points of each point; earlier blocks are cut before the shuffle."""
-    order = Window.partitionBy("g", "vid").orderBy("d2", "near")
-    return pairs.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1).drop("rn")
-
-
 def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         penalty: float = 0.0, query_classes: list | None = None,
         block_points: int | None = None) -> DataFrame:
@@ -398,48 +450,36 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         math.ceil(n_points / in_cell), MAX_PIVOTS))
     if n_pivots == 1:
         limit = max(limit, n_points)
-        pivots, placed = [], points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
+        placed = points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
+        blocks = _blocks(placed, _cells(placed), limit)
+        asking = blocks.filter("asks")
+        near = _search(asking, blocks, asking.select("g", "z", F.col("z").alias("mz")), k, penalty2)
     else:
+        tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
         pivots = _numbered(points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select(
             "x", "c").collect(), float(penalty))
         placed = write_scratch(_assign_cells(points, pivots, penalty2), "placed")
-    dealt = _dealt(placed, limit)
-    if n_pivots > 1:
-        dealt = write_scratch(dealt, "dealt")
-    blocks = write_scratch(_blocks(dealt), "blocks") if n_pivots > 1 else _blocks(dealt)
-    key_type = points.schema["vid"].dataType
-    asking = blocks.filter("asks")
-    near = _best(_search(asking, blocks, asking.select("g", "z", F.col("z").alias("mz")), k, penalty2, key_type), k)
-    if n_pivots > 1:
-        near = write_scratch(near, "near")
-        held = near.join(points.select("g", F.col("vid").alias("near"),
-                                       F.size("members").alias("held")), ["g", "near"])
-        run = Window.partitionBy("g", "vid").orderBy("d2", "near").rowsBetween(
-            Window.unboundedPreceding, Window.currentRow)
-        bound = held.withColumn("have", F.sum("held").over(run)).groupBy("g", "vid").agg(
-            F.sqrt(F.min(F.when(F.col("have") >= k + 1, F.col("d2")))).alias("bound"))
-        stats = placed.groupBy("g", "cell").agg(F.min("dist").alias("low"), F.max("dist").alias("high"))
-        queries = write_scratch(dealt.filter("ask").join(bound, ["g", "vid"], "left").groupBy("g", "z").agg(
-            F.collect_list(F.struct("vid", "x", "c", "cell", F.coalesce("bound", F.lit(float("inf"))).alias("bound"))
-                           ).alias("points")), "queries")
-        open_ = write_scratch(_open_cells(queries, stats, pivots, penalty2), "open")
+        cells = write_scratch(_cells(placed), "cells")
+        blocks = write_scratch(_blocks(placed, cells, limit), "blocks")
+        drop_scratch(placed)
+        queries = write_scratch(_bounded(blocks, k, penalty2, tasks), "queries")
+        open_ = write_scratch(_open_cells(queries, cells, pivots, penalty2), "open")
+        held = cells.select("g", "cell", F.explode(F.sequence(
+            F.floor(F.col("start") / limit).cast("int"),
+            F.floor((F.col("start") + F.col("n")) / limit).cast("int"))).alias("mz"))
         # a query's own cell is always open, so this search finds again what gave the bound
-        pairs = open_.join(dealt.select("g", "cell", F.col("z").alias("mz")).distinct(), ["g", "cell"]).select(
-            "g", "z", "mz").distinct()
-        near = _best(_search(queries, blocks, pairs, k, penalty2, key_type, (QUERY_BLOCKS, MEMBER_BLOCKS)), k)
+        pairs = open_.join(held, ["g", "cell"]).select("g", "z", "mz").distinct()
+        near = _search(queries, blocks, pairs, k, penalty2, tasks, (QUERY_BLOCKS, MEMBER_BLOCKS))
     return _expand(rows, points, near, spec, k, within_class, query_classes)
 
 
 def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSpec, k: int,
             within_class: bool, query_classes: list | None) -> DataFrame:
-    """From neighbouring points back to neighbouring rows."""
-    named = points.select("g", F.col("vid").alias("near"), "members")
-    flat = near.join(named, ["g", "near"]).select("g", "vid", "d2", F.explode("members").alias("m"))
-    order = Window.partitionBy("g", "vid").orderBy("d2", "m.key")
-    best = flat.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
+    """From the nearest rows of each point to those of each row."""
+    order = Window.partitionBy("g", "vid").orderBy("d2", "key")
+    best = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
     lists = best.groupBy("g", "vid").agg(
-        F.sort_array(F.collect_list(F.struct("d2", F.col("m.key").alias("key"),
-                                             F.col("m.lab").alias("lab")))).alias("list"))
+        F.sort_array(F.collect_list(F.struct("d2", "key", "lab"))).alias("list"))
     others = F.slice(F.filter("list", lambda e: e["key"] != F.col("__key")), 1, k)
     known = points.select("g", "vid", F.explode("members").alias("m")).select(
         "g", "vid", F.col("m.key").alias("__key"), F.col("m.lab").alias("__lab"))

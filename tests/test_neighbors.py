@@ -187,6 +187,28 @@ def test_search_compares_few_members_at_once_and_rules_out_far_leaves(monkeypatc
         assert max(held) <= 256 * 8192 and sum(held) <= share * 9000 ** 2
 
 
+def test_bounds_are_kept_by_point_and_not_by_pair(spark, monkeypatch):
+    """No table on the way has more rows than there are points; each bound holds k + 1 rows of the block."""
+    counts, plain = {}, neighbors.write_scratch
+
+    def counted(df, name):
+        out = plain(df, name)
+        counts[name] = out.count()
+        return out
+
+    monkeypatch.setattr(neighbors, "write_scratch", counted)
+    pdf = table(600, copies=0.2, seed=5)
+    got = lists(knn(spark.createDataFrame(pdf), MIXED, 4, False, penalty=2.5, block_points=60))
+    assert got == brute(pdf, 4, False, 2.5, ["c"])
+    assert max(counts.values()) <= counts["points"]
+
+
+def test_running_sums_start_anew_with_each_number():
+    got = neighbors._running(np.array([3, 3, 1, 1, 1, 7]), np.array([2, 1, 5, 1, 1, 4]))
+    assert got.tolist() == [2, 3, 5, 6, 7, 4]
+    assert neighbors._running(np.zeros(0, int), np.zeros(0, int)).tolist() == []
+
+
 def test_search_in_many_columns_takes_little_memory():
     import tracemalloc
 
