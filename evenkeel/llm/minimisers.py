@@ -184,7 +184,10 @@ class Repeats:
                  short_names: bool = False):
         # the same columns wherever texts are dealt out, so that they are dealt out once
         rows = keyed(docs).select("id", "h", "body")
-        self.rows = rows if not short_names or several_texts(rows) else rows.withColumn("h", F.lit(0).cast("long"))
+        short = short_names and not several_texts(rows)
+        self.rows = rows.withColumn("h", F.lit(0).cast("long")) if short else rows
+        # a join drops a column that is the same everywhere, so tables dealt out by both would be dealt out again
+        self.row = ["id"] if short else ROW
         self.kind, self.width, self.seed = kind, width, seed
         self.keep_first, self.bucket_units = keep_first, bucket_units
         self.in_bucket, self.bucket_runs = in_bucket, bucket_runs
@@ -221,8 +224,8 @@ class Repeats:
         return found
 
     def _asked(self, asked: DataFrame) -> DataFrame:
-        wanted = asked.groupBy(*ROW).agg(F.collect_set(F.struct("start", "n", "key", "copied")).alias("runs"))
-        return self.rows.join(wanted, ROW).dropDuplicates(ROW)
+        wanted = asked.groupBy(*self.row).agg(F.collect_set(F.struct("start", "n", "key", "copied")).alias("runs"))
+        return self.rows.join(wanted, self.row).dropDuplicates(self.row)
 
     def _strings(self, asked: DataFrame, buckets: int) -> DataFrame:
         """Each run as one packed string, with the bucket of its minimiser."""
@@ -285,8 +288,8 @@ class Repeats:
 
     def marked(self) -> DataFrame:
         """Every row with its bytes and the spans found in it (null: none)."""
-        spans = self.spans().groupBy(*ROW).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
-        return self.rows.join(spans, ROW, "left").select(own_id().alias("doc_id"), "body", "spans")
+        spans = self.spans().groupBy(*self.row).agg(F.collect_set(F.struct("a", "b")).alias("spans"))
+        return self.rows.join(spans, self.row, "left").select(own_id().alias("doc_id"), "body", "spans")
 
 
 def covered(size: int, spans: list[dict] | None) -> np.ndarray:

@@ -360,3 +360,14 @@ def test_one_deletion_segments_lose_no_pair(monkeypatch, ones):
             places = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
             sigs, owner = scheme.signatures(np.concatenate(sets), places)
             assert set(sigs[owner == 0].tolist()) & set(sigs[owner == 1].tolist()), size
+
+
+def test_runs_and_texts_of_plain_ids_are_dealt_out_once(spark):
+    """Tables that meet by id are dealt out by id, not by a pair that the join cannot use."""
+    body = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(900))
+    docs = spark.createDataFrame([(i, body[i * 20:i * 20 + 400]) for i in range(1, 9)], "doc_id long, text string")
+    found = suffixes.drop_earlier_seen(docs)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(id#" in plan
+    assert not re.search(r"hashpartitioning\(id#\d+L?, h#", plan)
+    assert found.count() == 8
