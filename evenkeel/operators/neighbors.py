@@ -177,24 +177,24 @@ def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.
         yield asked[at[first]], to[first], d2[first]
 
 
-def _point_columns(spec: FeatureSpec, within_class: bool) -> tuple[Column, Column, Column]:
+def _point_columns(spec: FeatureSpec, within: str | None) -> tuple[Column, Column, Column]:
     """Group, numeric array and category array of a row."""
     # adding zero turns -0.0 into 0.0, so equal numbers group together
     x = ", ".join(f"cast(`{c}` as double) + 0e0" for c in spec.continuous)
     c = ", ".join(f"cast(`{c}` as string)" for c in spec.categorical)
     x, c = F.expr(f"cast(array({x}) as array<double>)"), F.expr(f"cast(array({c}) as array<string>)")
-    return F.col(spec.label).cast("string") if within_class else F.lit(""), x, c
+    return F.lit("") if within is None else F.col(within).cast("string"), x, c
 
 
-def points_of(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool,
+def points_of(df: DataFrame, spec: FeatureSpec, k: int, within: str | None,
               askers: list | None = None) -> DataFrame:
     """Distinct feature vectors: group, x, c, vid, ``ask`` and the k + 1 smallest (key, label).
 
-    ``ask`` tells whether any row of the vector, remembered or not, is of an
+    Rows of equal value in the column ``within`` are a group. ``ask`` tells whether any row of the vector, remembered or not, is of an
     asking class. Both parts are cut down before the shuffle, so a vector that
     a third of all rows share stays cheap.
     """
-    group, x, c = _point_columns(spec, within_class)
+    group, x, c = _point_columns(spec, within)
     slim = df.select(
         group.alias("g"), x.alias("x"), c.alias("c"),
         F.col(spec.key).alias("key"), F.col(spec.label).alias("lab"),
@@ -419,6 +419,88 @@ def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, pen
     return q.groupBy(*place).cogroup(m.groupBy(*place)).applyInArrow(block_search, schema)
 
 
+class PointIndex:
+    """The distinct vectors of a table, in blocks that queries can be searched in."""
+
+    def __init__(self, rows: DataFrame, spec: FeatureSpec, k: int, within: str | None, askers: list | None,
+                 penalty: float, block_points: int | None = None, lone: bool = False):
+        """``lone``: only vectors that a single row has ask."""
+        self.k, self.penalty2 = k, float(penalty) ** 2
+        points = points_of(rows, spec, k, within, askers)
+        if lone:
+            points = points.withColumn("ask", F.col("ask") & (F.size("members") == 1))
+        self.points = points = write_scratch(points, "points")
+        broken = (
+            F.exists("x", lambda v: v.isNull()) | F.exists("c", lambda v: v.isNull())
+            | F.exists("members", lambda m: m["key"].isNull() | m["lab"].isNull()) | F.col("g").isNull()
+        )
+        n_points, n_broken = points.agg(F.count(F.lit(1)), F.count_if(broken)).first()
+        if n_broken:
+            raise ValueError("null value in a feature, label or key; fill it before resampling")
+        each = 8 * (len(spec.continuous) + len(spec.categorical) + 2)
+        self.limit = max(256, min(BLOCK_POINTS, BLOCK_BYTES // each))
+        in_cell = self.limit / CELLS_PER_BLOCK if block_points is None else block_points
+        n_pivots = 1 if n_points <= self.limit and block_points is None else max(1, min(
+            math.ceil(n_points / in_cell), MAX_PIVOTS))
+        self.pivots = None
+        if n_pivots == 1:
+            self.limit = max(self.limit, n_points)
+            placed = points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
+            self.blocks = _blocks(placed, _cells(placed), self.limit)
+        else:
+            self.tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
+            self.pivots = _numbered(points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select(
+                "x", "c").collect(), float(penalty))
+            placed = write_scratch(_assign_cells(points, self.pivots, self.penalty2), "placed")
+            self.cells = write_scratch(_cells(placed), "cells")
+            self.blocks = write_scratch(_blocks(placed, self.cells, self.limit), "blocks")
+            drop_scratch(placed)
+
+    def near(self) -> DataFrame:
+        """The k + 1 nearest rows of each asking point, from several blocks: ``(g, vid, d2, key, lab)``."""
+        if self.pivots is None:
+            asking = self.blocks.filter("asks")
+            return _search(asking, self.blocks, asking.select("g", "z", F.col("z").alias("mz")), self.k, self.penalty2)
+        return self.near_within(write_scratch(_bounded(self.blocks, self.k, self.penalty2, self.tasks), "queries"))
+
+    def near_within(self, queries: DataFrame) -> DataFrame:
+        """As ``near``, for blocks of packed points that know a bound."""
+        if self.pivots is None:
+            return _search(queries, self.blocks, queries.select("g", "z", F.col("z").alias("mz")), self.k, self.penalty2)
+        open_ = write_scratch(_open_cells(queries, self.cells, self.pivots, self.penalty2), "open")
+        held = self.cells.select("g", "cell", F.explode(F.sequence(
+            F.floor(F.col("start") / self.limit).cast("int"),
+            F.floor((F.col("start") + F.col("n")) / self.limit).cast("int"))).alias("mz"))
+        # a query's own cell is always open, so this search finds again what gave the bound
+        pairs = open_.join(held, ["g", "cell"]).select("g", "z", "mz").distinct()
+        return _search(queries, self.blocks, pairs, self.k, self.penalty2, self.tasks, (QUERY_BLOCKS, MEMBER_BLOCKS))
+
+    def asked(self, bounds: DataFrame) -> DataFrame:
+        """Blocks of packed points for ``near_within``: the vectors of ``bounds``, ``(g, vid, bound)``, that
+        a single row has."""
+        each = self.blocks.select("g", "z", F.inline("points")).filter(F.size("members") == 1).drop("ask", "members")
+        return each.join(bounds, ["g", "vid"]).groupBy("g", "z").agg(
+            F.collect_list(F.struct("vid", "x", "c", "cell", "bound")).alias("points"))
+
+
+def neighbor_lists(df: DataFrame, spec: FeatureSpec, k: int, within: str | None = None, penalty: float = 0.0,
+                   query_classes: list | None = None, block_points: int | None = None) -> DataFrame:
+    """Exact k nearest other rows of every row, nearest first: ``(__key, __lab, list of (d2, key, lab))``.
+
+    They are looked for among the rows of equal value in the column ``within``.
+    ``query_classes`` limits for which rows neighbours are searched, not among which.
+    """
+    if k < 1:
+        raise ValueError("k must be at least 1")
+    spec.require(df)
+    rows = df.select(*dict.fromkeys([*spec.columns, *([within] if within else [])]))
+    if within == spec.label and query_classes is not None:
+        rows = rows.filter(F.col(spec.label).isin(query_classes))
+    askers = query_classes if within != spec.label else None
+    index = PointIndex(rows, spec, k, within, askers, penalty, block_points)
+    return _expand(rows, index.points, index.near(), spec, k, within, askers)
+
+
 def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
         penalty: float = 0.0, query_classes: list | None = None,
         block_points: int | None = None) -> DataFrame:
@@ -428,62 +510,30 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     which. A row with fewer than k others gets as many as there are.
     ``block_points`` is the mean number of points in a cell.
     """
-    if k < 1:
-        raise ValueError("k must be at least 1")
-    rows = spec.require(df)
-    if within_class and query_classes is not None:
-        rows = rows.filter(F.col(spec.label).isin(query_classes))
-    penalty2 = float(penalty) ** 2
-    askers = query_classes if not within_class else None
-    points = write_scratch(points_of(rows, spec, k, within_class, askers), "points")
-    broken = (
-        F.exists("x", lambda v: v.isNull()) | F.exists("c", lambda v: v.isNull())
-        | F.exists("members", lambda m: m["key"].isNull() | m["lab"].isNull()) | F.col("g").isNull()
+    every = neighbor_lists(df, spec, k, spec.label if within_class else None, penalty, query_classes, block_points)
+    return (
+        every.select("__key", F.posexplode("list").alias("__p", "e"))
+        .select(
+            F.col("__key").alias(spec.key), (F.col("__p") + 1).alias("rank"),
+            F.col("e.key").alias("neighbor"), F.col("e.lab").alias("neighbor_label"),
+            F.sqrt("e.d2").alias("distance"),
+        )
     )
-    n_points, n_broken = points.agg(F.count(F.lit(1)), F.count_if(broken)).first()
-    if n_broken:
-        raise ValueError("null value in a feature, label or key; fill it before resampling")
-    each = 8 * (len(spec.continuous) + len(spec.categorical) + 2)
-    limit = max(256, min(BLOCK_POINTS, BLOCK_BYTES // each))
-    in_cell = limit / CELLS_PER_BLOCK if block_points is None else block_points
-    n_pivots = 1 if n_points <= limit and block_points is None else max(1, min(
-        math.ceil(n_points / in_cell), MAX_PIVOTS))
-    if n_pivots == 1:
-        limit = max(limit, n_points)
-        placed = points.withColumn("cell", F.lit(0)).withColumn("dist", F.lit(0.0))
-        blocks = _blocks(placed, _cells(placed), limit)
-        asking = blocks.filter("asks")
-        near = _search(asking, blocks, asking.select("g", "z", F.col("z").alias("mz")), k, penalty2)
-    else:
-        tasks = TASKS_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism
-        pivots = _numbered(points.orderBy(uniform("vid", "pivot"), "g", "vid").limit(n_pivots).select(
-            "x", "c").collect(), float(penalty))
-        placed = write_scratch(_assign_cells(points, pivots, penalty2), "placed")
-        cells = write_scratch(_cells(placed), "cells")
-        blocks = write_scratch(_blocks(placed, cells, limit), "blocks")
-        drop_scratch(placed)
-        queries = write_scratch(_bounded(blocks, k, penalty2, tasks), "queries")
-        open_ = write_scratch(_open_cells(queries, cells, pivots, penalty2), "open")
-        held = cells.select("g", "cell", F.explode(F.sequence(
-            F.floor(F.col("start") / limit).cast("int"),
-            F.floor((F.col("start") + F.col("n")) / limit).cast("int"))).alias("mz"))
-        # a query's own cell is always open, so this search finds again what gave the bound
-        pairs = open_.join(held, ["g", "cell"]).select("g", "z", "mz").distinct()
-        near = _search(queries, blocks, pairs, k, penalty2, tasks, (QUERY_BLOCKS, MEMBER_BLOCKS))
-    return _expand(rows, points, near, spec, k, within_class, query_classes)
 
 
 def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSpec, k: int,
-            within_class: bool, query_classes: list | None) -> DataFrame:
-    """From the nearest rows of each point to those of each row."""
+            within: str | None, askers: list | None) -> DataFrame:
+    """From the nearest rows of each point to those of each asking row."""
     order = Window.partitionBy("g", "vid").orderBy("d2", "key")
     best = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
     lists = best.groupBy("g", "vid").agg(
         F.sort_array(F.collect_list(F.struct("d2", "key", "lab"))).alias("list"))
     others = F.slice(F.filter("list", lambda e: e["key"] != F.col("__key")), 1, k)
-    known = points.select("g", "vid", F.explode("members").alias("m")).select(
+    known = points.filter("ask").select("g", "vid", F.explode("members").alias("m")).select(
         "g", "vid", F.col("m.key").alias("__key"), F.col("m.lab").alias("__lab"))
-    group, x, c = _point_columns(spec, within_class)
+    if askers is not None:
+        rows, known = (t.filter(F.col(c).isin(askers)) for t, c in ((rows, spec.label), (known, "__lab")))
+    group, x, c = _point_columns(spec, within)
     # further copies: their first k fellow copies are their neighbours, at distance 0. One vector
     # may have very many of them, so its rows are spread over slices.
     copies = rows.groupBy(group.alias("g"), x.alias("x"), c.alias("c")).agg(
@@ -499,18 +549,8 @@ def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSp
         full.select("g", "x", "c", "slices").distinct(), ["g", "x", "c"]).withColumn(
         "s", F.floor(uniform("__key", "slice") * F.col("slices")).cast("int")).drop("slices")
     further = sliced.join(full.drop("slices"), ["g", "x", "c", "s"]).filter(F.col("__key") > F.col("__last"))
-    every = known.join(lists, ["g", "vid"]).select("__key", "__lab", others.alias("list")).unionByName(
+    return known.join(lists, ["g", "vid"]).select("__key", "__lab", others.alias("list")).unionByName(
         further.select("__key", "__lab", "list"))
-    if not within_class and query_classes is not None:
-        every = every.filter(F.col("__lab").isin(query_classes))
-    return (
-        every.select("__key", F.posexplode("list").alias("__p", "e"))
-        .select(
-            F.col("__key").alias(spec.key), (F.col("__p") + 1).alias("rank"),
-            F.col("e.key").alias("neighbor"), F.col("e.lab").alias("neighbor_label"),
-            F.sqrt("e.d2").alias("distance"),
-        )
-    )
 
 
 def median_sd(df: DataFrame, spec: FeatureSpec, classes: list | None = None) -> float:
@@ -534,3 +574,39 @@ def mutual_links(nearest: DataFrame, spec: FeatureSpec) -> DataFrame:
         (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b"))
     ).select("a", "b", "label_a", "label_b")
 
+
+
+def links_within(df: DataFrame, spec: FeatureSpec, within: str, askers: list, penalty: float = 0.0,
+                 block_points: int | None = None) -> DataFrame:
+    """Tomek links among the rows of equal value in the column ``within``: ``(a, b, label_a, label_b)``, a < b.
+
+    ``askers`` are all classes but at most one of each group, best its largest: a
+    link has an end of another class than that. A row with copies has one of them
+    for its nearest, so the copies with the two smallest keys may be a link. Other
+    rows of asking classes look for their nearest; a row of the class left out
+    looks only when it was named, and no further than the row that named it.
+    """
+    spec.require(df)
+    index = PointIndex(df.select(within, *spec.columns), spec, 1, within, askers, penalty, block_points, lone=True)
+    twin = F.col("members")
+    pairs = index.points.filter(F.size("members") > 1).select(
+        twin[0]["key"].alias("a"), twin[1]["key"].alias("b"),
+        twin[0]["lab"].alias("label_a"), twin[1]["lab"].alias("label_b")).filter(
+        (F.col("a") < F.col("b")) & (F.col("label_a") != F.col("label_b")))
+
+    def nearest(near: DataFrame) -> DataFrame:
+        """Own label, nearest row and its distance of each lone row."""
+        other = F.col("key") != F.col("vid")
+        return near.groupBy("g", "vid").agg(
+            F.max(F.when(~other, F.col("lab"))).alias("own"),
+            F.min(F.when(other, F.struct("d2", "key", "lab"))).alias("n")).filter(F.col("n").isNotNull()).select(
+            "g", "vid", "own", "n.*")
+
+    first = write_scratch(nearest(index.near()).filter(F.col("own") != F.col("lab")), "nearest")
+    # room for the rounding of the root
+    bounds = first.filter(~F.col("lab").isin(askers)).groupBy("g", F.col("key").alias("vid")).agg(
+        (F.sqrt(F.min("d2")) * (1 + SLACK)).alias("bound"))
+    second = nearest(index.near_within(write_scratch(index.asked(bounds), "queries")))
+    both = first.unionByName(second).select(
+        F.col("vid").alias(spec.key), F.col("key").alias("neighbor"), F.col("lab").alias("neighbor_label"))
+    return mutual_links(write_scratch(both, "nearest"), spec).unionByName(pairs)

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from evenkeel.functions.draws import uniform
-from evenkeel.operators.neighbors import knn, median_sd, mutual_links
+from evenkeel.operators.neighbors import knn, links_within, median_sd, neighbor_lists, tomek_links
 from evenkeel.operators.resample import (
     append_synthetic,
     draw_table,
@@ -31,42 +31,60 @@ def _growing(plan: DataFrame) -> list:
     return [c for c, *_ in rows]
 
 
+def _draws(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int, seed: int) -> tuple[DataFrame, DataFrame]:
+    """Each new row's place of its base in the class, rank of the neighbour and gap; and the rows by place."""
+    label = spec.label
+    base = shuffled_index(
+        df.filter(F.col(label).isin(_growing(plan))).select(label, F.col(spec.key).alias("base")),
+        label, "base", seed)
+    key = [label, "draw_id"]
+    slots = F.least(F.lit(k).cast("bigint"), F.col("class_n") - 1)
+    slot = (F.floor(uniform(key, f"slot{seed}") * slots) + 1).cast("int")
+    return pick_base(draw_table(df.sparkSession, plan), label, seed).select(
+        *key, "__idx", slot.alias("rank"), uniform(key, f"gap{seed}").alias("gap")), base
+
+
 def draw_pairs(df: DataFrame, spec: FeatureSpec, plan: DataFrame, neighbors: DataFrame, k: int,
                seed: int = 0) -> DataFrame:
     """Base row, neighbour and gap of each new row: ``(label, draw_id, base, neighbor, gap)``.
 
     Base rows are picked evenly in the class, then one of the row's neighbours.
     """
-    label = spec.label
-    classes = _growing(plan)
-    base = shuffled_index(
-        df.filter(F.col(label).isin(classes)).select(label, F.col(spec.key).alias("base")),
-        label, "base", seed)
-    draws = pick_base(draw_table(df.sparkSession, plan), label, seed).join(base, [label, "__idx"])
-    slots = F.least(F.lit(k).cast("bigint"), F.col("class_n") - 1)
-    slot = (F.floor(uniform([label, "draw_id"], f"slot{seed}") * slots) + 1).cast("int")
-    return _with_partner(
-        draws.select(label, "draw_id", "base", slot.alias("rank")),
-        spec, neighbors, [label, "draw_id"], seed)
+    draws, base = _draws(df, spec, plan, k, seed)
+    near = neighbors.select(F.col(spec.key).alias("base"), "rank", "neighbor")
+    return draws.join(base, [spec.label, "__idx"]).join(near, ["base", "rank"]).select(
+        spec.label, "draw_id", "base", "neighbor", "gap")
 
 
-def _with_partner(draws: DataFrame, spec: FeatureSpec, neighbors: DataFrame, draw_key: list,
-                  seed: int) -> DataFrame:
-    near = neighbors.select(F.col(spec.key).alias("base"), "rank", "neighbor")
-    return draws.join(near, ["base", "rank"]).select(
-        spec.label, "draw_id", "base", "neighbor", uniform(draw_key, f"gap{seed}").alias("gap"))
+def _with_ends(df: DataFrame, spec: FeatureSpec, near: DataFrame, votes: Sequence[str] = ()) -> DataFrame:
+    """Each base row with its numbers, those of its neighbours and the most frequent level among these.
+
+    New rows are made of this table alone, so a base row meets its neighbours
+    once, however many new rows it gets.
+    """
+    own = df.selectExpr(f"`{spec.key}` as base", *[f"`{c}` as `a_{c}`" for c in spec.continuous])
+    other = df.selectExpr(f"`{spec.key}` as neighbor", *[f"`{c}` as `b_{c}`" for c in spec.continuous],
+                          *[f"`{c}`" for c in votes])
+    ends = F.collect_list(F.struct("rank", "neighbor", *[f"b_{c}" for c in spec.continuous]))
+    return near.select(F.col(spec.key).alias("base"), "rank", "neighbor").join(other, "neighbor").groupBy("base").agg(
+        ends.alias("__ends"), *[F.mode(c, True).alias(c) for c in votes]).join(own, "base")
+
+
+def _between(draws: DataFrame, spec: FeatureSpec, votes: Sequence[str] = ()) -> DataFrame:
+    """base + gap * (neighbour - base) on the continuous columns, for draws that hold ``_with_ends``."""
+    chosen = F.filter("__ends", lambda e: e["rank"] == F.col("rank"))
+    return draws.withColumn("__end", F.explode(chosen)).selectExpr(
+        f"`{spec.label}`", "draw_id", "base", "__end.neighbor as neighbor",
+        *[f"`a_{c}` + gap * (__end.`b_{c}` - `a_{c}`) as `{c}`" for c in spec.continuous], *[f"`{c}`" for c in votes])
 
 
-def _between(df: DataFrame, spec: FeatureSpec, pairs: DataFrame) -> DataFrame:
-    """base + gap * (neighbour - base) on the continuous columns; keeps draw_id and base."""
-    ends = [(spec.key, end, mark) for end, mark in (("base", "a_"), ("neighbor", "b_"))]
-    a, b = (
-        df.selectExpr(f"`{key}` as {end}", *[f"`{c}` as `{mark}{c}`" for c in spec.continuous])
-        for key, end, mark in ends
-    )
-    return pairs.join(a, "base").join(b, "neighbor").selectExpr(
-        f"`{spec.label}`", "draw_id", "base", "neighbor",
-        *[f"`a_{c}` + gap * (`b_{c}` - `a_{c}`) as `{c}`" for c in spec.continuous])
+def _new_rows(df: DataFrame, spec: FeatureSpec, plan: DataFrame, near: DataFrame, k: int, seed: int,
+              votes: Sequence[str] = ()) -> DataFrame:
+    """The new rows of a plan; ``near`` holds the neighbours inside the growing classes."""
+    draws, base = _draws(df, spec, plan, k, seed)
+    growing = df.filter(F.col(spec.label).isin(_growing(plan)))
+    return _between(draws.join(base.join(_with_ends(growing, spec, near, votes), "base"), [spec.label, "__idx"]),
+                    spec, votes)
 
 
 def _finish(df: DataFrame, spec: FeatureSpec, new: DataFrame, only_new: bool) -> DataFrame:
@@ -87,8 +105,7 @@ def smote(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: i
         raise ValueError("smote takes continuous features; use smote_nc for mixed ones")
     classes = _growing(plan)
     near = knn(df, spec, k, query_classes=classes, **options)
-    pairs = draw_pairs(df, spec, plan, near, k, seed)
-    return _finish(df, spec, _between(df, spec, pairs), only_new)
+    return _finish(df, spec, _new_rows(df, spec, plan, near, k, seed), only_new)
 
 
 def smote_nc(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: int = 0,
@@ -103,12 +120,8 @@ def smote_nc(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed
         raise ValueError("smote_nc needs continuous and categorical features")
     classes = _growing(plan)
     penalty = median_sd(df, spec, classes) if penalty is None else penalty
-    near = write_scratch(knn(df, spec, k, penalty=penalty, query_classes=classes, **options), "near")
-    pairs = draw_pairs(df, spec, plan, near, k, seed)
-    cats = df.select(F.col(spec.key).alias("neighbor"), *spec.categorical)
-    votes = near.select(F.col(spec.key).alias("base"), "neighbor").join(cats, "neighbor").groupBy(
-        "base").agg(*[F.mode(c, True).alias(c) for c in spec.categorical])
-    return _finish(df, spec, _between(df, spec, pairs).join(votes, "base"), only_new)
+    near = knn(df, spec, k, penalty=penalty, query_classes=classes, **options)
+    return _finish(df, spec, _new_rows(df, spec, plan, near, k, seed, spec.categorical), only_new)
 
 
 def adasyn_shares(df: DataFrame, spec: FeatureSpec, minority, n_new: int, k: int = 5,
@@ -122,23 +135,17 @@ def adasyn_shares(df: DataFrame, spec: FeatureSpec, minority, n_new: int, k: int
         spec.label)
 
 
-def _any_class_neighbors(df: DataFrame, spec: FeatureSpec, k: int, within: str | None,
-                         classes: list | None = None, **options) -> DataFrame:
-    """Neighbours of all classes; with ``within`` only among the rows of equal value there."""
-    if within is None:
-        return knn(df, spec, k, within_class=False, query_classes=classes, **options)
-    near = knn(df, replace(spec, label=within), k, **options).drop("neighbor_label")
-    return near.join(df.select(F.col(spec.key).alias("neighbor"), F.col(spec.label).alias("neighbor_label")),
-                     "neighbor")
-
-
 def _other_class_counts(df: DataFrame, spec: FeatureSpec, classes: list, k: int, within: str | None = None,
                         **options) -> DataFrame:
-    """Neighbours of another class for each row of the given classes, from one search."""
-    near = _any_class_neighbors(df, spec, k, within, classes, **options)
-    own = df.filter(F.col(spec.label).isin(classes)).select(spec.key, spec.label)
-    return write_scratch(near.join(own, spec.key).groupBy(spec.key, spec.label).agg(
-        F.count_if(F.col("neighbor_label") != F.col(spec.label)).alias("other")), "others")
+    """Neighbours of another class for each row of the given classes, from one search.
+
+    With ``within`` they are looked for among the rows of equal value there only.
+    """
+    lists = neighbor_lists(df, spec, k, within, query_classes=classes, **options).filter(F.size("list") > 0)
+    other = F.size(F.filter("list", lambda e: e["lab"] != F.col("__lab")))
+    # a key that comes twice meets its own copies
+    return write_scratch(lists.groupBy(F.col("__key").alias(spec.key), F.col("__lab").alias(spec.label)).agg(
+        (F.sum(other) * F.count(F.lit(1))).alias("other")), "others")
 
 
 def _shares(others: DataFrame, spec: FeatureSpec, wanted: dict) -> DataFrame:
@@ -175,16 +182,16 @@ def adasyn(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed:
         shares = _shares(others, spec, {c: n for c, (_, n) in sizes.items()}).filter(F.col("n_new") > 0)
         near = knn(df, spec, k, query_classes=classes, **options)
         held = others.groupBy(spec.label).agg(F.count(F.lit(1)).alias("class_n"))
+        ends = _with_ends(df.filter(F.col(spec.label).isin(classes)), spec, near)
         block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_new") - 1) / DRAWS_PER_BLOCK)))
         start = F.col("block") * DRAWS_PER_BLOCK
-        draws = shares.join(held, spec.label).select(
-            spec.label, "class_n", F.col(spec.key).alias("base"), "n_new", block.alias("block")).select(
-            spec.label, "class_n", "base", F.explode(F.sequence(
-                start, F.least(start + DRAWS_PER_BLOCK, F.col("n_new")) - 1)).alias("draw_id"))
+        bases = shares.join(held, spec.label).select(
+            spec.label, "class_n", F.col(spec.key).alias("base"), "n_new").join(ends, "base").withColumn("block", block)
+        draws = bases.withColumn("draw_id", F.explode(F.sequence(
+            start, F.least(start + DRAWS_PER_BLOCK, F.col("n_new")) - 1)))
         slots = F.least(F.lit(k).cast("bigint"), F.col("class_n") - 1)
         slot = (F.floor(uniform(["base", "draw_id"], f"slot{seed}") * slots) + 1).cast("int")
-        pairs = _with_partner(draws.withColumn("rank", slot), spec, near, ["base", "draw_id"], seed)
-        made = _between(df, spec, pairs)
+        made = _between(draws.withColumns({"rank": slot, "gap": uniform(["base", "draw_id"], f"gap{seed}")}), spec)
     else:
         made = df.limit(0).select(
             spec.label, F.lit(0).cast("bigint").alias("draw_id"), F.col(spec.key).alias("base"),
@@ -206,12 +213,12 @@ def _adasyn_on_codes(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int,
 
 
 def clean_tomek(df: DataFrame, spec: FeatureSpec, minority=None, within: str | None = None,
-                penalty: float | None = None, **options) -> DataFrame:
+                penalty: float | None = None, asking: list | None = None, **options) -> DataFrame:
     """Drop the rows of every Tomek link that are not of the smallest class.
 
     Mixed features use the category distance of ``smote_nc``. ``within`` names a
     column whose values are tables of their own; ``minority`` then lists the
-    class to keep in each of them.
+    class to keep and ``asking`` all classes but the largest of each of them.
     """
     if minority is None:
         counts = class_counts(df, spec.label)
@@ -219,11 +226,10 @@ def clean_tomek(df: DataFrame, spec: FeatureSpec, minority=None, within: str | N
     kept = minority if isinstance(minority, list) else [minority]
     if penalty is None:
         penalty = median_sd(df, spec, kept) if spec.categorical else 0.0
-    near = _any_class_neighbors(df, spec, 1, within, penalty=penalty, **options)
-    links = mutual_links(near, spec)
+    links = tomek_links(df, spec, penalty, **options) if within is None else links_within(
+        df, spec, within, asking, penalty, **options)
     ends = F.array(F.struct(F.col("a").alias("key"), F.col("label_a").alias("lab")),
                    F.struct(F.col("b").alias("key"), F.col("label_b").alias("lab")))
     spent = links.select(F.explode(ends).alias("e")).filter(
         ~F.col("e.lab").isin(kept)).select(F.col("e.key").alias(spec.key))
     return df.join(spent, spec.key, "left_anti").select(*df.columns)
-

@@ -40,8 +40,8 @@ SET, CLASS, ROW = "stack_set", "stack_class", "stack_row"
 #: Largest number of sums that all models of a fit may have together; the driver holds them.
 MOST_SUMS = 20_000_000
 STEPS, HALVINGS, TOLERANCE = 100, 30, 1e-10
-#: Rows of the training table for each task of a fit.
-TASK_ROWS = 100_000
+#: Rows in a packed block, in all blocks that a task has begun, and rows whose sums are added at once.
+BLOCK_ROWS, HELD_ROWS, SUM_ROWS = 32_768, 1_000_000, 4096
 
 
 # ---- many logistic regressions -----------------------------------------------------
@@ -53,33 +53,91 @@ def _upper(size: int) -> tuple[np.ndarray, np.ndarray]:
 def _sums(x: np.ndarray, y: np.ndarray, theta: np.ndarray) -> np.ndarray:
     """Rows, positives, loss, gradient and upper half of the Hessian over some rows."""
     z = x @ theta
-    chance = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
-    hessian = (x * (chance * (1 - chance))[:, None]).T @ x
-    loss = (np.logaddexp(0, z) - y * z).sum()
+    least = np.exp(-np.abs(z))
+    chance = np.where(z >= 0, 1.0, least) / (1 + least)
+    hessian = (x * (least / (1 + least) ** 2)[:, None]).T @ x
+    loss = (np.maximum(z, 0.0) + np.log1p(least)).sum() - y @ z
     return np.concatenate([[len(y), y.sum(), loss], x.T @ (chance - y), hessian[_upper(len(theta))]])
 
 
-def _added(table: DataFrame, thetas: dict[int, np.ndarray], sets: dict[int, list[int]]) -> dict[int, np.ndarray]:
-    """The sums of every model over the rows of its set, from one job."""
+def _blocks(table: DataFrame, numbers: Sequence[str] = (), codes: Sequence[str] = ()) -> DataFrame:
+    """Rows of a set packed into blocks: ``(set, n, positives, y, x, codes)``, the last three as bytes.
+
+    A row's numbers are the array ``x``, or the columns ``numbers``; ``codes`` are places of levels. A
+    task holds a bounded number of rows before it gives them out.
+    """
+    numbers, codes = list(numbers), list(codes)
+
+    def block(s: int, parts: list) -> pa.RecordBatch:
+        y, x, c = (np.concatenate(side) for side in zip(*parts, strict=True))
+        return pa.RecordBatch.from_arrays(
+            [pa.array([s], pa.int32()), pa.array([len(y)], pa.int64()), pa.array([int(y.sum())], pa.int64()),
+             *(pa.array([v.tobytes()], pa.binary()) for v in (y.astype(np.uint8), x, c))],
+            names=[SET, "n", "positives", "y", "x", "codes"])
+
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, np.ndarray] = {}
+        held: dict[int, list] = {}
+        sizes: dict[int, int] = {}
         for batch in batches:
-            if not batch.num_rows:
+            n = batch.num_rows
+            if not n:
                 continue
             of, y = batch.column(SET).to_numpy(), batch.column("y").to_numpy()
-            x = batch.column("x").flatten().to_numpy().reshape(batch.num_rows, -1)
-            x = np.hstack([x, np.ones((len(x), 1))])
-            for s in np.unique(of).tolist():
-                mine = of == s
-                xs, ys = x[mine], y[mine]
-                for m in sets.get(s, ()):
-                    held[m] = held.get(m, 0.0) + _sums(xs, ys, thetas[m])
+            x = np.column_stack([batch.column(c).to_numpy() for c in numbers]) if numbers else (
+                np.zeros((n, 0)) if codes else batch.column("x").flatten().to_numpy().reshape(n, -1))
+            c = np.column_stack([batch.column(v).to_numpy() for v in codes]).astype(np.int32) if codes else np.zeros(
+                (n, 0), np.int32)
+            order = np.argsort(of, kind="stable")
+            cuts = np.flatnonzero(np.diff(of[order])) + 1
+            for rows in np.split(order, cuts):
+                s = int(of[rows[0]])
+                held.setdefault(s, []).append((y[rows], x[rows], c[rows]))
+                sizes[s] = sizes.get(s, 0) + len(rows)
+                if sizes[s] >= BLOCK_ROWS:
+                    yield block(s, held.pop(s))
+                    sizes.pop(s)
+            if sum(sizes.values()) >= HELD_ROWS:
+                for s, parts in held.items():
+                    yield block(s, parts)
+                held, sizes = {}, {}
+        for s, parts in held.items():
+            yield block(s, parts)
+
+    return table.mapInArrow(work, f"{SET} int, n bigint, positives bigint, y binary, x binary, codes binary")
+
+
+def _unpacked(n: int, y: bytes, x: bytes, codes: bytes, levels: Sequence[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of a block's rows, 0 or 1 for each level, a constant; and their ``y``."""
+    numbers = np.frombuffer(x).reshape(n, -1)
+    at = np.frombuffer(codes, np.int32).reshape(n, -1)
+    p = numbers.shape[1]
+    out = np.zeros((n, p + sum(levels) + 1))
+    out[:, :p], out[:, -1] = numbers, 1.0
+    for j, size in enumerate(levels):
+        known = np.flatnonzero(at[:, j] >= 0)
+        out[known, p + at[known, j]] = 1.0
+        p += size
+    return out, np.frombuffer(y, np.uint8).astype(float)
+
+
+def _added(blocks: DataFrame, thetas: dict[int, np.ndarray], sets: dict[int, list[int]],
+           levels: Sequence[int] = ()) -> dict[int, np.ndarray]:
+    """The sums of every model over the rows of its set, from one job."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for s, n, *packed in zip(*(batch.column(c) for c in (SET, "n", "y", "x", "codes")), strict=True):
+                x, y = _unpacked(n.as_py(), *(v.as_buffer() for v in packed), levels)
+                for m in sets.get(s.as_py(), ()):
+                    for start in range(0, len(y), SUM_ROWS):
+                        part = slice(start, start + SUM_ROWS)
+                        held[m] = held.get(m, 0.0) + _sums(x[part], y[part], thetas[m])
         if held:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(list(held), pa.int32()), pa.array([v.tolist() for v in held.values()], pa.list_(pa.float64()))],
                 names=["model", "s"])
 
-    parts = table.mapInArrow(work, "model int, s array<double>").select("model", F.posexplode("s").alias("at", "v"))
+    parts = blocks.mapInArrow(work, "model int, s array<double>").select("model", F.posexplode("s").alias("at", "v"))
     got = parts.groupBy("model", "at").agg(F.sum("v").alias("v")).toArrow()
     model, at, v = (got.column(c).to_numpy() for c in ("model", "at", "v"))
     out = {m: np.zeros(len(_upper(len(t))[0]) + len(t) + 3) for m, t in thetas.items()}
@@ -94,10 +152,21 @@ def fit_logistic(table: DataFrame, width: int, penalties: dict[int, Sequence[flo
 
     ``table`` has the set number, ``y`` (0 or 1) and ``x``, ``width`` numbers.
     """
+    _check_size(width, penalties)
+    return _fit_blocks(write_scratch(_blocks(table.select(SET, "y", "x")), "stacked"), width, penalties)
+
+
+def _check_size(width: int, penalties: dict[int, Sequence[float]]) -> None:
+    models = sum(map(len, penalties.values()))
+    if models * (width + 1) ** 2 > MOST_SUMS:
+        raise ValueError(f"{models} models of {width} features have too many sums for one fit")
+
+
+def _fit_blocks(blocks: DataFrame, width: int, penalties: dict[int, Sequence[float]],
+                levels: Sequence[int] = ()) -> dict[tuple[int, int], np.ndarray]:
+    """``fit_logistic`` over packed rows, whose codes stand for ``levels`` of each category."""
     names = [(s, i) for s, cs in penalties.items() for i in range(len(cs))]
     size = width + 1
-    if len(names) * size * size > MOST_SUMS:
-        raise ValueError(f"{len(names)} models of {width} features have too many sums for one fit")
     c = np.array([float(penalties[s][i]) for s, i in names])
     weight = np.append(np.ones(width), 0.0)
     theta = {m: np.zeros(size) for m in range(len(names))}
@@ -108,8 +177,8 @@ def fit_logistic(table: DataFrame, width: int, penalties: dict[int, Sequence[flo
         sets: dict[int, list[int]] = {}
         for m in sorted(open_):
             sets.setdefault(names[m][0], []).append(m)
-        found = _added(table.filter(F.col(SET).isin(list(sets))) if len(sets) < len(penalties) else table,
-                       {m: theta[m] for m in open_}, sets)
+        found = _added(blocks.filter(F.col(SET).isin(list(sets))) if len(sets) < len(penalties) else blocks,
+                       {m: theta[m] for m in open_}, sets, levels)
         for m in sorted(open_):
             s = found[m]
             n, positives = s[0], s[1]
@@ -193,6 +262,10 @@ class SetStack:
         """The smallest class of each set."""
         return [min(c, key=lambda x: (c[x], x)) for c in self.counts.values() if c]
 
+    def asking(self) -> list[str]:
+        """All classes but the largest of each set."""
+        return [c for counts in self.counts.values() for c in sorted(counts, key=lambda x: (counts[x], x))[:-1]]
+
     def measured(self, classes: list[str]) -> tuple[DataFrame, DataFrame]:
         """Rows in which a differing category costs 1, and what each set was divided by.
 
@@ -288,7 +361,7 @@ def cleaned(stack: SetStack, rows: DataFrame) -> DataFrame:
         held.__dict__.update(stack.__dict__, rows=keyed)
         kept, _ = held.measured(stack.smallest())
         penalty = 1.0
-    left = synthetic.clean_tomek(kept, stack.inner, stack.smallest(), within=SET, penalty=penalty)
+    left = synthetic.clean_tomek(kept, stack.inner, stack.smallest(), within=SET, penalty=penalty, asking=stack.asking())
     return keyed.join(left.select(ROW), ROW, "left_semi")
 
 
@@ -336,8 +409,7 @@ class StackedLogistic:
         for rows in tables:
             self.parts.append(rows.select(
                 (_set_of(CLASS) + len(self.parts) * self.step).alias(SET),
-                F.when(_label_of().cast("double") == 1, 1.0).otherwise(0.0).alias("y"),
-                self.encoded(rows).alias("x")))
+                F.when(_label_of().cast("double") == 1, 1.0).otherwise(0.0).alias("y"), *self.spec.features))
         return self
 
     def fit(self, penalties: Sequence[float]) -> StackedLogistic:
@@ -345,17 +417,25 @@ class StackedLogistic:
         table = self.parts[0]
         for p in self.parts[1:]:
             table = table.unionByName(p)
-        table = write_scratch(table, "stacked")
-        n = table.count()
-        spread = max(table.sparkSession.sparkContext.defaultParallelism, -(-n // TASK_ROWS))
-        # rows of a set lie together inside a task, and every set is spread over all tasks
-        self.table = write_scratch(table.repartition(spread).sortWithinPartitions(SET), "stacked")
-        sizes = {r[SET]: (r["n"], r["share"]) for r in self.table.groupBy(SET).agg(
-            F.count(F.lit(1)).alias("n"), F.avg("y").alias("share")).collect()}
+        numbers = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(self.spec.continuous)]
+        codes = [self.code(c).alias(f"__c{i}") for i, c in enumerate(self.levels)]
+        slim = table.select(SET, "y", *(numbers + codes or [F.array().cast("array<double>").alias("x")]))
+        blocks = write_scratch(_blocks(slim, [f"__x{i}" for i in range(len(numbers))],
+                                       [f"__c{i}" for i in range(len(codes))]), "stacked")
+        self.table = table.select(SET, "y", self.encoded(table).alias("x"))
+        sizes = {r[SET]: (r["n"], r["positives"] / r["n"]) for r in blocks.groupBy(SET).agg(
+            F.sum("n").alias("n"), F.sum("positives").alias("positives")).collect()}
         self.sizes, self.penalties = sizes, list(penalties)
-        self.thetas = fit_logistic(self.table, self.width, {s: self.penalties for s in sorted(sizes)})
+        wanted = {s: self.penalties for s in sorted(sizes)}
+        _check_size(self.width, wanted)
+        self.thetas = _fit_blocks(blocks, self.width, wanted, [len(v) for v in self.levels.values()])
         return self
 
+    def code(self, c: str) -> Column:
+        """Place of a category's level, -1 without a level."""
+        levels = F.array(*[F.lit(v) for v in self.levels[c]]).cast("array<string>")
+        return (F.coalesce(F.array_position(levels, F.col(c).cast("string")), F.lit(0)) - 1).cast("int")
+
     def models(self) -> DataFrame:
         """``(set, resampling, candidate, theta, train_rows, train_share)``, one row for each fit."""
         rows = [(s % self.step, s // self.step, i, t.tolist(), *self.sizes[s]) for (s, i), t in self.thetas.items()]
