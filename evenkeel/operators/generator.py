@@ -169,15 +169,16 @@ class ConditionalGenerator:
         table = self._state_table(spark, wanted)
         keys = [label, "draw_id"]
         p = len(spec.features)
+        # the states come from the driver; joined by shuffle, all draws of a class would be one task
         if correlation:
             eps = F.array(*[normal(keys, f"gen{seed}.{i}") for i in range(p)])
-            rows = draws.select(label, "draw_id", "g", eps.alias("eps")).join(table, "g")
+            rows = draws.select(label, "draw_id", "g", eps.alias("eps")).join(F.broadcast(table), "g")
             z = F.transform("factor", lambda row: F.aggregate(
                 F.zip_with(row, F.col("eps"), lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x))
             rows = rows.withColumn("z", z).withColumn("u", F.transform("z", normal_cdf))
         else:
             u = F.array(*[uniform(keys, f"gen{seed}.{i}") for i in range(p)])
-            rows = draws.select(label, "draw_id", "g", u.alias("u")).join(table, "g")
+            rows = draws.select(label, "draw_id", "g", u.alias("u")).join(F.broadcast(table), "g")
         made = {}
         for i, c in enumerate(spec.continuous):
             made[c] = _read_grid(F.col("grids")[i], F.col("u")[i])

@@ -22,10 +22,11 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,20 +63,6 @@ NEAR_POINTS = 256
 SLACK = 1e-9
 
 
-def _stack(series: pd.Series) -> np.ndarray:
-    return np.stack(series.to_numpy()) if len(series) else np.zeros((0, 0))
-
-
-def _codes(left: pd.Series, right: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Category arrays of two tables as integers that agree between them."""
-    a, b = _stack(left), _stack(right)
-    if a.shape[1:] == (0,) or b.shape[1:] == (0,):
-        return np.zeros((len(left), 0), int), np.zeros((len(right), 0), int)
-    both = np.vstack([a, b])
-    out = np.column_stack([pd.factorize(both[:, j])[0] for j in range(both.shape[1])])
-    return out[: len(a)], out[len(a):]
-
-
 def _squares(x: np.ndarray) -> np.ndarray:
     """Squared length of each vector."""
     return np.einsum("ij,ij->i", x, x)
@@ -128,6 +115,13 @@ def _box_distances(q: np.ndarray, c: np.ndarray, boxes: tuple, penalty2: float)
     return out
 
 
+def _places(keys) -> np.ndarray:
+    """Place of each key in their order."""
+    order = np.empty(len(keys), np.int64)
+    order[pc.array_sort_indices(pa.array(keys)).to_numpy()] = np.arange(len(keys))
+    return order
+
+
 def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.ndarray):
     """Yield (query numbers, member numbers, squared distances): for each query its k nearest members,
     without those that lie beyond the query's bound.
@@ -135,8 +129,7 @@ def _nearest_in_block(xq, cq, xm, cm, keys, k: int, penalty2: float, bound2: np.
     Rough distances pick the members in reach; their distances are then worked
     out term by term, so equal vectors have equal distances, and ordered by key.
     """
-    order = np.empty(len(keys), np.int64)
-    order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+    order = _places(keys)
     scale = _squares(xm).max(initial=0.0)
     penalty = penalty2**0.5
     boxed = xm.shape[1] + cm.shape[1] <= LEAF_COLUMNS
@@ -195,58 +188,67 @@ def points_of(df: DataFrame, spec: FeatureSpec, k: int, within: str | None,
     a third of all rows share stays cheap.
     """
     group, x, c = _point_columns(spec, within)
+    # the hash comes first, so sorts rarely compare the arrays
+    vector = ["h", "g", "x", "c"]
     slim = df.select(
-        group.alias("g"), x.alias("x"), c.alias("c"),
+        F.xxhash64(group, x, c).alias("h"), group.alias("g"), x.alias("x"), c.alias("c"),
         F.col(spec.key).alias("key"), F.col(spec.label).alias("lab"),
     )
-    order = Window.partitionBy("g", "x", "c").orderBy("key")
+    order = Window.partitionBy(*vector).orderBy("key")
     firsts = slim.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1).select(
-        "g", "x", "c", F.struct("key", "lab").alias("member"), F.lit(askers is None).alias("ask"))
+        *vector, F.struct("key", "lab").alias("member"), F.lit(askers is None).alias("ask"))
     if askers is not None:
-        marks = slim.filter(F.col("lab").isin(askers)).select("g", "x", "c").distinct()
+        marks = slim.filter(F.col("lab").isin(askers)).select(*vector).distinct()
         none = F.lit(None).cast(firsts.schema["member"].dataType)
         firsts = firsts.unionByName(marks.select("*", none.alias("member"), F.lit(True).alias("ask")))
-    return firsts.groupBy("g", "x", "c").agg(
+    return firsts.groupBy(*vector).agg(
         F.min("member.key").alias("vid"), F.max("ask").alias("ask"),
         F.sort_array(F.collect_list("member")).alias("members"),
-    )
+    ).drop("h")
 
 
 def _numbered(pivots: list, penalty: float) -> list:
     """The pivots in an order that keeps near ones together."""
-    x = np.array([p["x"] for p in pivots], float).reshape(len(pivots), -1)
-    c = np.array([p["c"] for p in pivots], object).reshape(len(pivots), -1)
-    return [pivots[i] for rows in _leaves(x, _matched(c, c)[0], penalty, 1) for i in rows]
+    x, c = _pivot_features(pivots)
+    return [pivots[i] for rows in _leaves(x, _matched(c, c, len(x), len(x))[0], penalty, 1) for i in rows]
 
 
-def _assign_cells(points: DataFrame, pivots: list, penalty2: float) -> DataFrame:
-    spark = points.sparkSession
-    table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
-                          "c": [np.array(p["c"], dtype=object) for p in pivots]})
-    shared = spark.sparkContext.broadcast(table)
-
-    @F.pandas_udf("cell int, dist double")
-    def nearest_pivot(x: pd.Series, c: pd.Series) -> pd.DataFrame:
-        piv = shared.value
-        cq, cp = _codes(c, piv["c"])
-        xq, xp = _stack(x), _stack(piv["x"])
-        cell, dist = np.zeros(len(xq), "int32"), np.zeros(len(xq))
-        for start in range(0, len(xq), QUERY_STEP):
-            part = slice(start, start + QUERY_STEP)
-            d2 = _square_distances(xq[part], cq[part], xp, cp, penalty2)
-            cell[part] = d2.argmin(axis=1)
-            dist[part] = np.sqrt(d2.min(axis=1))
-        return pd.DataFrame({"cell": cell, "dist": dist})
-
-    return points.withColumn("__a", nearest_pivot("x", "c")).select(*points.columns, "__a.*")
+def _pivot_features(pivots: list) -> tuple[np.ndarray, pa.Array]:
+    return (np.array([p["x"] for p in pivots], float).reshape(len(pivots), -1),
+            pa.array([v for p in pivots for v in p["c"]], pa.string()))
 
 
-def _features(points: pa.StructArray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """Numbers, categories and keys of packed points."""
+def _assign_cells(points: DataFrame, pivots: list, penalty2: float) -> DataFrame:
+    shared = points.sparkSession.sparkContext.broadcast(_pivot_features(pivots))
+    schema = T.StructType([*points.schema.fields, T.StructField("cell", T.IntegerType()),
+                           T.StructField("dist", T.DoubleType())])
+
+    def nearest_pivot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        xp, cp = shared.value
+        for batch in batches:
+            n = batch.num_rows
+            if not n:
+                continue
+            x, c = (batch.column(f).flatten() for f in ("x", "c"))
+            xq = x.to_numpy(zero_copy_only=False).reshape(n, -1) if len(x) else np.zeros((n, 0))
+            codes_q, codes_p = _matched(c, cp, n, len(xp))
+            cell, dist = np.zeros(n, "int32"), np.zeros(n)
+            for start in range(0, n, QUERY_STEP):
+                part = slice(start, start + QUERY_STEP)
+                d2 = _square_distances(xq[part], codes_q[part], xp, codes_p, penalty2)
+                cell[part] = d2.argmin(axis=1)
+                dist[part] = np.sqrt(d2.min(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(dist)], names=schema.names)
+
+    return points.mapInArrow(nearest_pivot, schema)
+
+
+def _features(points: pa.StructArray) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Numbers, categories one row after another, and keys of packed points."""
     n = len(points)
-    x, c = (points.field(f).flatten().to_numpy(zero_copy_only=False) for f in ("x", "c"))
-    return (x.astype(float, copy=False).reshape(n, -1) if len(x) else np.zeros((n, 0)),
-            c.reshape(n, -1) if len(c) else np.zeros((n, 0), object), points.field("vid"))
+    x, c = (points.field(f).flatten() for f in ("x", "c"))
+    x = x.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(n, -1) if len(x) else np.zeros((n, 0))
+    return x, c, points.field("vid")
 
 
 def _packed(table: pa.Table) -> pa.StructArray:
@@ -254,12 +256,12 @@ def _packed(table: pa.Table) -> pa.StructArray:
     return chunks[0] if len(chunks) == 1 else pa.concat_arrays(chunks)
 
 
-def _matched(ca: np.ndarray, cb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    if not ca.shape[1] or not len(cb):
-        return np.zeros((len(ca), 0), int), np.zeros((len(cb), 0), int)
-    both = np.vstack([ca, cb])
-    codes = np.column_stack([pd.factorize(both[:, j])[0] for j in range(both.shape[1])])
-    return codes[:len(ca)], codes[len(ca):]
+def _matched(ca: pa.Array, cb: pa.Array, na: int, nb: int) -> tuple[np.ndarray, np.ndarray]:
+    """Categories of ``na`` and ``nb`` points as integers that agree between them."""
+    if not len(ca) or not len(cb):
+        return np.zeros((na, 0), int), np.zeros((nb, 0), int)
+    codes = pa.concat_arrays([ca, cb]).dictionary_encode().indices.to_numpy().astype(int)
+    return codes[:len(ca)].reshape(na, -1), codes[len(ca):].reshape(nb, -1)
 
 
 def _cells(placed: DataFrame) -> DataFrame:
@@ -292,10 +294,10 @@ def _bounded(blocks: DataFrame, k: int, penalty2: float, tasks: int) -> DataFram
         points = _packed(block)
         asked = points.filter(points.field("ask"))
         (xq, cq, _), (xm, cm, names) = _features(asked), _features(points)
-        codes_q, codes_m = _matched(cq, cm)
+        codes_q, codes_m = _matched(cq, cm, len(xq), len(xm))
         held = points.field("members").value_lengths().to_numpy(zero_copy_only=False)
         bound2 = np.full(len(asked), np.inf)
-        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names.to_numpy(zero_copy_only=False), k + 1,
+        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names, k + 1,
                                             penalty2, bound2.copy()):
             enough = _running(at, held[to]) >= k + 1
             np.minimum.at(bound2, at[enough], d2[enough])
@@ -316,19 +318,15 @@ def _running(at: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 def _open_cells(queries: DataFrame, stats: DataFrame, pivots: list, penalty2: float) -> DataFrame:
     """For each block of queries the cells that some query's bound cannot rule out."""
-    spark = queries.sparkSession
-    table = pd.DataFrame({"x": [np.array(p["x"]) for p in pivots],
-                          "c": [np.array(p["c"], dtype=object) for p in pivots]})
-    shared = spark.sparkContext.broadcast(table)
+    shared = queries.sparkSession.sparkContext.broadcast(_pivot_features(pivots))
 
     def open_cells(queries: pa.Table, cells: pa.Table) -> pa.Table:
-        piv = shared.value
+        xp, cp = shared.value
         points = _packed(queries)
         xq, cq, _ = _features(points)
         bound, cell = (points.field(f).to_numpy(zero_copy_only=False) for f in ("bound", "cell"))
         other, low, high = (cells.column(n).to_numpy() for n in ("other", "low", "high"))
-        xp, cp = _stack(piv["x"]), np.stack(piv["c"].to_numpy())
-        codes_q, codes_p = _matched(cq, cp.reshape(len(xp), -1))
+        codes_q, codes_p = _matched(cq, cp, len(xq), len(xp))
         gaps = np.sqrt(_square_distances(xp, codes_p, xp[other], codes_p[other], penalty2))
         need = np.zeros(len(other), bool)
         for start in range(0, len(xq), QUERY_STEP):
@@ -381,15 +379,13 @@ def _search(queries: DataFrame, blocks: DataFrame, pairs: DataFrame, k: int, pen
             bound2 = asked.field("bound").to_numpy(zero_copy_only=False) ** 2
         points = _packed(members)
         (xq, cq, vids), (xm, cm, names) = _features(asked), _features(points)
-        codes_q, codes_m = _matched(cq, cm)
+        codes_q, codes_m = _matched(cq, cm, len(xq), len(xm))
         lists = points.field("members")
         rows, held = lists.flatten(), lists.value_lengths().to_numpy(zero_copy_only=False)
         starts = np.cumsum(held) - held
-        keys = rows.field("key").to_numpy(zero_copy_only=False)
-        order = np.empty(len(keys), np.int64)
-        order[np.argsort(keys, kind="stable")] = np.arange(len(keys))
+        order = _places(rows.field("key"))
         found = [(np.zeros(0, int), np.zeros(0, int), np.zeros(0))]
-        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names.to_numpy(zero_copy_only=False), k + 1,
+        for at, to, d2 in _nearest_in_block(xq, codes_q, xm, codes_m, names, k + 1,
                                             penalty2, bound2):
             # from points to their rows, of which each query keeps the first
             n = held[to]
@@ -490,15 +486,30 @@ def neighbor_lists(df: DataFrame, spec: FeatureSpec, k: int, within: str | None
     They are looked for among the rows of equal value in the column ``within``.
     ``query_classes`` limits for which rows neighbours are searched, not among which.
     """
-    if k < 1:
+    return searched_lists(df, spec, k, within, penalty, query_classes, block_points)(k)
+
+
+def searched_lists(df: DataFrame, spec: FeatureSpec, widest: int, within: str | None = None, penalty: float = 0.0,
+                   query_classes: list | None = None, block_points: int | None = None,
+                   often: bool = False) -> Callable[[int], DataFrame]:
+    """One search, from which ``neighbor_lists`` of every k up to ``widest`` can be had, ``often`` more than once."""
+    if widest < 1:
         raise ValueError("k must be at least 1")
     spec.require(df)
     rows = df.select(*dict.fromkeys([*spec.columns, *([within] if within else [])]))
     if within == spec.label and query_classes is not None:
         rows = rows.filter(F.col(spec.label).isin(query_classes))
     askers = query_classes if within != spec.label else None
-    index = PointIndex(rows, spec, k, within, askers, penalty, block_points)
-    return _expand(rows, index.points, index.near(), spec, k, within, askers)
+    index = PointIndex(rows, spec, widest, within, askers, penalty, block_points)
+    near = _nearest_rows(index.near(), widest)
+    if often:
+        near = write_scratch(near, "near")
+
+    def lists(k: int) -> DataFrame:
+        points = index.points.withColumn("members", F.slice("members", 1, k + 1))
+        return _expand(rows, points, near if k == widest else _nearest_rows(near, k), spec, k, within, askers)
+
+    return lists
 
 
 def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
@@ -510,9 +521,14 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     which. A row with fewer than k others gets as many as there are.
     ``block_points`` is the mean number of points in a cell.
     """
-    every = neighbor_lists(df, spec, k, spec.label if within_class else None, penalty, query_classes, block_points)
+    return ranked(neighbor_lists(
+        df, spec, k, spec.label if within_class else None, penalty, query_classes, block_points), spec)
+
+
+def ranked(lists: DataFrame, spec: FeatureSpec) -> DataFrame:
+    """One row for each row and neighbour of ``neighbor_lists``."""
     return (
-        every.select("__key", F.posexplode("list").alias("__p", "e"))
+        lists.select("__key", F.posexplode("list").alias("__p", "e"))
         .select(
             F.col("__key").alias(spec.key), (F.col("__p") + 1).alias("rank"),
             F.col("e.key").alias("neighbor"), F.col("e.lab").alias("neighbor_label"),
@@ -521,12 +537,16 @@ def knn(df: DataFrame, spec: FeatureSpec, k: int, within_class: bool = True,
     )
 
 
+def _nearest_rows(near: DataFrame, k: int) -> DataFrame:
+    """The k + 1 nearest rows of each point, its own among them."""
+    order = Window.partitionBy("g", "vid").orderBy("d2", "key")
+    return near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1).drop("rn")
+
+
 def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSpec, k: int,
             within: str | None, askers: list | None) -> DataFrame:
     """From the nearest rows of each point to those of each asking row."""
-    order = Window.partitionBy("g", "vid").orderBy("d2", "key")
-    best = near.withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= k + 1)
-    lists = best.groupBy("g", "vid").agg(
+    lists = near.groupBy("g", "vid").agg(
         F.sort_array(F.collect_list(F.struct("d2", "key", "lab"))).alias("list"))
     others = F.slice(F.filter("list", lambda e: e["key"] != F.col("__key")), 1, k)
     known = points.filter("ask").select("g", "vid", F.explode("members").alias("m")).select(
@@ -536,19 +556,20 @@ def _expand(rows: DataFrame, points: DataFrame, near: DataFrame, spec: FeatureSp
     group, x, c = _point_columns(spec, within)
     # further copies: their first k fellow copies are their neighbours, at distance 0. One vector
     # may have very many of them, so its rows are spread over slices.
-    copies = rows.groupBy(group.alias("g"), x.alias("x"), c.alias("c")).agg(
+    vector = ["h", "g", "x", "c"]
+    hashed = F.xxhash64("g", "x", "c").alias("h")
+    rows = rows.select(group.alias("g"), x.alias("x"), c.alias("c"), F.col(spec.key).alias("__key"),
+                       F.col(spec.label).alias("__lab")).select(hashed, "*")
+    copies = rows.groupBy(*vector).agg(
         F.ceil(F.count(F.lit(1)) / SLICE_ROWS).cast("int").alias("slices"))
-    full = points.filter(F.size("members") > k).join(copies, ["g", "x", "c"]).select(
-        "g", "x", "c", "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"),
+    full = points.filter(F.size("members") > k).select(hashed, "*").join(copies, vector).select(
+        *vector, "slices", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("s"),
         F.element_at("members", -1)["key"].alias("__last"),
         F.transform(F.slice("members", 1, k), lambda m: F.struct(
             F.lit(0.0).alias("d2"), m["key"].alias("key"), m["lab"].alias("lab"))).alias("list"))
-    sliced = rows.select(
-        group.alias("g"), x.alias("x"), c.alias("c"), F.col(spec.key).alias("__key"),
-        F.col(spec.label).alias("__lab")).join(
-        full.select("g", "x", "c", "slices").distinct(), ["g", "x", "c"]).withColumn(
+    sliced = rows.join(full.select(*vector, "slices").distinct(), vector).withColumn(
         "s", F.floor(uniform("__key", "slice") * F.col("slices")).cast("int")).drop("slices")
-    further = sliced.join(full.drop("slices"), ["g", "x", "c", "s"]).filter(F.col("__key") > F.col("__last"))
+    further = sliced.join(full.drop("slices"), [*vector, "s"]).filter(F.col("__key") > F.col("__last"))
     return known.join(lists, ["g", "vid"]).select("__key", "__lab", others.alias("list")).unionByName(
         further.select("__key", "__lab", "list"))
 

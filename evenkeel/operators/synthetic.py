@@ -109,18 +109,20 @@ def smote(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: i
 
 
 def smote_nc(df: DataFrame, spec: FeatureSpec, plan: DataFrame, k: int = 5, seed: int = 0,
-             only_new: bool = False, penalty: float | None = None, **options) -> DataFrame:
+             only_new: bool = False, penalty: float | None = None, near: DataFrame | None = None,
+             **options) -> DataFrame:
     """SMOTE for mixed features.
 
     A differing category counts like ``penalty``, by default the median sd of the
     continuous columns in the growing classes; the new category is the most frequent one among the k
-    neighbours (the smallest level on a tie).
+    neighbours (the smallest level on a tie). ``near`` gives neighbours that were searched before.
     """
     if not spec.categorical or not spec.continuous:
         raise ValueError("smote_nc needs continuous and categorical features")
     classes = _growing(plan)
-    penalty = median_sd(df, spec, classes) if penalty is None else penalty
-    near = knn(df, spec, k, penalty=penalty, query_classes=classes, **options)
+    if near is None:
+        penalty = median_sd(df, spec, classes) if penalty is None else penalty
+        near = knn(df, spec, k, penalty=penalty, query_classes=classes, **options)
     return _finish(df, spec, _new_rows(df, spec, plan, near, k, seed, spec.categorical), only_new)
 
 

@@ -353,6 +353,8 @@ def _sampler(name: str):
 def _resample_all(models: StackedLogistic, resamplings: Sequence[tuple[str, dict]], seed: int,
                   cleaning: str | None) -> None:
     """Resample with each setting; the searches and fits behind them start from a few threads."""
+    settings = [int(p.get("k_neighbors", 5)) for name, p in resamplings if name == "SMOTE"]
+    models.stack.widest, models.stack.often = max(settings, default=1), len(settings) > 1
     models.add(in_threads(lambda job: models.resampled(_sampler(job[0]), job[1], seed, cleaning is not None),
                           list(resamplings)))
 

@@ -18,6 +18,7 @@ sets share one list of levels. A set with one class gets the constant 0 or 1.
 from __future__ import annotations
 
 import sys
+import threading
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import replace
 
@@ -30,6 +31,7 @@ from pyspark.sql import types as T
 
 from evenkeel.operators import resample, synthetic
 from evenkeel.operators.generator import ConditionalGenerator
+from evenkeel.operators.neighbors import ranked, searched_lists
 from evenkeel.plans.sampling import class_targets, plan_table
 from evenkeel.session import collect_small, write_scratch
 from evenkeel.spec import FeatureSpec
@@ -163,8 +165,11 @@ def _check_size(width: int, penalties: dict[int, Sequence[float]]) -> None:
 
 
 def _fit_blocks(blocks: DataFrame, width: int, penalties: dict[int, Sequence[float]],
-                levels: Sequence[int] = ()) -> dict[tuple[int, int], np.ndarray]:
-    """``fit_logistic`` over packed rows, whose codes stand for ``levels`` of each category."""
+                levels: Sequence[int] = (), places: dict[int, list[int]] | None = None) -> dict:
+    """``fit_logistic`` over packed rows, whose codes stand for ``levels`` of each category.
+
+    ``places`` says under which numbers the rows of a set lie, if not under its own only.
+    """
     names = [(s, i) for s, cs in penalties.items() for i in range(len(cs))]
     size = width + 1
     c = np.array([float(penalties[s][i]) for s, i in names])
@@ -176,8 +181,9 @@ def _fit_blocks(blocks: DataFrame, width: int, penalties: dict[int, Sequence[flo
     for _ in range(STEPS):
         sets: dict[int, list[int]] = {}
         for m in sorted(open_):
-            sets.setdefault(names[m][0], []).append(m)
-        found = _added(blocks.filter(F.col(SET).isin(list(sets))) if len(sets) < len(penalties) else blocks,
+            for s in places[names[m][0]] if places else [names[m][0]]:
+                sets.setdefault(s, []).append(m)
+        found = _added(blocks.filter(F.col(SET).isin(list(sets))) if len(open_) < len(names) else blocks,
                        {m: theta[m] for m in open_}, sets, levels)
         for m in sorted(open_):
             s = found[m]
@@ -214,6 +220,8 @@ class SetStack:
     def __init__(self, df: DataFrame, spec: FeatureSpec, members: dict[int, Column], scale: bool = True):
         """``members`` says for each set number which rows of ``df`` it trains on."""
         self.spec, self.numbers = spec, list(members)
+        # neighbours inside the growing classes, by class; how many of them anyone will want, and if more than once
+        self.searched, self.searching, self.widest, self.often = {}, threading.Lock(), 1, False
         self.inner = FeatureSpec(CLASS, ROW, spec.continuous, spec.categorical)
         rows = self._dealt(df, members)
         self.label_type, self.ranges = df.schema[spec.label].dataType, None
@@ -281,12 +289,31 @@ class SetStack:
             {c: F.col(c) / unit for c in self.spec.continuous}).drop("__unit")
         return write_scratch(rows, "measured"), units
 
+    def neighbors(self, classes: list[str], k: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """``measured`` and the k nearest rows of the same class; settings that differ in k share one search."""
+        with self.searching:
+            held = self.searched.get(tuple(classes))
+            if held is None or held[0] < k:
+                rows, units = self.measured(classes)
+                widest = max(k, self.widest)
+                held = self.searched[tuple(classes)] = (widest, rows, units, searched_lists(
+                    rows, self.inner, widest, CLASS, 1.0, classes, often=self.often))
+        _, rows, units, lists = held
+        return rows, units, ranked(lists(k), self.inner)
+
     def unmeasured(self, rows: DataFrame, units: DataFrame) -> DataFrame:
         unit = F.coalesce("__unit", F.lit(1.0))
         return rows.withColumn(SET, _set_of(CLASS)).join(F.broadcast(units), SET, "left").withColumns(
             {c: F.col(c) * unit for c in self.spec.continuous}).drop("__unit", SET)
 
 
+def _union(tables: Sequence[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
 def _set_of(name: str) -> Column:
     return F.substring_index(name, "|", 1).cast("int")
 
@@ -297,6 +324,8 @@ def _label_of() -> Column:
 
 
 STACKED: dict[str, Callable] = {}
+#: Samplers that leave every row where it is and mark what they add by ``is_synthetic``.
+KEEPING = ("unbalanced", "random", "SMOTE", "ADASYN", "generator")
 
 
 def register_stacked(name: str, fn: Callable) -> None:
@@ -312,8 +341,8 @@ def _smote(stack: SetStack, strategy, seed, k_neighbors=5):
     plan = stack.plan(strategy)
     if not stack.spec.categorical:
         return synthetic.smote(stack.rows, stack.inner, plan, int(k_neighbors), seed)
-    rows, units = stack.measured(stack.growing(plan))
-    return stack.unmeasured(synthetic.smote_nc(rows, stack.inner, plan, int(k_neighbors), seed, penalty=1.0), units)
+    rows, units, near = stack.neighbors(stack.growing(plan), int(k_neighbors))
+    return stack.unmeasured(synthetic.smote_nc(rows, stack.inner, plan, int(k_neighbors), seed, near=near), units)
 
 
 def _adasyn(stack: SetStack, strategy, seed, n_neighbors=5):
@@ -368,6 +397,7 @@ def cleaned(stack: SetStack, rows: DataFrame) -> DataFrame:
 for _name, _fn in (("unbalanced", lambda stack, strategy, seed: stack.rows), ("random", _random),
                    ("under", _under), ("SMOTE", _smote), ("ADASYN", _adasyn), ("generator", _generator), ("tomek", _tomek)):
     register_stacked(_name, _fn)
+BUILT_IN = dict(STACKED)
 
 
 # ---- fit and score ------------------------------------------------------------------
@@ -384,6 +414,10 @@ class StackedLogistic:
             self.levels[c] = sorted(r["v"] for r in rows if r["v"] is not None)
         self.width = len(spec.continuous) + sum(map(len, self.levels.values()))
         self.parts: list[DataFrame] = []
+        # resamplings that hold all rows of the sets, and the places of such parts
+        self.keeping: list[DataFrame] = []
+        self.shared: set[int] = set()
+        self.own: list[DataFrame] = []
         self.step = max(members) + 1
 
     def encoded(self, rows: DataFrame) -> Column:
@@ -402,33 +436,59 @@ class StackedLogistic:
         strategy = params.pop("sampling_strategy", "auto")
         rows = one_by_one(self.stack, sampler, strategy, seed, **params) if callable(sampler) else STACKED[sampler](
             self.stack, strategy, seed, **params)
-        return cleaned(self.stack, rows) if cleaning else rows
+        if cleaning:
+            return cleaned(self.stack, rows)
+        if sampler in KEEPING and STACKED[sampler] is BUILT_IN[sampler]:
+            self.keeping.append(rows)
+        return rows
 
     def add(self, tables: Sequence[DataFrame]) -> StackedLogistic:
         """Resamplings of all sets, to be fitted."""
         for rows in tables:
-            self.parts.append(rows.select(
-                (_set_of(CLASS) + len(self.parts) * self.step).alias(SET),
-                F.when(_label_of().cast("double") == 1, 1.0).otherwise(0.0).alias("y"), *self.spec.features))
+            place = len(self.parts)
+            self.parts.append(self._labelled(rows, _set_of(CLASS) + place * self.step))
+            if any(rows is t for t in self.keeping):
+                self.shared.add(place)
+                new = rows.filter("is_synthetic") if "is_synthetic" in rows.columns else rows.limit(0)
+                self.own.append(self._labelled(new, _set_of(CLASS) + place * self.step))
+            else:
+                self.own.append(self.parts[-1])
         return self
 
+    def _labelled(self, rows: DataFrame, of: Column) -> DataFrame:
+        return rows.select(of.alias(SET), F.when(_label_of().cast("double") == 1, 1.0).otherwise(0.0).alias("y"),
+                           *self.spec.features)
+
     def fit(self, penalties: Sequence[float]) -> StackedLogistic:
-        """Fit every set of every resampling with every ``C``."""
-        table = self.parts[0]
-        for p in self.parts[1:]:
-            table = table.unionByName(p)
+        """Fit every set of every resampling with every ``C``.
+
+        Rows that several resamplings hold are packed once, under a number below 0.
+        """
+        self.table = _union(self.parts)
+        self.table = self.table.select(SET, "y", self.encoded(self.table).alias("x"))
+        kept = [self._labelled(self.stack.rows, -1 - _set_of(CLASS))] if self.shared else []
+        table = _union(kept + self.own)
         numbers = [F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(self.spec.continuous)]
         codes = [self.code(c).alias(f"__c{i}") for i, c in enumerate(self.levels)]
         slim = table.select(SET, "y", *(numbers + codes or [F.array().cast("array<double>").alias("x")]))
         blocks = write_scratch(_blocks(slim, [f"__x{i}" for i in range(len(numbers))],
                                        [f"__c{i}" for i in range(len(codes))]), "stacked")
-        self.table = table.select(SET, "y", self.encoded(table).alias("x"))
-        sizes = {r[SET]: (r["n"], r["positives"] / r["n"]) for r in blocks.groupBy(SET).agg(
+        found = {r[SET]: (r["n"], r["positives"]) for r in blocks.groupBy(SET).agg(
             F.sum("n").alias("n"), F.sum("positives").alias("positives")).collect()}
-        self.sizes, self.penalties = sizes, list(penalties)
-        wanted = {s: self.penalties for s in sorted(sizes)}
+        # the numbers under which a set's rows lie
+        places = {s: [s] for s in found if s >= 0}
+        for s in found:
+            if s < 0:
+                for place in self.shared:
+                    places.setdefault(place * self.step - 1 - s, []).append(s)
+        self.sizes = {}
+        for s, of in sorted(places.items()):
+            n, positives = (sum(found[i][j] for i in of) for j in (0, 1))
+            self.sizes[s] = (n, positives / n)
+        self.penalties = list(penalties)
+        wanted = {s: self.penalties for s in self.sizes}
         _check_size(self.width, wanted)
-        self.thetas = _fit_blocks(blocks, self.width, wanted, [len(v) for v in self.levels.values()])
+        self.thetas = _fit_blocks(blocks, self.width, wanted, [len(v) for v in self.levels.values()], places)
         return self
 
     def code(self, c: str) -> Column:

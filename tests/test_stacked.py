@@ -3,14 +3,16 @@
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from evenkeel import FeatureSpec
-from evenkeel.operators import synthetic
-from evenkeel.plans import stacked
+from evenkeel.operators import neighbors, synthetic
+from evenkeel.operators.neighbors import links_within
+from evenkeel.plans import evaluate, stacked
 from evenkeel.plans.evaluate import SAMPLERS
 from evenkeel.plans.sampling import sampling_plan
 from evenkeel.plans.stacked import CLASS, ROW, SET, SetStack, StackedLogistic, fit_logistic
@@ -128,3 +130,77 @@ def test_adasyn_takes_categories_as_codes(spark, df):
     assert new and {r["c"] for r in new} <= {"u", "v", "w", None} and any(r["c"] is None for r in new)
     assert out.filter("not is_synthetic").count() == df.count()
     assert SAMPLERS["ADASYN"](df, SPEC, "auto", 0).count() == out.count()
+
+
+def test_links_inside_sets_equal_brute_force(spark):
+    """Copies, ties, repeated distances and sets of three classes; each set keeps its own smallest class."""
+    rng = np.random.default_rng(11)
+    n = 420
+    pdf = pd.DataFrame({"id": [f"r{i:04d}" for i in range(n)], "a": rng.integers(0, 14, n) * 1.0, "b": rng.integers(0, 14, n) * 1.0,
+                        "c": rng.choice(list("uv"), n), "of": rng.integers(0, 3, n)})
+    pdf["y"] = [f"{s}|{v}" for s, v in zip(pdf["of"], np.where(rng.random(n) < 0.6, 0, rng.integers(1, 3, n)))]
+    want = set()
+    for _, one in pdf.groupby("of"):
+        x, ids, y = one[["a", "b"]].to_numpy(), one["id"].to_numpy(), one["y"].to_numpy()
+        d2 = ((x[:, None] - x[None]) ** 2).sum(2) + 2.25 * (one["c"].to_numpy()[:, None] != one["c"].to_numpy()[None])
+        np.fill_diagonal(d2, np.inf)
+        to = [int(np.lexsort((ids, d))[0]) for d in d2]
+        want |= {(ids[i], ids[j], y[i], y[j]) for i, j in enumerate(to) if to[j] == i and ids[i] < ids[j] and y[i] != y[j]}
+    asking = [f"{s}|{v}" for s in range(3) for v in (1, 2)]
+    spec = FeatureSpec("y", "id", ["a", "b"], ["c"])
+    for sizes in ({}, {"block_points": 20}):
+        got = links_within(spark.createDataFrame(pdf), spec, "of", asking, 1.5, **sizes)
+        assert {tuple(r) for r in got.collect()} == want and len(want) > 20
+
+
+def _written(monkeypatch, name, size):
+    """Sizes of the scratch tables of a name, in the order of writing."""
+    sizes, plain = [], neighbors.write_scratch
+
+    def spy(df, what):
+        out = plain(df, what)
+        if what == name:
+            sizes.append(size(out))
+        return out
+
+    for module in (neighbors, stacked):
+        monkeypatch.setattr(module, "write_scratch", spy)
+    return sizes
+
+
+def test_only_rows_that_matter_ask_for_neighbours(spark, monkeypatch):
+    """The larger class asks neither in ADASYN nor, beyond the rows that were named, in Tomek links."""
+    monkeypatch.setattr(neighbors, "BLOCK_POINTS", 256)
+    rows = spark.range(3000).select("id", (F.rand(5) * 9).alias("a"), F.rand(6).alias("b"),
+                                    (F.col("id") % 10 == 0).cast("int").alias("y")).cache()
+    stack = SetStack(rows, NUMBERS, {0: F.lit(True), 1: F.col("id") < 2500})
+    asked = _written(monkeypatch, "queries", lambda t: t.agg(F.sum(F.size("points"))).first()[0])
+    stacked.STACKED["ADASYN"](stack, "auto", 0).count()
+    assert asked and max(asked) <= 550
+    asked.clear()
+    stacked.STACKED["tomek"](stack, "auto", 0).count()
+    assert len(asked) == 2 and asked[0] == 550 and asked[1] <= 550
+
+
+def test_settings_of_smote_share_a_search(spark, df, sets, monkeypatch):
+    models = StackedLogistic(df, SPEC, sets)
+    alone = {k: _rows(models.resampled("SMOTE", {"k_neighbors": k}).select(CLASS, "c", F.round("a", 9), F.round("b", 9)))
+             for k in (2, 4)}
+    models, searches = StackedLogistic(df, SPEC, sets), _written(monkeypatch, "points", lambda t: 1)
+    evaluate._resample_all(models, [("SMOTE", {"k_neighbors": 2}), ("SMOTE", {"k_neighbors": 4})], 0, None)
+    assert len(searches) == 1
+    together = [_rows(models.resampled("SMOTE", {"k_neighbors": k}).select(CLASS, "c", F.round("a", 9), F.round("b", 9)))
+                for k in (2, 4)]
+    assert together == [alone[2], alone[4]] and len(searches) == 1
+
+
+def test_rows_of_several_resamplings_are_packed_once(spark, df, sets, monkeypatch):
+    packed = _written(monkeypatch, "stacked", lambda t: t.agg(F.sum("n")).first()[0])
+    models = StackedLogistic(df, SPEC, sets)
+    names = ("unbalanced", "random", "SMOTE", "tomek")
+    models.add([models.resampled(s, {}) for s in names]).fit([1.0])
+    rows = {i: sum(n for s, (n, _) in models.sizes.items() if s // models.step == i) for i in range(len(names))}
+    real = models.stack.rows.count()
+    assert packed == [rows[1] + rows[2] - real + rows[3]]
+    assert rows[0] == real and [r["n"] for r in models.table.groupBy((F.col(SET) / models.step).cast("int").alias("p")).agg(
+        F.count(F.lit(1)).alias("n")).orderBy("p").collect()] == list(rows.values())
