@@ -97,13 +97,14 @@ def _lift_table(df, y, score, key, p, by, top: bool, out: str) -> DataFrame:
     end = F.col("n_below") + F.col("n")
     # the cut falls into one score of a group at most
     here = (F.col("n_below") < F.col("cut")) & (F.col("cut") < end)
-    whole = runs.groupBy(*by).agg(
+    # a table without groups is one group, not a total: it is read again below
+    whole = runs.groupBy(*(by or [F.lit(0).alias("__all")])).agg(
         F.max("n_total").alias("n"), F.max("pos_total").alias("pos"), F.max("cut").alias("cut"),
         F.coalesce(F.sum(F.when(F.col("n_below") >= F.col("cut"), F.col("pos"))), F.lit(0)).alias("sure"),
         F.max(F.when(here, F.col("value"))).alias("__score"),
         F.max(F.when(here, F.col("cut") - F.col("n_below"))).alias("__skip"))
     split = whole.filter(F.col("__skip").isNotNull()).select(*by, "__score", "__skip")
-    whole = whole.drop("__score", "__skip")
+    whole = whole.drop("__score", "__skip", "__all")
     tied = slim.join(split, [*by, "__score"]) if by else slim.join(split, "__score")
     inside = rank_by_hash(tied, "__key", TIE_SALT, by=by, out="at").filter(F.col("at") > F.col("__skip"))
     rest = inside.groupBy(*by).agg(F.sum("is_pos").alias("rest"))
